@@ -5,10 +5,483 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import identity, text
+from tessera.operators import analysis, corpus, evidence, fusion, search, selection, structure
+from tessera.plans.catalog import CHUNKS_SQL, QUESTIONS, chunks, fold, questions, read
+from tessera.sources import listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """All whole numbers as BIGINT, as in the SQL."""
+    return df.select(*(F.col(f"`{n}`").cast("bigint").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes))
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: wide(f(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Parts of the SQL.
+def squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g'))"
+
+
+def split_words(x: str) -> str:
+    return f"list_filter(string_split({squeezed(x)}, ' '), lambda w: w <> '')"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all({fold(x)}, '[a-z0-9]+')"
+
+
+def count_windows(n: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"CASE WHEN {n} = 0 THEN 0 WHEN {n} <= {size} THEN 1 ELSE CAST(ceil(({n} - {size}) / {step}.0) AS BIGINT) + 1 END"
+
+
+def windows_sql(source: str, keys: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""ws AS (SELECT {keys}, {split_words('t')} AS w FROM {source}),
+wk AS (SELECT *, unnest(range({count_windows('len(w)', size, overlap)})) AS i FROM ws),
+windows AS (SELECT {keys}, i + 1 AS chunk_number, i * {step} AS word_start, least(i * {step} + {size}, len(w)) AS word_end, array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS content FROM wk)"""
+
+
+IDENTITY = f"sha256({fold('path')})"
+
+# Structure
+
+
+@query(f"""WITH src AS (SELECT doc_id, concat(source, '/', CAST(doc_id AS VARCHAR), '.pdf') AS path, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id, path', 120, 20)}
+SELECT doc_id, chunk_number, word_start, word_end, substr({IDENTITY}, 1, 24) AS document_id, sha256(content) AS content_hash,
+  substr(sha256(concat(substr({IDENTITY}, 1, 24), '|pdf:1:', CAST(chunk_number AS VARCHAR), '|', sha256(content))), 1, 24) AS id FROM windows""")
+def word_window_chunks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    made = structure.word_windows(docs, "t")
+    return structure.identified(made, "path", F.concat(F.lit("pdf:1:"), F.col("chunk_number").cast("string"))).select("doc_id", "chunk_number", "word_start", "word_end", "document_id", "content_hash", "id")
+
+
+LINES = """lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM documents)"""
+
+
+def document_lines(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "t")).withColumn("line", F.col("line") + 1)
+
+
+@query(f"""WITH {LINES}, {windows_sql('lines', 'doc_id, line', 160, 30)}
+SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line, chunk_number) AS chunk_number, word_start, word_end, sha256(content) AS content_hash FROM windows""")
+def block_window_chunks(spark, sf_dir):
+    made = structure.word_windows(document_lines(spark, sf_dir), "t", 160, 30)
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("line", "chunk_number"))
+    return made.select("doc_id", "line", number.alias("chunk_number"), "word_start", "word_end", F.sha2("content", 256).alias("content_hash"))
+
+
+BASELINE = f"""src AS (SELECT doc_id, source AS path, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id, path', 120, 20)},
+baseline AS (SELECT doc_id, path, word_start, content, concat('baseline-', substr(sha256(concat('baseline|', path, '|', CAST(word_start AS VARCHAR), '|', content)), 1, 24)) AS id FROM windows)"""
+
+
+def baseline_table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    key = F.concat_ws("|", F.lit("baseline"), "path", F.col("word_start").cast("string"), "content")
+    return structure.word_windows(docs, "t").withColumn("id", F.concat(F.lit("baseline-"), identity.short_hash(key)))
+
+
+@query(f"WITH {BASELINE} SELECT doc_id, word_start, id FROM baseline")
+def baseline_chunks(spark, sf_dir):
+    return baseline_table(spark, sf_dir).select("doc_id", "word_start", "id")
+
+
+@query(f"""WITH {BASELINE}, per AS (SELECT path, count(*) AS n_chunks, string_agg(sha256(concat(path, '|', id, '|', content)), chr(10) ORDER BY doc_id, word_start) AS s FROM baseline GROUP BY path)
+SELECT path, n_chunks, sha256(s) AS fingerprint FROM per""")
+def corpus_fingerprint(spark, sf_dir):
+    """A hash of hashes for each source, so that no task holds the corpus."""
+    each = baseline_table(spark, sf_dir).select("path", "doc_id", "word_start", F.sha2(F.concat_ws("|", "path", "id", "content"), 256).alias("h"))
+    grouped = each.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_list(F.struct("doc_id", "word_start", "h"))).alias("_h"))
+    return grouped.select("path", "n_chunks", F.sha2(F.array_join("_h.h", "\n"), 256).alias("fingerprint"))
+
+
+@query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id', 120, 20)} SELECT doc_id, count(*) AS n_windows, CAST(0 AS BIGINT) AS n_violations FROM windows GROUP BY doc_id")
+def overlap_check(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return structure.overlap_violations(structure.word_windows(docs, "t"), ["doc_id"])
+
+
+SHEET = """sheet AS (SELECT l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS n,
+  concat('order ', CAST(l_orderkey AS VARCHAR), ' line ', CAST(l_linenumber AS VARCHAR)) AS t FROM lineitem)"""
+
+
+@query(f"""WITH {SHEET}, tot AS (SELECT *, max(n) OVER (PARTITION BY sheet) AS total FROM sheet), k AS (SELECT *, {count_windows('total', 20, 2)} AS k FROM tot),
+spread AS (SELECT sheet, n, t, unnest(range(greatest(0, CAST(ceil((n - 20) / 18.0) AS BIGINT)), least(k - 1, CAST(floor((n - 1) / 18.0) AS BIGINT)) + 1)) + 1 AS group_number FROM k)
+SELECT sheet, group_number, min(n) AS first_row, max(n) AS last_row, sha256(string_agg(t, chr(10) || chr(10) ORDER BY n)) AS text_hash FROM spread GROUP BY sheet, group_number""")
+def row_group_windows(spark, sf_dir):
+    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    words = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "), F.col("l_linenumber").cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.row_number().over(order).alias("n"), words.alias("t"))
+    return structure.row_windows(rows, ["sheet"], "n", "t").select("sheet", "group_number", "first_row", "last_row", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("""SELECT a.l_orderkey AS sheet, a.l_linenumber + 0 AS line, CAST(count(*) AS BIGINT) AS n_near FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) = 1 GROUP BY 1, 2""".replace("a.l_linenumber + 0 AS line", "CAST(a.l_linenumber AS BIGINT) AS line"))
+def adjacent_rows(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_orderkey", "l_linenumber").alias("id"))
+    near = structure.adjacent_rows(rows, ["l_orderkey"], "l_linenumber", "id")
+    return near.groupBy(F.col("id.l_orderkey").alias("sheet"), F.col("id.l_linenumber").alias("line")).agg(F.count(F.lit(1)).alias("n_near"))
+
+
+KIND = "CASE WHEN length(t) < 30 THEN CASE WHEN line = 1 THEN 'Title' ELSE 'Heading 1' END WHEN contains(t, '|') THEN 'List Bullet' ELSE 'Normal' END"
+
+
+@query(f"""WITH {LINES}, k AS (SELECT *, {KIND} AS style FROM lines WHERE trim(t) <> ''),
+m AS (SELECT *, CASE WHEN style = 'Title' THEN 'title' WHEN style = 'Heading 1' THEN 'heading' WHEN style = 'List Bullet' THEN 'list' ELSE 'paragraph' END AS kind FROM k)
+SELECT doc_id, line, kind, last_value(CASE WHEN kind IN ('title', 'heading') THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM m""")
+def section_ffill(spark, sf_dir):
+    lines = document_lines(spark, sf_dir).filter(F.trim("t") != "").withColumn("kind", structure.paragraph_kind(F.expr(KIND))).withColumnRenamed("t", "text")
+    return structure.carry_sections(lines, ["doc_id"], "line").select("doc_id", "line", "kind", "section")
+
+
+CELLS = "list_transform(string_split(t, '|'), lambda c: nullif(trim(c), ''))"
+ROWS_SQL = f"""{LINES}, cells AS (SELECT doc_id, line, {CELLS} AS cells, length(t) % 3 = 0 AS bold, length(t) % 7 = 0 AS merged FROM lines),
+f AS (SELECT *, list_filter(list_transform(cells, lambda c, i: CASE WHEN c IS NOT NULL THEN i END), lambda i: i IS NOT NULL) AS pos FROM cells),
+k0 AS (SELECT *, CASE WHEN len(pos) = 0 THEN 'blank' WHEN len(pos) >= 2 AND pos[-1] - pos[1] = len(pos) - 1 AND bold THEN 'header'
+  WHEN merged THEN CASE WHEN line = 1 THEN 'title' WHEN contains(cells[pos[1]], 'Effective:') OR contains(cells[pos[1]], 'Version') THEN 'metadata' WHEN bold THEN 'section' ELSE 'note' END END AS k0 FROM f),
+st AS (SELECT *, count(*) FILTER (WHERE k0 = 'blank') OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS stretch, count(*) FILTER (WHERE k0 = 'header') OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS tables FROM k0),
+hd AS (SELECT *, last_value(CASE WHEN k0 = 'header' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, stretch ORDER BY line ROWS UNBOUNDED PRECEDING) AS head_line FROM st),
+kinds AS (SELECT *, coalesce(k0, CASE WHEN head_line IS NOT NULL THEN 'data' ELSE 'key_value' END) AS kind FROM hd)"""
+
+
+def sheet_rows(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    cells = F.transform(F.split("t", r"\|", -1), lambda c: F.nullif(F.trim(c), F.lit("")))
+    rows = lines.select("doc_id", "line", cells.alias("cells"), (F.length("t") % 3 == 0).alias("bold"), (F.length("t") % 7 == 0).alias("merged"))
+    return structure.classify_rows(rows, ["doc_id"], "line")
+
+
+@query(f"WITH {ROWS_SQL} SELECT doc_id, line, kind, CASE WHEN kind IN ('header', 'data') THEN tables END AS table_number FROM kinds")
+def sheet_row_kinds(spark, sf_dir):
+    return sheet_rows(spark, sf_dir).select("doc_id", "line", "kind", "table_number")
+
+
+LETTERS = "concat(CASE WHEN i > 702 THEN chr(CAST(65 + (i - 703) // 676 AS INT)) ELSE '' END, CASE WHEN i > 26 THEN chr(CAST(65 + ((i - 27) // 26) % 26 AS INT)) ELSE '' END, chr(CAST(65 + (i - 1) % 26 AS INT)))"
+
+
+@query(f"""WITH {ROWS_SQL}, j AS (SELECT a.*, b.cells AS headers FROM kinds a LEFT JOIN cells b ON a.doc_id = b.doc_id AND b.line = CASE WHEN a.kind IN ('header', 'data') THEN a.head_line END),
+v AS (SELECT *, CASE WHEN kind = 'header' THEN concat('Headers: ', array_to_string(list_transform(headers, lambda h: coalesce(h, '[blank header]')), ' | '))
+  WHEN kind = 'data' THEN concat('Values: ', array_to_string(list_transform(range(1, greatest(len(headers), len(cells)) + 1), lambda i: CASE WHEN i <= len(headers) AND i <= len(cells) OR i <= len(headers) THEN concat(coalesce(headers[i], concat('Column ', {LETTERS})), '=', coalesce(cells[i], '[blank]')) END), '; '))
+  ELSE concat('Values: ', array_to_string(list_filter(list_transform(range(1, len(cells) + 1), lambda i: CASE WHEN cells[i] IS NOT NULL THEN concat({LETTERS}, '=', cells[i]) END), lambda x: x IS NOT NULL), '; ')) END AS body FROM j)
+SELECT doc_id, line, sha256(concat('Workbook: w', chr(10), 'Sheet: ', CAST(doc_id AS VARCHAR), chr(10), 'Row: ', CAST(line AS VARCHAR), chr(10), 'Kind: ', kind, CASE WHEN kind IN ('header', 'data') THEN concat(chr(10), 'Table: ', CAST(tables AS VARCHAR)) ELSE '' END, chr(10), body)) AS text_hash FROM v WHERE kind <> 'blank'""")
+def sheet_row_texts(spark, sf_dir):
+    rows = sheet_rows(spark, sf_dir).filter("kind <> 'blank'")
+    return rows.select("doc_id", "line", F.sha2(structure.render_row(F.lit("w"), F.col("doc_id").cast("string"), F.col("line")), 256).alias("text_hash"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 + 1 AS n, [NULLIF(concat('h', CAST(o_custkey % 3 AS VARCHAR)), 'h0'), 'price', ''] AS h, [o_orderstatus, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), NULLIF(CAST(o_custkey % 2 AS VARCHAR), '0')] AS v FROM orders)
+SELECT o_orderkey, CASE WHEN n = 1 THEN concat('Table headers: ', coalesce(h[1], '[blank]'), ' | price | [blank]')
+  ELSE concat(coalesce(h[1], 'Column 1'), ': ', v[1], ' | price: ', v[2], ' | Column 3: ', coalesce(v[3], '[blank]')) END AS t FROM o""")
+def table_row_texts(spark, sf_dir):
+    head = F.array(F.nullif(F.concat(F.lit("h"), (F.col("o_custkey") % 3).cast("string")), F.lit("h0")), F.lit("price"), F.lit(""))
+    # rounded half up like the SQL's cast
+    cells = F.array("o_orderstatus", F.rint("o_totalprice").cast("bigint").cast("string"), F.nullif((F.col("o_custkey") % 2).cast("string"), F.lit("0")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", structure.table_row_text(head, cells, F.col("o_orderkey") % 4 + 1).alias("t"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN '=qty*price' ELSE CAST(l_partkey AS VARCHAR) END AS value, CAST(l_suppkey AS VARCHAR) AS cached FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n, min(CASE WHEN value LIKE '=%' THEN cached ELSE value END) AS low, max(CASE WHEN value LIKE '=%' THEN value END) AS formula FROM f GROUP BY 1, 2""")
+def formula_values(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")))
+    keys = ["l_orderkey", "l_linenumber", "at"]
+    formulas = rows.select(*keys, F.when(F.col("l_linenumber") % 2 == 0, "=qty*price").otherwise(F.col("l_partkey").cast("string")).alias("value"))
+    cached = rows.select(*keys, F.col("l_suppkey").cast("string").alias("value"))
+    return structure.formula_values(formulas, cached, keys).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("formula").alias("formula"))
+
+
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ' || chr(9))), lambda x: x <> ''), chr(10))) AS page_hash,
+  sha256({squeezed("coalesce(text, '')")}) AS block_hash, substr({squeezed("coalesce(text, '')")}, 1, 180) AS preview FROM documents""")
+def normal_texts(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.page_text(t), 256).alias("page_hash"), F.sha2(text.block_text(t), 256).alias("block_hash"), F.substring(text.squeeze(t), 1, 180).alias("preview"))
+
+
+# Sources
+
+NAMES = """names AS (SELECT page_id, concat(regexp_replace(url, '^https?://', ''), CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.XLSX' WHEN 3 THEN '.txt' ELSE '' END) AS name, CASE WHEN page_id % 10 = 0 THEN 0 ELSE length(html) END AS size FROM pages)"""
+
+
+@query(f"""WITH {NAMES},
+p AS (SELECT *, len(list_filter(string_split(name, '/'), lambda c: c IN ('', '.', '..') OR regexp_matches(c, '[ .]$') OR regexp_matches(c, '[<>:"|?*\\x00-\\x1f]') OR regexp_matches(upper(string_split(c, '.')[1]), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$'))) > 0 OR name = '' OR contains(name, chr(92)) AS unsafe FROM names),
+c AS (SELECT *, concat('KB/', name) AS logical, NOT unsafe AND NOT regexp_matches(lower(name), '[^/]\\.(pdf|docx|xlsx)$') AS unsupported FROM p),
+d AS (SELECT *, row_number() OVER (PARTITION BY lower(logical), unsafe OR unsupported OR size = 0 ORDER BY lower(name), page_id) AS n, min(CASE WHEN NOT unsafe AND NOT unsupported AND size > 0 THEN concat(lower(name), chr(1), lpad(CAST(page_id AS VARCHAR), 20, '0')) END) OVER (PARTITION BY lower(logical)) AS first FROM c)
+SELECT page_id, CASE WHEN unsafe THEN 'unsafe_path' WHEN unsupported THEN 'unsupported' WHEN first < concat(lower(name), chr(1), lpad(CAST(page_id AS VARCHAR), 20, '0')) THEN 'unsafe_path' WHEN size = 0 THEN 'empty' END AS code FROM d""")
+def source_listing(spark, sf_dir):
+    suffix = F.when(F.col("page_id") % 5 == 0, ".pdf").when(F.col("page_id") % 5 == 1, ".docx").when(F.col("page_id") % 5 == 2, ".XLSX").when(F.col("page_id") % 5 == 3, ".txt").otherwise("")
+    pages = read(spark, sf_dir, "pages")
+    names = pages.select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), suffix).alias("name"), F.when(F.col("page_id") % 10 == 0, 0).otherwise(F.length("html")).alias("size"))
+    return listing.classify(names, "KB", "page_id").select("page_id", "code")
+
+
+@query(f"""WITH {NAMES} SELECT page_id, concat('kb', CASE WHEN name = '' THEN '' ELSE concat('/', name) END) AS logical_path, CASE WHEN page_id % 2 = 0 THEN concat('KnowledgeBase/', rtrim(name, '/')) END AS rooted FROM names""")
+def logical_paths(spark, sf_dir):
+    suffix = F.when(F.col("page_id") % 5 == 0, ".pdf").when(F.col("page_id") % 5 == 1, ".docx").when(F.col("page_id") % 5 == 2, ".XLSX").when(F.col("page_id") % 5 == 3, ".txt").otherwise("")
+    names = read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), suffix).alias("name"))
+    mixed = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("KB/"), F.col("name"))).otherwise(F.col("name"))
+    deep = F.concat(F.lit("c:\\data\\"), F.when(F.col("page_id") % 2 == 0, "KnowledgeBase\\").otherwise("other\\"), F.col("name"))
+    return names.select("page_id", listing.logical_path(mixed, "kb").alias("logical_path"), listing.rooted_path(deep, "KnowledgeBase").alias("rooted"))
+
+
+# Search
+
+BM25 = f"""spread AS (SELECT doc_id, {tokens('text')} AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM spread),
+asked AS (SELECT item_id AS qid, unnest(list_distinct({tokens('text')})) AS term FROM benchmark),
+each_t AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM spread), post AS (SELECT doc_id, dl, term, count(*) AS tf FROM each_t WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hits AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN dfs USING (term), tot GROUP BY qid, doc_id),
+bm25 AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits QUALIFY rank <= 20)"""
+
+
+def bm25(spark, sf_dir):
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return search.bm25_top_k(read(spark, sf_dir, "documents"), asked)
+
+
+@query(f"WITH {BM25} SELECT qid, doc_id, score, rank FROM bm25")
+def bm25_topk(spark, sf_dir):
+    return bm25(spark, sf_dir).select("qid", "doc_id", "score", "rank")
+
+
+KNN = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+knn AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sims QUALIFY rank <= {k})"""
+
+
+def knn(spark, sf_dir, k=20):
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return search.vector_top_k(vectors, vectors.filter(F.col("id") % 20 == 0).withColumnRenamed("id", "qid"), k)
+
+
+@query(f"WITH {KNN.format(k=20)} SELECT qid, id, score, rank FROM knn")
+def knn_topk(spark, sf_dir):
+    return knn(spark, sf_dir)
+
+
+@query(f"WITH {KNN.format(k=5)} SELECT qid, id, score, rank FROM knn")
+def knn_baseline_top5(spark, sf_dir):
+    return knn(spark, sf_dir, 5)
+
+
+RRF = f"""both_lists AS (SELECT qid, doc_id AS id, rank FROM bm25 UNION ALL SELECT qid, id, rank FROM knn), fused AS (SELECT qid, id, round(sum(1 / (60.0 + rank)), 6) AS score FROM both_lists GROUP BY qid, id),
+rrf AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 20)"""
+
+
+def hybrid(spark, sf_dir):
+    """A question's vector is that of the document with its number."""
+    return search.reciprocal_rank_fusion(bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"), knn(spark, sf_dir))
+
+
+@query(f"WITH {BM25}, {KNN.format(k=20)}, {RRF} SELECT qid, id, score, rank FROM rrf")
+def rrf_hybrid(spark, sf_dir):
+    return hybrid(spark, sf_dir)
+
+
+# Candidates: BM25 hits of a question as chunks with metadata
+
+
+def listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def ranked_tokens(x: str) -> str:
+    return f"list_distinct(list_transform({tokens(x)}, lambda t: CASE WHEN t IN ({listed(text.APPROVAL)[1:-1]}) THEN 'approval' ELSE t END))"
+
+
+YEARS = "'\\b(?:19|20)\\d{2}\\b'"
+
+
+def historical(x: str) -> str:
+    return f"(len(list_intersect({ranked_tokens(x)}, {listed(text.HISTORICAL)})) > 0 OR regexp_matches({x}, {YEARS}))"
+
+
+def stem_sql(t: str) -> str:
+    out = t
+    for suffix in reversed(("ies", "ing", "ed", "es", "s")):
+        cut = f"left({t}, length({t}) - {len(suffix)})"
+        out = f"CASE WHEN length({t}) > {len(suffix) + 3} AND ends_with({t}, '{suffix}') THEN {f'concat({cut}, chr(121))' if suffix == 'ies' else cut} ELSE {out} END"
+    return out
+
+
+def stemmed(x: str) -> str:
+    return f"list_transform({tokens(x)}, lambda t: {stem_sql('t')})"
+
+
+SKEY = fold("replace(source_path, chr(92), '/')")
+CANDIDATES = f"""{BM25}, chunks AS ({CHUNKS_SQL}), qs AS ({QUESTIONS}),
+cands AS (SELECT b.qid, q.question, {historical('q.question')} AS historical, b.rank, b.score, substr(sha256(concat(c.document_id, '|doc:', CAST(c.doc_id AS VARCHAR), '|', c.content_hash)), 1, 24) AS id, c.*
+  FROM bm25 b JOIN qs q USING (qid) JOIN chunks c USING (doc_id))"""
+
+
+def with_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", identity.chunk_id(F.col("document_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.col("content_hash")))
+
+
+def candidates(spark, sf_dir):
+    asked = questions(spark, sf_dir).select("qid", "question", text.historical_intent(F.col("question")).alias("historical"))
+    return with_ids(bm25(spark, sf_dir).join(asked, "qid").join(chunks(spark, sf_dir), "doc_id"))
+
+
+DEDUP = f"d1 AS (SELECT * FROM cands QUALIFY row_number() OVER (PARTITION BY qid, concat({SKEY}, '|', content_hash) ORDER BY rank, id) = 1)"
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP} SELECT qid, rank, id FROM d1")
+def dedup_keep_first(spark, sf_dir):
+    return selection.dedup_keep_first(candidates(spark, sf_dir)).select("qid", "rank", "id")
+
+
+CARD = "coalesce(ends_with(document_type, 'rate_card'), FALSE)"
+NARROW = f"d2 AS (SELECT * FROM (SELECT *, bool_or({CARD}) OVER (PARTITION BY qid) AS any_card FROM d1) WHERE NOT regexp_matches(question, '(?i)\\brate\\s+cards?\\b') OR NOT any_card OR {CARD})"
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP}, {NARROW} SELECT qid, rank, id FROM d2")
+def rate_card_narrowing(spark, sf_dir):
+    return selection.narrow_rate_cards(selection.dedup_keep_first(candidates(spark, sf_dir))).select("qid", "rank", "id")
+
+
+STEM = "regexp_replace(list_extract(string_split(replace(source_path, chr(92), '/'), '/'), -1), '(.)\\.[^.]+$', '\\1')"
+BARE = f"regexp_replace({fold(STEM)}, {YEARS}, '', 'g')"
+FAMILY = f"CASE WHEN coalesce(document_type, '') <> '' THEN concat({fold('department')}, '|', {fold('document_type')}) ELSE regexp_replace(CASE WHEN {BARE} = '' THEN {fold(STEM)} ELSE {BARE} END, '[^a-z0-9]+', '', 'g') END"
+FRESH = f"""d3 AS (SELECT * FROM (SELECT *, bool_or(is_current IS NOT DISTINCT FROM TRUE) OVER (PARTITION BY qid, family) AS fresh FROM (SELECT *, {FAMILY} AS family FROM d2)) WHERE NOT (is_current IS NOT DISTINCT FROM FALSE AND fresh AND NOT historical))"""
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP}, {NARROW}, {FRESH} SELECT qid, rank, id FROM d3")
+def current_suppression(spark, sf_dir):
+    rows = selection.narrow_rate_cards(selection.dedup_keep_first(candidates(spark, sf_dir)))
+    return selection.suppress_stale(rows).select("qid", "rank", "id")
+
+
+MONEY = "regexp_matches(content, '(?i)([$€£]\\s?\\d|\\b(usd|eur|gbp)\\b)')"
+PRICED = f"len(list_intersect(q, {listed(text.PRICE)})) > 0 AND {MONEY}"
+RANKED = f"""d4 AS (SELECT *, list_filter({ranked_tokens('question')}, lambda t: NOT list_contains({listed(text.RANK_STOP)}, t)) AS q, {ranked_tokens("concat_ws(' ', title, source_path, section, sheet_name, content)")} AS c,
+  row_number() OVER (PARTITION BY qid ORDER BY rank, id) - 1 AS r, count(*) OVER (PARTITION BY qid) AS n FROM d3),
+d5 AS (SELECT *, len(list_intersect(q, c)) AS hits, len(list_filter(list_intersect(q, c), lambda t: regexp_matches(t, '^[0-9]+$'))) AS numbers, {SKEY} AS skey FROM d4),
+near AS (SELECT DISTINCT a.qid, a.id FROM d5 a JOIN d5 b ON a.qid = b.qid AND a.skey = b.skey AND a.sheet_name IS NOT DISTINCT FROM b.sheet_name AND a.table_number IS NOT DISTINCT FROM b.table_number
+  AND abs(a.row_number - b.row_number) = 1 AND a.id <> b.id AND a.file_type = 'xlsx' AND b.file_type = 'xlsx' AND b.hits > 0),
+d6 AS (SELECT d5.*, round((n - r) / CAST(greatest(n, 1) AS DOUBLE) + hits + 2.0 * numbers + CASE WHEN NOT historical AND is_current IS NOT DISTINCT FROM TRUE THEN 1.5 ELSE 0 END
+  + CASE WHEN file_type = 'xlsx' AND hits > 0 THEN 0.75 ELSE 0 END + CASE WHEN {PRICED} THEN 1.5 ELSE 0 END + CASE WHEN {PRICED} AND {CARD} THEN 1 ELSE 0 END
+  + CASE WHEN len(list_intersect(q, {listed(text.NUMERIC)})) > 0 AND regexp_matches(content, '[0-9]') THEN 2 ELSE 0 END + CASE WHEN near.id IS NOT NULL THEN 0.5 ELSE 0 END, 6) AS rank_score FROM d5 LEFT JOIN near ON d5.qid = near.qid AND d5.id = near.id),
+d7 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank_score DESC, r) AS place FROM d6)"""
+
+
+def prepared(spark, sf_dir):
+    rows = selection.narrow_rate_cards(selection.dedup_keep_first(candidates(spark, sf_dir)))
+    return selection.rank_scores(selection.suppress_stale(rows))
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP}, {NARROW}, {FRESH}, {RANKED} SELECT qid, id, rank_score, place FROM d7")
+def rank_score(spark, sf_dir):
+    return prepared(spark, sf_dir).select("qid", "id", "rank_score", "place")
+
+
+SUBJECT = "list_filter(q, lambda t: t NOT IN ('company', 'requirement', 'requirements'))"
+REQUIRED = f"""d8 AS (SELECT *, len(list_intersect(q, ['requirement', 'requirements'])) > 0 AND len(list_intersect({SUBJECT}, {ranked_tokens("concat_ws(' ', title, section)")})) > 0 AND table_number IS NOT NULL AND row_number IS NOT NULL AND NOT starts_with({fold('content')}, 'table headers:') AS req FROM d7)"""
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP}, {NARROW}, {FRESH}, {RANKED}, {REQUIRED} SELECT qid, id, place FROM d8 WHERE req")
+def requirement_rows(spark, sf_dir):
+    return prepared(spark, sf_dir).filter(selection.requirement_rows()).select("qid", "id", "place")
+
+
+def _facet(name: str) -> str:
+    where = f"contains({fold('section')}, 'calculation')" if name == "calculation" else f"contains(coalesce({fold('sheet_name')}, ''), '{dict(volume='volume', term='term', approval='approval', program='special')[name]}')"
+    return f"(len(list_intersect(c, {listed(selection.FACETS[name])})) > 0 OR {where})"
+
+
+_GROUPED = f"file_type = 'xlsx' AND contains({fold('section')}, 'grouped rows')"
+_FLAGS = ", ".join(f"{_GROUPED} AND {_facet(f)}" for f in selection.FACETS)
+_ASKED = ", ".join(f"len(list_intersect(q, {listed(v)})) > 0" for v in selection.FACETS.values())
+FACETED = f"""e0 AS (SELECT qid, any_value(question) AS question, list({{'place': place, 'm': [{_FLAGS}]}} ORDER BY place) AS l, any_value([{_ASKED}]) AS asked FROM d8 GROUP BY qid), f0 AS (SELECT *, CAST([] AS BIGINT[]) AS h0 FROM e0), """ + ", ".join(
+    f"g{i} AS (SELECT *, list_filter(l, lambda x: x.m[{i}] AND NOT list_contains(h{i - 1}, x.place)) AS c{i} FROM f{i - 1}), f{i} AS (SELECT *, CASE WHEN asked[{i}] AND len(h{i - 1}) < 3 AND len(c{i}) > 0 THEN list_append(h{i - 1}, c{i}[1].place) ELSE h{i - 1} END AS h{i} FROM g{i})" for i in range(1, 6)
+) + f""", held AS (SELECT qid, CASE WHEN len(list_filter(asked, lambda a: a)) >= 2 AND NOT {historical('question')} THEN h5 ELSE [] END AS h FROM f5),
+d9 AS (SELECT d8.*, nullif(coalesce(list_position(h, place), 0), 0) AS reserved, bool_or(req) OVER (PARTITION BY d8.qid) AS any_req FROM d8 JOIN held USING (qid))"""
+
+
+@query(f"WITH {CANDIDATES}, {DEDUP}, {NARROW}, {FRESH}, {RANKED}, {REQUIRED}, {FACETED} SELECT qid, id, CAST(reserved AS BIGINT) AS reserved FROM d9 WHERE reserved IS NOT NULL")
+def facet_reservation(spark, sf_dir):
+    return selection.facet_reservations(prepared(spark, sf_dir), 6).filter("reserved is not null").select("qid", "id", "reserved")
+
+
+PACK = f"{CANDIDATES}, {DEDUP}, {NARROW}, {FRESH}, {RANKED}, {REQUIRED}, {FACETED}, pack AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN any_req THEN CASE WHEN req THEN place END ELSE reserved END NULLS LAST, place) AS position FROM d9 QUALIFY position <= 6)"
+
+
+def context(spark, sf_dir):
+    return selection.select_context(candidates(spark, sf_dir))
+
+
+@query(f"WITH {PACK} SELECT qid, position, id, source_path, rank_score FROM pack")
+def selection_context(spark, sf_dir):
+    return context(spark, sf_dir).select("qid", "position", "id", "source_path", "rank_score")
+
+
+@query(f"WITH {PACK} SELECT qid, sha256(string_agg(concat('[', id, '] ', title, chr(10), content), chr(10) || chr(10) ORDER BY position)) AS prompt_hash FROM pack GROUP BY qid")
+def prompt_assembly(spark, sf_dir):
+    return evidence.prompt(context(spark, sf_dir)).select("qid", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query(f"""WITH {PACK}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position) AS k FROM pack)
+SELECT qid, count(*) AS n, string_agg(concat(CAST(k AS VARCHAR), ':', id), ',' ORDER BY k) AS ids FROM o GROUP BY qid""")
+def json_trace(spark, sf_dir):
+    """The trace as JSON, read back."""
+    shape = "array<struct<rank:int,id:string,source_path:string,rank_score:double>>"
+    rows = evidence.trace(context(spark, sf_dir)).select("qid", F.from_json("trace", shape).alias("t"))
+    return rows.select("qid", F.size("t").cast("bigint").alias("n"), F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["id"])), ",").alias("ids"))
+
+
+# Fusion of three searches: the whole passage and its halves
+
+PARTS = "list_filter(string_split(text, ' '), lambda w: w <> '')"
+SUBS = f"""subs AS (SELECT item_id * 3 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 3 + 1, array_to_string({PARTS}[1 : len({PARTS}) // 2], ' ') FROM benchmark UNION ALL SELECT item_id * 3 + 2, array_to_string({PARTS}[len({PARTS}) // 2 + 1 :], ' ') FROM benchmark)"""
+HITS = f"""{SUBS}, {BM25.replace('FROM benchmark', 'FROM subs')}, chunks AS ({CHUNKS_SQL}),
+hits3 AS (SELECT b.qid // 3 AS qid, b.qid % 3 AS subquery, b.rank - 1 AS rank, b.score, c.*, substr(sha256(concat(c.document_id, '|doc:', CAST(c.doc_id AS VARCHAR), '|', c.content_hash)), 1, 24) AS id, concat({fold('source_path')}, '|', content_hash) AS same,
+  CASE WHEN coalesce(document_type, '') <> '' THEN concat({fold('department')}, '|', document_type, '|', coalesce(version, nullif(regexp_extract(source_path, '(?:19|20)\\d{{2}}'), ''), 'unspecified')) ELSE regexp_replace({fold(STEM)}, '[^a-z0-9]+', '', 'g') END AS family
+  FROM bm25 b JOIN chunks c USING (doc_id)),
+one AS (SELECT * FROM hits3 QUALIFY row_number() OVER (PARTITION BY qid, same, subquery ORDER BY rank, id) = 1),
+nth AS (SELECT *, row_number() OVER (PARTITION BY qid, same ORDER BY subquery) AS k FROM one),
+groups AS (SELECT qid, same, count(*) AS coverage, min(rank) AS best_rank, max(score) AS best_score, min(subquery) AS first_subquery, arg_min(rank, k) AS came,
+  max(CASE WHEN k = 1 THEN {{'r': rank, 's': score, 'id': id, 'f': family}} END) AS a, max(CASE WHEN k = 2 THEN {{'r': rank, 's': score, 'id': id, 'f': family}} END) AS b, max(CASE WHEN k = 3 THEN {{'r': rank, 's': score, 'id': id, 'f': family}} END) AS c FROM nth GROUP BY qid, same),
+w2 AS (SELECT *, CASE WHEN b IS NOT NULL AND (b.s > a.s OR b.s = a.s AND b.r < a.r) THEN b ELSE a END AS p, least(a.r, coalesce(b.r, a.r)) AS lr, greatest(a.s, coalesce(b.s, a.s)) AS ls FROM groups),
+w3 AS (SELECT *, CASE WHEN c IS NOT NULL AND (c.s > ls OR c.s = ls AND c.r < lr) THEN c ELSE p END AS won FROM w2),
+flat AS (SELECT qid, coverage, best_rank, best_score, first_subquery, came, won.id AS id, won.f AS family, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, best_score DESC, best_rank, first_subquery, came, won.id) AS usual FROM w3)"""
+
+
+def sub_hits(spark, sf_dir):
+    item, parts = F.col("item_id"), F.filter(F.split("text", " "), lambda w: w != "")
+    half = F.floor(F.size(parts) / 2).cast("int")
+    sides = F.array(F.struct((item * 3).alias("qid"), F.col("text")), F.struct((item * 3 + 1).alias("qid"), F.array_join(F.slice(parts, F.lit(1), half), " ").alias("text")), F.struct((item * 3 + 2).alias("qid"), F.array_join(F.slice(parts, half + 1, F.size(parts)), " ").alias("text")))
+    asked = read(spark, sf_dir, "benchmark").select(F.inline(sides))
+    found = search.bm25_top_k(read(spark, sf_dir, "documents"), asked)
+    split = found.select(F.floor(F.col("qid") / 3).alias("qid"), (F.col("qid") % 3).alias("subquery"), (F.col("rank") - 1).alias("rank"), "score", "doc_id")
+    return with_ids(split.join(chunks(spark, sf_dir), "doc_id"))
+
+
+@query(f"WITH {HITS} SELECT qid, usual AS rank, id, coverage, best_rank, best_score, first_subquery FROM flat WHERE usual <= 20")
+def subquery_fusion(spark, sf_dir):
+    return fusion.fuse(sub_hits(spark, sf_dir))
+
+
+@query(f"""WITH {HITS}, lead_ AS (SELECT *, row_number() OVER (PARTITION BY qid, family ORDER BY CASE WHEN coverage = 1 THEN 0 ELSE 1 END, best_score DESC, best_rank, first_subquery, usual) = 1 AS lead FROM flat),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lead DESC, CASE WHEN lead THEN CASE WHEN coverage = 1 THEN 0 ELSE 1 END END, CASE WHEN lead THEN -best_score END, CASE WHEN lead THEN best_rank END, CASE WHEN lead THEN first_subquery END, usual) AS rank FROM lead_)
+SELECT qid, rank, id, coverage, best_rank, best_score, first_subquery FROM o WHERE rank <= 20""")
+def comparison_fusion(spark, sf_dir):
+    return fusion.fuse(sub_hits(spark, sf_dir), comparison=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Questions, hybrid retrieval, evidence pack."""
+    return selection_context(spark, sf_dir)
+
