@@ -481,6 +481,255 @@ def comparison_fusion(spark, sf_dir):
     return fusion.fuse(sub_hits(spark, sf_dir), comparison=True)
 
 
+# Questions
+
+
+TURNS = """turns AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN concat(CASE (conv_id + turn) % 8 WHEN 0 THEN 'What about ' WHEN 1 THEN 'compare 2024 and 2025 for ' WHEN 2 THEN 'and in 2023 ' WHEN 3 THEN 'how many documents are in ' ELSE '' END,
+  CASE (conv_id + turn) % 16 WHEN 5 THEN 'Tell me about the policy' WHEN 7 THEN 'Hello there!' ELSE substr(text, 1, 60) END) ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant'))"""
+PRIOR = f"""{TURNS}, prior AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS prior FROM turns)"""
+
+
+def turns(spark, sf_dir):
+    n = F.col("conv_id") + F.col("turn")
+    lead = F.when(n % 8 == 0, "What about ").when(n % 8 == 1, "compare 2024 and 2025 for ").when(n % 8 == 2, "and in 2023 ").when(n % 8 == 3, "how many documents are in ").otherwise("")
+    body = F.when(n % 16 == 5, "Tell me about the policy").when(n % 16 == 7, "Hello there!").otherwise(F.substring("text", 1, 60))
+    rows = read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    return rows.withColumn("text", F.when(F.col("role") == "user", F.concat(lead, body)).otherwise(F.col("text")))
+
+
+@query(f"WITH {PRIOR} SELECT conv_id, turn, prior FROM prior")
+def last_user_turn(spark, sf_dir):
+    return analysis.last_user_turn(turns(spark, sf_dir)).select("conv_id", "turn", "prior")
+
+
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def subject_sql(x: str) -> str:
+    out = f"regexp_replace({x}, {YEARS}, ' ', 'g')"
+    for pattern, by in ((r"\b(?:difference\s+between|compare(?:d)?|comparison|versus|vs\.?)\b", " "), (r"\b(?:and|or)\b", " "), (r"\b(?:in|for|from|between|to)\s*([,.!?;:]|$)", r" \1"), (r"\s+([,.!?;:])", r"\1")):
+        out = f"regexp_replace({out}, {_re(pattern)}, '{by}', 'gi')"
+    return f"regexp_replace(trim({squeezed(out)}, ' ,.!?;:'), '^(?:the|a|an)\\s+', '', 'i')"
+
+
+def same_key(x: str) -> str:
+    return fold(x)
+
+
+ANALYZED = f"""{PRIOR}, a1 AS (SELECT conv_id, turn, text AS question, {squeezed('text')} AS q, {squeezed('prior')} AS p FROM prior WHERE role = 'user'),
+a2 AS (SELECT *, coalesce(p <> '' AND regexp_matches(q, {_re(analysis.FOLLOW_UP)}), FALSE) AS resolved FROM a1),
+a3 AS (SELECT *, CASE WHEN resolved THEN concat(p, ' ', q) ELSE q END AS s, regexp_matches(q, {_re(analysis.GENERIC)}) AND NOT resolved AS ambiguous FROM a2),
+a4 AS (SELECT *, CASE WHEN ambiguous THEN 'unspecified' WHEN regexp_matches(s, {_re(analysis.COMPARISON)}) THEN 'comparison' WHEN {historical('s')} THEN 'historical' ELSE 'unspecified' END AS intent,
+  list_concat(regexp_extract_all(s, {YEARS}), regexp_extract_all(question, {YEARS})) AS ys FROM a3),
+a5 AS (SELECT *, list_filter(ys, lambda y, i: list_position(ys, y) = i) AS years, {subject_sql('s')} AS subject FROM a4),
+a6 AS (SELECT *, CASE WHEN intent = 'comparison' AND len(years) >= 2 THEN list_concat([s], list_transform(years[1:2], lambda y: CASE WHEN regexp_extract_all(s, {YEARS}) = [y] THEN s WHEN subject <> '' THEN concat(subject, ' in ', y) ELSE y END)) ELSE [s] END AS subs0 FROM a5),
+a7 AS (SELECT *, list_filter(subs0, lambda x, i: list_position(list_transform(subs0, lambda z: {same_key('z')}), {same_key('x')}) = i)[1:3] AS subs FROM a6)"""
+
+
+def analyzed(spark, sf_dir):
+    asked = analysis.last_user_turn(turns(spark, sf_dir)).filter("role = 'user'").withColumnRenamed("text", "question")
+    return analysis.analyze(asked)
+
+
+@query(f"WITH {ANALYZED} SELECT conv_id, turn, s AS standalone_query, ambiguous, intent AS temporal_intent, array_to_string(subs, ' || ') AS subqueries, resolved AS resolved_from_context FROM a7")
+def question_analysis(spark, sf_dir):
+    return analyzed(spark, sf_dir).select("conv_id", "turn", "standalone_query", "ambiguous", "temporal_intent", F.array_join("subqueries", " || ").alias("subqueries"), "resolved_from_context")
+
+
+@query(f"WITH {ANALYZED}, r AS (SELECT conv_id, turn, CASE WHEN len(subs) > 1 AND subs[1] = s THEN subs[2:] ELSE subs END AS run FROM a7) SELECT conv_id, turn, unnest(range(len(run))) AS subquery, unnest(run) AS query FROM r")
+def execution_list(spark, sf_dir):
+    keyed = analyzed(spark, sf_dir).withColumn("qid", F.struct("conv_id", "turn"))
+    return analysis.searches(keyed).select("qid.conv_id", "qid.turn", "subquery", "query")
+
+
+@query(f"""WITH {ANALYZED} SELECT conv_id, turn, CASE WHEN ambiguous THEN 'clarify' WHEN regexp_matches(trim(question), {_re(analysis.GREETING)}) THEN 'greeting' WHEN regexp_matches(question, {_re(analysis.DOCUMENTS)}) AND regexp_matches(question, {_re(analysis.INVENTORY)}) THEN 'inventory' ELSE 'retrieve' END AS route FROM a7""")
+def question_route(spark, sf_dir):
+    return analyzed(spark, sf_dir).select("conv_id", "turn", analysis.route(F.col("question"), F.col("ambiguous")).alias("route"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'empty_question' WHEN length(trim(text)) > 2000 THEN 'question_too_long' WHEN NOT conv_id % 23 BETWEEN 1 AND 20 THEN 'top_k_out_of_range' WHEN turn > 6 THEN 'too_many_turns' END AS problem FROM conversations""")
+def request_validation(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", analysis.rejected(F.col("text"), F.col("conv_id") % 23, F.col("turn")).alias("problem"))
+
+
+# Evidence and citations
+
+TERMS = f"list_sort(list_distinct(list_filter({stemmed('question')}, lambda t: NOT list_contains({listed(text.GATE_STOP)}, t))))"
+FACTS = f"list_distinct(list_transform(regexp_extract_all(content, {_re(evidence.FACT)}, 1), lambda m: array_to_string(({stemmed('m')})[1:8], ' ')))"
+GATE = f"""{PACK}, asked_q AS (SELECT qid, question, {TERMS} AS terms FROM qs), own AS (SELECT qid, {stemmed("concat_ws(' ', content, title, section, sheet_name)")} AS own, {FACTS} AS facts FROM pack),
+met AS (SELECT a.qid, a.question, a.terms, o.own, list_intersect(a.terms, o.own) AS hit, CASE WHEN len(list_intersect(a.terms, o.own)) > 0 THEN o.facts END AS facts FROM asked_q a LEFT JOIN own o USING (qid)),
+gate AS (SELECT qid, any_value(question) AS question, any_value(terms) AS terms, count(own) AS n, list_sort(list_distinct(flatten(list(hit)))) AS matched, len(list_distinct(flatten(list(facts)))) AS said FROM met GROUP BY qid)"""
+
+
+@query(f"""WITH {GATE}, r AS (SELECT *, CASE WHEN n = 0 THEN 'no_retrieved_evidence' WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN 'conflicting_evidence' WHEN len(matched) < CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END THEN 'insufficient_query_overlap' ELSE 'supported_evidence' END AS reason FROM gate)
+SELECT qid, reason = 'supported_evidence' AS sufficient, reason, array_to_string(terms, ' ') AS query_terms, array_to_string(matched, ' ') AS matched_terms FROM r""")
+def evidence_gate(spark, sf_dir):
+    gate = evidence.evidence_gate(questions(spark, sf_dir), context(spark, sf_dir))
+    return gate.select("qid", "sufficient", "reason", F.array_join("query_terms", " ").alias("query_terms"), F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+@query(f"WITH chunks AS ({CHUNKS_SQL}) SELECT doc_id, {FACTS.replace('list_distinct', 'list_sort(list_distinct', 1)}) AS x FROM chunks".replace("AS x FROM", "AS sigs FROM").replace(f"SELECT doc_id, {FACTS.replace('list_distinct', 'list_sort(list_distinct', 1)}) AS sigs", f"SELECT doc_id, array_to_string(list_sort({FACTS}), ';') AS sigs"))
+def conflict_signatures(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(evidence.signatures(F.col("content"))), ";").alias("sigs"))
+
+
+# Answers cite the pack's chunks in ways that differ by question: plain, doubled, grouped, with pages, and one invented
+_SPARK_ANSWER = "CASE qid % 6 WHEN 0 THEN concat('First [', a, '] then [', b, '] and [', a, '].') WHEN 1 THEN concat('Nested [[', a, ']].') WHEN 2 THEN concat('Both [', a, ', ', b, ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN concat('Known [', a, '] and [feedfeed].') ELSE 'No mark.' END"
+ANSWERS = f"{PACK}, firsts AS (SELECT qid, max(CASE WHEN position = 1 THEN id END) AS a, max(CASE WHEN position = 2 THEN id END) AS b FROM pack GROUP BY qid), answers AS (SELECT qid, a, b, {_SPARK_ANSWER} AS answer FROM firsts)"
+
+
+def answers(spark, sf_dir):
+    firsts = context(spark, sf_dir).groupBy("qid").agg(F.max(F.when(F.col("position") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("position") == 2, F.col("id"))).alias("b"))
+    return firsts.withColumn("answer", F.expr(_SPARK_ANSWER))
+
+
+@query(f"""WITH {ANSWERS}, p AS (SELECT w.qid, max(CASE WHEN position = 1 THEN page_number END) AS page FROM pack w GROUP BY w.qid)
+SELECT qid, ok, CASE WHEN ok THEN CASE WHEN qid % 6 IN (0, 2) THEN concat(a, ',', b) ELSE a END END AS cited FROM (SELECT qid, a, b, coalesce(CASE qid % 6 WHEN 0 THEN a IS NOT NULL AND b IS NOT NULL WHEN 1 THEN a IS NOT NULL WHEN 2 THEN b IS NOT NULL WHEN 3 THEN page = 3 ELSE FALSE END, FALSE) AS ok FROM answers JOIN p USING (qid))""")
+def citation_verify(spark, sf_dir):
+    found = evidence.verify_citations(answers(spark, sf_dir).select("qid", "answer"), context(spark, sf_dir))
+    return found.select("qid", "ok", F.array_join(F.col("citations.chunk_id"), ",").alias("cited"))
+
+
+@query(f"""WITH {ANSWERS}, shown AS (SELECT qid, CASE qid % 6 WHEN 0 THEN 'First [1] then [2] and [1].' WHEN 1 THEN 'Nested [[1]].' WHEN 2 THEN concat('Both [', a, ', ', b, ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN 'Known [1] and [feedfeed].' ELSE 'No mark.' END AS shown FROM answers WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT qid, CASE WHEN qid % 6 = 1 THEN 'Nested [ [1]].' ELSE shown END AS shown FROM shown""")
+def display_numbers(spark, sf_dir):
+    rows = answers(spark, sf_dir).filter("a is not null and b is not null")
+    return rows.select("qid", evidence.display_answer(F.col("answer"), F.array("a", "b")).alias("shown"))
+
+
+# The corpus table
+
+
+def _desired(c: str) -> str:
+    return f"SELECT * REPLACE (CASE WHEN doc_id % 9 = 0 THEN concat(section, '!') ELSE section END AS section) FROM {c} WHERE doc_id % 7 > 0"
+
+
+RECONCILE = f"chunks AS ({CHUNKS_SQL}), ids AS (SELECT *, substr(sha256(concat(document_id, '|doc:', CAST(doc_id AS VARCHAR), '|', content_hash)), 1, 24) AS id FROM chunks), existing AS (SELECT * FROM ids WHERE doc_id % 5 > 0), desired AS ({_desired('ids')}), " + """acts AS (SELECT coalesce(d.id, e.id) AS id, CASE WHEN e.id IS NULL THEN 'insert' WHEN d.id IS NULL THEN 'delete' WHEN d.section IS NOT DISTINCT FROM e.section THEN 'unchanged' ELSE 'update' END AS action FROM desired d FULL JOIN existing e ON d.id = e.id)"""
+
+
+def both_states(spark, sf_dir):
+    """The stored corpus lacks each fifth document, the wanted one each seventh, and each ninth has changed."""
+    rows = with_ids(chunks(spark, sf_dir)).withColumn("allowed_groups", F.array(F.lower("department")))
+    desired = rows.filter("doc_id % 7 > 0").withColumn("section", F.when(F.col("doc_id") % 9 == 0, F.concat("section", F.lit("!"))).otherwise(F.col("section")))
+    return desired, rows.filter("doc_id % 5 > 0")
+
+
+@query(f"WITH {RECONCILE} SELECT id, action FROM acts")
+def reconcile_actions(spark, sf_dir):
+    return corpus.reconcile(*both_states(spark, sf_dir))
+
+
+@query(f"WITH {RECONCILE} SELECT count(*) FILTER (WHERE action <> 'delete') AS desired, count(*) FILTER (WHERE action IN ('insert', 'update')) AS uploaded, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'delete') AS deleted FROM acts")
+def reconcile_report(spark, sf_dir):
+    return corpus.reconcile_report(corpus.reconcile(*both_states(spark, sf_dir)))
+
+
+@query(f"WITH {RECONCILE} SELECT id FROM existing WHERE id NOT IN (SELECT id FROM desired)")
+def stale_ids(spark, sf_dir):
+    return corpus.stale_ids(*both_states(spark, sf_dir))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT concat(source, '/', lang) AS p FROM documents), m AS (SELECT DISTINCT concat(upper(source), '/', lang) AS p FROM documents WHERE doc_id % 4 = 0 UNION SELECT DISTINCT concat('absent/', source) FROM documents)
+SELECT coalesce(s.p, m.p) AS source_path, CASE WHEN m.p IS NULL THEN 'metadata is missing' WHEN s.p IS NULL THEN 'declared source is missing' ELSE 'prepared' END AS outcome FROM s FULL JOIN m ON {fold('s.p')} = {fold('m.p')}""")
+def manifest_outer(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    sources = docs.select(F.concat_ws("/", "source", "lang").alias("source_path")).distinct()
+    declared = docs.filter("doc_id % 4 = 0").select(F.concat_ws("/", F.upper("source"), "lang").alias("source_path")).union(docs.select(F.concat(F.lit("absent/"), "source"))).distinct()
+    return corpus.match_manifest(sources, declared)
+
+
+SOURCES = f"chunks AS ({CHUNKS_SQL}), sources AS (SELECT replace(source_path, chr(92), '/') AS source_path, title FROM chunks QUALIFY row_number() OVER (PARTITION BY {SKEY} ORDER BY doc_id) = 1)"
+PARENT = f"{fold('list_extract(string_split(source_path, chr(47)), -2)')}"
+
+
+@query(f"WITH {SOURCES} SELECT source_path, title FROM sources")
+def distinct_inventory(spark, sf_dir):
+    return corpus.distinct_sources(chunks(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {SOURCES} SELECT {PARENT} AS department, count(*) AS n_documents, concat(CAST(count(*) AS VARCHAR), ' ', {PARENT}, CASE WHEN count(*) = 1 THEN ' document is indexed' ELSE ' documents are indexed' END) AS summary FROM sources GROUP BY {PARENT}")
+def inventory_counts(spark, sf_dir):
+    return corpus.inventory_counts(corpus.distinct_sources(chunks(spark, sf_dir), "doc_id"))
+
+
+@query(f"""WITH {SOURCES}, asked AS (SELECT conv_id * 1000 + turn AS qid, {fold("concat(substr(text, 1, 40), ' in src', CAST(conv_id % 23 AS VARCHAR), ' please')")} AS q FROM conversations), dep AS (SELECT DISTINCT {PARENT} AS department FROM sources)
+SELECT qid, department FROM asked JOIN dep ON regexp_matches(q, concat('(^|[^A-Za-z0-9_])', department, '($|[^A-Za-z0-9_])')) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(department) DESC, department) = 1""")
+def department_filter(spark, sf_dir):
+    asked = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.substring("text", 1, 40), F.lit(" in src"), (F.col("conv_id") % 23).cast("string"), F.lit(" please")).alias("question"))
+    return corpus.department_in_question(asked, corpus.distinct_sources(chunks(spark, sf_dir), "doc_id"))
+
+
+USED = "texts AS (SELECT 'embedding' AS category, text FROM documents UNION ALL SELECT CASE WHEN role = 'assistant' THEN 'chat_output' ELSE 'chat_input' END, text FROM conversations), used AS (SELECT category, CAST(sum((strlen(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM texts GROUP BY category)"
+
+
+def used_texts(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select(F.when(F.col("role") == "assistant", "chat_output").otherwise("chat_input").alias("category"), "text")
+    return read(spark, sf_dir, "documents").select(F.lit("embedding").alias("category"), "text").unionByName(said)
+
+
+@query(f"WITH {USED} SELECT category, tokens FROM used")
+def token_estimate(spark, sf_dir):
+    return corpus.usage(used_texts(spark, sf_dir))
+
+
+@query(f"""WITH {USED} SELECT category AS model, tokens, CAST(CAST(tokens AS DECIMAL(18,0)) * CASE category WHEN 'embedding' THEN 0.02 WHEN 'chat_input' THEN 0.40 ELSE 1.60 END::DECIMAL(9,6) * 0.000001::DECIMAL(7,6) AS VARCHAR) AS cost FROM used""")
+def cost_decimal(spark, sf_dir):
+    prices = corpus.usage(used_texts(spark, sf_dir)).select(F.col("category").alias("model"), F.when(F.col("category") == "embedding", "0.02").when(F.col("category") == "chat_input", "0.40").otherwise("1.60").cast("decimal(9,6)").alias("usd_per_million"))
+    return corpus.cost(corpus.usage(used_texts(spark, sf_dir)).withColumnRenamed("category", "model"), prices)
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS worst FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    return corpus.latency_summary(read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(f"""WITH {BM25}, exp AS (SELECT DISTINCT b.item_id AS qid, d.source FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ret AS (SELECT qid, d.source, rank FROM bm25 JOIN documents d USING (doc_id) WHERE rank <= 5), m AS (SELECT r.*, e.source IS NOT NULL AS good FROM ret r LEFT JOIN exp e ON r.qid = e.qid AND r.source = e.source),
+g AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE good) AS fit, count(DISTINCT CASE WHEN good THEN source END) AS found FROM m GROUP BY qid), need AS (SELECT qid, count(*) AS k FROM exp GROUP BY qid)
+SELECT qid, CASE WHEN coalesce(found, 0) > 0 THEN 1 ELSE 0 END::BIGINT AS hit, round(coalesce(found, 0) / CAST(k AS DOUBLE), 6) AS recall, round(coalesce(fit / CAST(n AS DOUBLE), 0.0), 6) AS precision FROM need LEFT JOIN g USING (qid)""")
+def retrieval_metrics(spark, sf_dir):
+    """Expected sources hold the whole passage; documents and passages meet by the passage's longest inner word, then the text is searched."""
+    docs, found = read(spark, sf_dir, "documents"), bm25(spark, sf_dir)
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    inner = F.split("passage", "[ \\n]")
+    middle = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    word = F.array_max(F.transform(middle, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = passages.withColumn("_key", word).filter(F.size(inner) >= 3)
+    short = passages.filter(F.size(inner) < 3)
+    spread = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("_key"))
+    near = spread.join(keyed, "_key").select("doc_id", "source", "qid", "passage")
+    hits = near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage"))).select("qid", "source")
+    few = short.select("qid", "passage").join(docs.select("source", "text"), F.contains("text", F.col("passage"))).select("qid", "source")
+    expected = hits.unionByName(few).distinct()
+    retrieved = found.join(docs.select("doc_id", "source"), "doc_id").select("qid", "source", "rank")
+    return corpus.retrieval_metrics(expected, retrieved)
+
+
+@query("""WITH j AS (SELECT o_orderpriority AS run, CAST(o_orderkey % 5 AS BIGINT) AS correctness, CAST(o_custkey % 5 AS BIGINT) AS completeness, CAST((o_orderkey + o_custkey) % 5 AS BIGINT) AS grounding, CAST(o_orderkey // 5 % 5 AS BIGINT) AS citation_quality FROM orders)
+SELECT run, count(*) AS n, CAST(sum(correctness + completeness + grounding + citation_quality) AS BIGINT) AS total, round(100 * sum(correctness + completeness + grounding + citation_quality) / (count(*) * 16.0), 6) AS percent,
+  round(avg(correctness), 6) AS mean_correctness, round(avg(completeness), 6) AS mean_completeness, round(avg(grounding), 6) AS mean_grounding, round(avg(citation_quality), 6) AS mean_citation_quality FROM j GROUP BY run""")
+def judgment_totals(spark, sf_dir):
+    names = ["correctness", "completeness", "grounding", "citation_quality"]
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderpriority as run", "o_orderkey % 5 as correctness", "o_custkey % 5 as completeness", "(o_orderkey + o_custkey) % 5 as grounding", "o_orderkey div 5 % 5 as citation_quality")
+    return corpus.judgment_totals(rows, "run", names)
+
+
+@query("""WITH m AS (SELECT concat(source, '-', CAST(doc_id % 13 AS VARCHAR)) AS document_type, doc_id % 4 = 0 AS is_current FROM documents) SELECT lower(document_type) AS family, count(*) AS n, count(*) FILTER (WHERE is_current) AS n_current, count(*) FILTER (WHERE is_current) = 1 AS valid FROM m GROUP BY 1 HAVING count(*) > 1""")
+def family_invariant(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").selectExpr("concat(source, '-', cast(doc_id % 13 as string)) as document_type", "doc_id % 4 = 0 as is_current")
+    return corpus.family_violations(rows)
+
+
+@query(f"""WITH chunks AS ({CHUNKS_SQL}), m AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE title END AS title, CASE WHEN doc_id % 8 = 0 THEN 'pdf' ELSE file_type END AS file_type, source_path, effective_from, CASE WHEN doc_id % 12 = 5 THEN effective_from - 1 ELSE effective_to END AS effective_to, doc_id % 6 = 1 AS twice FROM chunks)
+SELECT doc_id, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'title is empty' END, CASE WHEN lower(regexp_extract(source_path, '[.]([^./]+)$', 1)) <> file_type THEN 'suffix differs from file type' END, CASE WHEN effective_from > effective_to THEN 'dates are out of order' END, CASE WHEN twice THEN 'groups repeat' END) AS problems FROM m""")
+def manifest_validation(spark, sf_dir):
+    n = F.col("doc_id")
+    rows = chunks(spark, sf_dir).withColumn("title", F.when(n % 10 == 0, " ").otherwise(F.col("title"))).withColumn("file_type", F.when(n % 8 == 0, "pdf").otherwise(F.col("file_type")))
+    rows = rows.withColumn("effective_to", F.when(n % 12 == 5, F.date_sub("effective_from", 1)).otherwise(F.col("effective_to"))).withColumn("allowed_groups", F.when(n % 6 == 1, F.array(F.lit("Staff"), F.lit("staff"))).otherwise(F.array(F.lit("staff"))))
+    return rows.select("doc_id", F.array_join(corpus.manifest_problems(F.col("source_path")), "; ").alias("problems"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, hybrid retrieval, evidence pack."""
     return selection_context(spark, sf_dir)
