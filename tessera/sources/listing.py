@@ -46,9 +46,19 @@ def classify(objects: DataFrame, root: str, tie: str) -> DataFrame:
     return out.withColumn("_taken", taken).withColumn("code", code).drop("_unsafe", "_other", "_taken")
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size 0) of files without a byte: Spark's file sources leave them out, so the file system is asked for their names."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, names = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            names.append((status.getPath().toString(), 0))
+    return spark.createDataFrame(names, "path string, size long")
+
+
 def scan(spark: SparkSession, path: str, root: str) -> DataFrame:
     """Files below a folder of any store Spark reads: (path, name, size, content, logical_path, code)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    base = F.lit(path.rstrip("/") + "/")
-    name = F.substring_index(F.col("path"), base, -1)
-    return classify(files.select("path", name.alias("name"), F.col("length").alias("size"), "content"), root, "path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
+    known = files.unionByName(empty_files(spark, path), allowMissingColumns=True)
+    return classify(known.withColumn("name", F.substring_index("path", path.rstrip("/") + "/", -1)), root, "path")
