@@ -15,6 +15,7 @@ that conflict for an id count once each; extra columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -67,7 +68,7 @@ def sentence_logits(weights: np.ndarray, bias: float, columns: np.ndarray, rows:
 
 
 def noisy_or(p: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    return -np.expm1(np.bincount(owners, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+    return 0.0 - np.expm1(np.bincount(owners, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float = 0.15, l2: float = 1e-5) -> tuple[dict[str, float], float]:
@@ -108,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_o
     def run(key, group):
         order = sorted(zip(group["doc_id"].to_pylist(), group["y"].to_pylist(), (x or "" for x in group["text"].to_pylist()), strict=True))
         y = np.asarray([x[1] for x in order])
-        weights, bias = fit([x[2] for x in order], y) if 0 < y.sum() < len(y) else ({}, -99.0)
+        weights, bias = fit([x[2] for x in order], y) if 0 < y.sum() < len(y) else ({}, -math.inf)
         return pa.table({"word": pa.array([None, *weights], pa.string()), "weight": pa.array([bias, *weights.values()], pa.float64())})
 
     return rows.groupBy(F.lit(1).alias("_one")).applyInArrow(run, "word string, weight double")
@@ -120,7 +121,7 @@ SCORES = "doc_id long, score double, predicted int, n_sentences long, offending
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """Score of every row and the places of its offending sentences (those likelier toxic than not, else the worst of a toxic document)."""
     weights = {r.word: r.weight for r in model.collect()}  # telling words of the bounded sample: a few hundred as a rule
-    bias = weights.pop(None, -99.0)
+    bias = weights.pop(None, -math.inf)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def logits(text: str, known: dict[str, float]) -> list[float]:
@@ -137,7 +138,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
             texts = [x or "" for x in part.column(1).to_pylist()]
             each = [logits(x, known) for x in texts]
             counts = np.asarray([len(x) for x in each], np.int64)
-            p = 1 / (1 + np.exp(-np.asarray([z for x in each for z in x], float)))
+            p = np.exp(-np.logaddexp(0, -np.asarray([z for x in each for z in x], float)))
             q = noisy_or(p, np.repeat(np.arange(len(texts)), counts), len(texts))
             ends = np.append(0, np.cumsum(counts))
             bad = []
