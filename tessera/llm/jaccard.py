@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, slices
+from tessera.llm.common import marked, materialise, maybe_in, slices
 from tessera.llm.graph import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -191,7 +191,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
     copies = classes.groupBy("id").agg(F.max("copies").alias("copies"))
     named = materialise(sized.join(copies, "id"), "jaccard-groups")
-    members = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    members = maybe_in(texts, "id", marked(named, "id")).join(named, "id")
     checked = materialise(verify(members, n, threshold), "jaccard-links")
     links = checked.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(checked.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
