@@ -122,3 +122,14 @@ def manifest_problems(row_path: Column) -> Column:
 def allowed(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Extension: rows that one of the groups may read; to be applied before any ranking."""
     return rows.filter(F.arrays_overlap(F.transform("allowed_groups", fold), F.transform(F.array(*map(F.lit, groups)), fold)))
+
+
+def to_index_row(chunks: DataFrame) -> DataFrame:
+    """Chunks as stored by an index without a date type: dates become midnight in UTC, missing groups an empty list."""
+    days = [n for n, t in chunks.dtypes if t == "date"]
+    return chunks.withColumns({n: F.concat(F.date_format(n, "yyyy-MM-dd"), F.lit("T00:00:00Z")) for n in days}).withColumn("allowed_groups", F.coalesce("allowed_groups", F.array().cast("array<string>")))
+
+
+def from_index_row(rows: DataFrame, days: list[str]) -> DataFrame:
+    """Back to chunks; a text that is no date or instant fails."""
+    return rows.withColumns({n: F.to_date(F.substring(n, 1, 10), "yyyy-MM-dd") for n in days})

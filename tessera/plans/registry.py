@@ -730,6 +730,43 @@ def manifest_validation(spark, sf_dir):
     return rows.select("doc_id", F.array_join(corpus.manifest_problems(F.col("source_path")), "; ").alias("problems"))
 
 
+@query(f"WITH chunks AS ({CHUNKS_SQL}) SELECT doc_id, effective_from, effective_to, CASE WHEN effective_to IS NOT NULL THEN concat(CAST(effective_to AS VARCHAR), 'T00:00:00Z') END AS stored FROM chunks")
+def codec_roundtrip(spark, sf_dir):
+    rows = corpus.to_index_row(chunks(spark, sf_dir).withColumn("allowed_groups", F.lit(None).cast("array<string>")))
+    return corpus.from_index_row(rows.withColumn("stored", F.col("effective_to")), ["effective_from", "effective_to"]).select("doc_id", "effective_from", "effective_to", "stored")
+
+
+@query("SELECT doc_id FROM documents WHERE lower(source) IN ('src1', 'src7')")
+def acl_filter(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("allowed_groups"))
+    return corpus.allowed(rows, ["SRC1", "src7"]).select("doc_id")
+
+
+# Whole questions: retrieve, select, gate, answer from the first chunk, verify
+
+
+@query(f"""WITH {GATE}, shut AS (SELECT *, CASE WHEN n = 0 THEN FALSE WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN FALSE ELSE len(matched) >= CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END END AS sufficient FROM gate),
+said AS (SELECT s.qid, s.sufficient, p.id, CASE WHEN s.sufficient THEN concat(substr(regexp_replace(p.content, '[\\[\\]]', '', 'g'), 1, 120), ' [', p.id, ']') ELSE '{analysis.REFUSAL}' END AS answer FROM shut s LEFT JOIN pack p ON s.qid = p.qid AND p.position = 1)
+SELECT qid, CASE WHEN sufficient THEN 'answered' ELSE 'insufficient_evidence' END AS status, sha256(answer) AS answer_hash, CASE WHEN sufficient THEN id END AS cited FROM said""")
+def question_answers(spark, sf_dir):
+    from tessera.plans import plugins
+
+    pack = context(spark, sf_dir)
+    gate = evidence.evidence_gate(questions(spark, sf_dir), pack)
+    made = plugins.extractive_answers(pack, gate, analysis.REFUSAL)
+    checked = evidence.verify_citations(made, pack)
+    joined = made.join(checked, "qid")
+    return joined.select("qid", F.when(F.col("ok"), "answered").otherwise("insufficient_evidence").alias("status"), F.sha2(F.when(F.col("ok"), F.col("answer")).otherwise(analysis.REFUSAL), 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"))
+
+
+@query(f"WITH {KNN.format(k=5)} SELECT k.qid, count(*) AS n_context, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.rank) AS ids, sum(length(coalesce(d.text, '')))::BIGINT AS n_chars FROM knn k JOIN documents d ON k.id = d.doc_id GROUP BY k.qid")
+def baseline_answers(spark, sf_dir):
+    """The plain path: vector search for five, no selection or gate."""
+    hits = knn(spark, sf_dir, 5).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
+    return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_context"), F.array_join(ids, ",").alias("ids"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, hybrid retrieval, evidence pack."""
     return selection_context(spark, sf_dir)
