@@ -36,9 +36,11 @@ _SCOPE = {"html", "body", "div", "article", "section", "main", "table", "td", "t
 #: Words in class, id or role that mark what is not the article.
 _MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-    "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "alert", "form", "alertdialog", "dialog", "copyright", "disclaimer",
+    "newsletter", "responses", "feedback", "discussion", "rail", "aside", "adsbygoogle", "adslot", "adbox", "adunit", "promoted", "topbar", "colophon", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "alert", "form", "alertdialog", "dialog", "copyright", "disclaimer",
 }
 _WORDS = re.compile(r"[a-z]+")
+#: Words of layout names ("with-sidebar", "no-comments"), which say nothing of the element itself.
+_LAYOUT = {"has", "with", "no", "without", "layout", "enabled", "open", "closed"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -51,8 +53,8 @@ class _Node:
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: of an article, whose own header holds its title."""
+def _unwanted(tag: str, attrs: str, inside: bool, marks: bool) -> bool:
+    """inside: of an article, whose own header holds its title; marks: whether names count."""
     if tag in _DROPPED or tag == "header" and not inside:
         return True
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
@@ -60,18 +62,25 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
     found = {}
     for name, double, single, bare in _ATTR.findall(attrs):
         found.setdefault(name.lower(), (double or single or bare).lower())
+    if not marks:
+        return False
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
         return True
-    text = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
-    words = set(_WORDS.findall(text))
+    names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split()
+    words: set[str] = set()
+    for name in names:
+        parts = set(_WORDS.findall(name))
+        if not parts & _LAYOUT:
+            words |= parts
+            words |= {w for w in ("sidebar", "advert", "cookie", "breadcrumb", "newsletter", "comment") if w in name}
     if tag == "article":
         return bool(words & {"comment", "ad", "advert", "sponsored", "related", "promo"})
-    if tag == "header" or inside and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
+    if tag == "header" or inside:
         words.discard("header")
-    return bool(words & _MARKS) or bool(re.search(r"side-?bar|sidebar|advert|cookie|breadcrumb|newsletter|comment", text))
+    return bool(words & _MARKS)
 
 
-def _tree(page: str) -> _Node:
+def _tree(page: str, marks: bool = True) -> _Node:
     root = node = _Node("", None, False)
     at, find = 0, _MARKUP.search
     while m := find(page, at):
@@ -111,7 +120,7 @@ def _tree(page: str) -> _Node:
         inside, up = False, node
         while up and not inside:
             inside, up = up.tag in ("article", "main"), up.parent
-        new = _Node(tag, node, node.dropped or _unwanted(tag, attrs, inside))
+        new = _Node(tag, node, node.dropped or _unwanted(tag, attrs, inside, marks))
         node.children.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
@@ -169,6 +178,9 @@ def extract(page: str | None) -> str:
         return ""
     root = _tree(page)
     blocks = _blocks(root)
+    if not blocks:  # names that mark the whole page mark nothing
+        root = _tree(page, False)
+        blocks = _blocks(root)
     if not blocks:
         return ""
     scored: dict[int, _Node] = {}
@@ -179,18 +191,23 @@ def extract(page: str | None) -> str:
         while up is not None:
             if level < 5:
                 up.score += points / (1, 2, 6, 9, 12)[level]
-                scored[id(up)] = up
+            scored[id(up)] = up
             up.chars += len(text)
             up.linked += linked
             up, level = up.parent, level + 1
     worth = {k: n.score * (1 - n.linked / max(1, n.chars)) + (50 if n.tag in ("article", "main") else 0) for k, n in scored.items()}
     best = max(scored.values(), key=lambda n: worth[id(n)])
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    best = up or best  # an article is whole
     kept = {id(best)}
     if best.parent:
         enough = max(10.0, 0.2 * worth[id(best)])
         for near in best.parent.children:
             if not isinstance(near, str) and near is not best and not near.dropped:
-                alike = worth.get(id(near), 0.0) >= enough
+                kin = near.tag == best.tag and near.linked < 0.25 * near.chars
+                alike = worth.get(id(near), 0.0) >= (max(3.0, 0.25 * enough) if kin else enough)
                 if alike or near.tag in ("p", "h1", "h2", "h3", "h4") and best.tag not in ("article", "main"):
                     kept.add(id(near))
     inside: dict[int, bool] = {}
