@@ -12,6 +12,7 @@ occur; an empty table gives an empty table; only documents longer than the capac
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,37 +31,87 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how often), ...
 
 
 class WordTokenizer:
-    """Ids of whole texts by way of their words: a vocabulary whose pieces never cross white space gives the same ids word by word."""
+    """Ids of whole texts by way of their words: a vocabulary whose pieces never cross white space gives the same ids word by word.
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    Words meet the tokenizer once a batch; ASCII marks behind a Latin letter or digit are a piece of their own in such a vocabulary, so they are
+    looked up apart. A table keeps what was met more than once.
+    """
+
+    MARK = "\x01"  # parts words that are encoded together
+    SPLIT = r"(?s)^(?P<core>.*[A-Za-z0-9À-ÖØ-öø-ÿ])(?P<tail>[.,!?;:*$%#&|]+)$"
+
+    def __init__(self, path: str, keep: int = 250_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model.no_truncation()
-        self.keep, self.known, self.flat, self.starts = keep, {}, [], []
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [x.encode("utf-8", "replace").split() for x in texts]
-        if len(self.known) > self.keep:
-            self.known = {}
-        if not self.known:
-            self.ids, self.starts = [], [0]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for word, made in zip(new, self.model.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = len(self.starts) - 1
-            self.ids.extend(made.ids)
-            self.starts.append(len(self.ids))
-        flat, starts = np.asarray(self.ids, np.uint32), np.asarray(self.starts, np.int64)
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            counts = starts[at + 1] - starts[at]
-            whole = int(counts.sum())
-            shift = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
-            out.append(flat[shift + np.arange(whole)] if whole else np.zeros(0, np.uint32))
+        self.stop = self.model.encode(self.MARK, add_special_tokens=False).ids
+        self.keep, self.known, self.table, self.starts = keep, {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of units."""
+        odd = len(self.stop) != 1 or any(self.MARK in u for u in units)
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(units), 20_000):
+            some = units[at : at + 20_000]
+            if odd:
+                made = [np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+                ids.extend(made)
+                counts.append(np.asarray([len(x) for x in made]))
+                continue
+            joined = [f" {self.MARK} ".join(some[i : i + 400]) + f" {self.MARK}" for i in range(0, len(some), 400)]
+            flat = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == self.stop[0])
+            counts.append(np.diff(np.append(-1, ends)) - 1)
+            ids.append(flat[flat != self.stop[0]])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        words = pc.dictionary_encode(pc.ascii_lower(lists.flatten()))
+        if isinstance(words, pa.ChunkedArray):
+            words = words.combine_chunks()
+        parts = pc.extract_regex(words.dictionary, self.SPLIT)
+        units = pc.dictionary_encode(pa.concat_arrays([pc.coalesce(pc.struct_field(parts, "core"), words.dictionary), pc.coalesce(pc.struct_field(parts, "tail"), pa.scalar(""))]))
+        names, unit = units.dictionary.to_pylist(), units.indices.to_numpy(zero_copy_only=False)
+        place = np.asarray([self.known.get(u, -1) for u in names], np.int64)
+        new = np.flatnonzero(place < 0)
+        ids, counts = self._encode([names[i] for i in new])
+        place[new] = len(self.starts) - 1 + np.arange(len(new))
+        table = np.concatenate([self.table, ids])
+        starts = np.append(self.starts, self.starts[-1] + np.cumsum(counts))
+        at = place[unit]
+        size = starts[at + 1] - starts[at]
+        core, tail = np.split(np.arange(len(at)), 2)
+        # ids of each word of the batch, one behind the other
+        order = np.stack([core, tail], 1).ravel()
+        word_ids = table[_spans(starts[at[order]], size[order])]
+        word_ends = np.append(0, np.cumsum(size[core] + size[tail]))
+        which = words.indices.to_numpy(zero_copy_only=False)
+        out = [word_ids[_spans(word_ends[w], word_ends[w + 1] - word_ends[w])] for w in (which[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+        self._remember(names, place, table, starts, np.bincount(unit, np.append(np.bincount(which, minlength=len(core)), np.bincount(which, minlength=len(core))), minlength=len(names)))
         return out
 
+    def _remember(self, names: list[str], place: np.ndarray, table: np.ndarray, starts: np.ndarray, met: np.ndarray) -> None:
+        """Adds the batch's repeated units; starts anew from them when the table is full."""
+        again = np.flatnonzero((met > 1) & (place >= len(self.starts) - 1))
+        if len(self.known) + len(again) > self.keep:
+            self.known, self.table, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            again = np.flatnonzero(met > 1)[: self.keep]
+        size = starts[place[again] + 1] - starts[place[again]]
+        base = len(self.starts) - 1
+        self.known.update((names[i], base + k) for k, i in enumerate(again))
+        self.table = np.concatenate([self.table, table[_spans(starts[place[again]], size)]])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(size))
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,10 +121,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = None
-        for part in slices(batches):
+        for part in slices(batches, 16 << 20):
             tokenize = tokenize or WordTokenizer(tokenizer_path)
             cells: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc_id, ids in zip(part.column(0).to_pylist(), tokenize([x or "" for x in part.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(part.column(0).to_pylist(), tokenize(part.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     raw = ids[start : start + capacity].tobytes()
