@@ -228,13 +228,13 @@ def source_listing(spark, sf_dir):
     return listing.classify(names, "KB", "page_id").select("page_id", "code")
 
 
-@query(f"""WITH {NAMES} SELECT page_id, concat('kb', CASE WHEN name = '' THEN '' ELSE concat('/', name) END) AS logical_path, CASE WHEN page_id % 2 = 0 THEN concat('KnowledgeBase/', rtrim(name, '/')) END AS rooted FROM names""")
+@query(f"""WITH {NAMES} SELECT page_id, concat('kb', CASE WHEN name = '' THEN '' ELSE concat('/', name) END) AS logical_path, CASE WHEN page_id % 2 = 0 THEN concat('Library/', rtrim(name, '/')) END AS rooted FROM names""")
 def logical_paths(spark, sf_dir):
     suffix = F.when(F.col("page_id") % 5 == 0, ".pdf").when(F.col("page_id") % 5 == 1, ".docx").when(F.col("page_id") % 5 == 2, ".XLSX").when(F.col("page_id") % 5 == 3, ".txt").otherwise("")
     names = read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), suffix).alias("name"))
     mixed = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("KB/"), F.col("name"))).otherwise(F.col("name"))
-    deep = F.concat(F.lit("c:\\data\\"), F.when(F.col("page_id") % 2 == 0, "KnowledgeBase\\").otherwise("other\\"), F.col("name"))
-    return names.select("page_id", listing.logical_path(mixed, "kb").alias("logical_path"), listing.rooted_path(deep, "KnowledgeBase").alias("rooted"))
+    deep = F.concat(F.lit("c:\\data\\"), F.when(F.col("page_id") % 2 == 0, "Library\\").otherwise("other\\"), F.col("name"))
+    return names.select("page_id", listing.logical_path(mixed, "kb").alias("logical_path"), listing.rooted_path(deep, "Library").alias("rooted"))
 
 
 # Search
