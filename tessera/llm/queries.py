@@ -82,3 +82,28 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+SQL["op3_ngram_jaccard"] = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+j AS (SELECT x, y, k = c.n AND k = d.n AS same FROM p JOIN n c ON c.doc_id = x JOIN n d ON d.doc_id = y WHERE k >= 0.8 * (c.n + d.n - k) - 1e-9),
+e AS (SELECT x, y FROM j UNION ALL SELECT y, x FROM j),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.root),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+f AS (SELECT y AS doc_id, min(x) AS copy_of FROM j WHERE same GROUP BY y),
+l AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT c.doc_id, class_id, coalesce(copy_of, c.doc_id) AS copy_of, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN f ON c.doc_id = f.doc_id LEFT JOIN l ON c.doc_id = l.doc_id
+"""
+
+SQL["op6_chat_format"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '(\\\\*)(</?s>|\\[/?INST\\]|<</?SYS>>|\\[/?TURN\\]|<\\|)', '\\1+\\2', 'g')) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10
+  ELSE 18 + length(regexp_replace(role, '(\\\\*)(</?s>|\\[/?INST\\]|<</?SYS>>|\\[/?TURN\\]|<\\|)', '\\1+\\2', 'g')) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
