@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -42,6 +44,13 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that what Python holds at once is bounded by bytes (a single row may be larger)."""
     for batch in batches:

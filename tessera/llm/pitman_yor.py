@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, work_dir
+from tessera.llm.common import fold, release, slices, work_dir
 
 CONTEXTS = 1 << 16
 END, START = xxhash.xxh3_64_intdigest(b"\0end"), xxhash.xxh3_64_intdigest(b"\0start")
@@ -45,7 +45,7 @@ def _named(data: bytes) -> list[int | None]:
     return [None if gone else int(v) for gone, v in zip(data[:n], np.frombuffer(data, "<i8", n, n), strict=True)]
 
 
-def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_tokens: int = 1 << 21) -> DataFrame:
+def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_tokens: int = 1 << 19) -> DataFrame:
     """For each block of documents one row a shard with its words' entries, and one with the documents themselves (shard below 0)."""
 
     def packed(block: int, ids: list, lengths: list[int], hashes: list[np.ndarray]) -> Iterator[tuple]:
@@ -85,10 +85,10 @@ def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_
             rows = list(packed(part << 24 | n, ids, lengths, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "replace").lower().split()
-                if len(known) > 600_000:
+                if len(known) > 200_000:
                     known.clear()
                 for w in set(words).difference(known):
                     known[w] = xxhash.xxh3_64_intdigest(w)
@@ -102,8 +102,11 @@ def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_
                 if held >= block_tokens or len(ids) == 1 << 16:
                     yield from flush()
                     ids, lengths, hashes, held, n = [], [], [], 0, n + 1
+                    release()
         if ids:
             yield from flush()
+        known.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
 
@@ -134,7 +137,10 @@ def build_tables(blocks: DataFrame) -> DataFrame:
             count = np.bincount(of, learned, minlength=len(words)).astype("<i8")
             runs = np.diff(np.append(first, len(pair)))
             cells = [(key[0].as_py(), -1, count.tobytes(), of.astype("<u4").tobytes(), (pairs & np.uint64(0xFFFF)).astype("<u2").tobytes(), learned.astype("<u4").tobytes(), runs.astype("<u4").tobytes(), where.astype("<u8").tobytes(), np.abs(times).astype("<u4").tobytes(), b"", b"")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names=names)
+        del rows
+        out = pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names=names)
+        release()
+        return out
 
     return blocks.groupBy("shard").applyInArrow(run, _TABLE)
 
@@ -200,8 +206,8 @@ def _totals(tables: DataFrame, contexts: int, model: Model | None) -> dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guests, opened, more = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64), np.zeros((4, 2), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in slices(batches):
+            for row in part.to_pylist():
                 own = Counts(row)
                 pairs, customers, seats = (np.minimum(own.n, 1),) + (np.zeros(1, np.int64),) * 2
                 if model:
@@ -213,10 +219,12 @@ def _totals(tables: DataFrame, contexts: int, model: Model | None) -> dict[int,
                 more[1] += (own.n == 1).sum(), (own.n == 2).sum()
                 more[2] += (own.words == 1).sum(), (own.words == 2).sum()
                 more[3] += customers.sum(), seats.sum()
+        release()
         used = np.flatnonzero(guests)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2, -3, -4])), pa.array(np.append(guests[used], more[:, 0])), pa.array(np.append(opened[used], more[:, 1]))], ["ctx", "a", "b"])
 
-    made = tables.filter("shard >= 0").select(*_PAIRS).mapInArrow(run, "ctx long, a long, b long")
+    few = 2 * tables.sparkSession.sparkContext.defaultParallelism  # each task gives a row a context class, so not more tasks than cores need
+    made = tables.filter("shard >= 0").select(*_PAIRS).coalesce(few).mapInArrow(run, "ctx long, a long, b long")
     return {r.ctx: (r.a, r.b) for r in made.groupBy("ctx").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
 
 
@@ -249,8 +257,8 @@ def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, parts, held = sent.value, [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in slices(batches):
+            for row in part.to_pylist():
                 own = Counts(row)
                 chance, used = np.zeros(len(own.n)), 0
                 for sweep, (pairs, customers, seats) in enumerate(m.chain(own, len(m.sweeps) - 1)):
@@ -267,11 +275,13 @@ def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame
                 base = np.log10((counts + 0.1) / (m.n + 0.1 * (m.v + 1)))
                 parts.append(summed(np.frombuffer(row["entry_docs"], "<u8"), times * np.repeat(base, runs), times * np.repeat(logs, runs), times * np.repeat(counts > 0, runs)))
                 held += len(parts[-1][0])
-                if held > 6_000_000:
+                if held > 1_000_000:
                     parts, held = [summed(*map(np.concatenate, zip(*parts, strict=True)))], 0
         if not parts:
             return
         where, *sums = summed(*map(np.concatenate, zip(*parts, strict=True)))
+        del parts
+        release()
         block = where >> np.uint64(16)
         cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
@@ -296,7 +306,7 @@ def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame
     return whole.unionByName(parts).groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = 3, burn_in: int = 1, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = 3, burn_in: int = 1, shard_bytes: int = 4 << 20) -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows."""
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -304,6 +314,6 @@ def score_documents(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = 3,
     tables = build_tables(encode_blocks(docs, shards, contexts))
     path = f"{work_dir(spark)}/tessera/pitman-yor-{uuid.uuid4().hex}"
     # rows are large: sizes are looked at after each, and files can be cut between them
-    tables.write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(16 << 20)).parquet(path)
+    tables.write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(16 << 20)).option("compression", "zstd").parquet(path)
     tables = spark.read.schema(tables.schema).parquet(path)
     return score_tables(tables, learn(tables, contexts, sweeps), burn_in)
