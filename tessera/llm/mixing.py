@@ -4,8 +4,8 @@ Targets: sources share a volume by weight, none above ``most`` times its own siz
 anew by weight (``water_fill``). Inside a source a document's expected copies grow with the bit length of
 its size and are at most ``most``; they are fitted by the same filling over the at most 64 bit lengths. The
 whole part is certain. For the fraction f each document draws u and gets the rank
-(u / (1 - u)) / (f / (1 - f)); a source takes documents by rising rank until its words are nearest to what
-is left of its target, so that the sample's size is fixed and inclusion is unequal.
+(u / (1 - u)) / (f / (1 - f)); a source takes documents by rising rank while its words stay within what
+is left of its target, and last the one whose size is nearest to the rest, so that the sample's size is fixed and inclusion is unequal.
 
 No sort over a source: ranks fall into ``buckets`` whose words are summed first, and only the bucket in which a
 source's boundary lies is ordered row by row.
@@ -82,11 +82,23 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), volume:
     edges = sums.withColumn("_below", below).filter("_below < _goal").groupBy(F.col("source").alias("_source")).agg(F.max_by(F.struct(F.col("_bucket").alias("_edge"), F.col("_goal") - F.col("_below")), "_bucket").alias("_e"))
     edges = materialise(edges.select("_source", F.col("_e._edge").alias("_edge"), F.col("_e.col2").alias("_need")), "mix-edges")
     ranked = ranked.join(edges, ranked.source.eqNullSafe(edges._source), "left").drop("_source")
-    running = F.sum("size").over(W.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
+    running = F.sum("size").over(W.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     on_edge = F.col("_rank").isNotNull() & (F.col("_bucket") == F.col("_edge"))
-    edge = ranked.filter(on_edge).withColumn("_more", (F.coalesce(running, F.lit(0)) + F.col("size") / 2 <= F.col("_need")).cast("int"))
+    edge = ranked.filter(on_edge).withColumn("_more", (running <= F.col("_need")).cast("int"))
     rest = ranked.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("_more", F.coalesce((F.col("_bucket") < F.col("_edge")).cast("int"), F.lit(0)))
-    both = edge.unionByName(rest).drop("source_size", "target").withColumn("copies", F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + F.col("_more")).otherwise(0).cast("int"))
+    edge = materialise(edge, "mix-edge")
+    both = edge.unionByName(rest).drop("source_size", "target")
+    # the last document of a source: of those not drawn the one whose size is nearest to what is still missing
+    short = edge.groupBy("source").agg((F.first("_need") - F.sum(F.col("size") * F.col("_more"))).alias("_short"))
+    short = short.select(F.col("source").alias("_source"), "_short")
+    open_rows = both.filter("_rank is not null and _more = 0 and size > 0").join(short, F.col("source").eqNullSafe(F.col("_source")))
+    miss = F.abs(F.col("size") - F.col("_short"))
+    last = open_rows.groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), "_rank", "doc_id", "size")).alias("_l"), F.first("_short").alias("_short"))
+    last = materialise(last.filter("_l.miss < _short").select("_source", F.col("_l._rank").alias("_lr"), F.col("_l.doc_id").alias("_ld"), F.col("_l.size").alias("_ls")), "mix-last")
+    joined = both.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    is_last = (F.col("_rank") == F.col("_lr")) & F.col("doc_id").eqNullSafe(F.col("_ld")) & (F.col("size") == F.col("_ls")) & (F.col("_more") == 0)
+    both = joined.withColumn("_more", F.when(F.coalesce(is_last, F.lit(False)), 1).otherwise(F.col("_more"))).drop("_lr", "_ld", "_ls")
+    both = both.withColumn("copies", F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + F.col("_more")).otherwise(0).cast("int"))
     named_goal = goal.select(F.col("source").alias("_source"), "source_size", "target")
     out = both.join(named_goal, both.source.eqNullSafe(named_goal._source), "left")
     return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
