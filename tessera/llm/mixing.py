@@ -51,14 +51,32 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def in_order(sources: DataFrame) -> DataFrame:
+    """place: each source's number from 0 in the order of code points, null last; sorted in ranges, no task sees all."""
+    spread = materialise(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    before = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(W.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return spread.withColumn("_inner", inner).join(before, "_part").withColumn("place", F.col("_inner") + F.col("_before")).drop("_part", "_inner", "_before")
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), volume: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target); one row for each source, after partial sums."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-    live = sources.withColumn("_weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_all", F.sum("source_size").over(W.partitionBy()) * F.lit(float(volume)))
-    # an empty source can take nothing: it is capped at once
-    return water_fill(live, [], "_weight", "_cap", "_all").select("source", "source_size", F.col("share").alias("target"))
+    """(source, source_size, target); one row for each source, after partial sums.
+
+    Each round shares what the capped sources leave by weight and caps those above their size, until none is; rounds are sums over
+    sources, of which there may be any number.
+    """
+    placed = in_order(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    live = materialise(placed.select("source", "source_size", weight.alias("_weight"), (F.col("source_size") * F.lit(float(most))).alias("_cap")), "mix-shares")
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        now = live.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("_cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("_weight"))).alias("open"), F.count_if(full).alias("capped")).first()
+        if not now["open"] or now["capped"] == capped:
+            break
+        level, capped = (volume * now["all"] - now["taken"]) / now["open"], now["capped"]
+    return live.select("source", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("target"))
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), volume: float = 1.5, most: int = 2, seed: int = 20_24, buckets: int = BUCKETS) -> DataFrame:

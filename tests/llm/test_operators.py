@@ -115,6 +115,16 @@ def test_mix_targets_and_words(spark, small):
         assert abs(sum(r.taken for r in own) - want[k]) <= largest[k] / 2 + 1
 
 
+def test_targets_of_many_sources(spark):
+    draw = random.Random(8)
+    sizes = {f"s{draw.random()}": draw.choice((0, 1, 5, 100, 10_000)) for _ in range(3000)}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    names = sorted(sizes)
+    want = fill({k: 2.0 * sizes[k] for k in names}, {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}, 1.5 * sum(sizes.values()))
+    got = {r.source: r.target for r in mixing.targets(rows.repartition(7)).collect()}
+    assert all(got[k] == pytest.approx(want[k]) for k in names) and len(got) == len(names)
+
+
 def test_mix_inclusion_is_as_planned(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 40), "s" if i % 3 else "t") for i in range(6000)], "doc_id long, text string, source string")
     rows = mixing.mix_documents(docs, volume=0.5).collect()
