@@ -262,14 +262,12 @@ def places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 500_000) -> DataFrame:
     """pieces (stored: it is read twice) with sequence_id and offset."""
     total = pieces.count()
-    salts = 16 + total // rows_per_salt
+    salts = min(512, 16 + total // rows_per_salt)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "_salt").count().collect()  # at most capacity x salts numbers
-    counts: dict[int, int] = defaultdict(int)
+    groups = salted.groupBy("length", "_salt").count().toArrow()  # at most capacity x 512 numbers
     first = np.zeros((capacity + 1, salts), np.int64)
-    for row in groups:
-        first[row["length"], row["_salt"]] = row["count"]
-        counts[row["length"]] += row["count"]
+    first[groups["length"].to_numpy(), groups["_salt"].to_numpy()] = groups["count"].to_numpy()
+    counts = {n: int(k) for n, k in enumerate(first.sum(axis=1)) if k}
     first = np.cumsum(first, axis=1) - first
     table = places(plan_bins(counts, capacity))
     shift = 1 << 44
