@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, materialise, slices
+from tessera.llm.common import fold, marked, materialise, maybe_in, slices
 
 MAX_TRAIN = 12_000
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|\Z)")
@@ -104,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_o
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % held_out_of != 0)
     order = F.xxhash64("doc_id")
     few = known.filter("y = 1").orderBy(order, "doc_id").limit(max_train).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_train))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("y", "text", "doc_id")
+    few = materialise(few, "toxicity-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = maybe_in(texts, "doc_id", marked(few, "doc_id")).join(few, "doc_id").select("y", "text", "doc_id")
 
     def run(key, group):
         order = sorted(zip(group["doc_id"].to_pylist(), group["y"].to_pylist(), (x or "" for x in group["text"].to_pylist()), strict=True))
