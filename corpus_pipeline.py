@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, lines, mixing, packing, toxicity
-from tessera.llm.common import materialise, table
+from tessera.llm.common import marked, materialise, maybe_in, table
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but those of the ids; only rows that a bitmap can't rule out are shuffled."""
+    bitmap = marked(gone, "_gone")
+    maybe = maybe_in(docs, "doc_id", bitmap)
+    return maybe_in(docs, "doc_id", bitmap, keep=False).unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_gone"]), "left_anti"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     gone = materialise(scored.filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-toxic")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti")
+    return without(docs, gone)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = jaccard.join(docs)
     gone = materialise(grouped.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies")
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    return without(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
