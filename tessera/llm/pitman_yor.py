@@ -10,6 +10,8 @@ parties sit down in groups of an eighth of those already there. Probabilities ar
 How it runs: blocks of documents send each shard of words the counts of (word, context class, document) as packed arrays, one shuffle; a shard sums them and is stored.
 Each sweep reads the stored pairs only and gives tables by context class, summed by Spark (at most ``contexts`` rows come to the driver). The last pass replays the seats, which seeds and the
 collected sums determine, and returns each document's sums to its block.
+A word that alone outgrows a shard (told by a sample, which only routes) has a shard of its own, cut into parts by block: the entries stay in one row a part,
+only the (word, context class) counts of the parts are summed, and each part's entries meet the word's summed counts again when they are scored.
 
 Defined results: a null or empty text has the end token only; rows that repeat an id are scored and learned each; a null id counts
 as the empty text in the fold rule; an empty table, or one without training rows, gives uniform probabilities; other columns are not looked at.
@@ -18,6 +20,7 @@ as the empty text in the fold rule; an empty table, or one without training rows
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, release, slices, work_dir
+from tessera.llm.common import fold, materialise, release, slices, work_dir
 
 CONTEXTS = 1 << 16
 END, START = xxhash.xxh3_64_intdigest(b"\0end"), xxhash.xxh3_64_intdigest(b"\0start")
-_BLOCK = "shard int, block long, words binary, counts binary, ctx binary, doc binary, times binary, docs binary, lengths binary"
-_TABLE = "shard int, block long, word_counts binary, pair_words binary, pair_ctx binary, pair_counts binary, entry_runs binary, entry_docs binary, entry_times binary, docs binary, lengths binary"
+_BLOCK = "shard int, part int, block long, words binary, counts binary, ctx binary, doc binary, times binary, docs binary, lengths binary"
+_TABLE = "shard int, part int, block long, word_counts binary, pair_words binary, pair_ctx binary, pair_counts binary, entry_runs binary, entry_docs binary, entry_times binary, docs binary, lengths binary"
 
 
 def _ids(values: list[int | None]) -> bytes:
@@ -45,11 +48,45 @@ def _named(data: bytes) -> list[int | None]:
     return [None if gone else int(v) for gone, v in zip(data[:n], np.frombuffer(data, "<i8", n, n), strict=True)]
 
 
-def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_tokens: int = 1 << 19) -> DataFrame:
-    """For each block of documents one row a shard with its words' entries, and one with the documents themselves (shard below 0)."""
+def hot_words(docs: DataFrame, size: int, part_bytes: int, sample_bytes: int = 32 << 20) -> dict[int, int]:
+    """Words whose share of the texts is more than ``part_bytes``, and the parts of each. At most 10,000 words: a smaller share than 1 in 10,000 stays whole."""
+    every = 1 + size // sample_bytes
+    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.substring("text", 1, 64)), F.lit(every)) == 0) if every > 1 else docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes | None] = Counter()
+        for batch in slices(batches):
+            for text in batch.column(0):
+                seen.update((text.as_py() or "").encode("utf-8", "replace").lower().split())
+                seen[None] += 1
+            if len(seen) > 200_000:
+                yield counted(seen)
+                seen.clear()
+        yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        keys = np.asarray([END if w is None else xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    if size <= part_bytes:
+        return {}
+    counts = sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "pitman-yor-words")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    least = max(part_bytes / size, 1e-4) * total
+    return {r.word & 0xFFFFFFFFFFFFFFFF: 1 + int(r.n / total * size / part_bytes) for r in counts.filter(F.col("n") > least).collect()}
+
+
+def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_tokens: int = 1 << 19, hot: dict[int, int] | None = None) -> DataFrame:
+    """For each block of documents one row a shard with its words' entries, and one with the documents themselves (shard below 0).
+
+    hot: words with a shard of their own, from ``shards`` on, and the parts of it.
+    """
+    apart = np.asarray(sorted(hot or {}), np.uint64)
+    parts = [hot[int(w)] for w in apart]
 
     def packed(block: int, ids: list, lengths: list[int], hashes: list[np.ndarray]) -> Iterator[tuple]:
-        yield (-1 - block % 64, block, b"", b"", b"", b"", b"", _ids(ids), np.asarray(lengths, "<u4").tobytes())
+        yield (-1 - block % 64, 0, block, b"", b"", b"", b"", b"", _ids(ids), np.asarray(lengths, "<u4").tobytes())
         word = np.concatenate(hashes)
         before = np.empty_like(word)
         before[1:] = word[:-1]
@@ -57,7 +94,9 @@ def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_
         ctx = ((before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(contexts)
         doc = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
         words, inverse = np.unique(word, return_inverse=True)
-        shard = (words >> np.uint64(20)) % np.uint64(shards)
+        shard = ((words >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        _, own, alone = np.intersect1d(words, apart, assume_unique=True, return_indices=True)
+        shard[own] = shards + alone
         order = np.lexsort((words, shard))
         place = np.empty(len(order), np.uint64)
         place[order] = np.arange(len(order), dtype=np.uint64)
@@ -65,18 +104,19 @@ def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_
         entry, times = np.unique(place[inverse] << np.uint64(32) | ctx << np.uint64(16) | doc, return_counts=True)
         each = np.bincount((entry >> np.uint64(32)).astype(np.int64), minlength=len(words))
         ends = np.append(0, np.cumsum(each))
-        edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        edges = np.searchsorted(shard, np.arange(shards + len(parts) + 1))
         flags = np.asarray([fold(i) % 10 != 0 for i in ids])
         local = (entry & np.uint64(0xFFFF)).astype("<u2")
         marks = np.where(flags[local], times, -times).astype("<i4")  # held-out entries are negative
         for s in np.flatnonzero(np.diff(edges)):
             a, b = edges[s], edges[s + 1]
             x, y = ends[a], ends[b]
-            yield (int(s), block, words[a:b].tobytes(), each[a:b].astype("<u4").tobytes(), ((entry[x:y] >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes(), local[x:y].tobytes(), marks[x:y].tobytes(), b"", b"")
+            part = (block * 0x9E3779B97F4A7C15 >> 32) % (1 << 32) % parts[s - shards] if s >= shards else 0
+            yield (int(s), part, block, words[a:b].tobytes(), each[a:b].astype("<u4").tobytes(), ((entry[x:y] >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes(), local[x:y].tobytes(), marks[x:y].tobytes(), b"", b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _BLOCK.split(", ")]
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * 7
+        types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 7
         known: dict[bytes, int] = {}
         part, n = TaskContext.get().partitionId(), 0
         ids, lengths, hashes, held = [], [], [], 0
@@ -112,14 +152,14 @@ def encode_blocks(docs: DataFrame, shards: int, contexts: int = CONTEXTS, block_
 
 
 def build_tables(blocks: DataFrame) -> DataFrame:
-    """One row a shard: counts of its words, of its (word, context) pairs, and the entries of each pair; block rows pass."""
+    """One row a shard and part: counts of its words, of its (word, context) pairs, and the entries of each pair; block rows pass."""
 
     def run(key, group):
         rows = group.to_pylist()
         names = [x.split()[0] for x in _TABLE.split(", ")]
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * 9
+        types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 9
         if key[0].as_py() < 0:
-            cells = [(r["shard"], r["block"], *[b""] * 7, r["docs"], r["lengths"]) for r in rows]
+            cells = [(r["shard"], 0, r["block"], *[b""] * 7, r["docs"], r["lengths"]) for r in rows]
         else:
             rows.sort(key=lambda r: r["block"])
             words, word = np.unique(np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows]), return_inverse=True)
@@ -136,13 +176,29 @@ def build_tables(blocks: DataFrame) -> DataFrame:
             of = (pairs >> np.uint64(16)).astype(np.int64)
             count = np.bincount(of, learned, minlength=len(words)).astype("<i8")
             runs = np.diff(np.append(first, len(pair)))
-            cells = [(key[0].as_py(), -1, count.tobytes(), of.astype("<u4").tobytes(), (pairs & np.uint64(0xFFFF)).astype("<u2").tobytes(), learned.astype("<u4").tobytes(), runs.astype("<u4").tobytes(), where.astype("<u8").tobytes(), np.abs(times).astype("<u4").tobytes(), b"", b"")]
+            cells = [(key[0].as_py(), key[1].as_py(), -1, count.tobytes(), of.astype("<u4").tobytes(), (pairs & np.uint64(0xFFFF)).astype("<u2").tobytes(), learned.astype("<u4").tobytes(), runs.astype("<u4").tobytes(), where.astype("<u8").tobytes(), np.abs(times).astype("<u4").tobytes(), b"", b"")]
         del rows
         out = pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names=names)
         release()
         return out
 
-    return blocks.groupBy("shard").applyInArrow(run, _TABLE)
+    return blocks.groupBy("shard", "part").applyInArrow(run, _TABLE)
+
+
+def sum_parts(tables: DataFrame) -> DataFrame:
+    """Counts of words with a shard of their own, one row each; 64 parts are summed first, so that a task holds at most 64 rows of context classes, or one for each 64 parts."""
+
+    def run(key, group):
+        rows = group.to_pylist()
+        ctx, at = np.unique(np.concatenate([np.frombuffer(r["pair_ctx"], "<u2") for r in rows]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([np.frombuffer(r["pair_counts"], "<u4") for r in rows]), minlength=len(ctx))
+        total = sum(np.frombuffer(r["word_counts"], "<i8") for r in rows)
+        cells = (key[0].as_py(), key[1].as_py(), total.astype("<i8").tobytes(), np.zeros(len(ctx), "<u4").tobytes(), ctx.astype("<u2").tobytes(), counts.astype("<u4").tobytes())
+        return pa.table([pa.array([c], t) for c, t in zip(cells, [pa.int32(), pa.int32()] + [pa.binary()] * 4, strict=True)], names=["shard", "part", *_PAIRS[1:]])
+
+    kind = "shard int, part int, " + ", ".join(f"{n} binary" for n in _PAIRS[1:])
+    some = tables.select("shard", F.floor(F.col("part") / 64).cast("int").alias("part"), *_PAIRS[1:]).groupBy("shard", "part").applyInArrow(run, kind)
+    return some.withColumn("part", F.lit(0)).groupBy("shard", "part").applyInArrow(run, kind).select(*_PAIRS)
 
 
 class Counts:
@@ -245,8 +301,8 @@ def learn(tables: DataFrame, contexts: int, sweeps: int, strength: float = 1.0,
 _PART = "block long, docs binary, lengths binary, at binary, base binary, score binary, known binary"
 
 
-def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score_tables(tables: DataFrame, model: Model, burn_in: int = 1, split: DataFrame | None = None, summed_parts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; split: parts of words with a shard of their own, whose counts are in summed_parts."""
     sent = tables.sparkSession.sparkContext.broadcast(model)  # contexts x (sweeps + 2) numbers
     names = [x.split()[0] for x in _PART.split(", ")]
     types = [pa.int64()] + [pa.binary()] * 6
@@ -273,6 +329,9 @@ def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame
                 times = np.frombuffer(row["entry_times"], "<u4").astype(float)
                 counts = own.words[own.of]
                 base = np.log10((counts + 0.1) / (m.n + 0.1 * (m.v + 1)))
+                if row["part_ctx"] is not None:
+                    at = np.searchsorted(own.ctx, np.frombuffer(row["part_ctx"], "<u2"))
+                    logs, counts, base = logs[at], counts[at], base[at]
                 parts.append(summed(np.frombuffer(row["entry_docs"], "<u8"), times * np.repeat(base, runs), times * np.repeat(logs, runs), times * np.repeat(counts > 0, runs)))
                 held += len(parts[-1][0])
                 if held > 1_000_000:
@@ -300,20 +359,30 @@ def score_tables(tables: DataFrame, model: Model, burn_in: int = 1) -> DataFrame
         ids = _named(whole["docs"])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) % 10 == 0 for i in ids]), "n_tokens": pa.array(lengths), "n_known": pa.array(sums[2].astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), sent.value.n)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
-    wanted = [*_PAIRS, "entry_runs", "entry_docs", "entry_times"]
-    parts = tables.filter("shard >= 0").select(*wanted).mapInArrow(run, _PART)
+    entries = ["entry_runs", "entry_docs", "entry_times"]
+    parts = tables.filter("shard >= 0").select(*_PAIRS, *entries, F.lit(None).cast("binary").alias("part_ctx")).mapInArrow(run, _PART)
+    if split is not None:
+        keyed = split.select("shard", "part").join(summed_parts, "shard")  # a copy for each part, so that parts are scored apart
+        met = keyed.join(split.select("shard", "part", *entries, F.col("pair_ctx").alias("part_ctx")), ["shard", "part"])
+        parts = parts.unionByName(met.select(*_PAIRS, *entries, "part_ctx").mapInArrow(run, _PART))
     whole = tables.filter("shard < 0").select("block", "docs", "lengths", *(F.lit(None).cast("binary").alias(n) for n in ("at", "base", "score", "known")))
     return whole.unionByName(parts).groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = 3, burn_in: int = 1, shard_bytes: int = 4 << 20) -> DataFrame:
-    """Learns from the rows outside the held-out fold and scores all rows."""
+def score_documents(docs: DataFrame, contexts: int = CONTEXTS, sweeps: int = 3, burn_in: int = 1, shard_bytes: int = 4 << 20, hot: dict[int, int] | None = None) -> DataFrame:
+    """Learns from the rows outside the held-out fold and scores all rows. hot: words to split and their parts, looked for if not given."""
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // shard_bytes
-    tables = build_tables(encode_blocks(docs, shards, contexts))
+    hot = hot_words(docs, size, 2 * shard_bytes) if hot is None else hot
+    tables = build_tables(encode_blocks(docs, shards, contexts, hot=hot))
     path = f"{work_dir(spark)}/tessera/pitman-yor-{uuid.uuid4().hex}"
     # rows are large: sizes are looked at after each, and files can be cut between them
     tables.write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(16 << 20)).option("compression", "zstd").parquet(path)
     tables = spark.read.schema(tables.schema).parquet(path)
-    return score_tables(tables, learn(tables, contexts, sweeps), burn_in)
+    if not hot:
+        return score_tables(tables, learn(tables, contexts, sweeps), burn_in)
+    usual, split = tables.filter(F.col("shard") < shards), tables.filter(F.col("shard") >= shards)
+    summed_parts = materialise(sum_parts(split), "pitman-yor-parts")
+    model = learn(usual.select(*_PAIRS).unionByName(summed_parts), contexts, sweeps)
+    return score_tables(usual, model, burn_in, split, summed_parts)

@@ -285,6 +285,29 @@ def test_pitman_yor_edges(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in pitman_yor.score_documents(held).collect())
 
 
+def test_pitman_yor_splits_a_word(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice(["the", f"w{draw.randint(0, 300)}", f"w{draw.randint(0, 300)}"]) for _ in range(50))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    size = sum(len(t) for _, t in rows)
+    the = pitman_yor.xxhash.xxh3_64_intdigest(b"the")
+    found = pitman_yor.hot_words(docs, size, size // 10)
+    assert set(found) == {the} and found[the] >= 3
+    assert pitman_yor.hot_words(docs, size, size) == {}
+    tables = pitman_yor.build_tables(pitman_yor.encode_blocks(docs, 2, block_tokens=500, hot={the: 70})).filter("shard >= 2")
+    held = [np.frombuffer(r.entry_times, "<u4").sum() for r in tables.collect()]
+    assert sum(held) == sum(t.split().count("the") for _, t in rows) and len(held) > 20 and max(held) < sum(held) / 5
+    whole = pitman_yor.sum_parts(tables).collect()
+    one = pitman_yor.sum_parts(pitman_yor.build_tables(pitman_yor.encode_blocks(docs, 2, hot={the: 1})).filter("shard >= 2")).collect()
+    assert whole == one and len(one) == 1
+    scores = [sorted(pitman_yor.score_documents(docs, hot={the: n}).collect()) for n in (1, 5)]
+    assert len(scores[0]) == 800
+    for a, b in zip(*scores, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    for a, b in zip(sorted(pitman_yor.score_documents(docs, hot={}).collect()), scores[1], strict=True):
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score)
+
+
 # 5 lines
 
 
