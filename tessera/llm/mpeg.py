@@ -121,7 +121,7 @@ def encode(data: bytes) -> bytes:
 
 
 def _tags(data: bytes) -> tuple[int, int, dict[str, bytes]]:
-    """Where audio starts and ends, and the frames of ID3v2 tags; ID3v1 and APE tags at the end are cut."""
+    """Where audio starts and ends, and the frames of ID3v2 tags; ID3v1 and APE tags at the end are cut where no frame reaches into them."""
     start, end, found = 0, len(data), {}
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10:
         size = sum((b & 0x7F) << s for b, s in zip(data[start + 6 : start + 10], (21, 14, 7, 0), strict=True))
@@ -132,13 +132,39 @@ def _tags(data: bytes) -> tuple[int, int, dict[str, bytes]]:
             found.setdefault(data[at : at + 4].decode("latin-1"), data[at + 10 : min(at + 10 + n, stop)])
             at += 10 + n
         start = stop + (10 if data[start + 5] & 0x10 else 0)
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        found.setdefault("ID3v1", data[end - 128 : end])
-        end -= 128
-    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, _, flags = struct.unpack("<III", data[end - 20 : end - 8])
-        end = max(start, end - size - (32 if flags >> 31 else 0))
-    return min(start, end), end, found
+    start = min(start, end)
+    id3v1 = end - 128 if end - start >= 128 and data[end - 128 : end - 125] == b"TAG" else end
+    cuts = [id3v1, end]
+    for stop in cuts[: 2 if id3v1 < end else 1]:  # an APE tag is before the ID3v1 tag, or at the end
+        if stop - start >= 32 and data[stop - 32 : stop - 24] == b"APETAGEX":
+            size, _, flags = struct.unpack("<III", data[stop - 20 : stop - 8])
+            cuts.append(max(start, stop - size - (32 if flags >> 31 else 0)))
+    if min(cuts) < end:
+        reach = _reach(data, start, cuts)
+        end = min(c for c in cuts if c >= min(reach, end))
+        if end <= id3v1 < len(data):
+            found.setdefault("ID3v1", data[id3v1:])
+    return start, end, found
+
+
+def _reach(data: bytes, start: int, cuts: list[int]) -> int:
+    """Behind the last whole frame, or that which a tag follows: bytes of payload that look like a tag are before it."""
+    at, kind, last = start, None, start
+    while at + 4 <= len(data):
+        info = header(data[at : at + 4])
+        if info and (kind is None or info[:3] == kind) and at + info[3] <= len(data):
+            after = at + info[3]
+            follow = header(data[after : after + 4])
+            held = info[6] and info[1] == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + info[5]]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            tail = data[after : after + 3] == b"TAG" or data[after : after + 8] == b"APETAGEX"
+            if after == len(data) or held or tail or (follow and follow[:3] == info[:3]) or (kind and len(data) - after < 4):
+                kind, at, last = info[:3], after, after
+                if after in cuts and not follow:
+                    break
+                continue
+        step = data.find(b"\xff", at + 1)
+        at = len(data) if step < 0 else step
+    return last
 
 
 def _vbr(data: bytes, at: int, info: tuple) -> dict | None:

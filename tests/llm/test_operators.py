@@ -62,6 +62,28 @@ def test_mpeg_resynchronises():
     assert mpeg.index(b"")["offsets"] == [] and mpeg.index(b"\xff" * 500)["offsets"] == []
 
 
+def test_mpeg_tags_in_the_payload():
+    ape = lambda size, flags: b"APETAGEX" + b"\xd0\x07\0\0" + size.to_bytes(4, "little") + bytes(4) + flags.to_bytes(4, "little") + bytes(8)
+    id3v1 = b"TAG" + bytes(125)
+    for n in (150, 300, 571, 576, 1000, 1152, 1700):
+        plain = mpeg.encode(b"x" * n)
+        frames = len(mpeg.index(plain)["offsets"])
+        last = len(plain) - mpeg.index(plain)["offsets"][-1]
+        for mark in (b"TAG", ape(32, 0), ape(500, 1 << 31), ape(400, 0), ape(last, 0)):
+            for place in range(max(0, n - 160), n - len(mark) + 1):
+                data = b"x" * place + mark + b"x" * (n - place - len(mark))
+                stream = mpeg.encode(data)
+                found = mpeg.index(stream)
+                assert mpeg.decode(stream, found) == mpeg.pad(data) and found["lost"] == 0 and "ID3v1" not in found["tags"]
+        body = b"x" * 40
+        for tail in (id3v1, ape(72, 0), body + ape(72, 0), ape(72, 1 << 31 | 1 << 29) + body + ape(72, 1 << 31), body + ape(72, 0) + id3v1, ape(72, 1 << 31 | 1 << 29) + body + ape(72, 1 << 31) + id3v1):
+            found = mpeg.index(plain + tail)
+            assert len(found["offsets"]) == frames and ("ID3v1" in found["tags"]) == tail.endswith(id3v1)
+            if tail != ape(72, 0):
+                assert found["lost"] == 0
+        assert len(mpeg.index(plain + b"TAG\xff" + plain[-last:][:100] + bytes(24))["offsets"]) == frames
+
+
 def test_mpeg_headers():
     assert mpeg.header(b"\xff\xfb\x90\x00")[2:5] == (44100, 417, 1152)
     assert mpeg.header(b"\xff\xfb\x92\x00")[3] == 418
