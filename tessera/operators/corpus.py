@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,3 +139,48 @@ def to_index_row(chunks: DataFrame) -> DataFrame:
 def from_index_row(rows: DataFrame, days: list[str]) -> DataFrame:
     """Back to chunks; a text that is no date or instant fails."""
     return rows.withColumns({n: F.to_date(F.substring(n, 1, 10), "yyyy-MM-dd") for n in days})
+
+
+def fingerprints(hashes: DataFrame, key: str, order: list[str], run: int = 64) -> DataFrame:
+    """(key, n, fingerprint): the SHA-256 of a key's hashes (column h), one a line in the given order.
+
+    Sorted in ranges by all tasks, which join runs of hashes; a key's runs then pass one after another through its hash, so that no task or row holds a key.
+    """
+    kind = hashes.schema[key].dataType.simpleString()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            cells = []
+            for k, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: r[0]):
+                own = [h for _, h in rows]
+                for i in range(0, len(own), run):
+                    cells.append((k, part, seq, len(own[i : i + run]), "\n".join(own[i : i + run])))
+                    seq += 1
+            if cells:
+                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], [key, "part", "seq", "n", "hs"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, name, count, type_ = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], type_), pa.array([count], pa.int64()), pa.array([state.hexdigest()])], [key, "n", "fingerprint"])
+
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for k, n, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or k != name:
+                    if state is not None:
+                        yield done()
+                    state, name, count = hashlib.sha256(), k, 0
+                else:
+                    state.update(b"\n")
+                state.update(hs.encode())
+                count += n
+        if state is not None:
+            yield done()
+
+    by = [key, *order, "h"]
+    runs = hashes.repartitionByRange(*by).sortWithinPartitions(*by).select(key, "h").mapInArrow(join, f"{key} {kind}, part int, seq long, n long, hs string")
+    return runs.repartition(key).sortWithinPartitions(key, "part", "seq").select(key, "n", "hs").mapInArrow(digest, f"{key} {kind}, n long, fingerprint string")

@@ -105,10 +105,9 @@ def baseline_chunks(spark, sf_dir):
 @query(f"""WITH {BASELINE}, per AS (SELECT path, count(*) AS n_chunks, string_agg(sha256(concat(path, '|', id, '|', content)), chr(10) ORDER BY doc_id, word_start) AS s FROM baseline GROUP BY path)
 SELECT path, n_chunks, sha256(s) AS fingerprint FROM per""")
 def corpus_fingerprint(spark, sf_dir):
-    """A hash of hashes for each source, so that no task holds the corpus."""
+    """A hash of hashes for each source; the hashes stream, so that no task holds the corpus or a source."""
     each = baseline_table(spark, sf_dir).select("path", "doc_id", "word_start", F.sha2(F.concat_ws("|", "path", "id", "content"), 256).alias("h"))
-    grouped = each.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_list(F.struct("doc_id", "word_start", "h"))).alias("_h"))
-    return grouped.select("path", "n_chunks", F.sha2(F.array_join("_h.h", "\n"), 256).alias("fingerprint"))
+    return corpus.fingerprints(each, "path", ["doc_id", "word_start"]).withColumnRenamed("n", "n_chunks")
 
 
 @query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id', 120, 20)} SELECT doc_id, count(*) AS n_windows, CAST(0 AS BIGINT) AS n_violations FROM windows GROUP BY doc_id")

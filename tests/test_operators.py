@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, text
 from tessera.operators import analysis, corpus, evidence, fusion, selection, structure
+from tessera.plans import registry
 
 CHUNK = "id string, content string, title string, source_path string, section string, score double, content_hash string, file_type string, department string, document_type string, version string, is_current boolean, sheet_name string, table_number int, row_number int, page_number int"
 
@@ -239,3 +242,20 @@ def test_costs(spark):
 def test_acl(spark):
     rows = spark.createDataFrame([(1, ["Staff"]), (2, ["hr"]), (3, [])], "id int, allowed_groups array<string>")
     assert [r.id for r in corpus.allowed(rows, ["staff"]).collect()] == [1]
+
+
+def test_fingerprints_stream(spark):
+    rows = [(("a", "a", None, "b")[i % 4], i // 8 if i % 5 else None, i % 3, f"{i * 7919 % 1000:03d}") for i in range(3000)] + [("b", 1, 1, "same")] * 200
+    want = {}
+    for k, d, w, h in rows:
+        want.setdefault(k, []).append(((d is not None, d or 0), w, h))
+    want = {(k, len(v), hashlib.sha256("\n".join(x[2] for x in sorted(v)).encode()).hexdigest()) for k, v in want.items()}
+    made = corpus.fingerprints(spark.createDataFrame(rows, "path string, d long, w long, h string").repartition(5), "path", ["d", "w"], run=7)
+    assert {tuple(r) for r in made.collect()} == want and made.count() == 3
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan
+
+
+def test_corpus_fingerprint_gathers_no_source(spark, small):
+    plan = registry.QUERIES["corpus_fingerprint"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
