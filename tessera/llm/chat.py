@@ -2,14 +2,14 @@
 
 Messages form trees by parent id. Root-to-leaf paths are enumerated by iterative self-joins in which each round doubles
 the reach: a table of jumps (message to its ancestor 2^i above) is joined with itself, and every leaf's known path
-with it, so that depth d takes log2(d) rounds. Branches are ranked by the mean score of their messages (a null score counts 0), ties to the
+with it, so that depth d takes log2(d) rounds. A round in which no message reaches its root ends this: what is left runs into a cycle. Branches are ranked by the mean score of their messages (a null score counts 0), ties to the
 smaller leaf; the best ``top`` of each tree are formatted, one conversation each.
 
 The template marks turns; control strings inside texts get a backslash in front of them and of the
 backslashes before them, which reading back takes off again.
 
-Defined results: null text or role is empty; a parent that is missing makes its child a root; messages on a cycle have no
-root and are left out; rows of one turn are ordered by role and text, so repeats stay; an empty table gives an empty
+Defined results: null text or role is empty; a parent that is missing makes its child a root; messages on a cycle, or
+whose ancestors run into one, have no root and are left out; rows of one turn are ordered by role and text, so repeats stay; an empty table gives an empty
 table (but for added conversations); other columns are not looked at.
 """
 
@@ -77,15 +77,22 @@ def tree_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     jumps = materialise(ids.join(known, ids.parent_id == known._id, "left_semi").select("msg_id", F.col("parent_id").alias("up_id")), "tree-jumps")
     parents = jumps.select(F.col("up_id").alias("_id")).distinct()
     leaves = ids.join(parents, ids.msg_id == parents._id, "left_anti")
-    paths = leaves.select(F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up"))
-    for i in range(max_rounds):
-        if jumps.isEmpty():
+    levels, left = [], jumps.count()
+    while left and len(levels) < max_rounds:
+        levels.append(jumps)
+        hops = jumps.select(F.col("msg_id").alias("_from"), "up_id")
+        again = jumps.select("msg_id", F.col("up_id").alias("_mid"))
+        jumps = materialise(again.join(hops, again._mid == hops._from).select("msg_id", "up_id"), "tree-jumps")
+        before, left = left, jumps.count()
+        if left == before:  # a deeper tree would have a message of each depth
+            rootless = jumps.select(F.col("msg_id").alias("_id"))
+            leaves = leaves.join(rootless, leaves.msg_id == rootless._id, "left_anti")
             break
+    paths = leaves.select(F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up"))
+    for i, jumps in enumerate(levels):
         hops = jumps.select(F.col("msg_id").alias("_from"), "up_id")
         more = paths.join(hops, paths.msg_id == hops._from).select("leaf", F.col("up_id").alias("msg_id"), (F.col("up") + (1 << i)).alias("up"))
         paths = materialise(paths.unionByName(more), "tree-paths")
-        again = jumps.select("msg_id", F.col("up_id").alias("_mid"))
-        jumps = materialise(again.join(hops, again._mid == hops._from).select("msg_id", "up_id"), "tree-jumps")
     return paths
 
 

@@ -390,6 +390,14 @@ def test_tree_paths_and_branches(spark):
     assert chat.format_trees(tree, top=2).filter("tree = 1").count() == 2
 
 
+def test_tree_paths_leave_out_tails_on_cycles(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("g", "h"), ("h", "g"), ("t", "g"), ("u", "t"), ("s", "s"), ("v", "s")] + [(f"n{i}", f"n{i - 1}" if i else "lost") for i in range(9)]
+    for part, leaves in ((rows, {"c": 3, "n8": 9}), ([r for r in rows if r[0] in "ghtusv"], {})):
+        paths = chat.tree_paths(spark.createDataFrame(part, "msg_id string, parent_id string"), max_rounds=8)
+        found = paths.collect()
+        assert Counter(r.leaf for r in found) == leaves and len({(r.leaf, r.up) for r in found}) == len(found)
+
+
 def test_chat_query(spark, small):
     rows = {r.conv_id: r for r in QUERIES["op6_chat_format"](spark, small).collect()}
     turns = {}
