@@ -7,7 +7,7 @@ import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh local one only where the session names none."""
+    """The folder that all executors share; a fresh local one only where the session names none and all tasks run in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
         root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +43,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if folder.getParent().getName() == "tessera":
+                folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def private(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like those given that no column has (case does not count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
@@ -78,11 +102,12 @@ def marked(ids: DataFrame, column: str) -> DataFrame:
     table = [0] * (1 << (MARK_BITS - 6))
     for row in words.collect():  # at most 2**18 words
         table[row.w] = row.b
-    return spark.createDataFrame([(table,)], "_bits array<long>")
+    return spark.createDataFrame([(table,)], "bits array<long>")
 
 
 def maybe_in(docs: DataFrame, column: str, bitmap: DataFrame, keep: bool = True) -> DataFrame:
     """The rows whose id may be (keep) or is surely not among the marked: spares the others the shuffle of a join."""
+    (bits,) = private(docs.columns, "_bits")
     place = F.pmod(F.xxhash64(docs[column].cast("long")), F.lit(1 << MARK_BITS))
-    bit = F.call_function("shiftright", F.get(F.col("_bits"), F.shiftright(place, 6).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return docs.join(F.broadcast(bitmap), bit, "left_semi" if keep else "left_anti")
+    bit = F.call_function("shiftright", F.get(F.col(bits), F.shiftright(place, 6).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.join(F.broadcast(bitmap.toDF(bits)), bit, "left_semi" if keep else "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +23,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root) of every node of edges (a, b); root is the component's least id. Each round is written, so none is ever redone."""
+    """(id, root) of every node of edges (a, b); root is the component's least id. Each round is written, so none is ever redone, and the one before goes.
+
+    Rounds double what a path is shortened by; edges that still change after ``max_rounds`` are an error, never a half-joined answer.
+    """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "components")
+        old, now = now, materialise(_star(_star(now, True), False), "components")
+        discard(old)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
