@@ -79,6 +79,60 @@ def header(four: bytes) -> tuple[int, int, int, int, int, int, bool] | None:
     return version, layer, hz, size, samples, side, not four[1] & 1
 
 
+# Fixed values of the standards: bits of an allocation by subband of Layer II, (bits, subbands) in order.
+_ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
+
+
+def _layer2_bits(version: int, hz: int, kbits: int, channels: int) -> list[int]:
+    each = kbits // channels
+    if version != 3:
+        name = "low"
+    elif each <= 48:
+        name = "d" if hz == 32000 else "c"
+    else:
+        name = "a" if hz == 48000 or each <= 80 else "b"
+    return [bits for bits, n in _ALLOCATION[name] for _ in range(n)]
+
+
+def protected_bits(frame: bytes) -> tuple[bytes, int] | None:
+    """What a frame's checksum covers behind its header: bytes and how many bits of them; None if the frame is too short."""
+    version, layer, hz, _, _, side, _ = header(frame[:4])
+    mode = frame[3] >> 6
+    channels = 1 if mode == 3 else 2
+    if layer == 3:
+        return (frame[6 : 6 + side], 8 * side) if len(frame) >= 6 + side else None
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if mode == 1 else 32
+    if layer == 1:
+        bound = min(bound, 32)
+        used = 4 * (channels * bound + 32 - bound)
+    else:
+        bits = _layer2_bits(version, hz, RATES[(1 if version == 3 else 2, 2)][frame[2] >> 4], channels)
+        body, used, extra = int.from_bytes(frame[6:], "big"), 0, 0
+        total = 8 * (len(frame) - 6)
+        for band, n in enumerate(bits):
+            shared = channels == 2 and band >= bound
+            for _ in range(1 if shared else channels):
+                if used + n > total:
+                    return None
+                held = body >> (total - used - n) & ((1 << n) - 1)
+                used, extra = used + n, extra + (2 * (2 if shared else 1) if held else 0)
+        used += extra
+    return (frame[6 : 6 + (used + 7) // 8], used) if len(frame) >= 6 + (used + 7) // 8 else None
+
+
+def checksum_holds(frame: bytes) -> bool:
+    """Whether the checksum of a protected frame is right."""
+    found = protected_bits(frame)
+    if found is None:
+        return False
+    body, bits = found
+    value = crc16(frame[2:4] + body[: bits // 8])
+    for i in range(bits % 8):  # bits of an unfinished byte
+        bit = body[bits // 8] >> (7 - i) & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if (value >> 15) ^ bit else 0)
+    return value == int.from_bytes(frame[4:6], "big")
+
+
 def _frame_head(rate: int, protect: bool) -> bytes:
     """MPEG-1 Layer III, 48 kHz, mono, with an empty side information: silence."""
     head = bytes((0xFF, 0xFA if protect else 0xFB, rate << 4 | 0x04, 0xC0))
@@ -93,23 +147,15 @@ _FULL_HEAD = _HEADS[_FULL_RATE] + struct.pack(">H", UNIT)
 _FULL_TAIL = bytes(_SIZES[_FULL_RATE] - len(_FULL_HEAD) - UNIT)
 
 
-def _frame(data: bytes) -> bytes:
-    rate = next(r for r in range(1, 15) if _SIZES[r] >= len(_HEADS[r]) + 2 + len(data))
-    body = _HEADS[rate] + struct.pack(">H", len(data)) + data
-    return body + bytes(_SIZES[rate] - len(body))
-
-
 def pad(data: bytes) -> bytes:
     """Bytes 255 up to a positive multiple of the unit."""
     return data + b"\xff" * ((-len(data)) % UNIT or (UNIT if not data else 0))
 
 
 def encode(data: bytes) -> bytes:
-    """A stream with an ID3 tag, a variable-bitrate table and one checked frame for each unit; the padding is implied."""
-    whole = len(data) // UNIT
-    frames = [_FULL_HEAD + data[i * UNIT : (i + 1) * UNIT] + _FULL_TAIL for i in range(whole)]
-    if len(data) % UNIT or not data:
-        frames.append(_frame(data[whole * UNIT :]))
+    """A stream with an ID3 tag, a variable-bitrate table and one checked frame for each unit of the payload; data is padded to whole units first."""
+    data = pad(data)
+    frames = [_FULL_HEAD + data[i : i + UNIT] + _FULL_TAIL for i in range(0, len(data), UNIT)]
     first = _frame_head(9, False)
     total, size = len(frames), _SIZES[9] + sum(map(len, frames))
     full, lead = len(_FULL_HEAD) + UNIT + len(_FULL_TAIL), _SIZES[9]
@@ -155,7 +201,7 @@ def _reach(data: bytes, start: int, cuts: list[int]) -> int:
         if info and (kind is None or info[:3] == kind) and at + info[3] <= len(data):
             after = at + info[3]
             follow = header(data[after : after + 4])
-            held = info[6] and info[1] == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + info[5]]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            held = info[6] and checksum_holds(data[at : at + info[3]])
             tail = data[after : after + 3] == b"TAG" or data[after : after + 8] == b"APETAGEX"
             if after == len(data) or held or tail or (follow and follow[:3] == info[:3]) or (kind and len(data) - after < 4):
                 kind, at, last = info[:3], after, after
@@ -205,16 +251,15 @@ def index(data: bytes) -> dict:
                 if not offsets and table is None and (table := _vbr(data, at, info)):
                     kind, at = info[:3], after
                     continue
-                if info[6] and info[1] == 3:
-                    held = int.from_bytes(data[at + 4 : at + 6], "big")
-                    right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + info[5]]) == held
+                if info[6]:
+                    right = checksum_holds(data[at : at + info[3]])
                     good, bad = good + right, bad + (not right)
                 offsets.append(at)
                 infos.append(info)
                 kind, at = info[:3], after
                 continue
         # the last frame before a damaged stretch has no follower: it counts if its checksum holds
-        if info and kind == info[:3] and info[6] and info[1] == 3 and at + info[3] <= end and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + info[5]]) == int.from_bytes(data[at + 4 : at + 6], "big"):
+        if info and kind == info[:3] and info[6] and at + info[3] <= end and checksum_holds(data[at : at + info[3]]):
             offsets.append(at)
             infos.append(info)
             good, at = good + 1, at + info[3]
@@ -227,12 +272,12 @@ def index(data: bytes) -> dict:
 
 
 def decode(data: bytes, found: dict) -> bytes:
-    """The payload of a stream made by ``encode``, padded to whole units."""
+    """The payload of a stream made by ``encode``: what its frames hold, nothing added."""
     out = []
     for at, info in zip(found["offsets"], found["infos"], strict=True):
         p = at + 4 + 2 * info[6] + info[5]
         n = int.from_bytes(data[p : p + 2], "big")
-        out.append(data[p + 2 : p + 2 + n].ljust(UNIT, b"\xff"))
+        out.append(data[p + 2 : p + 2 + n])
     return b"".join(out)
 
 
