@@ -9,7 +9,8 @@ The template marks turns; control strings inside texts get a backslash in front
 backslashes before them, which reading back takes off again.
 
 Defined results: null text or role is empty; a parent that is missing makes its child a root; messages on a cycle, or
-whose ancestors run into one, have no root and are left out; rows of one turn are ordered by role and text, so repeats stay; an empty table gives an empty
+whose ancestors run into one, have no root and are left out; of rows that repeat a message id the least by parent, tree, role, text
+and score counts, messages without an id are left out; a branch whose messages name several trees is the least one's; rows of one turn are ordered by role and text, so repeats stay; an empty table gives an empty
 table (but for added conversations); other columns are not looked at.
 """
 
@@ -96,11 +97,14 @@ def tree_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     return paths
 
 
-def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, leaf, branch, n_turns, formatted, loss_spans) of the best branches; messages: (tree, msg_id, parent_id, role, text, score)."""
+def format_trees(messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
+    """(tree, leaf, branch, formatted, loss_spans) of the best branches; messages: (tree, msg_id, parent_id, role, text, score)."""
+    if not unique:
+        rest = F.min(F.struct("parent_id", "tree", "role", "text", "score")).alias("m")
+        messages = materialise(messages.filter("msg_id is not null").groupBy("msg_id").agg(rest).select("msg_id", "m.*"), "tree-messages")
     paths = tree_paths(messages)
     scored = paths.join(messages.select("msg_id", "tree", F.coalesce("score", F.lit(0.0)).alias("_score")), "msg_id")
-    branches = scored.groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("_score").alias("branch_score"))
+    branches = scored.groupBy("leaf").agg(F.min("tree").alias("tree"), F.avg("_score").alias("branch_score"))
     ranked = branches.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))).filter(F.col("branch") <= top)
     chosen = paths.join(ranked.select("leaf", "tree", "branch"), "leaf").join(messages.select("msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "msg_id")
     turns = chosen.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))

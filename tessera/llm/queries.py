@@ -37,7 +37,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat.digest(chat.format_trees(chat.conversation_messages(rows.unionByName(added))))
+    return chat.digest(chat.format_trees(chat.conversation_messages(rows.unionByName(added)), unique=True))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
