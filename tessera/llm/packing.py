@@ -12,7 +12,9 @@ occur; an empty table gives an empty table; only documents longer than the capac
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,14 +29,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, slices
 
+#: Fixed value: the pattern of pieces for which the way by words is proven by tests.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), ...
 
 
 class WordTokenizer:
-    """Ids of whole texts by way of their words: a vocabulary whose pieces never cross white space gives the same ids word by word.
+    """Ids of whole texts by way of their words: a vocabulary that lower-cases and whose pieces never cross white space gives the same ids word by word.
 
     Words meet the tokenizer once a batch; ASCII marks behind a Latin letter or digit are a piece of their own in such a vocabulary, so they are
-    looked up apart. A table keeps what was met more than once.
+    looked up apart. A table keeps what was met more than once. The tokenizer's file is asked whether its steps are of this kind (``by_words``); if they are not,
+    and for texts that hold the string of an added token in any case, whole texts meet the tokenizer.
     """
 
     MARK = "\x01"  # parts words that are encoded together
@@ -45,8 +50,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model.no_truncation()
+        self.model.no_padding()
+        steps = json.loads(self.model.to_str())
+        self.by_words = by_words(steps)
+        self.added = "|".join(re.escape(t["content"]) for t in steps["added_tokens"])
         self.stop = self.model.encode(self.MARK, add_special_tokens=False).ids
         self.keep, self.known, self.table, self.starts = keep, {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -68,8 +76,25 @@ class WordTokenizer:
             ids.append(flat[flat != self.stop[0]])
         return np.concatenate(ids), np.concatenate(counts)
 
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return self.whole(texts.to_pylist())
+        if self.added:
+            special = np.flatnonzero(pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False))
+            if len(special):
+                rest = pc.if_else(pa.array(np.isin(np.arange(len(texts)), special)), "", texts)
+                out = self._by_words(rest)
+                for i, ids in zip(special, self.whole(texts.take(pa.array(special)).to_pylist()), strict=True):
+                    out[i] = ids
+                return out
+        return self._by_words(texts)
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
         ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         words = pc.dictionary_encode(pc.ascii_lower(lists.flatten()))
         if isinstance(words, pa.ChunkedArray):
@@ -108,6 +133,18 @@ class WordTokenizer:
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(size))
 
 
+def by_words(steps: dict) -> bool:
+    """Whether a tokenizer's steps are known to work inside words: lower-casing, pieces cut out by a pattern that leaves white space out, end-of-word merges."""
+    flat = lambda step, name: [] if step is None else sum((flat(x, name) for x in step[name]), []) if step["type"] == "Sequence" else [step]
+    first, second = flat(steps["normalizer"], "normalizers"), flat(steps["pre_tokenizer"], "pretokenizers")
+    blanks = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in first)
+    cut = bool(second) and second[0]["type"] == "Split" and second[0]["behavior"] == "Removed" and second[0]["invert"] and second[0]["pattern"] == {"Regex": _PIECES}
+    rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in second[1:])
+    plain = all(not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in steps["added_tokens"])
+    model = steps["model"]["type"] == "BPE" and steps["model"].get("end_of_word_suffix") == "</w>" and not steps["model"].get("dropout")
+    return blanks and any(x["type"] == "Lowercase" for x in first) and cut and rest and plain and model and steps["post_processor"] is None
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all spans, one behind the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -260,11 +297,18 @@ def places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 500_000) -> DataFrame:
-    """pieces (stored: it is read twice) with sequence_id and offset."""
+    """pieces (stored: it is read twice) with sequence_id and offset.
+
+    A piece as long as a sequence is one by itself and needs no rank: its sequence is a negative number of its own. Each document has at most one
+    other piece, so what meets in a window is bounded by documents of one length and by the salts, whose number is bounded as the driver holds a count
+    for each length and salt.
+    """
+    whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.filter(F.col("length") < capacity)
     total = pieces.count()
-    salts = min(512, 16 + total // rows_per_salt)
+    salts = min(2048, 16 + total // rows_per_salt)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "_salt").count().toArrow()  # at most capacity x 512 numbers
+    groups = salted.groupBy("length", "_salt").count().toArrow()  # at most capacity x 2048 numbers
     first = np.zeros((capacity + 1, salts), np.int64)
     first[groups["length"].to_numpy(), groups["_salt"].to_numpy()] = groups["count"].to_numpy()
     counts = {n: int(k) for n, k in enumerate(first.sum(axis=1)) if k}
@@ -289,7 +333,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 500_000)
             yield pa.RecordBatch.from_arrays([*(by[n] for n in names), pa.array(row[:, 3] + copy), pa.array(row[:, 4] + slot * length)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
