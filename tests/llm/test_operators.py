@@ -11,12 +11,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, graph, html_text, jaccard, lines, mixing, mpeg, packing, pitman_yor, topk, toxicity
+from tessera.llm import chat, common, graph, html_text, jaccard, lines, mixing, mpeg, packing, pitman_yor, topk, toxicity
 from tessera.llm.common import table
 from tessera.llm.queries import QUERIES, SQL
 from tests.oracle import connect, same
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, taken string, rank string"
+CLASHING = ["size", "taken", "rank", "_doc", "_drops", "_bits", "_made", "_gone", "_copies", "_copy", "_row", "_kept_text", "_n_lines", "_n_dropped", "doc_key", "id", "root", "copies"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in CLASHING)
 FIRST = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
@@ -24,7 +25,7 @@ def documents(spark):
     """Nulls in all columns, empty and blank and long texts, repeated rows, ties, columns with clashing names."""
     rows = [(1, FIRST, "en", "a", 1), (2, FIRST + " phi", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "b", 0), (5, " \n\t", "en", "b", 3), (6, FIRST, "en", None, 1), (6, FIRST, "en", None, 1), (None, "a line that is long enough\nshort", "en", "b", 1)]
     rows += [(i, f"a line that is long enough\nown words {i} of this one\n", "en", "c", 1) for i in range(7, 11)] + [(20, "word " * 30_000, "en", "c", 1)]
-    return spark.createDataFrame([(*r, "x", "x", "x") for r in rows], DOCS)
+    return spark.createDataFrame([(*r, *("x" for _ in CLASHING)) for r in rows], DOCS)
 
 
 def nothing(spark):
@@ -35,6 +36,16 @@ def labels(spark):
     return spark.createDataFrame([(i, 1, i % 2) for i in range(1, 11)], "doc_id long, quality int, toxic int")
 
 
+def test_work_dir_is_shared(monkeypatch, spark):
+    class Session:
+        def __init__(self, master):
+            self.conf = {"spark.master": master}
+
+    with pytest.raises(RuntimeError):
+        common.work_dir(Session("spark://host:7077"))
+    assert common.private(["a", "_A"], "a", "b") == ["__a", "b"]
+
+
 # 1 MPEG audio
 
 
@@ -49,6 +60,56 @@ def test_mpeg_round_trip(n):
         assert found["tags"]["TENC"] == b"\x03lossless"
 
 
+def test_mpeg_stores_the_padding():
+    assert b"abc" + b"\xff" * 573 in mpeg.encode(b"abc") and b"\xff" * 576 in mpeg.encode(b"")
+
+
+def bit_crc(bits):
+    value = 0xFFFF
+    for bit in bits:
+        top = value >> 15 ^ bit
+        value = value << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return value
+
+
+def plain_bits(data):
+    return [b >> i & 1 for b in data for i in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(
+    ("third", "fourth", "allocation"),
+    [
+        (0xFE, 0xC4, [4] * 32), (0xFE, 0x04, [4] * 64), (0xFE, 0x54, [4] * (2 * 8 + 24)),  # Layer I: mono, stereo, joint from 8
+        (0xFC, 0x04, [4] * 22 + [3] * 24 + [2] * 8), (0xFC, 0xC4, [4] * 11 + [3] * 12 + [2] * 4), (0xFC, 0x44, [4] * (2 * 4 + 7) + [3] * 12 + [2] * 4),  # Layer II, table a
+        (0xF4, 0xC4, [4] * 4 + [3] * 7 + [2] * 19),  # half the sample rate
+    ],
+)
+def test_mpeg_checksums_of_layers_one_and_two(third, fourth, allocation):
+    draw = random.Random(third * 256 + fourth)
+    head = bytes((0xFF, third, 0x94, fourth))  # 48 or 24 kHz; 128 kbit/s or more for two channels
+    layer, size = mpeg.header(head)[1], mpeg.header(head)[3]
+    frames = []
+    for _ in range(5):
+        bits, pairs = [], []
+        lone = 2 * 8 if fourth == 0x54 else 2 * 4 if fourth == 0x44 else None
+        for i, n in enumerate(allocation):
+            value = draw.randrange(1 << n)
+            bits += [value >> k & 1 for k in range(n - 1, -1, -1)]
+            pairs.append(0 if not value else 1 if lone is None or i < lone else 2)
+        if layer == 2:
+            bits += [draw.randrange(2) for _ in range(2 * sum(pairs))]
+        held = bit_crc(plain_bits(head[2:]) + bits)
+        body = bits + [draw.randrange(2) for _ in range(8 * (size - 6) - len(bits))]
+        raw = bytes(sum(b << (7 - k) for k, b in enumerate(body[i : i + 8])) for i in range(0, len(body), 8))
+        frames.append(head + held.to_bytes(2, "big") + raw)
+    assert all(mpeg.checksum_holds(f) for f in frames)
+    assert not any(mpeg.checksum_holds(f[:6] + bytes((f[6] ^ 16,)) + f[7:]) for f in frames) or layer == 2
+    found = mpeg.index(b"".join(frames))
+    assert (len(found["offsets"]), found["crc_good"], found["crc_bad"]) == (5, 5, 0)
+    wrong = b"".join(frames[:2]) + frames[2][:4] + bytes((frames[2][4] ^ 1,)) + frames[2][5:] + b"".join(frames[3:])
+    assert (mpeg.index(wrong)["crc_good"], mpeg.index(wrong)["crc_bad"]) == (4, 1)
+
+
 def test_mpeg_resynchronises():
     stream = mpeg.encode(random.Random(1).randbytes(6000))
     at = mpeg.index(stream)["offsets"]
@@ -364,6 +425,23 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(nothing(spark)).count() == 0
 
 
+def test_lines_need_the_anti_join(spark, monkeypatch):
+    rows = [(i, "a line that is long enough\nown line number %d of this text" % i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines.Runs, "merge_anti", lambda self, batch: batch.withColumn("fresh", F.lit(True)))
+    with pytest.raises(Exception, match="fresh twice"):
+        lines.dedup_lines(docs).collect()
+    monkeypatch.setattr(lines.Runs, "merge_anti", lambda self, batch: batch.withColumn("fresh", F.lit(False)))
+    assert sum(r._n_dropped for r in lines.dedup_lines(docs).collect()) != 39
+
+
+def test_lines_of_very_long_texts(spark):
+    text = "\n".join(f"a line of some length, number {i % 9000}" for i in range(30_000))
+    rows = [(1, text), (2, text), (3, text + "\nshort"), (4, "own line that nobody else has")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r._n_lines, r._n_dropped, r._kept_text) for r in got) == brute_lines(rows)
+
+
 # 6 chat
 
 
@@ -398,6 +476,12 @@ def test_tree_paths_leave_out_tails_on_cycles(spark):
         assert Counter(r.leaf for r in found) == leaves and len({(r.leaf, r.up) for r in found}) == len(found)
 
 
+def test_trees_with_repeated_messages(spark):
+    rows = [(1, "a", None, "user", "hi", 0.0), (1, "a", None, "user", "hi", 0.0), (1, "b", "a", "assistant", "yes", 1.0), (2, "b", "a", "assistant", "yes", 1.0), (1, None, "a", "user", "lost", 0.0)]
+    got = chat.format_trees(spark.createDataFrame(rows, "tree long, msg_id string, parent_id string, role string, text string, score double")).collect()
+    assert [(r.tree, r.leaf, chat.parse_turns(r.formatted)) for r in got] == [(1, "b", [("user", "hi"), ("assistant", "yes")])]
+
+
 def test_chat_query(spark, small):
     rows = {r.conv_id: r for r in QUERIES["op6_chat_format"](spark, small).collect()}
     turns = {}
@@ -460,13 +544,23 @@ def test_tokens_by_words_are_the_tokenizer_s():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = ["a\x1cb c d <|endoftext|> x", "É é ΣΑΣ Σ'S don't", "", None, "z\x85y 12a_b", "foo.,! Ünï?. don't's.'s a—. x\x01y é. 9. ÿ|| ..", "A'S. İI. The THE the, the.", " \n"]
+    texts = ["x<|endoftext|>Y <|startoftext|>", "<|ENDOFTEXT|> z", "<|endoftext|", "a\x1cb c d <|endoftext|> x", "É é ΣΑΣ Σ'S don't", "", None, "z\x85y 12a_b", "foo.,! Ünï?. don't's.'s a—. x\x01y é. 9. ÿ|| ..", "A'S. İI. The THE the, the.", " \n"]
     made = packing.WordTokenizer(path, keep=3)
     for _ in range(2):
         assert [x.tolist() for x in made(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_meet_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, made = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["The  THE\n\n the<|endoftext|>", "", None, "don't  stop\t"]
+    assert not made.by_words and packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_words
+    assert [x.tolist() for x in made(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_query(spark, small):
     rows = QUERIES["op7_best_fit"](spark, small).collect()
     bins = {}
@@ -481,6 +575,7 @@ def test_packing_query(spark, small):
     lengths = Counter()
     for r in rows:
         lengths[r.doc_id] += r.length
+    assert len({r.sequence_id for r in rows if r.length == 2048}) == sum(r.length == 2048 for r in rows) > 0
     assert len(lengths) == table(spark, small, "documents").count() and len(bins) <= 1.01 * math.ceil(sum(lengths.values()) / 2048) + 1
 
 
@@ -540,6 +635,30 @@ def test_topk_equals_brute_force(spark):
     assert set(got) == {i for i in ok if i % 50 == 0}
 
 
+@pytest.mark.parametrize(("power", "n"), [(9, 12), (21, 12), (40, 12), (40, 1)])
+def test_topk_is_exact_for_large_components(spark, power, n):
+    draw = np.random.default_rng(power)
+    rows = [(int(i), [float(x) for x in np.floor(draw.normal(size=n) * 2.0**power) / 256]) for i in range(120)]
+    rows += [(0, rows[3][1]), (3, rows[3][1]), (3, rows[3][1]), (50, rows[50][1]), (50, [1.0])]  # repeated ids: each row counts
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    if power == 40 and n == 12:
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(docs, class_block=16).collect()
+        return
+    if power == 40:
+        rows = [(i, [x[0] / 2.0**11]) for i, x in rows]
+        docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for a, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for b, (i, w) in enumerate(whole) if a != b)[:5]
+            want.update((q, k, i, -s) for k, (s, i) in enumerate(best, 1))
+    for block in (16, 8192):
+        got = topk.top_k(docs, class_block=block, query_block=3).collect()
+        assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_topk_bound_is_a_bound():
     draw = np.random.default_rng(2)
     x, y = draw.integers(-256, 256, (40, 63)).astype(float), draw.integers(-256, 256, (50, 63)).astype(float)
@@ -580,6 +699,56 @@ def test_toxicity_learns_and_locates(spark):
     assert hits and sum("vile" in h for h in hits) >= 0.95 * len(hits)
 
 
+def test_toxicity_is_not_length():
+    draw = random.Random(3)
+    said = lambda n: ". ".join(" ".join(f"w{draw.randint(0, 300)}" for _ in range(8)) for _ in range(n))
+    texts = [said(draw.randint(1, 12)) + (". you vile oaf" if i % 6 == 0 else ". you may go") for i in range(1500)]
+    weights, bias = toxicity.fit(texts, np.asarray([int(i % 6 == 0) for i in range(1500)]))
+
+    def score(text):
+        z = [sum(weights.get(w, 0) for w in set(toxicity.tokens(text[a:b]))) + bias if set(toxicity.tokens(text[a:b])) & weights.keys() else -math.inf for a, b in toxicity.sentences(text)]
+        return toxicity.document_scores(1 / (1 + np.exp(-np.asarray(z))), np.zeros(len(z), int), 1)[0]
+
+    for n in (10, 200, 1000, 5000):
+        assert score(said(n)) < 0.1 and score(said(n) + ". you may go" * n) < 0.1 and score(said(n) + ". you vile oaf") > 0.5
+
+
+def test_toxicity_gradient():
+    draw = np.random.default_rng(5)
+    n, m, width = 40, 15, 7
+    rows = np.sort(np.append(np.arange(n), draw.integers(0, n, 50)))
+    columns, owners = draw.integers(0, width, len(rows)), np.sort(draw.integers(0, m, n))
+    y, balance, theta = draw.integers(0, 2, m).astype(float), draw.random(m), draw.normal(size=width + 2)
+    value, grad = toxicity.likelihood(theta, columns, rows, owners, y, balance)
+    logits = [theta[-2] + sum(theta[c] for c, r in zip(columns, rows, strict=True) if r == s) for s in range(n)]
+    want = 0.0
+    for d in range(m):
+        clean = 1 - 1 / (1 + math.exp(-theta[-1]))
+        for s in range(n):
+            if owners[s] == d:
+                clean *= 1 - 1 / (1 + math.exp(-logits[s]))
+        want += balance[d] * math.log(1 - clean if y[d] else clean)
+    assert value == pytest.approx(want)
+    for i in range(width + 2):
+        step = np.eye(width + 2)[i] * 1e-6
+        up, down = (toxicity.likelihood(theta + s, columns, rows, owners, y, balance)[0] for s in (step, -step))
+        assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_toxicity_of_other_scripts():
+    assert len(toxicity.sentences("这是好的。那是坏的！第三句")) == 3 and toxicity.tokens("坏的东西") == ["坏的", "的东", "东西"]
+    texts = ["今天天气很好。我们去公园散步。" + ("你是坏蛋。" if i % 4 == 0 else "你是朋友。") for i in range(400)]
+    weights, _ = toxicity.fit(texts, np.asarray([int(i % 4 == 0) for i in range(400)]))
+    assert weights["坏蛋"] > 0
+
+
+def test_toxicity_training_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "you vile oaf. " * 200 if i % 2 else "a kind word. " * 200) for i in range(60)] * 2, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, known, max_bytes=20_000).filter("word is not null").count() >= 0
+    assert {r.score for r in toxicity.toxicity(docs, known, max_bytes=0).collect()} == {0.0}
+
+
 def test_toxicity_edges(spark):
     rows = toxicity.toxicity(documents(spark), labels(spark)).collect()
     assert len(rows) == documents(spark).count() and all(0 <= r.score <= 1 for r in rows)
