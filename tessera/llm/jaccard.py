@@ -2,14 +2,15 @@
 
 Texts become sets of word n-grams. Texts with equal sets form one class, so exact copies cost as much as one text.
 Bands and rows are chosen from the target recall at the threshold; classes are dealt by band hashes and the buckets they share tie
-them into candidate groups (components, found by alternating stars, never in one task). Inside a group every pair is verified on
-the full n-gram sets: small groups are dealt many to a task, large ones as pairs of blocks of bounded size. A task returns for each class the
-number of its links and its place in a spanning forest, never the pairs, so that a group's square is neither shuffled nor stored,
-and no link between different texts is lost inside a group.
+them into candidate groups (components, found by alternating stars, never in one task). Inside a group pairs are verified on
+the full n-gram sets. Groups of few texts are dealt many to a task, by their size in n-grams. Larger groups are parted by size class first: sets whose sizes differ by more than
+the threshold can't be linked, so a class meets itself and the next one only, as pairs of blocks bounded in rows and n-grams. A task returns for each class the
+number of its links and its place in a spanning forest, never the pairs, so that pairs are neither shuffled nor stored, and no link between different texts is lost
+inside a group. What a group costs beyond that: its texts are sent once for each block that theirs meets.
 
 Defined results: words are runs of other characters than blank and the controls 9 to 13, A-Z lower-cased; a text of fewer words than n is one n-gram of all its
-words; null, empty and blank texts have no n-grams and no links; repeated rows are copies of each other; an id on rows with other texts has the
-links of all its texts; a class or group is named by its least id, texts that only stand under null ids have no links but their copies; an empty table gives an empty table; other columns are not looked at.
+words; null, empty and blank texts have no n-grams and no links; repeated rows are copies of each other, every row has the links of its own text; a class
+or group is named by its least id, by null if all its ids are null (``class_key`` tells such groups apart); an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import marked, materialise, maybe_in, slices
+from tessera.llm.common import discard, marked, materialise, maybe_in, slices
 from tessera.llm.graph import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL, BLOCK = 64, 1024
+#: n-grams (8 bytes each) of a block of a large group, and of the small groups that meet in one task.
+BLOCK_GRAMS, TASK_GRAMS = 2 << 20, 4 << 20
 
 
 def bands_for(threshold: float, recall: float, chance: float = 0.2) -> tuple[int, int]:
@@ -70,8 +73,12 @@ class Grams:
         return np.unique(_mix(out))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
-    """(doc_id, s1, s2, grams, bands): the set's 128-bit digest, its size and its band hashes."""
+    """(doc_id, text_hash, s1, s2, grams, bands): the set's 128-bit digest, its size and its band hashes."""
     bands, rows = bands_for(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +89,7 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
         grams = Grams(n)
         for part in slices(batches):
             digests, counts, found = [], [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 g = grams(text)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(g.tobytes()), "<i8"))
                 counts.append(len(g))
@@ -95,9 +102,9 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 band = _mix((_mix(least).reshape(bands, rows) * c).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                 found.append(band.view(np.int64))
             pair = np.asarray(digests)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "s1", "s2", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "s1", "s2", "grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, grams long, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, s1 long, s2 long, grams long, bands array<long>")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -147,7 +154,10 @@ def _forest(linked: np.ndarray, names: np.ndarray, columns: np.ndarray) -> list[
 
 
 def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, links, other): links of a class found in one task, and spanning edges (id, other) with links 0; members: (root, id, copies, size, text)."""
+    """(id, links, other): links of a class found in one task, and spanning edges (id, other) with links 0.
+
+    members: (deal, part, step, i, j, side, root, id, copies, text). Rows of a root in one task meet each other if all are on side 0, else side 0 meets side 1.
+    """
 
     def found(names: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], same: bool) -> list[tuple[int, int, int | None]]:
         linked = _links([sets[i] for i in left], [sets[i] for i in right], threshold)
@@ -162,42 +172,81 @@ def verify(members: DataFrame, n: int, threshold: float) -> DataFrame:
         roots, sides = group["root"].to_numpy(), group["side"].to_numpy()
         names, copies = group["id"].to_numpy(), group["copies"].to_numpy()
         sets = [grams(x) for x in group["text"].to_pylist()]
-        for root in np.unique(roots):
-            once = {(names[i], sets[i].tobytes()): i for i in np.flatnonzero(roots == root)}  # a class's id may stand on repeated rows
-            own = np.asarray(sorted(once.values()))
-            left, right = own[sides[own] <= 0], own[sides[own] >= 1]
-            if len(right) == 0:
+        order = np.lexsort((names, roots))
+        for own in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            own = own[np.append(True, np.diff(names[own]) != 0)]  # rows that repeat an id bring a text twice
+            left, right = own[sides[own] == 0], own[sides[own] == 1]
+            if key[2].as_py() == 0 and key[3].as_py() == key[4].as_py():
                 rows += found(names, copies, left, left, sets, True)
-            elif len(left):
+            elif len(left) and len(right):
                 rows += found(names, copies, left, right, sets, False)
         return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "other": pa.array([r[2] for r in rows], pa.int64())})
 
-    small = members.filter(F.col("size") <= SMALL).withColumn("_deal", F.pmod(F.xxhash64("root"), F.lit(4096))).select("_deal", F.lit(-1).alias("_i"), F.lit(-1).alias("_j"), F.lit(0).alias("side"), "root", "id", "copies", "text")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = members.filter(F.col("size") > SMALL).withColumn("_b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select(F.col("root").alias("_deal"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), "root", "id", "copies", "text")
-    return small.unionByName(large).groupBy("_deal", "_i", "_j").applyInArrow(run, "id long, links long, other long")
+    return members.groupBy("deal", "part", "step", "i", "j").applyInArrow(run, "id long, links long, other long")
+
+
+def deal(named: DataFrame, threshold: float) -> DataFrame:
+    """named (root, id, grams, ...) with the tasks of each class: (deal, part, step, i, j, side), one row a task it takes part in.
+
+    part: the size class; step 0: blocks i and j of one size class meet, step 1: block i of a size class and block j of the next.
+    """
+    base = math.log(1 / (threshold * 0.999))  # a little wider than the threshold, against rounding
+    named = named.withColumn("part", F.floor(F.log(F.col("grams").cast("double")) / base).cast("int"))
+    whole = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("grams").alias("all_grams"))
+    named = materialise(named.join(whole, "root"), "jaccard-groups")
+    is_small = (F.col("size") <= SMALL) & (F.col("all_grams") <= BLOCK_GRAMS)
+    total = named.filter(is_small).agg(F.sum("grams")).first()[0] or 0
+    zero = F.lit(0)
+    small = named.filter(is_small).select("*", F.pmod(F.xxhash64("root"), F.lit(1 + total // TASK_GRAMS)).alias("deal"), zero.alias("step"), zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    large = named.filter(~is_small)
+    sizes = large.groupBy("root", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    for name, step in (("blocks", 0), ("above", 1), ("below", -1)):
+        other = sizes.select("root", (F.col("part") - step).alias("part"), F.col("blocks").alias(name))
+        large = large.join(other, ["root", "part"], "left")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = lambda n, f: F.when(F.col(n).isNull(), F.array()).otherwise(F.transform(F.sequence(zero, F.col(n) - 1), f))
+    place = lambda part, step, i, j, side: F.struct(part.alias("at"), step.alias("step"), i.alias("i"), j.alias("j"), side.alias("side"))
+    b, part = F.col("block"), F.col("part")
+    tasks = F.concat(
+        each("blocks", lambda o: place(part, zero, F.least(b, o), F.greatest(b, o), (b > o).cast("int"))),
+        each("above", lambda o: place(part, F.lit(1), b, o, zero)),
+        each("below", lambda o: place(part - 1, F.lit(1), o, b, F.lit(1))),
+    )
+    large = large.withColumn("block", block).withColumn("task", F.explode(tasks)).select(*named.columns, F.col("root").alias("deal"), "task.*").drop("part").withColumnRenamed("at", "part")
+    return small.withColumn("part", zero).unionByName(large)
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links) of every row: its group of texts linked at the threshold, its class of equal sets, and the number of other rows it is linked to."""
+    """(doc_id, text_hash, class_id, class_key, copy_of, n_links) of every row: its group of texts linked at the threshold, its class of equal sets, and the number of other rows it is linked to."""
     signed = materialise(signatures(docs, n, threshold, recall), "jaccard-signatures")
-    classes = signed.filter("grams > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep")
+    classes = signed.filter("grams > 0").groupBy("s1", "s2").agg(least, F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.min("grams").alias("grams"))
     classes = materialise(classes, "jaccard-classes")
-    dealt = classes.filter("id is not null").select("id", F.explode("bands").alias("band"))
-    least = dealt.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    ties = dealt.join(least, "band").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    groups = components(ties)
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    copies = classes.groupBy("id").agg(F.max("copies").alias("copies"))
-    named = materialise(sized.join(copies, "id"), "jaccard-groups")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    members = maybe_in(texts, "id", marked(named, "id")).join(named, "id")
+    dealt = classes.select(F.col("s1").alias("id"), F.explode("bands").alias("band"))
+    first = dealt.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held")
+    ties = dealt.join(first, "band").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    groups = components(ties).join(classes.select(F.col("s1").alias("id"), "copies", "grams", "rep.doc_id", "rep.text_hash"), "id")
+    tasks = materialise(deal(groups, threshold), "jaccard-tasks")
+    wanted = tasks.select("id", "doc_id", "text_hash").distinct()
+    rows, at = keyed(docs), ["doc_id", "text_hash"]
+    texts = maybe_in(rows, "doc_id", marked(wanted.filter("doc_id is not null"), "doc_id")).join(wanted, at)
+    # rows without an id may be many: equal texts of theirs are one before they are shuffled
+    lost = wanted.filter("doc_id is null").drop("doc_id")
+    nameless = maybe_in(rows.filter("doc_id is null"), "text_hash", marked(lost, "text_hash")).groupBy("text_hash").agg(F.first("text").alias("text")).join(lost, "text_hash")
+    texts = texts.select("id", "text").unionByName(nameless.select("id", "text"))
+    members = tasks.drop("doc_id", "text_hash").join(texts, "id")
     checked = materialise(verify(members, n, threshold), "jaccard-links")
     links = checked.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(checked.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    table = classes.select("s1", "s2", "id", "copies").join(links, "id", "left").join(roots, "id", "left")
-    table = materialise(table.select("s1", "s2", F.col("id").alias("copy_of"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("class_id")), "jaccard-table")
-    rows = signed.withColumn("_s1", F.when(F.col("grams") > 0, F.col("s1"))).drop("s1", "bands")
-    out = rows.join(table.withColumnRenamed("s1", "_s1"), ["_s1", "s2"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+    table = classes.select("s1", "s2", "rep", "copies").join(links.withColumnRenamed("id", "s1"), "s1", "left").join(roots.withColumnRenamed("id", "s1"), "s1", "left")
+    table = materialise(table.select("s1", "s2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "s1").alias("class_key")), "jaccard-table")
+    names = table.groupBy("class_key").agg(F.min("rep.doc_id").alias("class_id"))
+    table = materialise(table.join(names, "class_key"), "jaccard-named")
+    discard(tasks, checked)
+    rows = signed.select("doc_id", "text_hash", "s2", F.when(F.col("grams") > 0, F.col("s1")).alias("s1"))
+    out = rows.join(table, ["s1", "s2"], "left")
+    lone = F.col("class_key").isNull()
+    return out.select(
+        "doc_id", "text_hash", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", F.when(lone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("copy_of"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+    )

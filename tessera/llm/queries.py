@@ -21,7 +21,7 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
