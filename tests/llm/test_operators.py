@@ -279,11 +279,35 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     rows += [(300 + i, " ".join(base[0][:-1] + [f"y{i}"])) for i in range(90)]  # a group over the bound of small ones
     rows += [(500, "Two Words"), (501, "two words"), (502, ""), (503, None), (504, " \n")]
-    monkeypatch.setattr(jaccard, "BLOCK", 50)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.join(docs).collect()
+    for block, grams in ((50, 1 << 20), (1024, 300)):  # blocks bounded by rows, then by n-grams
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
+        monkeypatch.setattr(jaccard, "TASK_GRAMS", 10 * grams)
+        got = jaccard.join(docs).collect()
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+        assert {r.doc_id: r.copy_of for r in got}[501] == 500
+
+
+def test_jaccard_of_sizes_at_the_threshold(spark, monkeypatch):
+    """Chains in which each text is the next one cut to four fifths: neighbours are linked, whatever size classes they fall into."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    rows, n = [], 0
+    for chain in range(4):
+        words = [f"c{chain}w{i}" for i in range(640 + chain)]
+        while len(words) > 24:
+            rows.append((n, " ".join(words)))
+            words, n = words[: math.ceil(0.8 * (len(words) - 4)) + 4], n + 1
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
-    assert {r.doc_id: r.copy_of for r in got}[501] == 500
+
+
+def test_jaccard_links_rows_without_ids(spark):
+    other = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, FIRST), (None, FIRST), (None, FIRST + " phi"), (9, FIRST + " chi"), (None, other), (None, other + " end"), (9, "quite another text than that of the other nine")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter([(None, 9, 3), (None, 9, 3), (None, 9, 3), (9, 9, 3), (None, None, 1), (None, None, 1), (9, 9, 0)])
+    assert len({r.class_key for r in got}) == 3
 
 
 def test_jaccard_edges(spark):
@@ -772,13 +796,56 @@ def test_pipeline_stages(spark):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, "")
-        assert out.columns == docs.columns, name
-    near = corpus_pipeline.drop_near_copies(spark, docs, "")
-    assert {r.doc_id for r in near.collect()} & {1, 2, 6} == {1}
+        assert out.columns == docs.columns and out.count() >= 0, name
+    near = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert set(near) & {1, 2, 6} == {1} and len(near) == docs.count() - 3
     cut = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert cut[7].text == "own words 7 of this one\n" and cut[7].n_chars == len(cut[7].text) and cut[10].text.startswith("a line")
-    packed = corpus_pipeline.pack_sequences(spark, docs, "")
-    assert packed.count() > 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+    for own in {r.sequence_id for r in packed}:
+        at = 0
+        for r in sorted((r for r in packed if r.sequence_id == own), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+
+
+def test_pipeline_near_copies_without_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, FIRST), (None, FIRST), (None, FIRST + " phi"), (None, "a clean text of its own"), (5, "five rows say this one thing here"), (5, "five rows say this one thing here"), (5, "another text under that number"), (None, None), (None, None)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    texts = Counter(r.text for r in kept)
+    assert texts.pop(None) == 2 and sum(n for t, n in texts.items() if t.startswith(FIRST)) == 1
+    assert sorted(t for t in texts if not t.startswith(FIRST)) == ["a clean text of its own", "another text under that number", "five rows say this one thing here"] and set(texts.values()) == {1}
+
+
+def test_pipeline_toxic_rows_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"you vile oaf number {i}" if i % 3 == 0 else f"a kind word number {i}") for i in range(300)] + [(None, "you vile oaf"), (None, "a kind word"), (3, "a kind word")]
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, text string, _gone string, _toxic string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter(r for r in rows if "vile" not in r[1])
+
+
+def test_pipeline_mix_by_rows(spark):
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    rows = [(draw.choice([None, 1, 2, i]), " ".join("w" for _ in range(draw.randint(1, 30))), draw.choice("ab")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Counter((r.source, r.text) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    words = Counter()
+    for _, t, s in rows:
+        words[s] += len(t.split())
+    want = fill({k: 2.0 * n for k, n in words.items()}, {"a": 5, "b": 2}, 1.5 * sum(words.values()))
+    for s in "ab":
+        assert abs(sum(n * len(t.split()) for (k, t), n in out.items() if k == s) - want[s]) <= 30
+    have = Counter((s, t) for _, t, s in rows)
+    assert all(n <= 2 * have[k] for k, n in out.items())
 
 
 def test_pipeline_runs(spark, small):
