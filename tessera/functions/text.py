@@ -6,19 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The stop words of ranking and of the evidence gate, and the words that mean approval or history.
-RANK_STOP = "a an and are at be does for how in is it of on or the to what when which who with".split()
-GATE_STOP = "a an and are at be can does for from how in is it of on or the this to what when which who with would should tell me please".split()
-APPROVAL = "approve approves approved approver approvers approval approvals authorize authorizes authorized authorization".split()
-HISTORICAL = "compare compared difference historical history old older previous prior versus vs".split()
-PRICE = "cost costs price prices pricing rate rates".split()
-NUMERIC = "length limit maximum minimum threshold".split()
+RANK_STOP = ["a", "an", "and", "are", "at", "be", "does", "for", "how", "in", "is", "it", "of", "on", "or", "the", "to", "what", "when", "which", "who", "with"]
+GATE_STOP = ["a", "an", "and", "are", "at", "be", "can", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "what", "when", "which", "who", "with", "would", "should", "tell", "me", "please"]
+APPROVAL = ["approve", "approves", "approved", "approver", "approvers", "approval", "approvals", "authorize", "authorizes", "authorized", "authorization"]
+HISTORICAL = ["compare", "compared", "difference", "historical", "history", "old", "older", "previous", "prior", "versus", "vs"]
+PRICE = ["cost", "costs", "price", "prices", "pricing", "rate", "rates"]
+NUMERIC = ["length", "limit", "maximum", "minimum", "threshold"]
 YEAR = r"\b(?:19|20)\d{2}\b"
 CURRENCY = r"(?i)(?:[$€£]\s?\d|\b(?:usd|eur|gbp)\b)"
 
 
+# What case folding writes otherwise than lower case does, as far as it touches Latin letters.
+FOLDED = {
+    "\u00df": "ss", "\u1e9e": "ss", "\u0149": "\u02bcn", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308", "\u1e98": "w\u030a", "\u1e99": "y\u030a", "\u1e9a": "a\u02be",
+    "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
+}
+
+
 def fold(c: Column) -> Column:
-    """Case folding for search: lower case, sharp s as ss."""
-    return F.lower(F.regexp_replace(c, "[ßẞ]", "ss"))
+    """Case folding for search: lower case; sharp and long s, ligatures and letters with fixed marks as what they stand for. Texts without such letters are only put in lower case."""
+    out = F.translate(c, "\u017f", "s")
+    for letter, by in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(by))
+    return F.lower(F.when(c.rlike("[\u017f" + "".join(FOLDED) + "]"), out).otherwise(c))
 
 
 def squeeze(c: Column) -> Column:

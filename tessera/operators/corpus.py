@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from itertools import groupby
-
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import parent_of, source_key
 from tessera.functions.text import fold, token_estimate
+from tessera.sources.listing import SUFFIXES, unsafe
 
-#: The columns by which a chunk counts as unchanged.
+#: Fixed value: the columns by which a chunk counts as unchanged.
 STATE = ["content_hash", "document_id", "title", "source_path", "file_type", "department", "document_type", "version", "effective_from", "effective_to", "is_current", "page_number", "section", "sheet_name", "table_number", "row_number", "allowed_groups"]
 
 
@@ -99,9 +94,36 @@ def retrieval_metrics(expected: DataFrame, retrieved: DataFrame, k: int = 5) ->
     return joined.select("qid", (F.coalesce("_found", F.lit(0)) > 0).cast("int").alias("hit"), F.round(F.coalesce("_found", F.lit(0)) / F.col("_need"), 6).alias("recall"), F.round(F.coalesce(F.col("_right") / F.col("_n"), F.lit(0.0)), 6).alias("precision"))
 
 
+def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float], cuts: int = 255) -> DataFrame:
+    """(by, one column a share): exact percentiles, linear between neighbours, without a group ever meeting in one task.
+
+    Values fall into buckets between approximate quantiles. The counts of a group's buckets tell in which buckets its wanted ranks lie; only these buckets' rows are counted value by value.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    edges = sorted(set(rows.approxQuantile("v", [i / (cuts + 1) for i in range(1, cuts + 1)], 1 / (4 * cuts))))
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0)
+    named = rows.withColumn("bucket", bucket)
+    counts = named.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most 256 rows a group
+    group = W.partitionBy(by)
+    counts = counts.withColumn("all", F.sum("n").over(group)).withColumn("before", F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    spots = [F.struct(F.lit(name).alias("name"), (F.lit(share) * (F.col("all") - 1)).alias("spot")) for name, share in shares.items()]
+    wanted = counts.select(by, "bucket", "n", "before", F.explode(F.array(*spots)).alias("s")).select(by, "bucket", "n", "before", "s.name", "s.spot")
+    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot"))))).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    here = wanted.select(F.col(by).alias("_by"), F.col("bucket").alias("_bucket"), "before").distinct()
+    values = named.join(here, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bucket") == F.col("_bucket"))).groupBy(by, "bucket", "before", "v").agg(F.count(F.lit(1)).alias("times"))
+    inner = W.partitionBy(by, "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    values = values.withColumn("last", F.col("before") + F.sum("times").over(inner)).withColumn("first", F.col("last") - F.col("times"))
+    met = wanted.alias("w").join(values.alias("x"), F.col(f"w.{by}").eqNullSafe(F.col(f"x.{by}")) & (F.col("w.bucket") == F.col("x.bucket")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    share = F.when(F.floor("spot") == F.ceil("spot"), F.lit(1.0)).when(F.col("rank") == F.floor("spot"), F.ceil("spot") - F.col("spot")).otherwise(F.col("spot") - F.floor("spot"))
+    found = met.select(F.col(f"w.{by}").alias(by), "name", (share * F.col("v")).alias("part"))
+    return found.groupBy(by).agg(*(F.sum(F.when(F.col("name") == name, F.col("part"))).alias(name) for name in shares))
+
+
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, exact p50 and p95 (linear between neighbours) and maximum."""
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.max(value).alias("worst"))
+    told = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("worst"))
+    ranks = percentiles(df, by, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(by, "_by")
+    return told.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "worst")
 
 
 def judgment_totals(judgments: DataFrame, by: str, dimensions: list[str], best: int = 4) -> DataFrame:
@@ -125,6 +147,21 @@ def manifest_problems(row_path: Column) -> Column:
     return F.filter(F.array(F.when(empty, "title is empty"), F.when(suffix, "suffix differs from file type"), F.when(dates, "dates are out of order"), F.when(groups, "groups repeat")), lambda x: x.isNotNull())
 
 
+def manifest_field_problems(row_path: Column) -> Column:
+    """What else a declared row must not be: without department, type or version, of a kind that is not read, at an unsafe path, or without groups."""
+    blank = [F.when(F.coalesce(F.btrim(n), F.lit("")) == "", f"{n} is empty") for n in ("department", "document_type", "version")]
+    none = F.coalesce(F.size("allowed_groups") < 1, F.lit(True)) | F.exists("allowed_groups", lambda g: F.btrim(g) == "")
+    unread = F.when(~F.coalesce(F.col("file_type").isin(*SUFFIXES), F.lit(False)), "no reader for the file type")
+    return F.filter(F.array(*blank, unread, F.when(unsafe(row_path), "unsafe path"), F.when(none, "groups are missing or empty")), lambda x: x.isNotNull())
+
+
+def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): the keys, compared without case, that only the left or only the right has; two sets of keys are equal if there is none."""
+    sides = left.select(fold(F.col(key)).alias(key), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(fold(F.col(key)).alias(key), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    met = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).filter("l <> r")
+    return met.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
+
+
 def allowed(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Extension: rows that one of the groups may read; to be applied before any ranking."""
     return rows.filter(F.arrays_overlap(F.transform("allowed_groups", fold), F.transform(F.array(*map(F.lit, groups)), fold)))
@@ -141,46 +178,10 @@ def from_index_row(rows: DataFrame, days: list[str]) -> DataFrame:
     return rows.withColumns({n: F.to_date(F.substring(n, 1, 10), "yyyy-MM-dd") for n in days})
 
 
-def fingerprints(hashes: DataFrame, key: str, order: list[str], run: int = 64) -> DataFrame:
-    """(key, n, fingerprint): the SHA-256 of a key's hashes (column h), one a line in the given order.
+def fingerprints(hashes: DataFrame, key: str) -> DataFrame:
+    """(key, n, fingerprint): one hash over all SHA-256 texts (column h) of a key, whatever their order.
 
-    Sorted in ranges by all tasks, which join runs of hashes; a key's runs then pass one after another through its hash, so that no task or row holds a key.
+    Four pieces of 60 bits of each hash are summed apart, and the sums hashed: partial sums meet, so no task or row ever holds a key. What order matters must be part of each hash.
     """
-    kind = hashes.schema[key].dataType.simpleString()
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            cells = []
-            for k, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: r[0]):
-                own = [h for _, h in rows]
-                for i in range(0, len(own), run):
-                    cells.append((k, part, seq, len(own[i : i + run]), "\n".join(own[i : i + run])))
-                    seq += 1
-            if cells:
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], [key, "part", "seq", "n", "hs"])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, name, count, type_ = None, None, 0, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name], type_), pa.array([count], pa.int64()), pa.array([state.hexdigest()])], [key, "n", "fingerprint"])
-
-        for batch in batches:
-            type_ = batch.schema.field(0).type
-            for k, n, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or k != name:
-                    if state is not None:
-                        yield done()
-                    state, name, count = hashlib.sha256(), k, 0
-                else:
-                    state.update(b"\n")
-                state.update(hs.encode())
-                count += n
-        if state is not None:
-            yield done()
-
-    by = [key, *order, "h"]
-    runs = hashes.repartitionByRange(*by).sortWithinPartitions(*by).select(key, "h").mapInArrow(join, f"{key} {kind}, part int, seq long, n long, hs string")
-    return runs.repartition(key).sortWithinPartitions(key, "part", "seq").select(key, "n", "hs").mapInArrow(digest, f"{key} {kind}, n long, fingerprint string")
+    pieces = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return hashes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("-", *pieces), 256).alias("fingerprint"))

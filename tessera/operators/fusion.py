@@ -20,7 +20,7 @@ def content_identity() -> Column:
 def fuse(hits: DataFrame, comparison: bool = False, limit: int = MOST) -> DataFrame:
     """(qid, rank, id, coverage, best_rank, best_score, first_subquery) from hits (qid, subquery, rank from 0, score, chunk columns).
 
-    More lists rank first, then the better score, rank and list. The payload is folded list by list: a hit replaces the one
+    Lists are numbered 0 to 2; a hit of any other list is an error. More lists rank first, then the better score, rank and list. The payload is folded list by list: a hit replaces the one
     held if its score is higher than any so far, or equal and its rank lower than any so far. In a comparison each version family puts
     its best member, those of a single list first, before the rest.
     """
@@ -29,7 +29,9 @@ def fuse(hits: DataFrame, comparison: bool = False, limit: int = MOST) -> DataFr
     named = hits.withColumn("_same", content_identity()).withColumn("score", F.coalesce("score", F.lit(0.0)))
     named = named.withColumn("_family", fusion_family(F.col("department"), F.col("document_type"), F.col("version"), F.col("source_path")))
     one = W.partitionBy("qid", "_same", "subquery").orderBy("rank", "id")
-    first = named.withColumn("_n", F.row_number().over(one)).filter("_n = 1 and subquery < 3")
+    # a list beyond the bound is refused, never left out
+    named = named.withColumn("subquery", F.when(F.col("subquery").between(0, LISTS - 1), F.col("subquery")).otherwise(F.raise_error(F.lit(f"at most {LISTS} lists, numbered from 0")).cast(named.schema["subquery"].dataType)))
+    first = named.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     held = F.struct("subquery", "rank", "score", "id", "_family")
     groups = first.groupBy("qid", "_same").agg(F.count(F.lit(1)).alias("coverage"), F.min("rank").alias("best_rank"), F.max("score").alias("best_score"), F.min("subquery").alias("first_subquery"), F.sort_array(F.collect_list(held)).alias("_list"))
     state = lambda x, r, s: F.struct(r.alias("rank"), s.alias("score"), x["id"].alias("id"), x["_family"].alias("_family"))

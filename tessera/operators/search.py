@@ -2,35 +2,96 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import raw_tokens
+from tessera.functions.text import fold, raw_tokens
 
 K1, B = 1.2, 0.75
 
 
-def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 20, id_col: str = "doc_id", qid: str = "qid") -> DataFrame:
-    """(qid, doc_id, score, rank) for texts in column ``text`` of both sides; scores to six digits, ties to the smaller id.
+def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 20, id_col: str = "doc_id", qid: str = "qid", columns: tuple[str, ...] = ("text",), block: int = 4096) -> DataFrame:
+    """(qid, doc_id, score, rank) for the texts of ``columns`` of the documents and column ``text`` of the questions; scores to six digits, ties to the smaller id.
 
-    Only terms that some question has leave the scan, and their postings are summed before the join with the questions.
+    A document's words are all in its row, so all questions are scored inside the scan: no postings are shuffled. One pass counts the documents of each asked term, a second scores and keeps
+    a task's k best for each question; only these meet. The questions are asked in blocks of bounded size, each of which is sent to all tasks.
     """
-    asked = questions.select(qid, F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
-    spread = docs.select(id_col, raw_tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    totals = spread.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = spread.select(id_col, "dl", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", id_col, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = postings.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(totals)).groupBy(qid, id_col).agg(F.round(F.sum(part), 6).alias("score"))  # totals: one row
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(qid).orderBy(F.desc("score"), id_col))).filter(F.col("rank") <= k)
+    said = fold(F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in columns)))
+    words = docs.select(F.col(id_col).alias("id"), said.alias("said"))
+    terms = F.regexp_extract_all("said", F.lit("[a-z0-9]+"), F.lit(0))
+    asked = questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
+    n, length = words.select(F.count(F.lit(1)), F.sum(F.size(terms))).first()
+    length, kind = (length or 0) / max(1, n), words.schema["id"].dataType.simpleString()
+    held = words.select(F.explode(F.array_distinct(terms)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    weights = asked.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    parts = -(-questions.count() // block) or 1
+    session = docs.sparkSession
+
+    def scored(part: int) -> DataFrame:
+        rows = weights.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()  # the words of a block of questions
+        names = sorted({r.qid for r in rows})
+        number = {q: i for i, q in enumerate(names)}
+        lists: dict[str, tuple[list[int], float]] = {}
+        for r in rows:
+            lists.setdefault(r.term, ([], float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5)))))[0].append(number[r.qid])
+        sent = session.sparkContext.broadcast({t: (np.asarray(qs), idf) for t, (qs, idf) in lists.items()})
+
+        def best(scores: list[np.ndarray], ids: list[np.ndarray], who: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+            s, i, q = (np.concatenate(x) for x in (scores, ids, who))
+            order = np.lexsort((i, -s, q))
+            s, i, q = s[order], i[order], q[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return s[keep], i[keep], q[keep]
+
+        def run(batches):
+            known, find = sent.value, re.compile("[a-z0-9]+").findall
+            held, count = ([], [], []), 0
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = find(text.as_py())
+                    times = Counter(w for w in found if w in known)
+                    if not times:
+                        continue
+                    long = K1 * (1 - B + B * len(found) / length)
+                    gain = [known[w][1] * tf * (K1 + 1) / (tf + long) for w, tf in sorted(times.items())]
+                    who = [known[w][0] for w in sorted(times)]
+                    score = np.bincount(np.concatenate(who), np.repeat(gain, [len(x) for x in who]), minlength=len(names))
+                    hit = np.flatnonzero(np.bincount(np.concatenate(who), minlength=len(names)))
+                    held[0].append(np.floor(score[hit] * 1e6 + 0.5) / 1e6)
+                    held[1].append(np.full(len(hit), doc))
+                    held[2].append(hit)
+                    count += len(hit)
+                    if count > 200_000 + 2 * k * len(names):
+                        kept = best(*held)
+                        held, count = ([kept[0]], [kept[1]], [kept[2]]), len(kept[0])
+            if count:
+                s, i, q = best(*held)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["number", "id", "score"])
+
+        asked_by = session.createDataFrame(list(enumerate(names)), f"number long, qid {weights.schema['qid'].dataType.simpleString()}")
+        return words.mapInArrow(run, f"number long, id {kind}, score double").join(F.broadcast(asked_by), "number")  # as many rows as the block has questions
 
+    hits = reduce(DataFrame.unionByName, map(scored, range(parts)))
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(qid), F.col("id").alias(id_col), F.round("score", 6).alias("score"), "rank")
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """(qid, id, score, rank) by cosine for (id, vec) and (qid, vec); a vector never finds its own id; scores to six digits, ties to the smaller id.
+
+def feedback_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, vec): the mean vector of what a question's keyword search has found; hits: (qid, id), vectors: (id, vec). None where no hit has a vector."""
+    each = hits.select("qid", "id").join(vectors.filter("vec is not null"), "id").select("qid", F.posexplode(F.col("vec").cast("array<double>")).alias("at", "x"))
+    means = each.groupBy("qid", "at").agg(F.avg("x").alias("x"))
+    return means.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("at", "x")))["x"].alias("vec"))  # one number a dimension
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048, own: bool = True) -> DataFrame:
+    """(qid, id, score, rank) by cosine for (id, vec) and (qid, vec); own: questions are rows of the same table and never find their own id; scores to six digits, ties to the smaller id.
 
     Queries and vectors meet block by block; a block pair gives its k best, so no pair table is made.
     """
@@ -46,7 +107,8 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
         x, y = (np.asarray(t["vec"].to_pylist(), float) for t in (a, b))
         ids = b["id"].to_numpy()
         score = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 6)
-        score[a["qid"].to_numpy()[:, None] == ids] = -np.inf
+        if own:
+            score[a["qid"].to_numpy()[:, None] == ids] = -np.inf
         out = []
         for i in range(len(x)):
             best = np.lexsort((ids, -score[i]))[:k]
@@ -66,3 +128,45 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = 20, constant: int = 60) -
         united = united.unionByName(other.select("qid", "id", "rank"))
     fused = united.groupBy("qid", "id").agg(F.round(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))), 6).alias("score"))
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
+def containing(docs: DataFrame, passages: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs (column ``text``) with the qid of each passage (qid, text) that they hold whole; a null text holds and is held by none, an empty passage is in every text.
+
+    Passages are looked for inside the scan, all of a block at once; blocks are bounded in bytes, each is sent to all tasks.
+    """
+    passages = passages.filter("text is not null").select("qid", "text")
+    total = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, names = 1 + total // block_bytes, docs.columns
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", qid {passages.schema['qid'].dataType.simpleString()}"
+    session = docs.sparkSession
+
+    def held(part: int) -> DataFrame:
+        wanted: dict[str, list] = {}
+        for r in passages.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect():
+            wanted.setdefault(r.text, []).append(r.qid)
+        sent = session.sparkContext.broadcast(wanted)
+
+        def run(batches):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for text, qids in sent.value.items():
+                if text:
+                    machine.add_word(text, text)
+            if len(machine):
+                machine.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, text in enumerate(batch.column(names.index("text")).to_pylist()):
+                    if text is not None:
+                        hits = {p for _, p in machine.iter(text)} if len(machine) else set()
+                        for passage in sorted(hits | ({""} & sent.value.keys())):
+                            at += [i] * len(sent.value[passage])
+                            found += sent.value[passage]
+                rows = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.int64())], [*names, "qid"])
+
+        return docs.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, map(held, range(parts)))

@@ -12,11 +12,11 @@ from tessera.functions.text import CURRENCY, NUMERIC, PRICE, RANK_STOP, fold, ha
 CANDIDATES, CONTEXT = 20, 6
 # Facets of grouped sheet rows in the order in which they reserve.
 FACETS = {
-    "volume": "seat seats volume tier quantity".split(),
-    "term": "term annual prepaid monthly yearly billing".split(),
-    "approval": "approval approvals approve approver authorize".split(),
-    "program": "startup program eligibility eligible stack stacking".split(),
-    "calculation": "calculate calculation combined final price cost".split(),
+    "volume": ["seat", "seats", "volume", "tier", "quantity"],
+    "term": ["term", "annual", "prepaid", "monthly", "yearly", "billing"],
+    "approval": ["approval", "approvals", "approve", "approver", "authorize"],
+    "program": ["startup", "program", "eligibility", "eligible", "stack", "stacking"],
+    "calculation": ["calculate", "calculation", "combined", "final", "price", "cost"],
 }
 _IN_SHEET = {"volume": "volume", "term": "term", "approval": "approval", "program": "special"}
 

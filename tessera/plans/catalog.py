@@ -1,30 +1,39 @@
 """Chunk, question and event tables that the registered queries derive from the given tables.
 
-The expressions are written once, in the SQL that Spark and the oracle share; only the hash function's name differs.
+The chunk columns are written once, in SQL that Spark and the oracle share, as they are input and not an operator; case folding, hashes and ids are
+written apart on each side.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_FOLD = "lower(replace(replace({0}, 'ß', 'ss'), 'ẞ', 'ss'))"
+from tessera.functions import identity
 
 
-def fold(x: str) -> str:
-    return _FOLD.format(x)
-
 
-CHUNKS = f"""
-SELECT *, concat('title of ', lang) AS title, {{sha}} AS content_hash,
-       substr({{sha_path}}, 1, 24) AS document_id
+def fold(x: str) -> str:
+    """The oracle's case folding, letter by letter."""
+    for letter in ("ß", "ẞ"):
+        x = f"replace({x}, '{letter}', 'ss')"
+    for code, by in ((0x17F, "s"), (0x149, "\u02bcn"), (0x1F0, "j\u030c"), (0x1E96, "h\u0331"), (0x1E97, "t\u0308"), (0x1E98, "w\u030a"), (0x1E99, "y\u030a"), (0x1E9A, "a\u02be")):
+        x = f"replace({x}, chr({code}), '{by}')"
+    for n, by in enumerate(("ff", "fi", "fl", "ffi", "ffl", "st", "st")):
+        x = f"replace({x}, chr({0xFB00 + n}), '{by}')"
+    return f"lower({x})"
+
+
+CHUNKS = """
+SELECT *, concat('title of ', coalesce(lang, '')) AS title
 FROM (
   SELECT doc_id, lang, source AS department, coalesce(text, '') AS content, file_type,
-    concat(CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END, CASE WHEN doc_id % 7 = 0 THEN chr(92) ELSE '/' END, lang, '-', CAST(doc_id % 40 AS {{str}}),
+    concat(CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END, CASE WHEN doc_id % 7 = 0 THEN chr(92) ELSE '/' END, lang, '-', CAST(doc_id % 40 AS {str}),
            CASE WHEN doc_id % 4 = 0 THEN '-2025' ELSE '' END, '.', file_type) AS source_path,
     CASE doc_id % 4 WHEN 1 THEN 'rate_card' WHEN 2 THEN 'policy' WHEN 3 THEN 'guide' END AS document_type,
-    CASE WHEN doc_id % 11 > 0 THEN CAST(2024 + doc_id % 3 AS {{str}}) END AS version,
+    CASE WHEN doc_id % 11 > 0 THEN CAST(2024 + doc_id % 3 AS {str}) END AS version,
     CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 = 2 END AS is_current,
-    CASE WHEN file_type = 'xlsx' AND doc_id % 2 = 0 THEN 'Grouped rows: Sheet' ELSE concat('Section ', CAST(doc_id % 5 AS {{str}})) END AS section,
+    CASE WHEN file_type = 'xlsx' AND doc_id % 2 = 0 THEN 'Grouped rows: Sheet' ELSE concat('Section ', CAST(doc_id % 5 AS {str})) END AS section,
     CASE WHEN file_type = 'xlsx' THEN CASE doc_id % 4 WHEN 0 THEN 'Volume' WHEN 1 THEN 'Term' WHEN 2 THEN 'Approval' ELSE 'Special' END END AS sheet_name,
     CASE WHEN file_type = 'xlsx' AND doc_id % 9 > 0 THEN doc_id % 2 + 1 END AS table_number,
     CASE WHEN file_type = 'xlsx' THEN doc_id % 12 + 1 END AS row_number,
@@ -40,15 +49,7 @@ SELECT item_id AS qid, text, concat(text, CASE item_id % 8 WHEN 0 THEN ' rate ca
 """
 
 
-def _spark(text: str) -> str:
-    return text.format(sha="sha2(content, 256)", sha_path=f"sha2({fold('source_path')}, 256)", str="STRING") if "{sha}" in text else text
-
-
-def _duck(text: str) -> str:
-    return text.format(sha="sha256(content)", sha_path=f"sha256({fold('source_path')})", str="VARCHAR") if "{sha}" in text else text
-
-
-CHUNKS_SQL = _duck(CHUNKS)
+CHUNKS_SQL = f"SELECT *, sha256(content) AS content_hash, substr(sha256({fold('source_path')}), 1, 24) AS document_id FROM ({CHUNKS.format(str='VARCHAR')}) base"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_spark(CHUNKS).replace("FROM documents", "FROM {documents}"), documents=read(spark, sf_dir, "documents"))
+    rows = spark.sql(CHUNKS.format(str="STRING").replace("FROM documents", "FROM {documents}"), documents=read(spark, sf_dir, "documents"))
+    return rows.withColumn("content_hash", F.sha2("content", 256)).withColumn("document_id", identity.document_id(F.col("source_path")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

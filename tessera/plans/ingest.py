@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.functions.identity import chunk_id, document_id
+from tessera.functions.identity import chunk_id, document_id, short_hash
 from tessera.operators import corpus, structure
 from tessera.plans.plugins import Embedder, embed
 from tessera.sources import listing, parsers
@@ -26,25 +27,88 @@ CHUNK = T.StructType(
 MANIFEST = "source_path string, title string, file_type string, department string, document_type string, version string, effective_from date, effective_to date, is_current boolean, allowed_groups array<string>"
 
 
-def load_manifest(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """The declared documents; another schema version, unknown fields or wrong types fail."""
-    read = spark.read.schema(f"schema_version int, documents array<struct<{MANIFEST.replace(' string', ':string').replace(' date', ':date').replace(' boolean', ':boolean').replace(' array', ':array')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    checked = read.withColumn("documents", F.when(F.col("schema_version") == version, F.col("documents")).otherwise(F.raise_error(F.lit("another manifest version")).cast(read.schema["documents"].dataType)))
-    return checked.select(F.inline("documents"))
+PRICES = ["pricing_id", "currency", "source_note"]
+#: Fixed value: the one known way to estimate tokens.
+TOKEN_METHOD = "utf8-bytes-divided-by-4-v1"
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("j"), F.try_parse_json("value").alias("v"))
+
 
+def _kind(v: Column, path: str) -> Column:
+    """The JSON type at a path: STRING, BIGINT, BOOLEAN, VOID, ARRAY<...>, OBJECT<...>; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
-def load_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(model, input_usd_per_million, output_usd_per_million); decimals are read as texts, so none is rounded."""
-    raw = spark.read.schema("models map<string,struct<input_usd_per_million:string,output_usd_per_million:string>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    each = raw.select(F.explode("models").alias("model", "p"))
-    return each.select("model", *(F.col(f"p.{n}").cast("decimal(9,6)").alias(n) for n in ("input_usd_per_million", "output_usd_per_million")))
 
+def _refuse(checks: DataFrame, what: str) -> None:
+    """Raises what a frame of problems says; a handful comes to the driver."""
+    found = [r.problem for r in checks.filter("problem is not null").limit(20).collect()]
+    if found:
+        raise ValueError(f"{what}: " + "; ".join(sorted(found)))
 
-def load_frozen(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """Evaluation cases of a file whose bytes have this hash."""
-    data = spark.read.format("binaryFile").load(path).select(F.when(F.sha2("content", 256) == sha256, F.col("content").cast("string")).otherwise(F.raise_error(F.lit("the frozen dataset has changed"))).alias("j"))
+
+def manifest_checks(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(documents, problems) of a manifest file: problems name each breach of fields, types, values, single paths and version families."""
+    raw = _whole(spark, path)
+    keys = F.array_sort(F.json_object_keys("j"))
+    top = raw.select(
+        F.when(F.col("v").isNull() | keys.isNull(), "the manifest is no JSON object").when(keys != F.array(F.lit("documents"), F.lit("schema_version")), "the manifest must hold schema_version and documents only")
+        .when((_kind(F.col("v"), "$.schema_version") != "BIGINT") | (F.try_variant_get("v", "$.schema_version", "int") != version), "another manifest version").when(~_kind(F.col("v"), "$.documents").startswith("ARRAY"), "documents must be a list").alias("problem")
+    )
+    each = raw.select(F.posexplode(F.try_variant_get("v", "$.documents", "array<variant>")).alias("nth", "d")).withColumn("e", F.to_json("d"))
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
+    kinds = {n: _kind(F.col("d"), f"$.{n}") for n in names}
+    wrong = F.filter(F.array(*(F.when(~F.coalesce(kinds[n] == ("BOOLEAN" if n == "is_current" else "STRING"), F.lit(False)), n) for n in names if n not in ("allowed_groups", "effective_from", "effective_to"))), lambda x: x.isNotNull())
+    days = F.filter(F.array(*(F.when((kinds[n] != "VOID") & F.try_to_date(F.try_variant_get("d", f"$.{n}", "string"), "yyyy-MM-dd").isNull(), n) for n in ("effective_from", "effective_to"))), lambda x: x.isNotNull())
+    fields = F.array_sort(F.json_object_keys("e"))
+    shape = F.when(fields.isNull() | (fields != F.array_sort(F.array(*map(F.lit, names)))), "fields are missing or unknown").when(F.size(wrong) > 0, F.concat(F.lit("wrong type of "), F.array_join(wrong, ", "))).when(
+        F.size(days) > 0, F.concat(F.lit("no ISO date in "), F.array_join(days, ", "))
+    ).when(kinds["allowed_groups"] != "ARRAY<STRING>", "allowed_groups must be a list of texts")
+    typed = each.select("nth", shape.alias("shape"), F.from_json("e", MANIFEST).alias("m")).select("nth", "shape", "m.*")
+    tidy = {n: F.btrim(n) for n in ("title", "department", "document_type", "version")}
+    documents = typed.withColumns(tidy | {"file_type": text.fold(F.col("file_type")), "allowed_groups": F.array_sort(F.transform("allowed_groups", lambda g: text.fold(F.btrim(g))))})
+    said = F.concat(corpus.manifest_problems(F.col("source_path")), corpus.manifest_field_problems(F.col("source_path")))
+    rows = documents.select(F.concat(F.lit("document "), (F.col("nth") + 1).cast("string"), F.lit(": "), F.coalesce(F.col("shape"), F.when(F.size(said) > 0, F.array_join(said, ", ")))).alias("problem"))
+    twice = documents.groupBy(text.fold(F.col("source_path")).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.concat(F.lit("source_path stands twice: "), F.col("k")).alias("problem"))
+    families = corpus.family_violations(documents).filter("not valid").select(F.concat(F.lit("a version family needs one current document: "), F.col("family")).alias("problem"))
+    return documents.select(*names), top.unionByName(rows).unionByName(twice).unionByName(families)
+
+
+def load_manifest(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """The declared documents. Another version, missing or unknown fields, wrong types or values, repeated paths and families without exactly one current document are refused here."""
+    documents, problems = manifest_checks(spark, path, version)
+    _refuse(problems, "the manifest is not valid")
+    return documents
+
+
+def load_prices(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """(model, input_usd_per_million_tokens, output_usd_per_million_tokens, effective_date); decimals are read as texts, so none is rounded. Another version, method or date form and missing texts or prices are refused."""
+    raw = _whole(spark, path)
+    text_of = lambda name: F.btrim(F.try_variant_get("v", f"$.{name}", "string"))
+    absent = F.filter(F.array(*(F.when(F.coalesce(text_of(n), F.lit("")) == "", n) for n in [*PRICES, "token_estimation.description"])), lambda x: x.isNotNull())
+    top = raw.select(
+        F.when(~F.coalesce(F.try_variant_get("v", "$.schema_version", "int") == version, F.lit(False)), "another version of the prices").when(F.coalesce(text_of("token_estimation.method_id"), F.lit("")) != TOKEN_METHOD, "another method of token estimation")
+        .when(F.try_to_date(text_of("effective_date"), "yyyy-MM-dd").isNull(), "effective_date must be an ISO date").when(F.size(absent) > 0, F.concat(F.lit("missing: "), F.array_join(absent, ", ")))
+        .when(F.coalesce(F.size(F.json_object_keys(F.get_json_object("j", "$.models"))), F.lit(0)) < 1, "models must be a non-empty object").alias("problem")
+    )
+    names = ["input_usd_per_million_tokens", "output_usd_per_million_tokens"]
+    each = raw.select(text_of("effective_date").cast("date").alias("effective_date"), F.explode(F.from_json(F.get_json_object("j", "$.models"), "map<string,struct<" + ",".join(f"{n}:string" for n in names) + ">>")).alias("model", "p"))
+    each = each.select("model", *(F.expr(f"try_cast(p.{n} as decimal(18,9))").alias(n) for n in names), "effective_date")
+    bad = each.filter(" or ".join(f"{n} is null or {n} < 0" for n in names)).select(F.concat(F.lit("no price of zero or more for "), F.col("model")).alias("problem"))
+    _refuse(top.unionByName(bad), "the prices are not valid")
+    return each
+
+
+def load_frozen(spark: SparkSession, path: str, sha256: str, ids: list[str] | None = None) -> DataFrame:
+    """Evaluation cases of a file whose bytes have this hash, which is marked frozen and, if ids are given, has these in this order."""
+    data = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"), F.col("content").cast("string").alias("j"))
     case = "array<struct<id:string,category:string,answerability:string,question:string,expected_sources:array<string>,expected_facts:array<string>,expected_keyword_groups:array<array<string>>,source_check_mode:string,citation_requirement:string>>"
-    return data.select(F.inline(F.from_json(F.get_json_object("j", "$.cases"), case)))
+    read = data.select("h", F.get_json_object("j", "$.frozen").alias("frozen"), F.from_json(F.get_json_object("j", "$.cases"), case).alias("cases"))
+    same_ids = F.coalesce(F.col("cases.id") == F.array(*map(F.lit, ids)), F.lit(False)) if ids is not None else F.lit(True)
+    problem = F.when(F.col("h") != sha256, "the bytes have changed").when(~F.coalesce(F.col("frozen") == "true", F.lit(False)), "it is not marked frozen").when(~same_ids, "ids or their order have changed")
+    _refuse(read.select(problem.alias("problem")), "the frozen dataset is not valid")
+    return read.select(F.inline("cases"))
 
 
 def _canonical(rows: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -96,18 +160,49 @@ def xlsx_chunks(rows: DataFrame) -> DataFrame:
     return single.select(*wanted, "table_number").unionByName(grouped, allowMissingColumns=True)
 
 
+def flatten(files: DataFrame, pdf_reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(source_path, text): each file as one stream of words without its structure: pages, paragraphs and cells, values or formulas, in order."""
+    blocks, rows = parsers.good(parsers.read_docx(files)), parsers.good(parsers.read_xlsx(files))
+    cells = lambda values: F.array_join(F.filter(F.transform(values, text.squeeze), lambda x: x != ""), " ")
+    parts = blocks.select("source_path", F.struct(F.lit(1).alias("a"), F.col("block_number").alias("b")).alias("at"), F.when(F.col("table_number").isNotNull(), cells("cells")).otherwise(text.squeeze(F.col("text"))).alias("t"))
+    values = F.zip_with("cells", "formulas", lambda v, f: F.coalesce(F.nullif(v, F.lit("")), f))
+    parts = parts.unionByName(rows.select("source_path", F.struct(F.col("sheet_number").alias("a"), F.col("row_number").alias("b")).alias("at"), cells(values).alias("t")))
+    if pdf_reader:
+        pages = parsers.good(parsers.read_pdf(files, pdf_reader))
+        parts = parts.unionByName(pages.select("source_path", F.struct(F.lit(1).alias("a"), F.col("page_number").alias("b")).alias("at"), text.squeeze(text.page_text(F.col("text"))).alias("t")))
+    # one document's words fit a row, as its file did
+    return parts.filter("t <> ''").groupBy("source_path").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "t")))["t"], " ").alias("text"))
+
+
+def baseline_chunks(flat: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
+    """(source_path, word_start, content, id): plain word windows, named by source, place and content."""
+    key = F.concat_ws("|", F.lit("baseline"), "source_path", F.col("word_start").cast("string"), "content")
+    return structure.word_windows(flat, "text", size, overlap).select("source_path", "word_start", "content", F.concat(F.lit("baseline-"), short_hash(key)).alias("id"))
+
+
 def prepare(spark: SparkSession, path: str, root: str, manifest: DataFrame, pdf_reader: Callable[[bytes], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, problems) of a folder: files are parsed by suffix; warnings and manifest mismatches are told, not dropped."""
+    """(chunks, problems) of a folder. Every file and every declared document ends as chunks or as a problem, none is dropped without a word.
+
+    problems: (logical_path, problem): a listing code, a missing partner in the manifest, why a file could not be read (also: no reader for its kind), or that it gave no chunks.
+    One file that can't be read never ends the job. Finding problems parses the files once more.
+    """
     files = listing.scan(spark, path, root)
-    good = files.filter("code is null").select("logical_path", "content")
-    matched = corpus.match_manifest(good.select(F.col("logical_path").alias("source_path")), manifest)
-    parts = [docx_chunks(parsers.read_docx(good)), xlsx_chunks(parsers.read_xlsx(good))]
+    found = files.filter("code is null").select("logical_path", "content")
+    matched = corpus.match_manifest(found.select(F.col("logical_path").alias("source_path")), manifest)
+    good = found.join(matched.filter("outcome = 'prepared'").select(F.col("source_path").alias("logical_path")), "logical_path", "left_semi")
+    docx, xlsx = parsers.read_docx(good), parsers.read_xlsx(good)
+    parsed, parts = [docx, xlsx], [docx_chunks(parsers.good(docx)), xlsx_chunks(parsers.good(xlsx))]
     if pdf_reader:
-        parts.append(pdf_chunks(parsers.read_pdf(good, pdf_reader)))
-    made = parts[0]
-    for other in parts[1:]:
-        made = made.unionByName(other, allowMissingColumns=True)
-    problems = files.filter("code is not null").select("logical_path", F.col("code").alias("problem")).unionByName(matched.filter("outcome <> 'prepared'").select(F.col("source_path").alias("logical_path"), F.col("outcome").alias("problem")))
+        parsed.append(parsers.read_pdf(good, pdf_reader))
+        parts.append(pdf_chunks(parsers.good(parsed[-1])))
+    made = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    bad = reduce(DataFrame.unionByName, (p.filter("error is not null").select(F.col("source_path").alias("logical_path"), F.concat(F.lit("unreadable: "), F.col("error")).alias("problem")) for p in parsed))
+    if not pdf_reader:
+        bad = bad.unionByName(good.filter(F.lower("logical_path").endswith(".pdf")).select("logical_path", F.lit("unreadable: no reader for PDF files").alias("problem")))
+    told = made.select(F.col("source_path").alias("logical_path")).unionByName(bad.select("logical_path")).distinct()
+    empty = good.select("logical_path").join(told, "logical_path", "left_anti").withColumn("problem", F.lit("no searchable chunks"))
+    unmatched = matched.filter("outcome <> 'prepared'").select(F.col("source_path").alias("logical_path"), F.col("outcome").alias("problem"))
+    problems = files.filter("code is not null").select("logical_path", F.col("code").alias("problem")).unionByName(unmatched).unionByName(bad).unionByName(empty)
     return _canonical(made, manifest), problems
 
 

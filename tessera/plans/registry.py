@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, text
 from tessera.operators import analysis, corpus, evidence, fusion, search, selection, structure
+from tessera.plans import store
 from tessera.plans.catalog import CHUNKS_SQL, QUESTIONS, chunks, fold, questions, read
 from tessera.sources import listing
 
@@ -102,18 +103,23 @@ def baseline_chunks(spark, sf_dir):
     return baseline_table(spark, sf_dir).select("doc_id", "word_start", "id")
 
 
-@query(f"""WITH {BASELINE}, per AS (SELECT path, count(*) AS n_chunks, string_agg(sha256(concat(path, '|', id, '|', content)), chr(10) ORDER BY doc_id, word_start) AS s FROM baseline GROUP BY path)
-SELECT path, n_chunks, sha256(s) AS fingerprint FROM per""")
+@query(f"""WITH {BASELINE}, hashed AS (SELECT path, sha256(concat(path, '|', CAST(doc_id AS VARCHAR), '|', CAST(word_start AS VARCHAR), '|', id, '|', content)) AS h FROM baseline)
+SELECT path, count(*) AS n_chunks, sha256(concat_ws('-', {", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS UBIGINT)) AS VARCHAR)" for i in range(4))})) AS fingerprint FROM hashed GROUP BY path""")
 def corpus_fingerprint(spark, sf_dir):
-    """A hash of hashes for each source; the hashes stream, so that no task holds the corpus or a source."""
-    each = baseline_table(spark, sf_dir).select("path", "doc_id", "word_start", F.sha2(F.concat_ws("|", "path", "id", "content"), 256).alias("h"))
-    return corpus.fingerprints(each, "path", ["doc_id", "word_start"]).withColumnRenamed("n", "n_chunks")
+    """One hash for each source over the hashes of its chunks, which hold their document and place; from partial sums."""
+    parts = ["path", F.col("doc_id").cast("string"), F.col("word_start").cast("string"), "id", "content"]
+    each = baseline_table(spark, sf_dir).select("path", F.sha2(F.concat_ws("|", *parts), 256).alias("h"))
+    return corpus.fingerprints(each, "path").withColumnRenamed("n", "n_chunks")
 
 
-@query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id', 120, 20)} SELECT doc_id, count(*) AS n_windows, CAST(0 AS BIGINT) AS n_violations FROM windows GROUP BY doc_id")
+@query(f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id', 120, 20)}, hurt AS (SELECT doc_id, word_start, string_split(CASE WHEN (doc_id + chunk_number) % 5 = 0 THEN concat('x', content) ELSE content END, ' ') AS w FROM windows),
+pairs AS (SELECT doc_id, w, lead(w) OVER o AS later, lead(word_start) OVER o - word_start AS step FROM hurt WINDOW o AS (PARTITION BY doc_id ORDER BY word_start))
+SELECT doc_id, count(*) AS n_windows, count(*) FILTER (WHERE later IS NOT NULL AND array_to_string(w[step + 1 : step + 20], ' ') <> array_to_string(later[1 : 20], ' ')) AS n_violations FROM pairs GROUP BY doc_id""")
 def overlap_check(spark, sf_dir):
+    """Each fifth window is damaged at its first word, which the check must find."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    return structure.overlap_violations(structure.word_windows(docs, "t"), ["doc_id"])
+    hurt = F.when((F.col("doc_id") + F.col("chunk_number")) % 5 == 0, F.concat(F.lit("x"), "content")).otherwise(F.col("content"))
+    return structure.overlap_violations(structure.word_windows(docs, "t").withColumn("content", hurt), ["doc_id"])
 
 
 SHEET = """sheet AS (SELECT l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS n,
@@ -238,7 +244,7 @@ def logical_paths(spark, sf_dir):
 
 # Search
 
-BM25 = f"""spread AS (SELECT doc_id, {tokens('text')} AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM spread),
+BM25 = f"""spread AS (SELECT doc_id, {tokens("concat('title of ', coalesce(lang, ''), chr(10), coalesce(text, ''))")} AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM spread),
 asked AS (SELECT item_id AS qid, unnest(list_distinct({tokens('text')})) AS term FROM benchmark),
 each_t AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM spread), post AS (SELECT doc_id, dl, term, count(*) AS tf FROM each_t WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -246,9 +252,14 @@ hits AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf
 bm25 AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits QUALIFY rank <= 20)"""
 
 
+def keyword(spark, sf_dir, asked):
+    """BM25 over titles and texts for (qid, text)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("title of "), F.coalesce("lang", F.lit(""))).alias("title"), "text")
+    return search.bm25_top_k(docs, asked, columns=("title", "text"))
+
+
 def bm25(spark, sf_dir):
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return search.bm25_top_k(read(spark, sf_dir, "documents"), asked)
+    return keyword(spark, sf_dir, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 @query(f"WITH {BM25} SELECT qid, doc_id, score, rank FROM bm25")
@@ -276,18 +287,24 @@ def knn_baseline_top5(spark, sf_dir):
     return knn(spark, sf_dir, 5)
 
 
-RRF = f"""both_lists AS (SELECT qid, doc_id AS id, rank FROM bm25 UNION ALL SELECT qid, id, rank FROM knn), fused AS (SELECT qid, id, round(sum(1 / (60.0 + rank)), 6) AS score FROM both_lists GROUP BY qid, id),
+#: A question's vector is the mean vector of what its keyword search found.
+FEEDBACK = """fb0 AS (SELECT b.qid, unnest(range(1, len(e.embedding) + 1)) AS i, unnest(CAST(e.embedding AS DOUBLE[])) AS x FROM bm25 b JOIN embeddings e ON e.vec_id = b.doc_id), fb1 AS (SELECT qid, i, avg(x) AS x FROM fb0 GROUP BY qid, i), fb AS (SELECT qid, list(x ORDER BY i) AS e FROM fb1 GROUP BY qid),
+fbs AS (SELECT f.qid, v.vec_id AS id, round(list_cosine_similarity(f.e, CAST(v.embedding AS DOUBLE[])), 6) AS score FROM fb f CROSS JOIN embeddings v), knn AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fbs QUALIFY rank <= 20)"""
+RRF = f"""{FEEDBACK}, both_lists AS (SELECT qid, doc_id AS id, rank FROM bm25 UNION ALL SELECT qid, id, rank FROM knn), fused AS (SELECT qid, id, round(sum(1 / (60.0 + rank)), 6) AS score FROM both_lists GROUP BY qid, id),
 rrf AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 20)"""
 
 
-def hybrid(spark, sf_dir):
-    """A question's vector is that of the document with its number."""
-    return search.reciprocal_rank_fusion(bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"), knn(spark, sf_dir))
+def hybrid(spark, sf_dir, asked):
+    """Keyword and vector search of (qid, text), fused by rank."""
+    hits = store.materialise(keyword(spark, sf_dir, asked).withColumnRenamed("doc_id", "id"), "hybrid-hits")
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    near = search.vector_top_k(vectors, search.feedback_vectors(hits, vectors), own=False)
+    return search.reciprocal_rank_fusion(hits, near)
 
 
-@query(f"WITH {BM25}, {KNN.format(k=20)}, {RRF} SELECT qid, id, score, rank FROM rrf")
+@query(f"WITH {BM25}, {RRF} SELECT qid, id, score, rank FROM rrf")
 def rrf_hybrid(spark, sf_dir):
-    return hybrid(spark, sf_dir)
+    return hybrid(spark, sf_dir, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 # Candidates: BM25 hits of a question as chunks with metadata
@@ -415,11 +432,13 @@ def facet_reservation(spark, sf_dir):
     return selection.facet_reservations(prepared(spark, sf_dir), 6).filter("reserved is not null").select("qid", "id", "reserved")
 
 
-PACK = f"{CANDIDATES}, {DEDUP}, {NARROW}, {FRESH}, {RANKED}, {REQUIRED}, {FACETED}, pack AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN any_req THEN CASE WHEN req THEN place END ELSE reserved END NULLS LAST, place) AS position FROM d9 QUALIFY position <= 6)"
+PACKED = f"{DEDUP}, {NARROW}, {FRESH}, {RANKED}, {REQUIRED}, {FACETED}, pack AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN any_req THEN CASE WHEN req THEN place END ELSE reserved END NULLS LAST, place) AS position FROM d9 QUALIFY position <= 6)"
+PACK = f"{CANDIDATES}, {PACKED}"
 
 
 def context(spark, sf_dir):
-    return selection.select_context(candidates(spark, sf_dir))
+    """The evidence packs: a few rows a question, stored once for all that read them."""
+    return store.materialise(selection.select_context(candidates(spark, sf_dir)), "packs")
 
 
 @query(f"WITH {PACK} SELECT qid, position, id, source_path, rank_score FROM pack")
@@ -463,7 +482,7 @@ def sub_hits(spark, sf_dir):
     half = F.floor(F.size(parts) / 2).cast("int")
     sides = F.array(F.struct((item * 3).alias("qid"), F.col("text")), F.struct((item * 3 + 1).alias("qid"), F.array_join(F.slice(parts, F.lit(1), half), " ").alias("text")), F.struct((item * 3 + 2).alias("qid"), F.array_join(F.slice(parts, half + 1, F.size(parts)), " ").alias("text")))
     asked = read(spark, sf_dir, "benchmark").select(F.inline(sides))
-    found = search.bm25_top_k(read(spark, sf_dir, "documents"), asked)
+    found = keyword(spark, sf_dir, asked)
     split = found.select(F.floor(F.col("qid") / 3).alias("qid"), (F.col("qid") % 3).alias("subquery"), (F.col("rank") - 1).alias("rank"), "score", "doc_id")
     return with_ids(split.join(chunks(spark, sf_dir), "doc_id"))
 
@@ -484,14 +503,14 @@ def comparison_fusion(spark, sf_dir):
 
 
 TURNS = """turns AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN concat(CASE (conv_id + turn) % 8 WHEN 0 THEN 'What about ' WHEN 1 THEN 'compare 2024 and 2025 for ' WHEN 2 THEN 'and in 2023 ' WHEN 3 THEN 'how many documents are in ' ELSE '' END,
-  CASE (conv_id + turn) % 16 WHEN 5 THEN 'Tell me about the policy' WHEN 7 THEN 'Hello there!' ELSE substr(text, 1, 60) END) ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant'))"""
+  CASE (conv_id + turn) % 16 WHEN 5 THEN 'Tell me about the policy' WHEN 7 THEN 'Hello there!' ELSE coalesce(text, '') END) ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant'))"""
 PRIOR = f"""{TURNS}, prior AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS prior FROM turns)"""
 
 
 def turns(spark, sf_dir):
     n = F.col("conv_id") + F.col("turn")
     lead = F.when(n % 8 == 0, "What about ").when(n % 8 == 1, "compare 2024 and 2025 for ").when(n % 8 == 2, "and in 2023 ").when(n % 8 == 3, "how many documents are in ").otherwise("")
-    body = F.when(n % 16 == 5, "Tell me about the policy").when(n % 16 == 7, "Hello there!").otherwise(F.substring("text", 1, 60))
+    body = F.when(n % 16 == 5, "Tell me about the policy").when(n % 16 == 7, "Hello there!").otherwise(F.coalesce("text", F.lit("")))
     rows = read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
     return rows.withColumn("text", F.when(F.col("role") == "user", F.concat(lead, body)).otherwise(F.col("text")))
 
@@ -516,7 +535,7 @@ def same_key(x: str) -> str:
     return fold(x)
 
 
-ANALYZED = f"""{PRIOR}, a1 AS (SELECT conv_id, turn, text AS question, {squeezed('text')} AS q, {squeezed('prior')} AS p FROM prior WHERE role = 'user'),
+ANALYSIS = f"""a1 AS (SELECT conv_id, turn, text AS question, {squeezed('text')} AS q, {squeezed('prior')} AS p FROM prior WHERE role = 'user'),
 a2 AS (SELECT *, coalesce(p <> '' AND regexp_matches(q, {_re(analysis.FOLLOW_UP)}), FALSE) AS resolved FROM a1),
 a3 AS (SELECT *, CASE WHEN resolved THEN concat(p, ' ', q) ELSE q END AS s, regexp_matches(q, {_re(analysis.GENERIC)}) AND NOT resolved AS ambiguous FROM a2),
 a4 AS (SELECT *, CASE WHEN ambiguous THEN 'unspecified' WHEN regexp_matches(s, {_re(analysis.COMPARISON)}) THEN 'comparison' WHEN {historical('s')} THEN 'historical' ELSE 'unspecified' END AS intent,
@@ -524,6 +543,7 @@ a4 AS (SELECT *, CASE WHEN ambiguous THEN 'unspecified' WHEN regexp_matches(s, {
 a5 AS (SELECT *, list_filter(ys, lambda y, i: list_position(ys, y) = i) AS years, {subject_sql('s')} AS subject FROM a4),
 a6 AS (SELECT *, CASE WHEN intent = 'comparison' AND len(years) >= 2 THEN list_concat([s], list_transform(years[1:2], lambda y: CASE WHEN regexp_extract_all(s, {YEARS}) = [y] THEN s WHEN subject <> '' THEN concat(subject, ' in ', y) ELSE y END)) ELSE [s] END AS subs0 FROM a5),
 a7 AS (SELECT *, list_filter(subs0, lambda x, i: list_position(list_transform(subs0, lambda z: {same_key('z')}), {same_key('x')}) = i)[1:3] AS subs FROM a6)"""
+ANALYZED = f"{PRIOR}, {ANALYSIS}"
 
 
 def analyzed(spark, sf_dir):
@@ -556,9 +576,10 @@ def request_validation(spark, sf_dir):
 
 TERMS = f"list_sort(list_distinct(list_filter({stemmed('question')}, lambda t: NOT list_contains({listed(text.GATE_STOP)}, t))))"
 FACTS = f"list_distinct(list_transform(regexp_extract_all(content, {_re(evidence.FACT)}, 1), lambda m: array_to_string(({stemmed('m')})[1:8], ' ')))"
-GATE = f"""{PACK}, asked_q AS (SELECT qid, question, {TERMS} AS terms FROM qs), own AS (SELECT qid, {stemmed("concat_ws(' ', content, title, section, sheet_name)")} AS own, {FACTS} AS facts FROM pack),
+GATED = f"""asked_q AS (SELECT qid, question, {TERMS} AS terms FROM qs), own AS (SELECT qid, {stemmed("concat_ws(' ', content, title, section, sheet_name)")} AS own, {FACTS} AS facts FROM pack),
 met AS (SELECT a.qid, a.question, a.terms, o.own, list_intersect(a.terms, o.own) AS hit, CASE WHEN len(list_intersect(a.terms, o.own)) > 0 THEN o.facts END AS facts FROM asked_q a LEFT JOIN own o USING (qid)),
 gate AS (SELECT qid, any_value(question) AS question, any_value(terms) AS terms, count(own) AS n, list_sort(list_distinct(flatten(list(hit)))) AS matched, len(list_distinct(flatten(list(facts)))) AS said FROM met GROUP BY qid)"""
+GATE = f"{PACK}, {GATED}"
 
 
 @query(f"""WITH {GATE}, r AS (SELECT *, CASE WHEN n = 0 THEN 'no_retrieved_evidence' WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN 'conflicting_evidence' WHEN len(matched) < CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END THEN 'insufficient_query_overlap' ELSE 'supported_evidence' END AS reason FROM gate)
@@ -574,27 +595,28 @@ def conflict_signatures(spark, sf_dir):
 
 
 # Answers cite the pack's chunks in ways that differ by question: plain, doubled, grouped, with pages, and one invented
-_SPARK_ANSWER = "CASE qid % 6 WHEN 0 THEN concat('First [', a, '] then [', b, '] and [', a, '].') WHEN 1 THEN concat('Nested [[', a, ']].') WHEN 2 THEN concat('Both [', a, ', ', b, ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN concat('Known [', a, '] and [feedfeed].') ELSE 'No mark.' END"
+_SPARK_ANSWER = "CASE qid % 6 WHEN 0 THEN concat('First [', a, '] then [', coalesce(b, a), '] and [', a, '].') WHEN 1 THEN concat('Nested [[', a, ']].') WHEN 2 THEN concat('Both [', a, ', ', coalesce(b, a), ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN concat('Known [', a, '] and [feedfeed].') ELSE 'No mark.' END"
 ANSWERS = f"{PACK}, firsts AS (SELECT qid, max(CASE WHEN position = 1 THEN id END) AS a, max(CASE WHEN position = 2 THEN id END) AS b FROM pack GROUP BY qid), answers AS (SELECT qid, a, b, {_SPARK_ANSWER} AS answer FROM firsts)"
 
 
-def answers(spark, sf_dir):
-    firsts = context(spark, sf_dir).groupBy("qid").agg(F.max(F.when(F.col("position") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("position") == 2, F.col("id"))).alias("b"))
+def answers(pack):
+    firsts = pack.groupBy("qid").agg(F.max(F.when(F.col("position") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("position") == 2, F.col("id"))).alias("b"))
     return firsts.withColumn("answer", F.expr(_SPARK_ANSWER))
 
 
 @query(f"""WITH {ANSWERS}, p AS (SELECT w.qid, max(CASE WHEN position = 1 THEN page_number END) AS page FROM pack w GROUP BY w.qid)
-SELECT qid, ok, CASE WHEN ok THEN CASE WHEN qid % 6 IN (0, 2) THEN concat(a, ',', b) ELSE a END END AS cited FROM (SELECT qid, a, b, coalesce(CASE qid % 6 WHEN 0 THEN a IS NOT NULL AND b IS NOT NULL WHEN 1 THEN a IS NOT NULL WHEN 2 THEN b IS NOT NULL WHEN 3 THEN page = 3 ELSE FALSE END, FALSE) AS ok FROM answers JOIN p USING (qid))""")
+SELECT qid, ok, CASE WHEN ok THEN CASE WHEN qid % 6 IN (0, 2) AND b IS NOT NULL THEN concat(a, ',', b) ELSE a END END AS cited FROM (SELECT qid, a, b, coalesce(CASE qid % 6 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE WHEN 3 THEN page = 3 ELSE FALSE END, FALSE) AS ok FROM answers JOIN p USING (qid))""")
 def citation_verify(spark, sf_dir):
-    found = evidence.verify_citations(answers(spark, sf_dir).select("qid", "answer"), context(spark, sf_dir))
+    pack = context(spark, sf_dir)
+    found = evidence.verify_citations(answers(pack).select("qid", "answer"), pack)
     return found.select("qid", "ok", F.array_join(F.col("citations.chunk_id"), ",").alias("cited"))
 
 
-@query(f"""WITH {ANSWERS}, shown AS (SELECT qid, CASE qid % 6 WHEN 0 THEN 'First [1] then [2] and [1].' WHEN 1 THEN 'Nested [[1]].' WHEN 2 THEN concat('Both [', a, ', ', b, ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN 'Known [1] and [feedfeed].' ELSE 'No mark.' END AS shown FROM answers WHERE a IS NOT NULL AND b IS NOT NULL)
+@query(f"""WITH {ANSWERS}, shown AS (SELECT qid, CASE qid % 6 WHEN 0 THEN CASE WHEN b IS NULL THEN 'First [1] then [1] and [1].' ELSE 'First [1] then [2] and [1].' END WHEN 1 THEN 'Nested [[1]].' WHEN 2 THEN concat('Both [', a, ', ', coalesce(b, a), ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN 'Known [1] and [feedfeed].' ELSE 'No mark.' END AS shown FROM answers)
 SELECT qid, CASE WHEN qid % 6 = 1 THEN 'Nested [ [1]].' ELSE shown END AS shown FROM shown""")
 def display_numbers(spark, sf_dir):
-    rows = answers(spark, sf_dir).filter("a is not null and b is not null")
-    return rows.select("qid", evidence.display_answer(F.col("answer"), F.array("a", "b")).alias("shown"))
+    ids = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
+    return answers(context(spark, sf_dir)).select("qid", evidence.display_answer(F.col("answer"), ids).alias("shown"))
 
 
 # The corpus table
@@ -638,6 +660,14 @@ def manifest_outer(spark, sf_dir):
     return corpus.match_manifest(sources, declared)
 
 
+@query(f"""WITH l AS (SELECT DISTINCT {fold("concat(source, '/', lang)")} AS source_path FROM documents), r AS (SELECT DISTINCT {fold("concat(upper(source), '/', lang)")} AS source_path FROM documents WHERE doc_id % 4 = 0 UNION SELECT DISTINCT {fold("concat('absent/', source)")} FROM documents)
+SELECT coalesce(l.source_path, r.source_path) AS source_path, CASE WHEN r.source_path IS NULL THEN 'left' ELSE 'right' END AS side FROM l FULL JOIN r ON l.source_path = r.source_path WHERE l.source_path IS NULL OR r.source_path IS NULL""")
+def key_differences(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    declared = docs.filter("doc_id % 4 = 0").select(F.concat_ws("/", F.upper("source"), "lang").alias("source_path")).union(docs.select(F.concat(F.lit("absent/"), "source")))
+    return corpus.key_differences(docs.select(F.concat_ws("/", "source", "lang").alias("source_path")), declared, "source_path")
+
+
 SOURCES = f"chunks AS ({CHUNKS_SQL}), sources AS (SELECT replace(source_path, chr(92), '/') AS source_path, title FROM chunks QUALIFY row_number() OVER (PARTITION BY {SKEY} ORDER BY doc_id) = 1)"
 PARENT = f"{fold('list_extract(string_split(source_path, chr(47)), -2)')}"
 
@@ -652,10 +682,10 @@ def inventory_counts(spark, sf_dir):
     return corpus.inventory_counts(corpus.distinct_sources(chunks(spark, sf_dir), "doc_id"))
 
 
-@query(f"""WITH {SOURCES}, asked AS (SELECT conv_id * 1000 + turn AS qid, {fold("concat(substr(text, 1, 40), ' in src', CAST(conv_id % 23 AS VARCHAR), ' please')")} AS q FROM conversations), dep AS (SELECT DISTINCT {PARENT} AS department FROM sources)
+@query(f"""WITH {SOURCES}, asked AS (SELECT conv_id * 1000 + turn AS qid, {fold("concat(text, ' in src', CAST(conv_id % 23 AS VARCHAR), ' please')")} AS q FROM conversations), dep AS (SELECT DISTINCT {PARENT} AS department FROM sources)
 SELECT qid, department FROM asked JOIN dep ON regexp_matches(q, concat('(^|[^A-Za-z0-9_])', department, '($|[^A-Za-z0-9_])')) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(department) DESC, department) = 1""")
 def department_filter(spark, sf_dir):
-    asked = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.substring("text", 1, 40), F.lit(" in src"), (F.col("conv_id") % 23).cast("string"), F.lit(" please")).alias("question"))
+    asked = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.coalesce("text", F.lit("")), F.lit(" in src"), (F.col("conv_id") % 23).cast("string"), F.lit(" please")).alias("question"))
     return corpus.department_in_question(asked, corpus.distinct_sources(chunks(spark, sf_dir), "doc_id"))
 
 
@@ -688,19 +718,10 @@ ret AS (SELECT qid, d.source, rank FROM bm25 JOIN documents d USING (doc_id) WHE
 g AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE good) AS fit, count(DISTINCT CASE WHEN good THEN source END) AS found FROM m GROUP BY qid), need AS (SELECT qid, count(*) AS k FROM exp GROUP BY qid)
 SELECT qid, CASE WHEN coalesce(found, 0) > 0 THEN 1 ELSE 0 END::BIGINT AS hit, round(coalesce(found, 0) / CAST(k AS DOUBLE), 6) AS recall, round(coalesce(fit / CAST(n AS DOUBLE), 0.0), 6) AS precision FROM need LEFT JOIN g USING (qid)""")
 def retrieval_metrics(spark, sf_dir):
-    """Expected sources hold the whole passage; documents and passages meet by the passage's longest inner word, then the text is searched."""
+    """Expected sources hold the whole passage, which is looked for inside the scan."""
     docs, found = read(spark, sf_dir, "documents"), bm25(spark, sf_dir)
-    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    inner = F.split("passage", "[ \\n]")
-    middle = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
-    word = F.array_max(F.transform(middle, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = passages.withColumn("_key", word).filter(F.size(inner) >= 3)
-    short = passages.filter(F.size(inner) < 3)
-    spread = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("_key"))
-    near = spread.join(keyed, "_key").select("doc_id", "source", "qid", "passage")
-    hits = near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage"))).select("qid", "source")
-    few = short.select("qid", "passage").join(docs.select("source", "text"), F.contains("text", F.col("passage"))).select("qid", "source")
-    expected = hits.unionByName(few).distinct()
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    expected = search.containing(docs.select("source", "text"), passages).select("qid", "source").distinct()
     retrieved = found.join(docs.select("doc_id", "source"), "doc_id").select("qid", "source", "rank")
     return corpus.retrieval_metrics(expected, retrieved)
 
@@ -758,6 +779,40 @@ def question_answers(spark, sf_dir):
     return joined.select("qid", F.when(F.col("ok"), "answered").otherwise("insufficient_evidence").alias("status"), F.sha2(F.when(F.col("ok"), F.col("answer")).otherwise(analysis.REFUSAL), 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"))
 
 
+# The whole path with all its branches: benchmark questions, one for the inventory of each source, a greeting and a question without a subject
+
+PATH_QUESTIONS = """SELECT qid, question FROM (SELECT qid, question FROM qs0 UNION ALL SELECT -1 - row_number() OVER (ORDER BY source), concat('how many documents are in ', source, '?') FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+  UNION ALL SELECT -1000001, 'Hello there!' UNION ALL SELECT -1000002, 'Tell me about the policy' UNION ALL SELECT -1000003, 'How many files are indexed?')"""
+PATH = f"""qs0 AS ({QUESTIONS}), prior AS (SELECT qid AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, question AS text, CAST(NULL AS VARCHAR) AS prior FROM ({PATH_QUESTIONS})), {ANALYSIS},
+routed AS (SELECT conv_id AS qid, s, intent, question AS asked, CASE WHEN len(subs) > 1 AND subs[1] = s THEN subs[2:] ELSE subs END AS run,
+  CASE WHEN ambiguous THEN 'clarify' WHEN regexp_matches(trim(question), {_re(analysis.GREETING)}) THEN 'greeting' WHEN regexp_matches(question, {_re(analysis.DOCUMENTS)}) AND regexp_matches(question, {_re(analysis.INVENTORY)}) THEN 'inventory' ELSE 'retrieve' END AS route FROM a7),
+subs AS (SELECT qid * 3 + i AS item_id, run[i + 1] AS text FROM (SELECT qid, run, unnest(range(len(run))) AS i FROM routed WHERE route = 'retrieve')), {BM25.replace('FROM benchmark', 'FROM subs')}, {RRF}, chunks AS ({CHUNKS_SQL}),
+{HITS[HITS.index('hits3 AS'):].replace('b.qid // 3 AS qid, b.qid % 3 AS subquery', 'CAST(floor(b.qid / 3.0) AS BIGINT) AS qid, b.qid - 3 * CAST(floor(b.qid / 3.0) AS BIGINT) AS subquery').replace('FROM bm25 b JOIN chunks c USING (doc_id)', 'FROM rrf b JOIN chunks c ON b.id = c.doc_id')},
+lead_ AS (SELECT f.*, r.s, r.intent, row_number() OVER (PARTITION BY qid, family ORDER BY CASE WHEN coverage = 1 THEN 0 ELSE 1 END, best_score DESC, best_rank, first_subquery, usual) = 1 AS lead FROM flat f JOIN routed r USING (qid)),
+best20 AS (SELECT *, CASE WHEN intent = 'comparison' THEN row_number() OVER (PARTITION BY qid ORDER BY lead DESC, CASE WHEN lead THEN CASE WHEN coverage = 1 THEN 0 ELSE 1 END END, CASE WHEN lead THEN -best_score END, CASE WHEN lead THEN best_rank END, CASE WHEN lead THEN first_subquery END, usual) ELSE usual END AS rank FROM lead_ QUALIFY rank <= 20),
+kept AS (SELECT * FROM hits3 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY subquery, rank) = 1), qs AS (SELECT qid, s AS question FROM routed WHERE route = 'retrieve'),
+cands AS (SELECT k.* EXCLUDE (family, same, subquery) REPLACE (b.rank AS rank), b.s AS question, b.intent IN ('historical', 'comparison') AS historical FROM best20 b JOIN kept k ON b.qid = k.qid AND b.id = k.id)"""
+
+
+@query(f"""WITH {PATH}, {PACKED}, {GATED}, shut AS (SELECT *, CASE WHEN n = 0 THEN FALSE WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN FALSE ELSE len(matched) >= CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END END AS sufficient FROM gate),
+sources AS (SELECT replace(source_path, chr(92), '/') AS source_path FROM chunks QUALIFY row_number() OVER (PARTITION BY {SKEY} ORDER BY doc_id) = 1), dep AS (SELECT {PARENT} AS department, count(*) AS k FROM sources GROUP BY 1),
+inv AS (SELECT r.qid, d.department, d.k FROM routed r LEFT JOIN dep d ON regexp_matches({fold('r.asked')}, concat('(^|[^A-Za-z0-9_])', d.department, '($|[^A-Za-z0-9_])')) WHERE r.route = 'inventory' QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY length(d.department) DESC, d.department) = 1),
+told AS (SELECT r.qid, r.route, r.intent, s.sufficient, p.id, CASE r.route WHEN 'clarify' THEN '{analysis.CLARIFICATION}' WHEN 'greeting' THEN '{analysis.GREETING_ANSWER}'
+  WHEN 'inventory' THEN concat(CAST(coalesce(i.k, (SELECT count(*) FROM sources)) AS VARCHAR), coalesce(' ' || i.department, ''), CASE WHEN coalesce(i.k, (SELECT count(*) FROM sources)) = 1 THEN ' document is indexed.' ELSE ' documents are indexed.' END)
+  ELSE CASE WHEN s.sufficient THEN concat(substr(regexp_replace(p.content, '[\\[\\]]', '', 'g'), 1, 120), ' [', p.id, ']') ELSE '{analysis.REFUSAL}' END END AS answer, coalesce(c.k, 0) AS retrieved_chunks
+  FROM routed r LEFT JOIN shut s ON r.qid = s.qid LEFT JOIN pack p ON r.qid = p.qid AND p.position = 1 LEFT JOIN inv i ON r.qid = i.qid LEFT JOIN (SELECT qid, count(*) AS k FROM pack GROUP BY qid) c ON r.qid = c.qid)
+SELECT qid, route, CASE WHEN route = 'clarify' THEN 'clarification' WHEN route <> 'retrieve' OR sufficient THEN 'answered' ELSE 'insufficient_evidence' END AS status, sha256(answer) AS answer_hash, CASE WHEN sufficient THEN id END AS cited, retrieved_chunks, intent AS temporal_intent FROM told""")
+def answer_path(spark, sf_dir):
+    """All branches: analysis, routes, hybrid search of each sub-question, fusion, selection, gate, answer, verified citations."""
+    from tessera.plans import answers as path
+
+    rows = spark.sql(f"WITH qs0 AS ({QUESTIONS.replace('FROM benchmark', 'FROM {benchmark}')}) {PATH_QUESTIONS.replace('FROM documents', 'FROM {documents}')}", benchmark=read(spark, sf_dir, "benchmark"), documents=read(spark, sf_dir, "documents"))
+    asked = rows.select("qid", "question", F.lit(None).cast("string").alias("prior"))
+    known = with_ids(chunks(spark, sf_dir)).withColumn("key", F.col("doc_id"))
+    made = path.answer(asked, lambda q: hybrid(spark, sf_dir, q), known, "doc_id")
+    return made.select("qid", "route", "status", F.sha2("answer", 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"), "retrieved_chunks", "temporal_intent")
+
+
 @query(f"WITH {KNN.format(k=5)} SELECT k.qid, count(*) AS n_context, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.rank) AS ids, sum(length(coalesce(d.text, '')))::BIGINT AS n_chars FROM knn k JOIN documents d ON k.id = d.doc_id GROUP BY k.qid")
 def baseline_answers(spark, sf_dir):
     """The plain path: vector search for five, no selection or gate."""
@@ -767,6 +822,5 @@ def baseline_answers(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions, hybrid retrieval, evidence pack."""
-    return selection_context(spark, sf_dir)
-
+    """Questions by all routes, with hybrid retrieval, fusion, selection, gate and verified citations."""
+    return answer_path(spark, sf_dir)

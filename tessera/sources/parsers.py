@@ -57,16 +57,16 @@ def _column(ref: str) -> int:
 def xlsx_rows(content: bytes) -> Iterator[tuple]:
     """(sheet_number, sheet_name, row_number, cells, formulas, bold, merged, hidden) of every physical row.
 
-    A cell with a formula gives its cached value and the formula; date styles give ISO texts, booleans true or false.
+    A cell with a formula gives its cached value and the formula; dates, times and date-times give ISO texts, booleans true or false.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         have = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in have else []
-        fonts, styles, dates = [], [], {}
+        fonts, styles, codes = [], [], {}
         if "xl/styles.xml" in have:
             root = ET.fromstring(z.read("xl/styles.xml"))
             fonts = [f.find(f"{_S}b") is not None and f.find(f"{_S}b").get("val", "1") not in ("0", "false") for f in root.iterfind(f"{_S}fonts/{_S}font")]
-            dates = {int(n.get("numFmtId")): re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", n.get("formatCode").lower())) is not None for n in root.iterfind(f"{_S}numFmts/{_S}numFmt")}
+            codes = {int(n.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]', "", n.get("formatCode").lower()) for n in root.iterfind(f"{_S}numFmts/{_S}numFmt")}
             styles = [(int(x.get("fontId", 0)), int(x.get("numFmtId", 0))) for x in root.iterfind(f"{_S}cellXfs/{_S}xf")]
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for number, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iterfind(f"{_S}sheets/{_S}sheet"), 1):
@@ -79,7 +79,7 @@ def xlsx_rows(content: bytes) -> Iterator[tuple]:
                 cells, at = {}, 0
                 for c in row.iterfind(f"{_S}c"):
                     at = _column(c.get("r")) if c.get("r") else at + 1
-                    cells[at] = _cell(c, shared, styles, fonts, dates)
+                    cells[at] = _cell(c, shared, styles, fonts, codes)
                 width = max([width, *cells])
                 found[last] = (cells, row.get("hidden") in ("1", "true"))
             for n in range(1, max(found, default=0) + 1):
@@ -88,7 +88,17 @@ def xlsx_rows(content: bytes) -> Iterator[tuple]:
                 yield number, sheet.get("name"), n, [cells.get(c, (None, None, False))[0] for c in range(1, width + 1)], [cells.get(c, (None, None, False))[1] for c in range(1, width + 1)], bool(filled) and all(x[2] for x in filled), n in merged, hidden
 
 
-def _cell(c, shared: list[str], styles: list, fonts: list[bool], dates: dict[int, bool]) -> tuple:
+def _moment(days: float, form: int, code: str) -> str:
+    """A stored number as date, time or both, in ISO form: as its format shows it, or both where the number has both."""
+    at = datetime(1899, 12, 30) + timedelta(seconds=round(days * 86400))
+    if (18 <= form <= 21 or 45 <= form <= 47 or code and not re.search("[dy]", code)) and days < 1:
+        return at.time().isoformat(timespec="seconds")
+    if (14 <= form <= 17 or code and not re.search("[hs]", code)) and days == int(days):
+        return at.date().isoformat()
+    return at.isoformat(timespec="seconds")
+
+
+def _cell(c, shared: list[str], styles: list, fonts: list[bool], codes: dict[int, str]) -> tuple:
     kind, value, formula = c.get("t", "n"), c.findtext(f"{_S}v"), c.find(f"{_S}f")
     font, form = styles[int(c.get("s", 0))] if int(c.get("s", 0)) < len(styles) else (0, 0)
     if kind == "s" and value is not None:
@@ -97,26 +107,39 @@ def _cell(c, shared: list[str], styles: list, fonts: list[bool], dates: dict[int
         value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
     elif kind == "b" and value is not None:
         value = "true" if value == "1" else "false"
-    elif kind == "n" and value is not None and (14 <= form <= 22 or 45 <= form <= 47 or dates.get(form)):
-        value = (datetime(1899, 12, 30) + timedelta(days=float(value))).isoformat(timespec="seconds")
+    elif kind == "n" and value is not None and (14 <= form <= 22 or 45 <= form <= 47 or re.search("[dmyhs]", codes.get(form, ""))):
+        value = _moment(float(value), form, codes.get(form, ""))
     return value, f"={formula.text}" if formula is not None and formula.text else None, bool(fonts) and font < len(fonts) and fonts[font]
 
 
-def _parse(files: DataFrame, suffix: str, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    """Parses (logical_path, content) rows of one suffix; one file is one row's work."""
+def _parse(files: DataFrame, suffix: str, schema: str, rows: Callable[[bytes], Iterator[tuple]], most: int = 2000) -> DataFrame:
+    """Rows of the files (logical_path, content) of one suffix, and one row with ``error`` for a file that can't be read, in place of all its rows.
 
-    def run(batches):
-        for frame in batches:
-            out = [(path, *row) for path, content in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for row in rows(content or b"")]
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=shape)
+    A file is read by itself and its rows leave in batches, so that a task holds one file's rows at most beside what Arrow brings.
+    """
 
-    names = [x.strip().split()[0] for x in schema.split(", ")]
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                name = path.as_py()
+                try:
+                    out = [(name, *row, None) for row in rows(content.as_py() or b"")]
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is told in its row
+                    out = [(name, *[None] * (len(shape) - 2), f"{type(e).__name__}: {e}")]
+                for at in range(0, len(out), most):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + most], strict=True), shape, strict=True)], schema=shape)
+
+    schema += ", error string"
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     shape = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
     return files.filter(F.lower("logical_path").endswith(suffix)).select("logical_path", "content").mapInArrow(run, schema)
 
 
+def good(parsed: DataFrame) -> DataFrame:
+    """The rows of files that could be read."""
+    return parsed.filter("error is null").drop("error")
+
+
 def read_docx(files: DataFrame) -> DataFrame:
     def rows(content: bytes):
         return ((n, *block) for n, block in enumerate(docx_blocks(content), 1))
@@ -128,12 +151,12 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return _parse(files, ".xlsx", SHEET_ROWS, xlsx_rows)
 
 
-def read_pdf(files: DataFrame, reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Pages with text, numbered as in the file. reader: bytes to page texts; none is built in."""
+def read_pdf(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
+    """Pages with text, numbered as in the file. reader: bytes to page texts; none is built in, so one must be given."""
+    if reader is None:
+        raise ValueError("reading PDF files needs a reader: pass a function from bytes to page texts")
 
     def rows(content: bytes):
-        if reader is None:
-            raise RuntimeError("reading PDF files needs a reader: pass a function from bytes to page texts")
         return ((n, page) for n, page in enumerate(reader(content), 1) if page.strip())
 
     return _parse(files, ".pdf", PAGES, rows)

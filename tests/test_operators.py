@@ -244,16 +244,15 @@ def test_acl(spark):
     assert [r.id for r in corpus.allowed(rows, ["staff"]).collect()] == [1]
 
 
-def test_fingerprints_stream(spark):
-    rows = [(("a", "a", None, "b")[i % 4], i // 8 if i % 5 else None, i % 3, f"{i * 7919 % 1000:03d}") for i in range(3000)] + [("b", 1, 1, "same")] * 200
+def test_fingerprints(spark):
+    rows = [(("a", "a", None, "b")[i % 4], hashlib.sha256(str(i % 2900).encode()).hexdigest()) for i in range(3000)]
     want = {}
-    for k, d, w, h in rows:
-        want.setdefault(k, []).append(((d is not None, d or 0), w, h))
-    want = {(k, len(v), hashlib.sha256("\n".join(x[2] for x in sorted(v)).encode()).hexdigest()) for k, v in want.items()}
-    made = corpus.fingerprints(spark.createDataFrame(rows, "path string, d long, w long, h string").repartition(5), "path", ["d", "w"], run=7)
-    assert {tuple(r) for r in made.collect()} == want and made.count() == 3
-    plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan and "Aggregate" not in plan
+    for k, h in rows:
+        want.setdefault(k, []).append([int(h[15 * i : 15 * i + 15], 16) for i in range(4)])
+    want = {(k, len(v), hashlib.sha256("-".join(str(sum(x)) for x in zip(*v, strict=True)).encode()).hexdigest()) for k, v in want.items()}
+    frame = spark.createDataFrame(rows, "path string, h string")
+    for parts in (1, 7):
+        assert {tuple(r) for r in corpus.fingerprints(frame.repartition(parts), "path").collect()} == want
 
 
 def test_corpus_fingerprint_gathers_no_source(spark, small):
