@@ -5,6 +5,9 @@ length) to its ancestors, in full to the parent, halved to the grandparent and l
 container's points are discounted by the share of its text inside links. The best container and those of its
 siblings that score alike are kept, with all their blocks in page order.
 
+Tags and names only make an element suspect. Suspects leave before the scoring where other text carries the page; where little or nothing else is there, the suspect that holds the
+text is the page's frame and stays. A part of an article with a weak name stays if it holds prose. A name is judged by its head: "related-posts" are margin, "related-work" is not.
+
 Defined results: null or empty html, or a page without text, gives an empty text; html that breaks off is
 read as if all open elements were closed; unknown tags are containers; repeated rows stay repeated;
 extra columns are not looked at; nothing is capped.
@@ -27,17 +30,30 @@ _ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "canvas", "object", "menu", "dialog", "fieldset", "audio", "video", "math", "datalist"} | _RAW
+_DROPPED = {"head", "button", "select", "svg", "canvas", "object", "audio", "video", "math", "datalist"} | _RAW
+#: Tags of margins; those of the second set often frame whole pages as well.
+_MARGIN, _FRAME = {"nav", "footer", "menu"}, {"aside", "form", "dialog", "fieldset", "header"}
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _SCOPE = {"html", "body", "div", "article", "section", "main", "table", "td", "th", "li", "ul", "ol", "dl", "dd", "blockquote", "aside", "nav", "footer", "header", "form"}
-#: Words in class, id or role that mark what is not the article.
-_MARKS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-    "newsletter", "responses", "feedback", "discussion", "rail", "aside", "adsbygoogle", "adslot", "adbox", "adunit", "promoted", "topbar", "colophon", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "alert", "form", "alertdialog", "dialog", "copyright", "disclaimer",
+#: Heads of class, id or role names that mark what is not the article: surely, and perhaps.
+_STRONG = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "adslot", "adbox", "adunit", "sponsor", "sponsored", "promoted", "promo", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "disqus", "replies", "responses",
+    "consent", "cookie", "cookies", "gdpr", "footer", "colophon", "contentinfo", "menu", "nav", "navbar", "navigation", "pagination", "sidebar", "newsletter", "popup", "skip",
+}
+_WEAK = {
+    "banner", "header", "masthead", "modal", "feedback", "discussion", "rail", "aside", "topbar", "notice", "notices", "promotion", "recommended", "related", "reply", "respond", "search", "share", "sharing", "social", "subscribe", "toolbar", "widget",
+    "complementary", "alert", "form", "alertdialog", "dialog", "copyright", "disclaimer",
+}
+#: Words behind the head of a name that say nothing of what it is.
+_TAIL = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "count", "group", "icons", "inner", "item", "items", "left", "links", "list", "outer", "panel", "posts", "right", "row", "section", "signup", "slot", "stories", "text",
+    "thread", "top", "unit", "widgets", "wrap", "wrapper",
 }
+#: Long words that count at either end of a name written as one.
+_GLUED = ("sidebar", "advert", "cookie", "breadcrumb", "newsletter")
 _WORDS = re.compile(r"[a-z]+")
 #: Words of layout names ("with-sidebar", "no-comments"), which say nothing of the element itself.
 _LAYOUT = {"has", "with", "no", "without", "layout", "enabled", "open", "closed"}
@@ -45,42 +61,46 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "inside", "score", "chars", "linked", "prose")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, suspect: int = 0, inside: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.suspect, self.inside = tag, parent, dropped, suspect, inside
         self.children: list = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
+
+
+def _name_mark(name: str) -> int:
+    """2 for a name that surely marks a margin, 1 for one that may, else 0."""
+    parts = _WORDS.findall(name)
+    if not parts or _LAYOUT & set(parts):
+        return 0
+    while len(parts) > 1 and parts[-1] in _TAIL and not (parts[-1] in _STRONG or parts[-1] in _WEAK):
+        parts.pop()
+    head = parts[-1]
+    if head in _STRONG or any(head.startswith(w) or head.endswith(w) for w in _GLUED):
+        return 2
+    return int(head in _WEAK)
 
 
-def _unwanted(tag: str, attrs: str, inside: bool, marks: bool) -> bool:
-    """inside: of an article, whose own header holds its title; marks: whether names count."""
-    if tag in _DROPPED or tag == "header" and not inside:
-        return True
+def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
+    """(never text, how suspect); inside: of an article, whose own header holds its title."""
+    if tag in _DROPPED:
+        return True, 0
+    mark = 2 if tag in _MARGIN else 1 if tag in _FRAME and not (tag == "header" and inside) else 0
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
-        return False
+        return False, mark
     found = {}
     for name, double, single, bare in _ATTR.findall(attrs):
         found.setdefault(name.lower(), (double or single or bare).lower())
-    if not marks:
-        return False
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split()
-    words: set[str] = set()
-    for name in names:
-        parts = set(_WORDS.findall(name))
-        if not parts & _LAYOUT:
-            words |= parts
-            words |= {w for w in ("sidebar", "advert", "cookie", "breadcrumb", "newsletter", "comment") if w in name}
-    if tag == "article":
-        return bool(words & {"comment", "ad", "advert", "sponsored", "related", "promo"})
-    if tag == "header" or inside:
-        words.discard("header")
-    return bool(words & _MARKS)
-
-
-def _tree(page: str, marks: bool = True) -> _Node:
+        return True, mark
+    for name in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split():
+        if not (name == "header" and inside):
+            mark = max(mark, _name_mark(name))
+    return False, 2 * (mark == 2) if tag == "article" else mark
+
+
+def _tree(page: str) -> _Node:
     root = node = _Node("", None, False)
     at, find = 0, _MARKUP.search
     while m := find(page, at):
@@ -117,10 +137,8 @@ def _tree(page: str, marks: bool = True) -> _Node:
                     up = up.parent
                 if up.parent and up.tag in ends:
                     node = up.parent
-        inside, up = False, node
-        while up and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        new = _Node(tag, node, node.dropped or _unwanted(tag, attrs, inside, marks))
+        dropped, suspect = _judge(tag, attrs, node.inside)
+        new = _Node(tag, node, node.dropped or dropped, suspect, node.inside or tag in ("article", "main"))
         node.children.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
@@ -172,15 +190,56 @@ def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _suspects(root: _Node) -> list[_Node]:
+    """Suspects that no other suspect holds."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.suspect and not node.dropped:
+            out.append(node)
+        elif not node.dropped:
+            stack += [c for c in node.children if not isinstance(c, str)]
+    return out
+
+
+def _settle(root: _Node) -> None:
+    """Decides which suspects leave: all but parts of an article with a weak name that hold prose, and the frame of a page that has hardly any other text."""
+    blocks = _blocks(root)
+    whole = sum(len(text) for _, text, _ in blocks)
+    for owner, text, linked in blocks:
+        while owner is not None:
+            owner.chars += len(text)
+            owner.linked += linked
+            owner.prose += len(text) >= 200 and linked < 0.1 * len(text)
+            owner = owner.parent
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.suspect == 1 and node.parent and node.parent.inside and node.prose >= 2:
+            node.suspect = 0
+        stack += [c for c in node.children if not isinstance(c, str)]
+    while suspects := _suspects(root):
+        rest = whole - sum(n.chars for n in suspects)
+        frames = [n for n in suspects if n.chars > n.linked and (n.suspect == 1 or not rest)]
+        best = max(frames, key=lambda n: (n.chars - n.linked, -n.suspect), default=None)
+        if best is None or rest > 0.1 * (best.chars - best.linked) or best.suspect == 1 and rest and best.prose < 1:
+            break
+        best.suspect = 0  # its own parts are judged next
+    stack = [(root, False)]
+    while stack:
+        node, gone = stack.pop()
+        node.dropped = node.dropped or gone or node.suspect > 0
+        stack += [(c, node.dropped) for c in node.children if not isinstance(c, str)]
+        node.chars = node.linked = 0
+
+
 def extract(page: str | None) -> str:
     """The article's blocks joined by one line feed."""
     if not page:
         return ""
     root = _tree(page)
+    _settle(root)
     blocks = _blocks(root)
-    if not blocks:  # names that mark the whole page mark nothing
-        root = _tree(page, False)
-        blocks = _blocks(root)
     if not blocks:
         return ""
     scored: dict[int, _Node] = {}
