@@ -636,6 +636,109 @@ def test_html(page, text):
     assert html_text.extract(page) == text
 
 
+PROSE = ["It was a long day, and nobody had said a word of what had happened since the morning, when the first of them came up the road from the lake. " * 2, "They sat down, ate, and after a while the oldest told what she knew of the matter, which was little enough, but more than the others had hoped. " * 2, "In the end all of it was written down, read aloud twice, and put away for those who would come later and ask what had been done in those days. " * 2]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+SAID = "\n".join(x.strip() for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=x><div><h1>T</h1>{BODY}</div></form><footer>Imprint and more</footer></body>",
+        f"<div class='search-page'><div><h1>T</h1>{BODY}</div></div><footer>All rights</footer>",
+        f"<div class='widget' id=w><nav><a href=1>One</a></nav><div><h1>T</h1>{BODY}</div><div class=sidebar>More of that</div></div><div>Skip</div>",
+        f"<aside><nav><ul><li><a href=1>One</a><li>Two</ul></nav><h1>T</h1>{BODY}</aside>",
+        f"<article><h1>T</h1><p>{PROSE[0]}</p><section class='related-work'><p>{PROSE[1]}</p><p>{PROSE[2]}</p></section><section class='related-posts'><p>Read this</p></section></article>",
+        f"<article><h1>T</h1><p>{PROSE[0]}</p><section class=discussion><p>{PROSE[1]}</p><p>{PROSE[2]}</p></section><div class=notice>We use cookies</div></article>",
+    ],
+)
+def test_html_names_do_not_decide_alone(page):
+    assert html_text.extract(page) == "T\n" + SAID
+
+
+def test_html_comments_outweigh_no_article():
+    comments = "".join(f"<div class=comment><p>{x}</p></div>" for x in PROSE * 4)
+    page = f"<main><h1>T</h1><p>A short article, of a few words.</p></main><section id=comments>{comments}</section><form><p>{PROSE[0]}</p></form>"
+    assert html_text.extract(page) == "T\nA short article, of a few words."
+    assert html_text.extract(f"<div class=sidebar>{BODY}</div>") == SAID
+
+
+def plain_main_text(tree):
+    """The scoring by its definition over nested lists of divs; texts are paragraphs, (text,) a link paragraph."""
+    nodes = {}
+
+    def walk(path, node):
+        nodes[path] = node
+        for i, c in enumerate(node):
+            if isinstance(c, list):
+                walk((*path, i), c)
+
+    walk((), tree)
+
+    def paragraphs(path):
+        for i, c in enumerate(nodes[path]):
+            if isinstance(c, list):
+                yield from paragraphs((*path, i))
+            else:
+                yield path, c
+
+    def points(text):
+        return 1 + text.count(",") + min(len(text) / 100, 3)
+
+    worth = {}
+    for path in nodes:
+        total = chars = linked = 0
+        for own, p in paragraphs(path):
+            text = p if isinstance(p, str) else p[0]
+            depth = len(own) - len(path)
+            total += points(text) / (1, 2, 6, 9, 12)[depth] if depth < 5 else 0
+            chars += len(text)
+            linked += len(text) * (not isinstance(p, str))
+        worth[path] = (total * (1 - linked / max(1, chars)), linked, chars)
+    best = max((p for p in nodes if any(True for _ in paragraphs(p))), key=lambda p: worth[p][0])
+    kept = {best}
+    if best:
+        enough = max(10.0, 0.2 * worth[best][0])
+        for i, c in enumerate(nodes[best[:-1]]):
+            near = (*best[:-1], i)
+            if isinstance(c, list):
+                value, linked, chars = worth[near]
+                if value >= (max(3.0, 0.25 * enough) if linked < 0.25 * chars else enough):
+                    kept.add(near)
+            else:
+                kept.add((near, "p"))
+    out = []
+
+    def told(path):
+        for i, c in enumerate(nodes[path]):
+            here = (*path, i)
+            if isinstance(c, list):
+                told(here)
+            elif any(path[:k] in kept for k in range(len(path) + 1)) or (here, "p") in kept:
+                out.append(c if isinstance(c, str) else c[0])
+
+    told(())
+    return "\n".join(out)
+
+
+def test_html_scores_by_definition():
+    draw = random.Random(8)
+
+    def grow(depth):
+        out = []
+        for _ in range(draw.randint(1, 4)):
+            words = " ".join(draw.choice(["word", "and,", "longer", "of"]) for _ in range(draw.randint(1, 60)))
+            out.append(grow(depth - 1) if depth and draw.random() < 0.5 else (words,) if draw.random() < 0.25 else words)
+        return out
+
+    def page(node):
+        return "".join(f"<div>{page(c)}</div>" if isinstance(c, list) else f"<p>{c}</p>" if isinstance(c, str) else f"<p><a href=x>{c[0]}</a></p>" for c in node)
+
+    for _ in range(300):
+        tree = grow(4)
+        assert html_text.extract(page(tree)) == plain_main_text(tree)
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     assert Counter((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == {(1, "", 0): 2, (None, "x", 1): 1}
