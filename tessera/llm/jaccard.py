@@ -227,14 +227,12 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     ties = dealt.join(first, "band").select(F.col("id").alias("a"), F.col("first").alias("b"))
     groups = components(ties).join(classes.select(F.col("s1").alias("id"), "copies", "grams", "rep.doc_id", "rep.text_hash"), "id")
     tasks = materialise(deal(groups, threshold), "jaccard-tasks")
-    wanted = tasks.select("id", "doc_id", "text_hash").distinct()
-    rows, at = keyed(docs), ["doc_id", "text_hash"]
-    texts = maybe_in(rows, "doc_id", marked(wanted.filter("doc_id is not null"), "doc_id")).join(wanted, at)
+    rows, named = keyed(docs), tasks.filter("doc_id is not null")
+    texts = maybe_in(rows, "doc_id", marked(named, "doc_id")).join(named, ["doc_id", "text_hash"])
     # rows without an id may be many: equal texts of theirs are one before they are shuffled
-    lost = wanted.filter("doc_id is null").drop("doc_id")
+    lost = tasks.filter("doc_id is null").drop("doc_id")
     nameless = maybe_in(rows.filter("doc_id is null"), "text_hash", marked(lost, "text_hash")).groupBy("text_hash").agg(F.first("text").alias("text")).join(lost, "text_hash")
-    texts = texts.select("id", "text").unionByName(nameless.select("id", "text"))
-    members = tasks.drop("doc_id", "text_hash").join(texts, "id")
+    members = texts.drop("doc_id", "text_hash").unionByName(nameless.drop("text_hash"))
     checked = materialise(verify(members, n, threshold), "jaccard-links")
     links = checked.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(checked.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
