@@ -338,49 +338,127 @@ def test_components(spark):
 # 4 Pitman-Yor
 
 
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), 0]
+
+
 def test_pitman_yor_base_and_fold(spark, small):
     rows = pitman_yor.score_documents(table(spark, small, "documents")).collect()
-    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), 0] for r in table(spark, small, "documents").collect()}
+    texts = {r.doc_id: tokens_of(r.text) for r in table(spark, small, "documents").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     counts = Counter(w for i, ws in texts.items() if not held[i] for w in ws)
     n, v = sum(counts.values()), len(counts)
+    assert len(rows) == len(texts)
     for r in rows:
         words = texts[r.doc_id]
         assert (r.n_tokens, r.n_known, r.held_out, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), held[r.doc_id], n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
     own = [r for r in rows if r.held_out]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
 
 
-def test_pitman_yor_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b a c a b d e a b"[: 3 + 2 * (i % 9)]) for i in range(200)], "doc_id long, text string")
-    tables = pitman_yor.build_tables(pitman_yor.encode_blocks(docs, 1)).cache()
-    model = pitman_yor.learn(tables, pitman_yor.CONTEXTS, 2)
-    own = pitman_yor.Counts(tables.filter("shard = 0").collect()[0].asDict())
-    for sweep, (pairs, customers, seats) in enumerate(model.chain(own, 2)):
-        prior = model.parent(customers, seats, sweep)
-        unseen = (model.strength + model.root_discount * model.sweeps[sweep][2]) / (model.strength + model.sweeps[sweep][1]) / (model.v + 1)
-        assert prior.sum() + unseen == pytest.approx(1)
-        for ctx in np.unique(own.ctx):
-            at = own.ctx == ctx
-            fresh = model.strength + model.discount * model.sweeps[sweep][0][ctx]
-            seen = (own.n[at] - model.discount * pairs[at]).sum()
-            assert (seen + fresh) / (model.strength + model.guests[ctx]) == pytest.approx(1)
-        assert (pairs >= (own.n > 0)).all() and (pairs <= own.n).all()
-
-
-def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(1)
-    tables = pitman_yor.seat(np.full(4000, 8), np.full(4000, 0.7), 0.5, rng)
+def plain_scores(rows, sweeps, burn_in, seed, strength=1.0):
+    """A sampler without shortcuts: tables with their sizes, one customer after another taken away and seated anew."""
+    draw = random.Random(seed)
+    texts = {i: [None, *tokens_of(t)] for i, t in rows}
+    pairs = [p for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10 for p in zip(ws, ws[1:], strict=False)]
+    count, words = Counter(pairs), Counter(w for _, w in pairs)
+    rate = lambda c: min(0.97, max(0.05, (a := sum(x == 1 for x in c.values())) / max(1, a + 2 * sum(x == 2 for x in c.values()))))
+    d, d0, v = rate(count), rate(words), len(words)
+    below = {p: [] for p in count}  # sizes of the tables of each pair, then of each word at the parent
+    above = {w: [] for w in words}
+    opened, guests, parents, root = Counter(), Counter(), [0], [0]
+
+    def parent(w):
+        m, s = sum(above.get(w, ())), len(above.get(w, ()))
+        return (m - d0 * s + (strength + d0 * root[0]) / (v + 1)) / (strength + parents[0])
+
+    def sit(sizes, opening, discount):
+        odds = [max(0, x - discount) for x in sizes] + [opening]
+        at = draw.choices(range(len(odds)), odds)[0]
+        if at == len(sizes):
+            sizes.append(0)
+        sizes[at] += 1
+        return sizes[at] == 1
+
+    def leave(sizes):
+        at = draw.choices(range(len(sizes)), sizes)[0]
+        sizes[at] -= 1
+        if not sizes[at]:
+            sizes.pop(at)
+            return True
+        return False
+
+    def add(c, w):
+        guests[c] += 1
+        if sit(below[c, w], (strength + d * opened[c]) * parent(w), d):
+            opened[c] += 1
+            root[0] += sit(above[w], (strength + d0 * root[0]) / (v + 1), d0)
+            parents[0] += 1
+
+    def remove(c, w):
+        guests[c] -= 1
+        if leave(below[c, w]):
+            opened[c] -= 1
+            parents[0] -= 1
+            root[0] -= leave(above[w])
+
+    for p in pairs:
+        add(*p)
+    sums = Counter()
+    asked = {p for ws in texts.values() for p in zip(ws, ws[1:], strict=False)}
+    for sweep in range(sweeps):
+        for p in pairs:
+            remove(*p)
+            add(*p)
+        if sweep >= burn_in:
+            for c, w in asked:
+                own = below.get((c, w), [])
+                sums[c, w] += (sum(own) - d * len(own) + (strength + d * opened[c]) * parent(w)) / (strength + guests[c]) / (sweeps - burn_in)
+    return {i: sum(math.log10(sums[p]) for p in zip(ws, ws[1:], strict=False)) for i, ws in texts.items()}
+
+
+def test_pitman_yor_scores_are_those_of_a_plain_sampler(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(draw.choices("a b c d e f g h".split(), [9, 7, 5, 3, 2, 1, 1, 1], k=draw.randint(2, 14))) + " and so on" * (i % 3)) for i in range(60)]
+    want = plain_scores(rows, 60, 10, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(docs, sweeps=12, burn_in=2).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=0.02) for i in got)
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.005)
 
-    def mean(n, t, p):
-        if n == 8:
-            return t * p
-        new = 0.7 / (0.7 + n - 0.5 * t)
-        return mean(n + 1, t + 1, p * new) + mean(n + 1, t, p * (1 - new))
 
-    assert tables.mean() == pytest.approx(mean(1, 1, 1.0), rel=0.03)
-    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.5, rng).tolist() == [0, 1]
+def test_tables_are_drawn_from_their_distribution():
+    rng = np.random.default_rng(1)
+    for n, strength, discount, others, prior in ((2, 1.0, 0.5, 0, 0.3), (5, 1.0, 0.8, 7, 0.1), (12, 0.5, 0.3, 40, 0.02)):
+        # the weight of every way to seat n customers at the tables of one dish, by enumeration of table sizes
+        ways = Counter()
+
+        def seat(left, sizes, weight, n=n, strength=strength, discount=discount, others=others, prior=prior, ways=ways):
+            if not left:
+                ways[len(sizes)] += weight
+                return
+            seen = Counter(sizes)
+            for size, k in seen.items():
+                rest = list(sizes)
+                rest[rest.index(size)] += 1
+                seat(left - 1, tuple(sorted(rest)), weight * k * (size - discount))
+            seat(left - 1, tuple(sorted((*sizes, 1))), weight * (strength + discount * (others + len(sizes))) * prior)
+
+        seat(n, (), 1.0)
+        whole = sum(ways.values())
+        got = np.bincount(pitman_yor.draw_tables(np.full(20_000, n), np.full(20_000, others), np.full(20_000, prior), strength, discount, rng), minlength=n + 1) / 20_000
+        assert all(abs(got[t] - ways[t] / whole) < 0.015 for t in range(1, n + 1))
+    assert pitman_yor.draw_tables(np.array([0, 1]), np.zeros(2), np.ones(2), 1.0, 0.5, rng).tolist() == [0, 1]
+    large = pitman_yor.draw_tables(np.array([100, 100_000]), np.zeros(2), np.full(2, 0.1), 1.0, 0.5, rng)
+    assert (large >= 1).all() and large[0] <= 100 and large[1] < 10_000
+
+
+def test_pitman_yor_keys():
+    keys = np.asarray([0, 1, (1 << 40) - 1], np.uint64)
+    assert pitman_yor._unpacked(pitman_yor._packed(keys, 5), 5).tolist() == keys.tolist()
+    assert [pitman_yor.key_width(n) for n in (0, 1000, 1 << 30, 1 << 47, 1 << 62)] == [2, 3, 5, 7, 8]
 
 
 def test_pitman_yor_edges(spark):
@@ -389,30 +467,29 @@ def test_pitman_yor_edges(spark):
     assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
     assert pitman_yor.score_documents(nothing(spark)).count() == 0
     held = spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
-    assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in pitman_yor.score_documents(held).collect())
+    got = pitman_yor.score_documents(held).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(0) for r in got) and len(got) > 0
 
 
-def test_pitman_yor_splits_a_word(spark):
+def test_pitman_yor_splits_words_and_pins_pairs(spark):
     draw = random.Random(4)
-    rows = [(i, " ".join(draw.choice(["the", f"w{draw.randint(0, 300)}", f"w{draw.randint(0, 300)}"]) for _ in range(50))) for i in range(800)]
+    rows = [(i, " ".join(draw.choice(["the", "the", f"w{draw.randint(0, 300)}", f"w{draw.randint(0, 300)}"]) for _ in range(50))) for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     size = sum(len(t) for _, t in rows)
     the = pitman_yor.xxhash.xxh3_64_intdigest(b"the")
-    found = pitman_yor.hot_words(docs, size, size // 10)
-    assert set(found) == {the} and found[the] >= 3
-    assert pitman_yor.hot_words(docs, size, size) == {}
-    tables = pitman_yor.build_tables(pitman_yor.encode_blocks(docs, 2, block_tokens=500, hot={the: 70})).filter("shard >= 2")
-    held = [np.frombuffer(r.entry_times, "<u4").sum() for r in tables.collect()]
-    assert sum(held) == sum(t.split().count("the") for _, t in rows) and len(held) > 20 and max(held) < sum(held) / 5
-    whole = pitman_yor.sum_parts(tables).collect()
-    one = pitman_yor.sum_parts(pitman_yor.build_tables(pitman_yor.encode_blocks(docs, 2, hot={the: 1})).filter("shard >= 2")).collect()
-    assert whole == one and len(one) == 1
-    scores = [sorted(pitman_yor.score_documents(docs, hot={the: n}).collect()) for n in (1, 5)]
-    assert len(scores[0]) == 800
-    for a, b in zip(*scores, strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
-    for a, b in zip(sorted(pitman_yor.score_documents(docs, hot={}).collect()), scores[1], strict=True):
-        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score)
+    found, pins = pitman_yor.frequent(docs, size, size // 10)
+    assert set(found) == {the} and found[the] >= 3 and pins == [(the, the)]
+    assert pitman_yor.frequent(docs, size, size) == ({}, [])
+    told = []
+    for slot_bytes, hot in ((1 << 20, ({}, [])), (size // 9, ({the: 3}, [])), (size // 9, ({the: 5}, [(the, the)])), (size // 5, None)):
+        scored = pitman_yor.score_documents(docs, slot_bytes=slot_bytes, block_tokens=700, hot=hot, sweeps=0)
+        told.append({r.doc_id: r for r in scored.collect()})
+        assert len(told[-1]) == 800
+    for other in told[1:]:
+        for i, r in told[0].items():  # without sweeps nothing is drawn, so all ways to deal the work agree
+            assert other[i][1:5] == r[1:5] and other[i].score == pytest.approx(r.score) and other[i].base_score == pytest.approx(r.base_score)
+    drawn = [{r.doc_id: r.score for r in pitman_yor.score_documents(docs, slot_bytes=b, hot=h, sweeps=6).collect()} for b, h in ((1 << 20, ({}, [])), (size // 9, ({the: 5}, [(the, the)])))]
+    assert sum(drawn[0].values()) == pytest.approx(sum(drawn[1].values()), rel=0.01)
 
 
 # 5 lines
