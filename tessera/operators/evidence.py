@@ -56,13 +56,13 @@ def verify_citations(answers: DataFrame, context: DataFrame, annotated: bool = T
         parts = F.when(F.col("whole").isNotNull(), F.array("block")).when(note != "", F.array(note)).otherwise(F.transform(F.split("block", ","), lambda x: F.btrim(x)))
     else:
         parts = F.array("block")
-    each = whole.withColumn("label", F.lower(F.regexp_extract("block", ANNOTATION, 2))).withColumn("_values", F.transform(F.regexp_extract_all(F.regexp_extract("block", ANNOTATION, 3), F.lit("[0-9]+"), F.lit(0)), lambda v: F.try_to_number(v, F.lit("999999999")).cast("int")))
+    each = whole.withColumn("label", F.lower(F.regexp_extract("block", ANNOTATION, 2))).withColumn("_values", F.transform(F.regexp_extract_all(F.regexp_extract("block", ANNOTATION, 3), F.lit("[0-9]+"), F.lit(0)), lambda v: F.regexp_replace(v, "^0+(?=.)", "")))
     each = each.select("qid", "at", "whole", "label", "_values", F.posexplode(parts).alias("nth", "cited"))
     found = each.join(ids, (F.col("qid") == F.col("_q")) & (F.col("cited") == F.col("_id")), "left").drop("_q")
     plain = F.col("whole").isNotNull() | (F.col("label") == "")
-    lines = F.transform(F.regexp_extract_all(F.col("c.content"), F.lit(r"(?im)^Row:[^\S\n]*([0-9]+)\s*$"), F.lit(1)), lambda v: F.try_to_number(v, F.lit("999999999")).cast("int"))
+    lines = F.transform(F.regexp_extract_all(F.col("c.content"), F.lit(r"(?im)^Row:[^\S\n]*([0-9]+)\s*$"), F.lit(1)), lambda v: F.regexp_replace(v, "^0+(?=.)", ""))
     rows_there = (F.col("c.file_type") == "xlsx") & (F.size("_values") > 0) & (F.size(F.array_except("_values", lines)) == 0)
-    page_there = (F.size("_values") == 1) & (F.element_at("_values", 1) == F.col("c.page_number"))
+    page_there = (F.size("_values") == 1) & (F.element_at("_values", 1) == F.col("c.page_number").cast("string"))
     good = F.col("_id").isNotNull() & F.coalesce(plain | F.when(F.col("label").startswith("page"), page_there).otherwise(rows_there), F.lit(False))
     checked = found.withColumn("good", good)
     ordered = F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("at", "nth", F.col("cited").alias("chunk_id"), F.col("c.source_path").alias("source"), F.col("c.page_number").alias("page"), F.col("c.section").alias("section")))))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tessera.functions import text
 from tessera.functions.identity import chunk_id, document_id, short_hash
 from tessera.operators import corpus, structure
+from tessera.plans import store
 from tessera.plans.plugins import Embedder, embed
 from tessera.sources import listing, parsers
 
@@ -206,16 +207,45 @@ def prepare(spark: SparkSession, path: str, root: str, manifest: DataFrame, pdf_
     return _canonical(made, manifest), problems
 
 
-def upsert(spark: SparkSession, desired: DataFrame, location: str, embedder: Embedder) -> DataFrame:
-    """Makes the stored corpus equal to ``desired`` and gives the counts. Only new and changed chunks are embedded.
+#: Documents are stored by bucket of their id; a change rewrites the buckets it touches only.
+BUCKETS = 64
 
-    A version is written whole beside the old one and becomes the corpus when its success mark is there, so a failed run changes nothing.
-    """
+
+def _bucket(document: str = "document_id") -> Column:
+    return F.pmod(F.xxhash64(document), F.lit(BUCKETS)).cast("int")
+
+
+def upsert(spark: SparkSession, desired: DataFrame, location: str, embedder: Embedder) -> DataFrame:
+    """Makes the stored corpus equal to ``desired`` and gives the counts. Only new and changed chunks are embedded, only buckets with a change are written."""
     existing = current(spark, location, embedder.dimension)
-    actions = corpus.reconcile(desired, existing)
-    fresh = embed(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), "content", embedder)
-    kept = existing.join(actions.filter("action = 'unchanged'").select("id"), "id", "left_semi")
-    fresh.unionByName(kept.select(*fresh.columns)).write.parquet(f"{location.rstrip('/')}/v{_next(spark, location):08d}-{uuid.uuid4().hex[:8]}")
+    return _write(spark, desired, existing, location, embedder)
+
+
+def replace_documents(spark: SparkSession, rows: DataFrame, location: str, embedder: Embedder) -> DataFrame:
+    """Makes the documents named in ``rows`` equal to them, leaves all others, and gives the counts; only the buckets of these documents are read."""
+    touched = [r.b for r in rows.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
+    existing = current(spark, location, embedder.dimension, touched)
+    others = existing.drop("content_vector").join(rows.select("document_id").distinct(), "document_id", "left_anti")
+    return _write(spark, rows.select(*others.columns).unionByName(others), existing, location, embedder)
+
+
+def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, location: str, embedder: Embedder) -> DataFrame:
+    """Writes the changed buckets beside the old ones, then a version that lists every bucket's folder. A version counts when its success mark is there, so a failed run changes nothing."""
+    state = existing.drop("content_vector")
+    actions = store.materialise(corpus.reconcile(desired, state), "actions")
+    moved = actions.filter("action <> 'unchanged'").select("id")
+    homes = desired.select("id", "document_id").unionByName(state.select("id", "document_id"))
+    changed = sorted({r.b for r in homes.join(moved, "id", "left_semi").select(_bucket().alias("b")).distinct().collect()})
+    held = dict(_folders(spark, location))
+    if changed or not _versions(spark, location):
+        fresh = embed(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), "content", embedder)
+        kept = existing.filter(_bucket().isin(changed)).join(actions.filter("action = 'unchanged'").select("id"), "id", "left_semi")
+        made = f"data-{uuid.uuid4().hex}"
+        rows = fresh.unionByName(kept.select(*fresh.columns)).withColumn("bucket", _bucket())
+        rows.write.partitionBy("bucket").parquet(f"{location.rstrip('/')}/{made}")
+        full = {r.b for r in desired.select(_bucket().alias("b")).distinct().collect()} & set(changed)
+        held = {b: folder for b, folder in held.items() if b not in changed} | {b: f"{made}/bucket={b}" for b in full}
+        spark.createDataFrame(sorted(held.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{location.rstrip('/')}/v{_next(spark, location):08d}-{uuid.uuid4().hex[:8]}")
     return corpus.reconcile_report(actions)
 
 
@@ -224,7 +254,7 @@ def _versions(spark: SparkSession, location: str) -> list[str]:
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(base):
         return []
-    done = [s.getPath() for s in fs.listStatus(base) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    done = [s.getPath() for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, "v*")) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     return sorted(p.toString() for p in done)
 
 
@@ -233,8 +263,14 @@ def _next(spark: SparkSession, location: str) -> int:
     return int(found[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if found else 1
 
 
-def current(spark: SparkSession, location: str, dimension: int = 64) -> DataFrame:
-    """The newest whole version of the corpus, empty if there is none."""
-    shape = T.StructType([*CHUNK.fields, T.StructField("content_vector", T.ArrayType(T.FloatType()))])
+def _folders(spark: SparkSession, location: str) -> list[tuple[int, str]]:
+    """(bucket, folder) of the newest whole version: at most BUCKETS rows."""
     found = _versions(spark, location)
-    return spark.read.schema(shape).parquet(found[-1]) if found else spark.createDataFrame([], shape)
+    return [(r.bucket, r.folder) for r in spark.read.parquet(found[-1]).collect()] if found else []
+
+
+def current(spark: SparkSession, location: str, dimension: int = 64, buckets: list[int] | None = None) -> DataFrame:
+    """The newest whole version of the corpus, or some of its buckets; empty if there is none."""
+    shape = T.StructType([*CHUNK.fields, T.StructField("content_vector", T.ArrayType(T.FloatType()))])
+    folders = [f"{location.rstrip('/')}/{folder}" for b, folder in _folders(spark, location) if buckets is None or b in buckets]
+    return spark.read.schema(shape).parquet(*folders) if folders else spark.createDataFrame([], shape)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,19 +48,15 @@ def classify(objects: DataFrame, root: str, tie: str) -> DataFrame:
     return out.withColumn("_taken", taken).withColumn("code", code).drop("_unsafe", "_other", "_taken")
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size 0) of files without a byte: Spark's file sources leave them out, so the file system is asked for their names."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found, names = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, True), []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            names.append((status.getPath().toString(), 0))
-    return spark.createDataFrame(names, "path string, size long")
-
-
 def scan(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """Files below a folder of any store Spark reads: (path, name, size, content, logical_path, code)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
-    known = files.unionByName(empty_files(spark, path), allowMissingColumns=True)
+    """Files below a folder of any store Spark reads: (path, name, size, content, logical_path, code).
+
+    Spark lists the store once, in parallel; its file sources leave out files without a byte, so these are the listed names that were not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # the listing names local files with an empty host, the rows do not
+    listed = spark.createDataFrame([(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()], "path string")
+    read = files.select("path", F.col("length").alias("size"), "content")
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"))
+    known = read.unionByName(empty, allowMissingColumns=True)
     return classify(known.withColumn("name", F.substring_index("path", path.rstrip("/") + "/", -1)), root, "path")

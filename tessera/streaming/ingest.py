@@ -7,17 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.plans.ingest import current, upsert
+from tessera.plans.ingest import replace_documents
 from tessera.plans.plugins import Embedder
 
 
-def run(changes: DataFrame, location: str, embedder: Embedder, checkpoint: str, dimension: int = 64) -> StreamingQuery:
-    """changes: a stream of chunk rows. Documents named in a batch are replaced whole, others stay; replays change nothing."""
+def run(changes: DataFrame, location: str, embedder: Embedder, checkpoint: str) -> StreamingQuery:
+    """changes: a stream of chunk rows. Documents named in a batch are replaced whole, others stay and only the touched buckets are read and written; replays change nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         newest = batch.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("content_hash"))).filter("_n = 1").drop("_n")
-        kept = current(spark, location, dimension).drop("content_vector").join(newest.select("document_id").distinct(), "document_id", "left_anti")
-        upsert(spark, newest.select(*kept.columns).unionByName(kept), location, embedder).collect()
+        replace_documents(batch.sparkSession, newest, location, embedder).collect()
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,6 +78,24 @@ def test_files_to_corpus(spark, folder):
     assert plugins.vector_problems(now, 8).count() == 0 and now.count() == less.desired
 
 
+def test_only_changed_buckets_are_written(spark, folder):
+    manifest = ingest.load_manifest(spark, str(folder / "manifest.json"))
+    chunks = ingest.prepare(spark, f"file:{folder}/files", "KB", manifest)[0].cache()
+    store, embedder = f"file:{folder}/store4", plugins.HashEmbedder(8)
+    ingest.upsert(spark, chunks, store, embedder)
+    before = dict(ingest._folders(spark, store))
+    assert len(before) == 2
+    docx = chunks.filter("file_type = 'docx'")
+    report = ingest.replace_documents(spark, docx.filter("content <> 'All staff.'"), store, embedder).first()
+    after = dict(ingest._folders(spark, store))
+    assert report.deleted == 1 and report.uploaded == 0 and len(set(before.items()) & set(after.items())) == 1
+    assert ingest.current(spark, store, 8).count() == chunks.count() - 1
+    ingest.upsert(spark, chunks.filter("file_type = 'xlsx'"), store, embedder)
+    assert {r.file_type for r in ingest.current(spark, store, 8).collect()} == {"xlsx"} and len(ingest._folders(spark, store)) == 1
+    versions = ingest._versions(spark, store)
+    assert ingest.upsert(spark, chunks.filter("file_type = 'xlsx'"), store, embedder).first().uploaded == 0 and ingest._versions(spark, store) == versions
+
+
 def test_failed_write_changes_nothing(spark, folder):
     manifest = ingest.load_manifest(spark, str(folder / "manifest.json"))
     chunks, _ = ingest.prepare(spark, f"file:{folder}/files", "KB", manifest)
@@ -161,7 +179,7 @@ def test_stream(spark, folder):
     store, embedder = f"file:{folder}/store3", plugins.HashEmbedder(8)
     for _ in range(2):
         changes = spark.readStream.schema(chunks.schema).parquet(f"{folder}/inbox")
-        stream.run(changes, store, embedder, f"{folder}/marks", 8).awaitTermination(120)
+        stream.run(changes, store, embedder, f"{folder}/marks").awaitTermination(120)
     assert ingest.current(spark, store, 8).count() == chunks.count()
 
 
