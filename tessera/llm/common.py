@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.store import discard, materialise, work_dir
+
 #: White space of the word and line rules: blank and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,36 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh local one only where the session names none and all tasks run in this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if master.split("[")[0] != "local":
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of materialised tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if folder.getParent().getName() == "tessera":
-                folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def private(columns: Iterable[str], *names: str) -> list[str]:
     """Names like those given that no column has (case does not count)."""
     taken, out = {c.lower() for c in columns}, []
@@ -111,3 +81,6 @@ def maybe_in(docs: DataFrame, column: str, bitmap: DataFrame, keep: bool = True)
     place = F.pmod(F.xxhash64(docs[column].cast("long")), F.lit(1 << MARK_BITS))
     bit = F.call_function("shiftright", F.get(F.col(bits), F.shiftright(place, 6).cast("int")), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
     return docs.join(F.broadcast(bitmap.toDF(bits)), bit, "left_semi" if keep else "left_anti")
+
+
+__all__ = ["BLANKS", "LOWER", "MARK_BITS", "UPPER", "WORD", "ascii_lower", "discard", "fold", "marked", "materialise", "maybe_in", "private", "release", "slices", "table", "work_dir"]
