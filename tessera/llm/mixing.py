@@ -6,9 +6,10 @@ its size and are at most ``most``; they are fitted by the same filling over the
 whole part is certain. For the fraction f each document draws u and gets the rank
 (u / (1 - u)) / (f / (1 - f)); a source takes documents by rising rank while its words stay within what
 is left of its target, and last the one whose size is nearest to the rest, so that the sample's size is fixed and inclusion is unequal.
+The last one departs from the order of ranks: it is one document a source, whose inclusion hangs on its size and not on its draw; all others are as ranked.
 
 No sort over a source: ranks fall into ``buckets`` whose words are summed first, and only the bucket in which a
-source's boundary lies is ordered row by row.
+source's boundary lies is ordered row by row: a source's task holds at most ``buckets`` sums, or one bucket's rows, a small share of the source.
 
 Defined results: null text has size 0; documents of size 0 take 0; an empty table gives an empty table;
 source null is a source of its own, last in order; rows that repeat an id draw the same number; ties of rank go by id, then size; a run
