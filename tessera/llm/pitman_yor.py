@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,14 +69,30 @@ def key_width(size: int) -> int:
     return min(8, -(-((max(1, size) // 4 + 1).bit_length() + 10) // 8))
 
 
+def _z(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: high bytes, which hardly differ, are neighbours."""
+    raw = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()) if len(raw) else b""
+
+
+def _u(data: bytes, kind: str) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _packed(keys: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes()) if len(keys) else b""
 
 
 def _unpacked(data: bytes, width: int) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :width] = flat
+    if not data:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
@@ -97,7 +114,7 @@ class Plan:
         self.pin_slot = int(self.usual + self.parts.sum())  # a slot of the pinned pairs, without entries
         at = {int(w): i for i, w in enumerate(self.words)}
         self.pins = np.asarray(sorted(at[w] * len(at) + at[c] for w, c in pins), np.int64)
-        self.buckets = 1 + self.pin_slot // 16
+        self.buckets = 1 + self.pin_slot // 4
         self.files = max(1, self.pin_slot // 8)
 
     def key(self, hashes: np.ndarray) -> np.ndarray:
@@ -183,14 +200,14 @@ def encode_blocks(docs: DataFrame, plan: Plan, block_tokens: int = 1 << 19) -> D
             at = np.searchsorted(plan.pins, code)
             held = plan.pins[np.minimum(at, len(plan.pins) - 1)] == code
             pinned, at = split[held], at[held]
-        yield (-1 - block % 64, block, *[b""] * 5, _ids(ids), np.asarray(lengths, "<u4").tobytes(), at.astype("<u4").tobytes(), doc[pinned].tobytes(), times[pinned].tobytes())
+        yield (-1 - block % 64, block, *[b""] * 5, _ids(ids), _z(np.asarray(lengths, "<u4")), _z(at.astype("<u4")), _z(doc[pinned]), _z(times[pinned]))
         slot[pinned] = -1
         order = np.argsort(slot, kind="stable")[len(pinned) :]
         for some in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
             if len(some):
                 first = np.flatnonzero(np.append(True, np.diff(word[some]) != 0))
                 each = np.diff(np.append(first, len(some)))
-                yield (int(slot[some[0]]), block, words[word[some[first]]].tobytes(), each.astype("<u4").tobytes(), _packed(plan.key(words[ctx[some]]), plan.width), doc[some].tobytes(), times[some].tobytes(), *[b""] * 5)
+                yield (int(slot[some[0]]), block, _z(words[word[some[first]]]), _z(each.astype("<u4")), _packed(plan.key(words[ctx[some]]), plan.width), _z(doc[some]), _z(times[some]), *[b""] * 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -232,11 +249,11 @@ def build_tables(blocks: DataFrame, plan: Plan) -> DataFrame:
             cells = [(slot, *[b""] * 5, r["block"], *[b""] * 3, r["docs"], r["lengths"], r["pins"], r["pin_doc"], r["pin_times"]) for r in rows]
         else:
             rows.sort(key=lambda r: r["block"])
-            words, word = np.unique(np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows]), return_inverse=True)
-            word = np.repeat(word, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
+            words, word = np.unique(np.concatenate([_u(r["words"], "<u8") for r in rows]), return_inverse=True)
+            word = np.repeat(word, np.concatenate([_u(r["counts"], "<u4") for r in rows]))
             ctx = np.concatenate([_unpacked(r["ctx"], plan.width) for r in rows])
-            where = np.concatenate([np.frombuffer(r["doc"], "<u2").astype(np.uint64) + np.uint64(r["block"] << 16) for r in rows])
-            times = np.concatenate([np.frombuffer(r["times"], "<i4") for r in rows])
+            where = np.concatenate([_u(r["doc"], "<u2").astype(np.uint64) + np.uint64(r["block"] << 16) for r in rows])
+            times = np.concatenate([_u(r["times"], "<i4") for r in rows])
             order = np.lexsort((ctx, word))
             word, ctx, where, times = word[order], ctx[order], where[order], times[order]
             first = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (ctx[1:] != ctx[:-1])))
@@ -244,7 +261,7 @@ def build_tables(blocks: DataFrame, plan: Plan) -> DataFrame:
             of, runs = word[first], np.diff(np.append(first, len(word)))
             count = np.bincount(of, learned, minlength=len(words)).astype("<i8")
             hot = np.full(len(words), -1 if slot < plan.usual else int(np.searchsorted(plan.first, slot, "right")) - 1, "<i4")
-            cells = [(slot, count.tobytes(), hot.tobytes(), of.astype("<u4").tobytes(), _packed(ctx[first], plan.width), learned.astype("<u4").tobytes(), -1, runs.astype("<u4").tobytes(), where.astype("<u8").tobytes(), np.abs(times).astype("<u4").tobytes(), *[b""] * 5)]
+            cells = [(slot, _z(count), _z(hot), _z(of.astype("<u4")), _packed(ctx[first], plan.width), _z(learned.astype("<u4")), -1, _z(runs.astype("<u4")), _z(where.astype("<u8")), _z(np.abs(times).astype("<u4")), *[b""] * 5)]
         del rows
         out = pa.Table.from_batches([_batch(_TABLE, cells)])
         release()
@@ -258,11 +275,11 @@ class Pairs:
 
     def __init__(self, row: dict, plan: Plan) -> None:
         self.slot = row["slot"]
-        self.words = np.frombuffer(row["word_counts"], "<i8")
-        self.hot = np.frombuffer(row["hot"], "<i4")
-        self.of = np.frombuffer(row["pair_words"], "<u4").astype(np.int64)
+        self.words = _u(row["word_counts"], "<i8")
+        self.hot = _u(row["hot"], "<i4")
+        self.of = _u(row["pair_words"], "<u4").astype(np.int64)
         self.ctx = _unpacked(row["pair_ctx"], plan.width)
-        self.n = np.frombuffer(row["pair_counts"], "<u4").astype(np.int64)
+        self.n = _u(row["pair_counts"], "<u4").astype(np.int64)
         self.live = np.flatnonzero(self.n > 1)
 
     def tables(self, live: np.ndarray) -> np.ndarray:
@@ -336,14 +353,14 @@ def _ask(own: Pairs, plan: Plan, sweep: int, tables: np.ndarray) -> list[tuple]:
     """Questions for the tables of the live pairs' contexts, with how many more than one table each these pairs hold themselves."""
     keys, inverse = np.unique(own.ctx[own.live], return_inverse=True)
     more = np.bincount(inverse, tables - 1, minlength=len(keys)).astype("<u4")
-    return [(_ASK, b, own.slot, sweep, _packed(keys[at], plan.width), more[at].tobytes(), b"") for b, at in plan.dealt(keys)]
+    return [(_ASK, b, own.slot, sweep, _packed(keys[at], plan.width), _z(more[at]), b"") for b, at in plan.dealt(keys)]
 
 
 def _answered(rows: list[dict], keys: np.ndarray, plan: Plan, name: str, kind: str, width: int = 1) -> np.ndarray:
     by = {r["bucket"]: r for r in rows if r["kind"] == _TOLD}
     out = np.zeros((len(keys), width), np.int64)
     for b, at in plan.dealt(keys):
-        out[at] = np.frombuffer(by[b][name], kind).reshape(-1, width)
+        out[at] = _u(by[b][name], kind).reshape(-1, width)
     return out
 
 
@@ -356,16 +373,16 @@ def first_messages(tables: DataFrame, plan: Plan) -> DataFrame:
                 own = Pairs(row, plan)
                 keys, inverse = np.unique(own.ctx, return_inverse=True)
                 n, t = (np.bincount(inverse, x, minlength=len(keys)) for x in (own.n, np.minimum(own.n, 1)))
-                rows = [(_HOLDS, b, -1, 0, _packed(keys[at], plan.width), n[at].astype("<u4").tobytes(), t[at].astype("<u4").tobytes()) for b, at in plan.dealt(keys)]
+                rows = [(_HOLDS, b, -1, 0, _packed(keys[at], plan.width), _z(n[at].astype("<u4")), _z(t[at].astype("<u4"))) for b, at in plan.dealt(keys)]
                 rows += _ask(own, plan, 0, np.ones(len(own.live), np.int64))
                 usual = own.hot < 0
                 customers = own.customers(np.minimum(own.n, 1))
                 hot = np.bincount(own.hot[~usual], customers[~usual], minlength=len(plan.words))
                 counts = np.bincount(own.hot[~usual], own.words[~usual], minlength=len(plan.words))
                 totals = [own.words.sum(), (own.words[usual] > 0).sum(), (own.n == 1).sum(), (own.n == 2).sum(), (own.words[usual] == 1).sum(), (own.words[usual] == 2).sum(), customers.sum(), np.minimum(customers[usual], 1).sum()]
-                rows.append((_TOTAL, -1, own.slot, 0, b"", np.asarray(totals, "<i8").tobytes(), np.concatenate([hot, counts]).astype("<i8").tobytes()))
+                rows.append((_TOTAL, -1, own.slot, 0, b"", _z(np.asarray(totals, "<i8")), _z(np.concatenate([hot, counts]).astype("<i8"))))
                 yield _batch(_MESSAGE, rows)
-            release()
+                release()
 
     return tables.filter("slot >= 0").select(*(x.split()[0] for x in _PAIRS.split(", "))).mapInArrow(run, _MESSAGE)
 
@@ -376,8 +393,8 @@ def sum_contexts(messages: DataFrame, plan: Plan) -> DataFrame:
     def run(key, group):
         rows = group.to_pylist()
         keys, at = np.unique(np.concatenate([_unpacked(r["keys"], plan.width) for r in rows]), return_inverse=True)
-        n, t = (np.bincount(at, np.concatenate([np.frombuffer(r[c], "<u4") for r in rows]), minlength=len(keys)) for c in ("a", "b"))
-        return pa.Table.from_batches([_batch(_MESSAGE, [(_HOLDS, key[0].as_py(), -1, 0, _packed(keys, plan.width), n.astype("<u8").tobytes(), t.astype("<u8").tobytes())])])
+        n, t = (np.bincount(at, np.concatenate([_u(r[c], "<u4") for r in rows]), minlength=len(keys)) for c in ("a", "b"))
+        return pa.Table.from_batches([_batch(_MESSAGE, [(_HOLDS, key[0].as_py(), -1, 0, _packed(keys, plan.width), _z(n.astype("<u8")), _z(t.astype("<u8")))])])
 
     return messages.filter(F.col("kind") == _HOLDS).groupBy("bucket").applyInArrow(run, _MESSAGE)
 
@@ -389,16 +406,18 @@ def answer(questions: DataFrame, contexts: DataFrame, plan: Plan, sweeps: list[i
         rows, held = a.to_pylist(), b.to_pylist()
         if not held or not rows:
             return pa.Table.from_batches([_batch(_MESSAGE, [])])
-        keys, n, t = _unpacked(held[0]["keys"], plan.width), np.frombuffer(held[0]["a"], "<u8"), np.frombuffer(held[0]["b"], "<u8").astype(np.int64)
+        keys, n, t = _unpacked(held[0]["keys"], plan.width), _u(held[0]["a"], "<u8"), _u(held[0]["b"], "<u8").astype(np.int64)
         tables = np.repeat(t[:, None], len(sweeps), axis=1)
         places = {}
         for r in rows:
             at = np.searchsorted(keys, _unpacked(r["keys"], plan.width))
             if r["sweep"] in sweeps:
-                np.add.at(tables[:, sweeps.index(r["sweep"])], at, np.frombuffer(r["a"], "<u4"))
+                np.add.at(tables[:, sweeps.index(r["sweep"])], at, _u(r["a"], "<u4"))
             if r["sweep"] == (-1 if whole else sweeps[0]):
                 places[r["slot"]] = at
-        out = [(_TOLD, r0, slot, 0, b"", tables[at].astype("<u8").tobytes(), n[at].astype("<u8").tobytes() if whole else b"") for slot, at in sorted(places.items()) for r0 in [rows[0]["bucket"]]]
+        out = [(_TOLD, rows[0]["bucket"], slot, 0, b"", _z(tables[at].astype("<u8").ravel()), _z(n[at].astype("<u8")) if whole else b"") for slot, at in sorted(places.items())]
+        del rows, held, keys, n, t, tables, places
+        release()
         return pa.Table.from_batches([_batch(_MESSAGE, out)])
 
     return questions.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(run, _MESSAGE)
@@ -412,10 +431,10 @@ def sweep_slots(tables: DataFrame, messages: DataFrame, plan: Plan, model: Model
             return pa.Table.from_batches([_batch(_MESSAGE, [])])
         own, rows = Pairs(a.to_pylist()[0], plan), b.to_pylist()
         state = next((r for r in rows if r["kind"] == _STATE), None)
-        live = np.frombuffer(state["a"], "<u4").astype(np.int64) if state else np.ones(len(own.live), np.int64)
+        live = _u(state["a"], "<u4").astype(np.int64) if state else np.ones(len(own.live), np.int64)
         tables = own.tables(live)
         customers = own.customers(tables)
-        seats = np.frombuffer(state["b"], "<u4").astype(np.int64) if state else np.minimum(customers, 1)
+        seats = _u(state["b"], "<u4").astype(np.int64) if state else np.minimum(customers, 1)
         m, s = model.seats(own, customers, seats, sweep)
         rng = np.random.default_rng((model.seed, sweep, own.slot))
         keys, inverse = np.unique(own.ctx[own.live], return_inverse=True)
@@ -429,8 +448,10 @@ def sweep_slots(tables: DataFrame, messages: DataFrame, plan: Plan, model: Model
         base = np.full(len(customers), 1 / (model.v + 1))
         seats = np.where(usual, draw_tables(np.where(usual, customers, 0), np.maximum(model.sweeps[sweep][1] - seats, 0), base, model.strength, model.root_discount, rng), 0)
         hot = np.bincount(own.hot[~usual], customers[~usual], minlength=len(plan.words))
-        out = [(_STATE, -1, own.slot, sweep + 1, b"", live.astype("<u4").tobytes(), seats.astype("<u4").tobytes()), *_ask(own, plan, sweep + 1, live)]
-        out.append((_TOTAL, -1, own.slot, sweep + 1, b"", np.asarray([customers.sum(), seats.sum()], "<i8").tobytes(), hot.astype("<i8").tobytes()))
+        out = [(_STATE, -1, own.slot, sweep + 1, b"", _z(live.astype("<u4")), _z(seats.astype("<u4"))), *_ask(own, plan, sweep + 1, live)]
+        out.append((_TOTAL, -1, own.slot, sweep + 1, b"", _z(np.asarray([customers.sum(), seats.sum()], "<i8")), _z(hot.astype("<i8"))))
+        del own, rows, tables, others, prior, inverse, keys, of, live
+        release()
         return pa.Table.from_batches([_batch(_MESSAGE, out)])
 
     pairs = tables.filter("slot >= 0").select(*(x.split()[0] for x in _PAIRS.split(", ")))
@@ -444,15 +465,15 @@ def _totals(messages: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                x, y = _u(x, "<i8"), _u(y, "<i8")
                 a, b = (x.copy(), y.copy()) if not len(a) else (a + x, b + y)
         if len(a):
-            yield _batch("a binary, b binary", [(a.tobytes(), b.tobytes())])
+            yield _batch("a binary, b binary", [(_z(a), _z(b))])
 
     rows = messages.filter(F.col("kind") == _TOTAL).select("a", "b").coalesce(64).mapInArrow(run, "a binary, b binary").collect()
     if not rows:
         return np.zeros(width, np.int64), np.zeros(0, np.int64)
-    return sum(np.frombuffer(r.a, "<i8") for r in rows), sum(np.frombuffer(r.b, "<i8") for r in rows)
+    return sum(_u(r.a, "<i8") for r in rows), sum(_u(r.b, "<i8") for r in rows)
 
 
 _PART = "block long, docs binary, lengths binary, pins binary, pin_doc binary, pin_times binary, at binary, base binary, score binary, known binary"
@@ -466,10 +487,10 @@ def _log_probabilities(own: Pairs, rows: list[dict], plan: Plan, model: Model, k
     states = {r["sweep"]: r for r in rows if r["kind"] == _STATE}
     chance = np.zeros(len(own.n))
     for i, sweep in enumerate(kept):
-        live = np.frombuffer(states[sweep]["a"], "<u4").astype(np.int64) if sweep in states else np.ones(len(own.live), np.int64)
+        live = _u(states[sweep]["a"], "<u4").astype(np.int64) if sweep in states else np.ones(len(own.live), np.int64)
         tables = own.tables(live)
         customers = own.customers(tables)
-        seats = np.frombuffer(states[sweep]["b"], "<u4").astype(np.int64) if sweep in states else np.minimum(customers, 1)
+        seats = _u(states[sweep]["b"], "<u4").astype(np.int64) if sweep in states else np.minimum(customers, 1)
         prior = model.parent(*model.seats(own, customers, seats, sweep), sweep)
         fresh = (model.strength + model.discount * opened[:, i]) * prior[own.of]
         chance += (own.n - model.discount * tables + fresh) / (model.strength + guests)
@@ -487,7 +508,9 @@ def score_slots(tables: DataFrame, messages: DataFrame, plan: Plan, model: Model
         logs = _log_probabilities(own, b.to_pylist(), plan, model, kept)
         words = np.where(own.hot >= 0, model.hot_counts[own.hot] if len(model.hot_counts) else 0, own.words)
         base = np.log10((words + 0.1) / (model.n + 0.1 * (model.v + 1)))[own.of]
-        cells = (row["entry_runs"], row["entry_docs"], row["entry_times"], base.tobytes(), logs.tobytes(), (words[own.of] > 0).astype("<u1").tobytes())
+        cells = (row["entry_runs"], row["entry_docs"], row["entry_times"], _z(base), _z(logs), _z((words[own.of] > 0).astype("<u1")))
+        del row, own, logs, base, words
+        release()
         return pa.Table.from_batches([_batch("runs binary, docs binary, times binary, base binary, score binary, known binary", [cells])])
 
     def summed(where: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -498,12 +521,14 @@ def score_slots(tables: DataFrame, messages: DataFrame, plan: Plan, model: Model
         parts, held = [], 0
         for part in slices(batches):
             for row in part.to_pylist():
-                runs, times = np.frombuffer(row["runs"], "<u4").astype(np.int64), np.frombuffer(row["times"], "<u4").astype(float)
-                each = [times * np.repeat(np.frombuffer(row[n], k), runs) for n, k in (("base", "<f8"), ("score", "<f8"), ("known", "<u1"))]
-                parts.append(summed(np.frombuffer(row["docs"], "<u8"), *each))
+                runs, times = _u(row["runs"], "<u4").astype(np.int64), _u(row["times"], "<u4").astype(float)
+                each = [times * np.repeat(_u(row[n], k), runs) for n, k in (("base", "<f8"), ("score", "<f8"), ("known", "<u1"))]
+                parts.append(summed(_u(row["docs"], "<u8"), *each))
                 held += len(parts[-1][0])
-                if held > 1_000_000:
-                    parts, held = [summed(*map(np.concatenate, zip(*parts, strict=True)))], 0
+                if held > 400_000:
+                    parts = [summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                    held = 0
+                    release()
         if not parts:
             return
         where, *sums = summed(*map(np.concatenate, zip(*parts, strict=True)))
@@ -512,7 +537,7 @@ def score_slots(tables: DataFrame, messages: DataFrame, plan: Plan, model: Model
         block = where >> np.uint64(16)
         for some in np.split(np.arange(len(where)), np.flatnonzero(np.diff(block)) + 1):
             if len(some):
-                yield _batch(_PART, [(int(block[some[0]]), *[b""] * 5, (where[some] & np.uint64(0xFFFF)).astype("<u2").tobytes(), sums[0][some].tobytes(), sums[1][some].tobytes(), sums[2][some].astype("<u4").tobytes())])
+                yield _batch(_PART, [(int(block[some[0]]), *[b""] * 5, _z((where[some] & np.uint64(0xFFFF)).astype("<u2")), _z(sums[0][some]), _z(sums[1][some]), _z(sums[2][some].astype("<u4")))])
 
     names = [x.split()[0] for x in _PAIRS.split(", ")] + ["entry_runs", "entry_docs", "entry_times"]
     some = tables.filter((F.col("slot") >= 0) & (F.col("slot") < plan.pin_slot)).select(*names)
@@ -528,13 +553,13 @@ def gather(parts: DataFrame, blocks: DataFrame, plan: Plan, model: Model, pin_lo
     def run(key, group):
         rows = group.to_pylist()
         whole = next(r for r in rows if r["docs"])
-        lengths = np.frombuffer(whole["lengths"], "<u4").astype(np.int64)
+        lengths = _u(whole["lengths"], "<u4").astype(np.int64)
         sums = np.zeros((3, len(lengths)))
         for r in sorted((r for r in rows if not r["docs"]), key=lambda r: (r["at"], r["base"])):
-            at = np.frombuffer(r["at"], "<u2")
+            at = _u(r["at"], "<u2")
             for k, (name, kind) in enumerate((("base", "<f8"), ("score", "<f8"), ("known", "<u4"))):
-                sums[k, at] += np.frombuffer(r[name], kind)
-        pins, at, times = np.frombuffer(whole["pins"], "<u4"), np.frombuffer(whole["pin_doc"], "<u2"), np.abs(np.frombuffer(whole["pin_times"], "<i4"))
+                sums[k, at] += _u(r[name], kind)
+        pins, at, times = _u(whole["pins"], "<u4"), _u(whole["pin_doc"], "<u2"), np.abs(_u(whole["pin_times"], "<i4"))
         if len(pins):
             for k, each in enumerate((pin_base[pins], pin_logs[pins], pin_counts[pins] > 0)):
                 np.add.at(sums[k], at, times * each)
@@ -562,7 +587,7 @@ def pin_row(blocks: DataFrame, plan: Plan) -> tuple:
         counts = np.zeros(len(plan.pins), np.int64)
         for batch in batches:
             for pins, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts += np.bincount(np.frombuffer(pins, "<u4"), np.maximum(np.frombuffer(times, "<i4"), 0), minlength=len(counts)).astype(np.int64)
+                counts += np.bincount(_u(pins, "<u4"), np.maximum(_u(times, "<i4"), 0), minlength=len(counts)).astype(np.int64)
         yield _batch("pin long, n long", list(enumerate(counts.tolist())))
 
     n = np.zeros(len(plan.pins), np.int64)
@@ -573,7 +598,7 @@ def pin_row(blocks: DataFrame, plan: Plan) -> tuple:
     words = np.unique(word)
     of = np.searchsorted(words, word[order])
     count = np.bincount(of, n[order], minlength=len(words)).astype("<i8")
-    return plan.pin_slot, count.tobytes(), words.astype("<i4").tobytes(), of.astype("<u4").tobytes(), _packed(ctx[order], plan.width), n[order].astype("<u4").tobytes(), -1, *[b""] * 8
+    return plan.pin_slot, _z(count), _z(words.astype("<i4")), _z(of.astype("<u4")), _packed(ctx[order], plan.width), _z(n[order].astype("<u4")), -1, *[b""] * 8
 
 
 def learn(tables: DataFrame, plan: Plan, sweeps: int, strength: float = 1.0, seed: int = 11) -> tuple[Model, DataFrame, list[DataFrame]]:
@@ -601,7 +626,7 @@ def learn(tables: DataFrame, plan: Plan, sweeps: int, strength: float = 1.0, see
     return model, contexts, told
 
 
-def score_documents(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, slot_bytes: int = 6 << 20, block_tokens: int = 1 << 19, hot: tuple[dict[int, int], list[tuple[int, int]]] | None = None, strength: float = 1.0, seed: int = 11) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, slot_bytes: int = 4 << 20, block_tokens: int = 1 << 19, hot: tuple[dict[int, int], list[tuple[int, int]]] | None = None, strength: float = 1.0, seed: int = 11) -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows. hot: words to split with their slots, and pairs to keep in their blocks; looked for if not given."""
     spark: SparkSession = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -622,6 +647,7 @@ def score_documents(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, slot_byt
                 own = Pairs(row, plan)
                 keys = np.unique(own.ctx)
                 yield _batch(_MESSAGE, [(_ASK, b, own.slot, -1, _packed(keys[at], plan.width), b"", b"") for b, at in plan.dealt(keys)])
+                release()
 
     def messages(slots: DataFrame) -> DataFrame:
         pairs = slots.select(*(x.split()[0] for x in _PAIRS.split(", ")))
