@@ -858,7 +858,7 @@ def test_topk_is_exact_for_large_components(spark, power, n):
         if q % 50 == 0:
             best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for b, (i, w) in enumerate(whole) if a != b)[:5]
             want.update((q, k, i, -s) for k, (s, i) in enumerate(best, 1))
-    for block in (16, 8192):
+    for block in (16, 8192) if power == 9 else (16,):
         got = topk.top_k(docs, class_block=block, query_block=3).collect()
         assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
