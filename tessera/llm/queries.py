@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, html_text, jaccard, lines, mixing, mpeg, packing, pitman_yor, topk, toxicity
+from tessera.llm import centroids, chat, html_text, jaccard, lines, mixing, mpeg, negatives, packing, pitman_yor, simhash, topk, toxicity
 from tessera.llm.common import table
 
 
@@ -59,7 +59,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op2_pareto_mix, op3_ngram_jaccard, op4_pitman_yor, op5_line_dedup, op6_chat_format, op7_best_fit, op8_html_text, op9_topk, op10_toxicity)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_mpeg_audio, op2_pareto_mix, op3_ngram_jaccard, op4_pitman_yor, op5_line_dedup, op6_chat_format, op7_best_fit, op8_html_text, op9_topk, op10_toxicity, op11_hard_negatives, op12_simhash, op13_centroids)
+}
 
 SQL: dict[str, str] = {}
 
@@ -107,3 +123,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SQL["op11_hard_negatives"] = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND {_VALID}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND p.r <= 5 AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def _rounds(n: int) -> str:
+    """Assignment and moved centroids of each round, written out."""
+    steps = []
+    for i in range(n + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, min(d * 8 + c) AS least FROM (SELECT v.vec_id, v.e, c, CAST(list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY vec_id)""")
+        if i < n:
+            steps.append(f"""s{i} AS (SELECT least % 8 AS c, dim, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT least, unnest(e) AS x, unnest(range(1, 65)) AS dim FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY dim) AS e FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)""")
+    return ",\n".join(steps)
+
+
+SQL["op13_centroids"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND {_VALID}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM (SELECT e, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8)),
+{_rounds(10)},
+f AS (SELECT vec_id, CAST(least % 8 AS INTEGER) AS cluster, least // 8 AS distance FROM a10)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.e, ',')) AS centroid_sha256
+FROM f JOIN c10 ON c10.c = f.cluster
+"""
