@@ -195,7 +195,7 @@ def mine(vectors: DataFrame, every: int = 100, k: int = K, low_percent: int = 80
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for anchors with ids divisible by ``every``: for each of their k best rows of the same label the k best of other labels that score at least ``low_percent`` of it and no more."""
     rows, width = coded(vectors, scale)
     count = rows.count()
-    anchors = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("anchor_id"), "row", "label", "vec")
+    anchors = materialise(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("anchor_id"), "row", "label", "vec"), "negatives-asked")
     wide = anchors.withColumns({"lows": F.array(F.lit(LOWEST)), "highs": F.array(F.lit(HIGHEST))})
     best = materialise(search(rows, wide, width, True, k, anchor_block, row_block, count).select("anchor_row", "rank", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
     top, rest = F.col("positive_score"), 100 - low_percent
