@@ -2,8 +2,9 @@
 
 A page becomes a tree. Every text block passes points (one, one for each comma, up to three for its
 length) to its ancestors, in full to the parent, halved to the grandparent and less above; a
-container's points are discounted by the share of its text inside links. The best container and those of its
-siblings that score alike are kept, with all their blocks in page order.
+container's points are discounted by the share of its text inside links. The best container tells where the article is. The article is then taken whole, short sections with it: the best container's
+``article`` or ``main``, else the container around it whose name says that it holds the content, else the widest one below the body to which each step up adds text rather than links. Only what a margin was told by, and
+lists of links inside such a container, stay out. Beside a container found in the last way those of its siblings that score alike are kept. All blocks stand in page order.
 
 Tags and names only make an element suspect. Suspects leave before the scoring where other text carries the page; where little or nothing else is there, the suspect that holds the
 text is the page's frame and stays. A part of an article with a weak name stays if it holds prose. A name is judged by its head: "related-posts" are margin, "related-work" is not.
@@ -52,6 +53,8 @@ _TAIL = {
     "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "count", "group", "icons", "inner", "item", "items", "left", "links", "list", "outer", "panel", "posts", "right", "row", "section", "signup", "slot", "stories", "text",
     "thread", "top", "unit", "widgets", "wrap", "wrapper",
 }
+#: Heads of class, id or role names of what holds the article.
+_CONTENT = {"article", "content", "contents", "entry", "main", "maincontent", "post", "story", "text", "body", "page"}
 #: Long words that count at either end of a name written as one.
 _GLUED = ("sidebar", "advert", "cookie", "breadcrumb", "newsletter")
 _WORDS = re.compile(r"[a-z]+")
@@ -61,10 +64,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "inside", "score", "chars", "linked", "prose")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "inside", "named", "score", "chars", "linked", "prose")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, suspect: int = 0, inside: bool = False) -> None:
-        self.tag, self.parent, self.dropped, self.suspect, self.inside = tag, parent, dropped, suspect, inside
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, suspect: int = 0, inside: bool = False, named: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.suspect, self.inside, self.named = tag, parent, dropped, suspect, inside, named
         self.children: list = []
         self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
 
@@ -82,22 +85,25 @@ def _name_mark(name: str) -> int:
     return int(head in _WEAK)
 
 
-def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """(never text, how suspect); inside: of an article, whose own header holds its title."""
+def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, int, bool]:
+    """(never text, how suspect, named as content); inside: of an article, whose own header holds its title."""
     if tag in _DROPPED:
-        return True, 0
+        return True, 0, False
     mark = 2 if tag in _MARGIN else 1 if tag in _FRAME and not (tag == "header" and inside) else 0
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
-        return False, mark
+        return False, mark, False
     found = {}
     for name, double, single, bare in _ATTR.findall(attrs):
         found.setdefault(name.lower(), (double or single or bare).lower())
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, mark
+        return True, mark, False
+    named = False
     for name in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split():
         if not (name == "header" and inside):
             mark = max(mark, _name_mark(name))
-    return False, 2 * (mark == 2) if tag == "article" else mark
+        parts = _WORDS.findall(name)
+        named |= bool(parts) and parts[-1] in _CONTENT and not _LAYOUT & set(parts)
+    return False, 2 * (mark == 2) if tag == "article" else mark, named and not mark
 
 
 def _tree(page: str) -> _Node:
@@ -137,8 +143,8 @@ def _tree(page: str) -> _Node:
                     up = up.parent
                 if up.parent and up.tag in ends:
                     node = up.parent
-        dropped, suspect = _judge(tag, attrs, node.inside)
-        new = _Node(tag, node, node.dropped or dropped, suspect, node.inside or tag in ("article", "main"))
+        dropped, suspect, named = _judge(tag, attrs, node.inside)
+        new = _Node(tag, node, node.dropped or dropped, suspect, node.inside or tag in ("article", "main"), named)
         node.children.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
@@ -233,6 +239,42 @@ def _settle(root: _Node) -> None:
         node.chars = node.linked = 0
 
 
+def _whole(best: _Node) -> tuple[bool, _Node]:
+    """(whether it is surely the article's frame, the container to be taken whole) around the best one."""
+    above = []
+    up: _Node | None = best
+    while up is not None:
+        above.append(up)
+        up = up.parent
+    for tag in ("article", "main"):
+        if found := next((n for n in above if n.tag == tag), None):
+            return True, found
+    for node in reversed(above):
+        if node.named and node.tag not in ("html", "body"):
+            return True, node
+    top = best
+    for node in above[1:]:
+        # what a step up adds must be text: a menu among it tells of a frame that holds margins as well
+        if node.tag in ("", "html", "body") or node.linked - top.linked > 0.25 * (node.chars - top.chars):
+            break
+        top = node
+    return False, top
+
+
+def _link_lists(frame: _Node) -> set[int]:
+    """Blocks of an article's frame that are little but links and stand apart from its text."""
+    out, stack = set(), [frame]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if not isinstance(c, str) and not c.dropped and c.chars:
+                if c.tag in ("div", "section", "ul", "ol", "dl", "table") and c.linked > 0.8 * c.chars:
+                    out.add(id(c))
+                elif c.tag not in ("article",):
+                    stack.append(c)
+    return out if frame.tag != "article" else set()
+
+
 def extract(page: str | None) -> str:
     """The article's blocks joined by one line feed."""
     if not page:
@@ -256,27 +298,26 @@ def extract(page: str | None) -> str:
             up, level = up.parent, level + 1
     worth = {k: n.score * (1 - n.linked / max(1, n.chars)) + (50 if n.tag in ("article", "main") else 0) for k, n in scored.items()}
     best = max(scored.values(), key=lambda n: worth[id(n)])
-    up = best
-    while up is not None and up.tag != "article":
-        up = up.parent
-    best = up or best  # an article is whole
-    kept = {id(best)}
-    if best.parent:
+    whole, best = _whole(best)
+    kept, lists = {id(best)}, set()
+    if whole:
+        lists = _link_lists(best)
+    elif best.parent:
         enough = max(10.0, 0.2 * worth[id(best)])
         for near in best.parent.children:
             if not isinstance(near, str) and near is not best and not near.dropped:
                 kin = near.tag == best.tag and near.linked < 0.25 * near.chars
                 alike = worth.get(id(near), 0.0) >= (max(3.0, 0.25 * enough) if kin else enough)
-                if alike or near.tag in ("p", "h1", "h2", "h3", "h4") and best.tag not in ("article", "main"):
+                if alike or near.tag in ("p", "h1", "h2", "h3", "h4"):
                     kept.add(id(near))
     inside: dict[int, bool] = {}
 
     def keeps(node: _Node | None) -> bool:
         path = []
-        while node is not None and id(node) not in inside and id(node) not in kept:
+        while node is not None and id(node) not in inside and id(node) not in kept and id(node) not in lists:
             path.append(id(node))
             node = node.parent
-        value = node is not None and (id(node) in kept or inside[id(node)])
+        value = node is not None and id(node) not in lists and (id(node) in kept or inside[id(node)])
         inside.update(dict.fromkeys(path, value))
         return value
 

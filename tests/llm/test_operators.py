@@ -740,80 +740,48 @@ def test_html_comments_outweigh_no_article():
     assert html_text.extract(f"<div class=sidebar>{BODY}</div>") == SAID
 
 
-def plain_main_text(tree):
-    """The scoring by its definition over nested lists of divs; texts are paragraphs, (text,) a link paragraph."""
-    nodes = {}
-
-    def walk(path, node):
-        nodes[path] = node
-        for i, c in enumerate(node):
-            if isinstance(c, list):
-                walk((*path, i), c)
-
-    walk((), tree)
-
-    def paragraphs(path):
-        for i, c in enumerate(nodes[path]):
-            if isinstance(c, list):
-                yield from paragraphs((*path, i))
-            else:
-                yield path, c
-
-    def points(text):
-        return 1 + text.count(",") + min(len(text) / 100, 3)
-
-    worth = {}
-    for path in nodes:
-        total = chars = linked = 0
-        for own, p in paragraphs(path):
-            text = p if isinstance(p, str) else p[0]
-            depth = len(own) - len(path)
-            total += points(text) / (1, 2, 6, 9, 12)[depth] if depth < 5 else 0
-            chars += len(text)
-            linked += len(text) * (not isinstance(p, str))
-        worth[path] = (total * (1 - linked / max(1, chars)), linked, chars)
-    best = max((p for p in nodes if any(True for _ in paragraphs(p))), key=lambda p: worth[p][0])
-    kept = {best}
-    if best:
-        enough = max(10.0, 0.2 * worth[best][0])
-        for i, c in enumerate(nodes[best[:-1]]):
-            near = (*best[:-1], i)
-            if isinstance(c, list):
-                value, linked, chars = worth[near]
-                if value >= (max(3.0, 0.25 * enough) if linked < 0.25 * chars else enough):
-                    kept.add(near)
-            else:
-                kept.add((near, "p"))
-    out = []
+CONCLUSION = "<h2>Conclusion</h2><p>The short conclusion stands here.</p>"
 
-    def told(path):
-        for i, c in enumerate(nodes[path]):
-            here = (*path, i)
-            if isinstance(c, list):
-                told(here)
-            elif any(path[:k] in kept for k in range(len(path) + 1)) or (here, "p") in kept:
-                out.append(c if isinstance(c, str) else c[0])
 
-    told(())
-    return "\n".join(out)
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><main><div class=s1><h1>T</h1>{BODY}</div><div class=s2>{CONCLUSION}</div></main><div>Imprint</div>",
+        f"<body><div id=content><section><h1>T</h1>{BODY}</section><section>{CONCLUSION}</section></div><div>Imprint</div>",
+        f"<body><div id=content><div class=box><h1>T</h1></div><div class=box>{BODY}</div><div class=box>{CONCLUSION}</div></div><ul><li><a href=1>Imprint</a></ul>",
+        f"<body><div class=x1><a href=1>Start</a> <a href=2>News of the day</a></div><div class=x2><div><h1>T</h1></div><div><div>{BODY}</div></div><div>{CONCLUSION}</div></div>",
+        f"<body><div class=post-content><h1>T</h1><div>{BODY}</div><div><ul><li><a href=1>Other page</a><li><a href=2>Yet another page</a></ul></div><div>{CONCLUSION}</div><div class=share>Tell others</div></div>",
+        f"<body><div role=main><div><h1>T</h1>{BODY}</div><div class=related-posts><p>Read on</p></div><div>{CONCLUSION}</div></div><footer>Imprint</footer>",
+    ],
+)
+def test_html_short_sections_stay(page):
+    assert html_text.extract(page) == f"T\n{SAID}\nConclusion\nThe short conclusion stands here."
 
 
-def test_html_scores_by_definition():
+def test_html_planted_blocks():
+    """The contract: all blocks of the article in page order and nothing of the margins, whatever frames and lengths."""
     draw = random.Random(8)
-
-    def grow(depth):
-        out = []
-        for _ in range(draw.randint(1, 4)):
-            words = " ".join(draw.choice(["word", "and,", "longer", "of"]) for _ in range(draw.randint(1, 60)))
-            out.append(grow(depth - 1) if depth and draw.random() < 0.5 else (words,) if draw.random() < 0.25 else words)
-        return out
-
-    def page(node):
-        return "".join(f"<div>{page(c)}</div>" if isinstance(c, list) else f"<p>{c}</p>" if isinstance(c, str) else f"<p><a href=x>{c[0]}</a></p>" for c in node)
-
-    for _ in range(300):
-        tree = grow(4)
-        assert html_text.extract(page(tree)) == plain_main_text(tree)
+    words = lambda low, high: " ".join(draw.choice(["word", "and,", "longer", "of", "river"]) for _ in range(draw.randint(low, high)))
+    margins = ["<nav><ul><li><a href=1>{}</a></ul></nav>", "<div class=sidebar><p>{}</p></div>", "<footer>{}</footer>", "<div id=cookie-notice>{}</div>", "<aside><p>{}</p></aside>", "<div class='comments'><p>{}</p></div>", "<form><p>{}</p></form>", "<div class=ad><p>{}</p></div>", "<script>{}</script>"]
+    frames = ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div class='entry-content'>{}</div>", "<div role=main>{}</div>", "<div class=x9>{}</div>"]
+    for n in range(300):
+        blocks = [words(40, 120) for _ in range(draw.randint(2, 5))] + [words(1, 6) for _ in range(draw.randint(0, 4))]
+        draw.shuffle(blocks)
+        parts, at = [], 0
+        while at < len(blocks):
+            some = blocks[at : at + draw.randint(1, 3)]
+            at += len(some)
+            text = "".join(f"<{t}>{b}</{t}>" for b in some for t in [draw.choice(["p", "p", "h2", "blockquote"])])
+            parts.append(draw.choice(["{}", "<div>{}</div>", "<section>{}</section>"]).format(text))
+        inner = []
+        for part in parts:
+            inner.append(part)
+            if draw.random() < 0.3:
+                inner.append(draw.choice(margins).format(words(1, 8)))
+        around = lambda: "".join(draw.choice(margins).format(words(1, 12)) for _ in range(draw.randint(0, 3)))
+        frame = draw.choice(frames).format("".join(inner))
+        page = f"<body>{around()}{draw.choice(['{}', '<div>{}</div>']).format(frame)}{around()}</body>"
+        assert html_text.extract(page) == "\n".join(blocks), (n, page)
 
 
 def test_html_query(spark):
