@@ -38,10 +38,11 @@ def evidence_gate(questions: DataFrame, context: DataFrame, min_hits: int = 2) -
 
 
 def verify_citations(answers: DataFrame, context: DataFrame, annotated: bool = True) -> DataFrame:
-    """(qid, ok, citations) for (qid, answer) and (qid, id, title, source_path, page_number, section, sheet_name, table_number, row_number, file_type, content).
+    """(qid, ok, citations, normalized) for (qid, answer) and (qid, id, title, source_path, page_number, section, sheet_name, table_number, row_number, file_type, content).
 
     Every bracketed block must cite: a known id, a list of known ids, or an id with a row or page that the chunk has (annotated). One bad block, no
-    block, or an id with two provenances refuses the whole answer. citations: distinct, in order of first mention.
+    block, or an id with two provenances refuses the whole answer. citations: distinct, in order of first mention. normalized: the answer with each block written as
+    plain marks, one for each id it cites; null where it is refused.
     """
     text = F.regexp_replace("answer", r"\[\s*\[([^\[\]]+)\]\s*\]", "[$1]") if annotated else F.col("answer")
     blocks = answers.select("qid", F.posexplode(F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda b: F.btrim(b))).alias("at", "block"))
@@ -67,10 +68,13 @@ def verify_citations(answers: DataFrame, context: DataFrame, annotated: bool = T
     checked = found.withColumn("good", good)
     ordered = F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("at", "nth", F.col("cited").alias("chunk_id"), F.col("c.source_path").alias("source"), F.col("c.page_number").alias("page"), F.col("c.section").alias("section")))))
     summed = checked.groupBy("qid").agg(F.every("good").alias("_all"), ordered.alias("_cites"))
-    out = answers.select("qid").join(summed, "qid", "left").join(torn, "qid", "left")
+    out = answers.select("qid", text.alias("_text")).join(summed, "qid", "left").join(torn, "qid", "left")
     ok = F.coalesce(F.col("_all") & ~F.coalesce("torn", F.lit(False)), F.lit(False))
     cites = F.array_distinct(F.transform("_cites", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["source"].alias("source"), x["page"].alias("page"), x["section"].alias("section"))))
-    return out.select("qid", ok.alias("ok"), F.when(ok, cites).alias("citations"))
+    marks = lambda i: F.array_join(F.transform(F.filter("_cites", lambda x: x["at"] == i), lambda x: F.concat(F.lit("["), x["chunk_id"], F.lit("]"))), " ")
+    between = F.split("_text", r"\[[^\[\]]*\]", -1)
+    plain_marks = F.array_join(F.transform(between, lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(marks(i - 1), piece))), "")
+    return out.select("qid", ok.alias("ok"), F.when(ok, cites).alias("citations"), F.when(ok, plain_marks).alias("normalized"))
 
 
 def display_answer(answer: Column, ids: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.functions.identity import parent_of
 from tessera.operators import analysis, corpus, evidence, fusion, selection
 from tessera.plans import plugins, store
 
@@ -39,57 +40,96 @@ def fused_candidates(hits: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def inventory(asked: DataFrame, sources: DataFrame) -> DataFrame:
-    """(qid, answer): how many documents there are, in the department that the question names, if any; sources: (source_path, title)."""
-    counts = corpus.inventory_counts(sources).select("department", "summary")
-    whole = sources.agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(" ", F.col("n").cast("string"), F.when(F.col("n") == 1, "document is indexed").otherwise("documents are indexed")).alias("all"))
-    named = asked.join(corpus.department_in_question(asked, sources), "qid", "left").join(counts, "department", "left")
-    return named.crossJoin(F.broadcast(whole)).select("qid", F.concat(F.coalesce("summary", "all"), F.lit(".")).alias("answer"))  # whole: one row
+    """(qid, answer): the documents of the department that the question names, or all, by path; only their number if it is asked for. sources: (source_path, title).
 
+    Without documents it says so. A department is spelled as its paths do (the first spelling). A list is one text and must fit a row; counts and lists are made once for each scope that is asked for, and lists for those only.
+    """
+    path = F.replace(F.col("source_path"), F.lit("\\"), F.lit("/"))
+    parent = parent_of(path)
+    named = sources.select(parent.alias("spelled"), text.fold(parent).alias("scope"), F.struct(text.fold(F.col("source_path")).alias("k"), "source_path", F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(" - "), F.col("source_path")).alias("line")).alias("entry"))
+    told = asked.join(corpus.department_in_question(asked, sources), "qid", "left")
+    told = told.select("qid", F.coalesce("department", F.lit("")).alias("scope"), F.col("question").rlike(analysis.COUNTING).alias("counting"))
+    in_scopes = named.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(""), "scope"))))
+    counts = in_scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("scope") != "", F.col("spelled"))).alias("spelled"))
+    lists = in_scopes.join(told.filter(~F.col("counting")).select("scope").distinct(), "scope", "left_semi").groupBy("scope").agg(F.array_join(F.sort_array(F.collect_list("entry"))["line"], "\n").alias("entries"))
+    one = F.col("n") == 1
+    summary = F.concat(F.concat_ws(" ", F.col("n").cast("string"), F.nullif("spelled", F.lit("")), F.when(one, "document is indexed").otherwise("documents are indexed")))
+    full = F.when(F.col("n").isNull(), "No documents are currently indexed.").when(F.col("counting"), F.concat(summary, F.lit("."))).otherwise(F.concat(summary, F.lit(":\n"), F.col("entries")))
+    return told.join(counts, "scope", "left").join(lists, "scope", "left").select("qid", full.alias("answer"))
+
+
+def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None, stages: dict[str, float] | None = None) -> DataFrame:
+    """(qid, question, route, status, answer, citations, retrieved_chunks, standalone_query, temporal_intent, subqueries, ambiguous, clarification, resolved_from_context, searched, generation_output) for (qid, question, prior).
+
+    Ambiguous questions are answered by a clarification, greetings by a greeting, questions for the inventory by lists or counts, all others by retrieval: no
+    evidence, a shut gate or a citation that does not hold refuse. Citations are written as plain marks. searched: the queries that were run; generation_output: what the generator said, null where it was not called.
+    chunks: chunk rows with the search's ``key``; arrival orders first titles. stages: gets the batch's times in milliseconds.
+    """
+    began, times = time.perf_counter(), {} if stages is None else stages
 
-def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(qid, route, status, answer, citations, retrieved_chunks, standalone_query, temporal_intent, subqueries) for (qid, question, prior).
+    def lap(name: str) -> None:
+        nonlocal began
+        now = time.perf_counter()
+        times[name], began = round((now - began) * 1000, 2), now
 
-    Ambiguous questions are answered by a clarification, greetings by a greeting, questions for the inventory by counts, all others by retrieval: no
-    evidence, a shut gate or a citation that does not hold refuse. chunks: chunk rows with the search's ``key``; arrival orders first titles.
-    """
-    told = analyse(questions).withColumn("route", analysis.route(F.col("question"), F.col("ambiguous")))
-    told = store.materialise(told, "analysed")
+    told = store.materialise(analyse(questions).withColumn("route", analysis.route(F.col("question"), F.col("ambiguous"))), "analysed")
+    lap("analysis_ms")
     asked = told.filter("route = 'retrieve'")
-    hits = store.materialise(plugins.rerank(retrieve(analysis.searches(asked), search, chunks), rerank), "hits")
+    runs = analysis.searches(asked)
+    hits = store.materialise(plugins.rerank(retrieve(runs, search, chunks), rerank), "hits")
     pack = store.materialise(selection.select_context(fused_candidates(hits, asked)), "packs")
+    lap("retrieval_ms")
     plain = asked.select("qid", F.col("standalone_query").alias("question"))
     gate = store.materialise(evidence.evidence_gate(plain, pack), "gates")
-    open_packs = pack.join(gate.filter("sufficient").select("qid"), "qid", "left_semi")
-    made = generate(plain, open_packs)
-    checked = evidence.verify_citations(made, open_packs)
+    open_gates = gate.filter("sufficient").select("qid")
+    open_packs = pack.join(open_gates, "qid", "left_semi")
+    made = store.materialise(generate(plain.join(open_gates, "qid", "left_semi"), open_packs).select("qid", F.col("answer").alias("generation_output")), "generated")
+    lap("generation_ms")
+    checked = evidence.verify_citations(made.withColumnRenamed("generation_output", "answer"), open_packs)
     counts = pack.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieved_chunks"))
-    told_of = told.select("qid", "route", "standalone_query", "temporal_intent", "subqueries", "clarification")
-    said = told_of.join(made, "qid", "left").join(checked, "qid", "left").join(counts, "qid", "left").join(inventory(told.filter("route = 'inventory'").select("qid", "question"), corpus.distinct_sources(chunks, arrival)).withColumnRenamed("answer", "counted"), "qid", "left")
+    searched = runs.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("subquery", "query")))["query"].alias("searched"))  # a few a question
+    counted = inventory(told.filter("route = 'inventory'").select("qid", "question"), corpus.distinct_sources(chunks, arrival)).withColumnRenamed("answer", "counted")
+    kept = ["qid", "question", "route", "standalone_query", "temporal_intent", "subqueries", "ambiguous", "clarification", "resolved_from_context"]
+    said = told.select(*kept)
+    for part in (made, checked, counts, searched, counted):
+        said = said.join(part, "qid", "left")
     ok = F.coalesce("ok", F.lit(False)) & F.coalesce(F.size("citations") > 0, F.lit(False))
-    words = F.when(F.col("route") == "clarify", F.col("clarification")).when(F.col("route") == "greeting", analysis.GREETING_ANSWER).when(F.col("route") == "inventory", F.col("counted")).when(ok, F.col("answer")).otherwise(analysis.REFUSAL)
+    words = F.when(F.col("route") == "clarify", F.col("clarification")).when(F.col("route") == "greeting", analysis.GREETING_ANSWER).when(F.col("route") == "inventory", F.col("counted")).when(ok, F.col("normalized")).otherwise(analysis.REFUSAL)
     status = F.when(F.col("route") == "clarify", "clarification").when((F.col("route") != "retrieve") | ok, "answered").otherwise("insufficient_evidence")
-    return said.select("qid", "route", status.alias("status"), words.alias("answer"), F.when(ok, F.col("citations")).alias("citations"), F.coalesce("retrieved_chunks", F.lit(0)).alias("retrieved_chunks"), "standalone_query", "temporal_intent", "subqueries")
+    none = F.array().cast("array<string>")
+    return said.select("qid", "question", "route", status.alias("status"), words.alias("answer"), F.when(ok, F.col("citations")).alias("citations"), F.coalesce("retrieved_chunks", F.lit(0)).alias("retrieved_chunks"), *kept[3:], F.coalesce("searched", none).alias("searched"), "generation_output")
+
+
+def usage(answers: DataFrame, context: DataFrame) -> DataFrame:
+    """(qid, embedding_tokens, chat_input_tokens, chat_output_tokens) of the calls that were made: embeddings of the queries searched for, and question, chunks and raw output where an answer was generated."""
+    estimate = lambda c: text.token_estimate(F.coalesce(c, F.lit("")))
+    read = context.groupBy("qid").agg(F.sum(estimate(F.col("content"))).alias("read"))
+    made = F.col("generation_output").isNotNull()
+    zero = F.lit(0).cast("long")
+    embedded = F.aggregate("searched", zero, lambda n, x: n + estimate(x))
+    return answers.join(read, "qid", "left").select(
+        "qid", embedded.alias("embedding_tokens"), F.when(made, estimate(F.col("standalone_query")) + F.coalesce("read", zero)).otherwise(zero).alias("chat_input_tokens"), F.when(made, estimate(F.col("generation_output"))).otherwise(zero).alias("chat_output_tokens")
+    )
 
 
-def trace(answers: DataFrame, candidates: DataFrame, context: DataFrame, prices: dict[str, str], stages: dict[str, float] | None = None) -> DataFrame:
-    """(qid, trace): one JSON document a question with its analysis, the candidates and the selected context as ranked snapshots (dates in ISO form), what was generated, stage times, tokens and their cost."""
+def trace(answers: DataFrame, candidates: DataFrame, context: DataFrame, prices: dict[str, str], stages: dict[str, float] | None = None, deployments: dict[str, str] | None = None) -> DataFrame:
+    """(qid, trace): one JSON document a question: what was asked and how it was understood, deployments (``unknown`` if not told), the candidates and the selected context as ranked snapshots (dates in ISO form),
+    what the generator said (null where it was not called), stage times, tokens and cost of the calls made. answers: as ``answer`` gives them."""
 
     def snapshots(rows: DataFrame, order: str, name: str) -> DataFrame:
         days = {n: F.date_format(n, "yyyy-MM-dd") for n, t in rows.dtypes if t == "date"}
         ranked = rows.withColumns(days).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")))
         return ranked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", *(c for c in rows.columns if c not in ("qid", "rank", "id", "question"))))).alias(name))  # at most 20 rows
 
-    estimate = lambda c: text.token_estimate(F.coalesce(c, F.lit("")))
-    used = answers.join(snapshots(candidates, "rank", "candidates"), "qid", "left").join(snapshots(context, "position", "selected_context"), "qid", "left")
-    inputs = F.aggregate(F.coalesce(F.col("selected_context.content"), F.array().cast("array<string>")), estimate(F.col("standalone_query")), lambda n, x: n + estimate(x))
-    tokens = {"embedding": F.aggregate("subqueries", F.lit(0).cast("long"), lambda n, x: n + estimate(x)), "chat_input": inputs, "chat_output": estimate(F.col("answer"))}
-    asked = F.col("route") == "retrieve"
-    spent = {n: F.when(asked, v).otherwise(0) for n, v in tokens.items()}
-    price = lambda n: (spent[n].cast("decimal(18,0)") * F.lit(prices[n]).cast("decimal(9,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(36,12)")
-    cost = price("embedding") + price("chat_input") + price("chat_output")
-    usage = F.struct(*(v.alias(f"{n}_tokens") for n, v in spent.items()), cost.cast("string").alias("estimated_usd"))
+    used = answers.join(usage(answers, context), "qid").join(snapshots(candidates, "rank", "candidates"), "qid", "left").join(snapshots(context, "position", "selected_context"), "qid", "left")
+    kinds = ["embedding", "chat_input", "chat_output"]
+    costs = [(F.col(f"{n}_tokens").cast("decimal(18,0)") * F.lit(prices[n]).cast("decimal(9,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(36,12)") for n in kinds]
+    spent = F.struct(*(f"{n}_tokens" for n in kinds), (costs[0] + costs[1] + costs[2]).cast("string").alias("estimated_usd"))
     latency = F.struct(*(F.lit(float(v)).alias(n) for n, v in (stages or {"total_ms": 0.0}).items()))
-    parts = F.struct("standalone_query", "temporal_intent", "subqueries", "route", "status", "candidates", "selected_context", F.col("answer").alias("generation_output"), usage.alias("usage_cost"), latency.alias("stage_latency"))
+    understood = F.struct("standalone_query", "ambiguous", "clarification", "temporal_intent", "subqueries", "resolved_from_context")
+    named = [F.lit((deployments or {}).get(n) or "unknown").alias(f"{n}_deployment") for n in ("embedding", "generation")]
+    empty = lambda n: F.coalesce(n, F.from_json(F.lit("[]"), used.schema[n].dataType)).alias(n)
+    parts = F.struct("question", *named, "route", "status", empty("candidates"), "generation_output", latency.alias("stage_latency"), spent.alias("usage_cost"), empty("selected_context"), understood.alias("analysis"))
     return used.select("qid", F.to_json(parts, {"ignoreNullFields": "false"}).alias("trace"))
 
 
@@ -100,33 +140,23 @@ FORM = ["correctness_0_to_4", "completeness_0_to_4", "grounding_0_to_4", "citati
 def evaluate(cases: DataFrame, pipelines: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(pipeline, case_id, question, answer, citations, retrieved_chunks, latency_ms, error, judgment) of each case (id, question, qid) by each pipeline.
 
-    Cases run in one batch. If a batch fails it is halved, so that every case that can be answered is, and one that can't has its error in its row; latency is the batch's time by case.
-    A case set is frozen and small, so the number of batches is bounded by the failing cases.
+    A case set is frozen and small. Each case runs alone, as a request would, so that its latency is its own and an error stays in its row.
     """
     spark = cases.sparkSession
     shape = "qid long, answer string, citations array<struct<chunk_id:string,source:string,page:int,section:string>>, retrieved_chunks long, latency_ms double, error string"
+    cites = F.transform("citations", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["source"].alias("source"), c["page"].cast("int").alias("page"), c["section"].alias("section")))
 
-    def run(name: str, pipeline: Callable[[DataFrame], DataFrame], qids: list[int]) -> list[DataFrame]:
-        some, began = cases.filter(F.col("qid").isin(qids)), time.perf_counter()
+    def run(pipeline: Callable[[DataFrame], DataFrame], qid: int) -> tuple:
+        began = time.perf_counter()
+        made, error = None, None
         try:
-            cites = F.transform("citations", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["source"].alias("source"), c["page"].cast("int").alias("page"), c["section"].alias("section")))
-            done = store.materialise(pipeline(some).select("qid", "answer", cites.alias("citations"), F.col("retrieved_chunks").cast("long").alias("retrieved_chunks")), f"evaluation-{name}")
-            spent = round((time.perf_counter() - began) * 1000 / len(qids), 2)
-            return [done.withColumn("latency_ms", F.lit(spent)).withColumn("error", F.lit(None).cast("string"))]
+            made = pipeline(cases.filter(F.col("qid") == qid)).select("answer", cites.alias("citations"), F.col("retrieved_chunks").cast("long").alias("retrieved_chunks")).first()
         except (PySparkException, ValueError, TypeError, KeyError, RuntimeError, OSError) as e:
-            if len(qids) == 1:
-                spent = round((time.perf_counter() - began) * 1000, 2)
-                return [spark.createDataFrame([(qids[0], None, None, None, spent, f"{type(e).__name__}: {str(e)[:500]}")], shape)]
-            half = len(qids) // 2
-            return run(name, pipeline, qids[:half]) + run(name, pipeline, qids[half:])
-
-    qids = [r.qid for r in cases.select("qid").orderBy("qid").limit(10_001).collect()]
-    if len(qids) > 10_000:
-        raise ValueError("a case set holds at most 10,000 cases")
+            error = f"{type(e).__name__}: {str(e)[:500]}"
+        return qid, *(made or (None, None, None)), round((time.perf_counter() - began) * 1000, 2), error
+
+    qids = [r.qid for r in cases.select("qid").orderBy("qid").collect()]
+    rows = [(name, *run(pipeline, qid)) for name, pipeline in pipelines.items() for qid in qids]
     blank = F.struct(*(F.lit(None).cast("int").alias(n) for n in FORM), F.lit(None).cast("string").alias("judge_notes"))
-    out = [part.withColumn("pipeline", F.lit(name)) for name, pipeline in pipelines.items() for part in run(name, pipeline, qids)]
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    named = cases.select("qid", F.col("id").alias("case_id"), "question").join(whole, "qid")
+    named = cases.select("qid", F.col("id").alias("case_id"), "question").join(spark.createDataFrame(rows, f"pipeline string, {shape}"), "qid")
     return named.select("pipeline", "case_id", "question", "answer", "citations", "retrieved_chunks", "latency_ms", "error", blank.alias("judgment"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions import text
 from tessera.functions.identity import chunk_id, document_id, short_hash
 from tessera.operators import corpus, structure
-from tessera.plans import store
+from tessera.plans import store, versions
 from tessera.plans.plugins import Embedder, embed
 from tessera.sources import listing, parsers
 
@@ -207,70 +206,81 @@ def prepare(spark: SparkSession, path: str, root: str, manifest: DataFrame, pdf_
     return _canonical(made, manifest), problems
 
 
-#: Documents are stored by bucket of their id; a change rewrites the buckets it touches only.
-BUCKETS = 64
+#: Times a writer starts again from the newest version when another one has changed what it had read.
+ATTEMPTS = 8
+SHAPE = T.StructType([*CHUNK.fields, T.StructField("content_vector", T.ArrayType(T.FloatType()))])
 
 
-def _bucket(document: str = "document_id") -> Column:
-    return F.pmod(F.xxhash64(document), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+
+
+def _again(change: Callable[[versions.Version | None], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Runs a change against the newest version, and again after a conflict."""
+
+    def run(spark: SparkSession, location: str) -> DataFrame:
+        for attempt in range(ATTEMPTS):
+            try:
+                return change(versions.version(spark, location))
+            except versions.Conflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+        raise AssertionError
+
+    return run
 
 
 def upsert(spark: SparkSession, desired: DataFrame, location: str, embedder: Embedder) -> DataFrame:
-    """Makes the stored corpus equal to ``desired`` and gives the counts. Only new and changed chunks are embedded, only buckets with a change are written."""
-    existing = current(spark, location, embedder.dimension)
-    return _write(spark, desired, existing, location, embedder)
+    """Makes the stored corpus equal to ``desired`` and gives the counts. Only new and changed chunks are embedded, only buckets with a change are written. Of writers at one time each takes its turn (see ``versions``)."""
+    return _again(lambda base: _write(spark, desired, versions.read(spark, location, SHAPE, base), location, embedder, base, None))(spark, location)
+
+
+def replace_documents(spark: SparkSession, rows: DataFrame, location: str, embedder: Embedder, documents: DataFrame | None = None) -> DataFrame:
+    """Makes the documents named in ``rows`` (or by ``documents``: document_id) equal to their rows there, leaves all others, and gives the counts; documents without rows go.
+
+    Only the buckets of these documents are read, and only writers of the same buckets make it start again.
+    """
+    named = store.materialise((rows if documents is None else documents).select("document_id").distinct(), "replaced")
 
+    def change(base: versions.Version | None) -> DataFrame:
+        touched = {r.b for r in named.select(_bucket(base.buckets if base else versions.BUCKETS).alias("b")).distinct().collect()}
+        existing = versions.read(spark, location, SHAPE, base, touched)
+        others = existing.drop("content_vector").join(named, "document_id", "left_anti")
+        own = rows.join(named, "document_id", "left_semi")
+        return _write(spark, own.select(*others.columns).unionByName(others), existing, location, embedder, base, touched)
 
-def replace_documents(spark: SparkSession, rows: DataFrame, location: str, embedder: Embedder) -> DataFrame:
-    """Makes the documents named in ``rows`` equal to them, leaves all others, and gives the counts; only the buckets of these documents are read."""
-    touched = [r.b for r in rows.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
-    existing = current(spark, location, embedder.dimension, touched)
-    others = existing.drop("content_vector").join(rows.select("document_id").distinct(), "document_id", "left_anti")
-    return _write(spark, rows.select(*others.columns).unionByName(others), existing, location, embedder)
+    return _again(change)(spark, location)
 
 
-def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, location: str, embedder: Embedder) -> DataFrame:
-    """Writes the changed buckets beside the old ones, then a version that lists every bucket's folder. A version counts when its success mark is there, so a failed run changes nothing."""
+def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, location: str, embedder: Embedder, base: versions.Version | None, touched: set[int] | None) -> DataFrame:
+    """Writes the changed buckets beside the old ones and commits them; nothing if nothing has changed."""
     state = existing.drop("content_vector")
     actions = store.materialise(corpus.reconcile(desired, state), "actions")
-    moved = actions.filter("action <> 'unchanged'").select("id")
-    homes = desired.select("id", "document_id").unionByName(state.select("id", "document_id"))
-    changed = sorted({r.b for r in homes.join(moved, "id", "left_semi").select(_bucket().alias("b")).distinct().collect()})
-    held = dict(_folders(spark, location))
-    if changed or not _versions(spark, location):
-        fresh = embed(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), "content", embedder)
-        kept = existing.filter(_bucket().isin(changed)).join(actions.filter("action = 'unchanged'").select("id"), "id", "left_semi")
-        made = f"data-{uuid.uuid4().hex}"
-        rows = fresh.unionByName(kept.select(*fresh.columns)).withColumn("bucket", _bucket())
-        rows.write.partitionBy("bucket").parquet(f"{location.rstrip('/')}/{made}")
-        full = {r.b for r in desired.select(_bucket().alias("b")).distinct().collect()} & set(changed)
-        held = {b: folder for b, folder in held.items() if b not in changed} | {b: f"{made}/bucket={b}" for b in full}
-        spark.createDataFrame(sorted(held.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{location.rstrip('/')}/v{_next(spark, location):08d}-{uuid.uuid4().hex[:8]}")
-    return corpus.reconcile_report(actions)
-
-
-def _versions(spark: SparkSession, location: str) -> list[str]:
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    done = [s.getPath() for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, "v*")) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(p.toString() for p in done)
-
-
-def _next(spark: SparkSession, location: str) -> int:
-    found = _versions(spark, location)
-    return int(found[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if found else 1
-
-
-def _folders(spark: SparkSession, location: str) -> list[tuple[int, str]]:
-    """(bucket, folder) of the newest whole version: at most BUCKETS rows."""
-    found = _versions(spark, location)
-    return [(r.bucket, r.folder) for r in spark.read.parquet(found[-1]).collect()] if found else []
-
-
-def current(spark: SparkSession, location: str, dimension: int = 64, buckets: list[int] | None = None) -> DataFrame:
-    """The newest whole version of the corpus, or some of its buckets; empty if there is none."""
-    shape = T.StructType([*CHUNK.fields, T.StructField("content_vector", T.ArrayType(T.FloatType()))])
-    folders = [f"{location.rstrip('/')}/{folder}" for b, folder in _folders(spark, location) if buckets is None or b in buckets]
-    return spark.read.schema(shape).parquet(*folders) if folders else spark.createDataFrame([], shape)
+    report = corpus.reconcile_report(actions)
+    counts = report.first()
+    if base and not counts.uploaded and not counts.deleted:
+        return report
+    fresh = embed(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), "content", embedder)
+    kept = existing.join(actions.filter("action = 'unchanged'").select("id"), "id", "left_semi")
+    before = base.buckets if base else versions.BUCKETS
+    buckets, total = before, (counts.desired if touched is None else counts.uploaded - counts.deleted + base.rows if base else counts.desired)
+    while total > versions.BUCKET_ROWS * buckets:
+        buckets *= 4
+    if buckets > before and touched is not None:  # all buckets are dealt anew, so all rows are read
+        kept = versions.read(spark, location, SHAPE, base).join(desired.select("document_id").unionByName(state.select("document_id")).distinct(), "document_id", "left_anti").unionByName(kept)
+        touched = None
+    if buckets > before:
+        changed = set(range(buckets))
+    else:
+        moved = actions.filter("action <> 'unchanged'").select("id")
+        homes = desired.select("id", "document_id").unionByName(state.select("id", "document_id"))
+        changed = {r.b for r in homes.join(moved, "id", "left_semi").select(_bucket(buckets).alias("b")).distinct().collect()}
+        kept = kept.filter(_bucket(buckets).isin(changed))
+    data = versions.write(fresh.unionByName(kept.select(*fresh.columns)).withColumn("bucket", _bucket(buckets)), location)
+    versions.commit(spark, location, base, buckets, changed, data, touched)
+    return report
+
+
+def current(spark: SparkSession, location: str, number: int | None = None) -> DataFrame:
+    """The newest version of the corpus, or an older one that is still there; empty if there is none. A later commit does not change what is read."""
+    return versions.read(spark, location, SHAPE, versions.version(spark, location, number))

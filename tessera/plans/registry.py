@@ -612,6 +612,14 @@ def citation_verify(spark, sf_dir):
     return found.select("qid", "ok", F.array_join(F.col("citations.chunk_id"), ",").alias("cited"))
 
 
+@query(f"""WITH {ANSWERS}, p AS (SELECT w.qid, max(CASE WHEN position = 1 THEN page_number END) AS page FROM pack w GROUP BY w.qid)
+SELECT qid, CASE qid % 6 WHEN 0 THEN answer WHEN 1 THEN concat('Nested [', a, '].') WHEN 2 THEN concat('Both [', a, '] [', coalesce(b, a), ']') WHEN 3 THEN CASE WHEN page = 3 THEN concat('See [', a, ']') END END AS normalized FROM answers JOIN p USING (qid)""")
+def citation_marks(spark, sf_dir):
+    """Answers with their citations written as plain marks."""
+    pack = context(spark, sf_dir)
+    return evidence.verify_citations(answers(pack).select("qid", "answer"), pack).select("qid", "normalized")
+
+
 @query(f"""WITH {ANSWERS}, shown AS (SELECT qid, CASE qid % 6 WHEN 0 THEN CASE WHEN b IS NULL THEN 'First [1] then [1] and [1].' ELSE 'First [1] then [2] and [1].' END WHEN 1 THEN 'Nested [[1]].' WHEN 2 THEN concat('Both [', a, ', ', coalesce(b, a), ']') WHEN 3 THEN concat('See [', a, ', page 3]') WHEN 4 THEN 'Known [1] and [feedfeed].' ELSE 'No mark.' END AS shown FROM answers)
 SELECT qid, CASE WHEN qid % 6 = 1 THEN 'Nested [ [1]].' ELSE shown END AS shown FROM shown""")
 def display_numbers(spark, sf_dir):
@@ -779,10 +787,11 @@ def question_answers(spark, sf_dir):
     return joined.select("qid", F.when(F.col("ok"), "answered").otherwise("insufficient_evidence").alias("status"), F.sha2(F.when(F.col("ok"), F.col("answer")).otherwise(analysis.REFUSAL), 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"))
 
 
-# The whole path with all its branches: benchmark questions, one for the inventory of each source, a greeting and a question without a subject
+# The whole path with all its branches: benchmark questions, how many documents each source has and which, the same of all, a greeting and a question without a subject
 
 PATH_QUESTIONS = """SELECT qid, question FROM (SELECT qid, question FROM qs0 UNION ALL SELECT -1 - row_number() OVER (ORDER BY source), concat('how many documents are in ', source, '?') FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
-  UNION ALL SELECT -1000001, 'Hello there!' UNION ALL SELECT -1000002, 'Tell me about the policy' UNION ALL SELECT -1000003, 'How many files are indexed?')"""
+  UNION ALL SELECT -2000 - row_number() OVER (ORDER BY source), concat('List the files of ', upper(source), ', please.') FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+  UNION ALL SELECT -1000004, 'Which documents are available?' UNION ALL SELECT -1000001, 'Hello there!' UNION ALL SELECT -1000002, 'Tell me about the policy' UNION ALL SELECT -1000003, 'How many files are indexed?')"""
 PATH = f"""qs0 AS ({QUESTIONS}), prior AS (SELECT qid AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, question AS text, CAST(NULL AS VARCHAR) AS prior FROM ({PATH_QUESTIONS})), {ANALYSIS},
 routed AS (SELECT conv_id AS qid, s, intent, question AS asked, CASE WHEN len(subs) > 1 AND subs[1] = s THEN subs[2:] ELSE subs END AS run,
   CASE WHEN ambiguous THEN 'clarify' WHEN regexp_matches(trim(question), {_re(analysis.GREETING)}) THEN 'greeting' WHEN regexp_matches(question, {_re(analysis.DOCUMENTS)}) AND regexp_matches(question, {_re(analysis.INVENTORY)}) THEN 'inventory' ELSE 'retrieve' END AS route FROM a7),
@@ -795,22 +804,26 @@ cands AS (SELECT k.* EXCLUDE (family, same, subquery) REPLACE (b.rank AS rank),
 
 
 @query(f"""WITH {PATH}, {PACKED}, {GATED}, shut AS (SELECT *, CASE WHEN n = 0 THEN FALSE WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN FALSE ELSE len(matched) >= CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END END AS sufficient FROM gate),
-sources AS (SELECT replace(source_path, chr(92), '/') AS source_path FROM chunks QUALIFY row_number() OVER (PARTITION BY {SKEY} ORDER BY doc_id) = 1), dep AS (SELECT {PARENT} AS department, count(*) AS k FROM sources GROUP BY 1),
-inv AS (SELECT r.qid, d.department, d.k FROM routed r LEFT JOIN dep d ON regexp_matches({fold('r.asked')}, concat('(^|[^A-Za-z0-9_])', d.department, '($|[^A-Za-z0-9_])')) WHERE r.route = 'inventory' QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY length(d.department) DESC, d.department) = 1),
+{SOURCES[SOURCES.index('sources AS'):]}, listed AS (SELECT {PARENT} AS department, list_extract(string_split(source_path, chr(47)), -2) AS spelled, {fold('source_path')} AS k, source_path, concat('- ', title, ' - ', source_path) AS line FROM sources),
+dep AS (SELECT department, min(spelled) AS spelled, count(*) AS k, string_agg(line, chr(10) ORDER BY k, source_path) AS lines FROM listed GROUP BY 1), every AS (SELECT count(*) AS k, string_agg(line, chr(10) ORDER BY k, source_path) AS lines FROM listed),
+inv AS (SELECT r.qid, d.spelled, coalesce(d.k, (SELECT k FROM every)) AS k, coalesce(d.lines, (SELECT lines FROM every)) AS lines FROM routed r LEFT JOIN dep d ON regexp_matches({fold('r.asked')}, concat('(^|[^A-Za-z0-9_])', d.department, '($|[^A-Za-z0-9_])')) WHERE r.route = 'inventory' QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY length(d.department) DESC, d.department) = 1),
 told AS (SELECT r.qid, r.route, r.intent, s.sufficient, p.id, CASE r.route WHEN 'clarify' THEN '{analysis.CLARIFICATION}' WHEN 'greeting' THEN '{analysis.GREETING_ANSWER}'
-  WHEN 'inventory' THEN concat(CAST(coalesce(i.k, (SELECT count(*) FROM sources)) AS VARCHAR), coalesce(' ' || i.department, ''), CASE WHEN coalesce(i.k, (SELECT count(*) FROM sources)) = 1 THEN ' document is indexed.' ELSE ' documents are indexed.' END)
+  WHEN 'inventory' THEN concat(CAST(i.k AS VARCHAR), coalesce(' ' || i.spelled, ''), CASE WHEN i.k = 1 THEN ' document is indexed' ELSE ' documents are indexed' END, CASE WHEN regexp_matches(r.asked, {_re(analysis.COUNTING)}) THEN '.' ELSE concat(':', chr(10), i.lines) END)
   ELSE CASE WHEN s.sufficient THEN concat(substr(regexp_replace(p.content, '[\\[\\]]', '', 'g'), 1, 120), ' [', p.id, ']') ELSE '{analysis.REFUSAL}' END END AS answer, coalesce(c.k, 0) AS retrieved_chunks
   FROM routed r LEFT JOIN shut s ON r.qid = s.qid LEFT JOIN pack p ON r.qid = p.qid AND p.position = 1 LEFT JOIN inv i ON r.qid = i.qid LEFT JOIN (SELECT qid, count(*) AS k FROM pack GROUP BY qid) c ON r.qid = c.qid)
 SELECT qid, route, CASE WHEN route = 'clarify' THEN 'clarification' WHEN route <> 'retrieve' OR sufficient THEN 'answered' ELSE 'insufficient_evidence' END AS status, sha256(answer) AS answer_hash, CASE WHEN sufficient THEN id END AS cited, retrieved_chunks, intent AS temporal_intent FROM told""")
 def answer_path(spark, sf_dir):
     """All branches: analysis, routes, hybrid search of each sub-question, fusion, selection, gate, answer, verified citations."""
+    return answered(spark, sf_dir).select("qid", "route", "status", F.sha2("answer", 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"), "retrieved_chunks", "temporal_intent")
+
+
+def answered(spark, sf_dir):
     from tessera.plans import answers as path
 
     rows = spark.sql(f"WITH qs0 AS ({QUESTIONS.replace('FROM benchmark', 'FROM {benchmark}')}) {PATH_QUESTIONS.replace('FROM documents', 'FROM {documents}')}", benchmark=read(spark, sf_dir, "benchmark"), documents=read(spark, sf_dir, "documents"))
     asked = rows.select("qid", "question", F.lit(None).cast("string").alias("prior"))
     known = with_ids(chunks(spark, sf_dir)).withColumn("key", F.col("doc_id"))
-    made = path.answer(asked, lambda q: hybrid(spark, sf_dir, q), known, "doc_id")
-    return made.select("qid", "route", "status", F.sha2("answer", 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"), "retrieved_chunks", "temporal_intent")
+    return path.answer(asked, lambda q: hybrid(spark, sf_dir, q), known, "doc_id")
 
 
 @query(f"WITH {KNN.format(k=5)} SELECT k.qid, count(*) AS n_context, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.rank) AS ids, sum(length(coalesce(d.text, '')))::BIGINT AS n_chars FROM knn k JOIN documents d ON k.id = d.doc_id GROUP BY k.qid")

@@ -52,17 +52,65 @@ def test_evaluation_keeps_errors_in_their_rows(spark):
     one = {r.case_id: r for r in rows if r.pipeline == "one"}
     assert len(one) == 7 and "case five" in one["CORE-005"].error and one["CORE-005"].answer is None
     assert all(r.error is None and r.answer == f"answer {r.question}" and r.latency_ms >= 0 for k, r in one.items() if k != "CORE-005")
+    assert len({r.latency_ms for r in one.values()}) > 1  # each case has its own
     assert set(one["CORE-001"].judgment.asDict()) == {*answers.FORM, "judge_notes"} and not any(one["CORE-001"].judgment)
 
 
 def test_trace_holds_the_whole_request(spark, small):
     pack = registry.context(spark, small)
-    told = pack.select("qid").distinct().select("qid", F.lit("q").alias("standalone_query"), F.lit("unspecified").alias("temporal_intent"), F.array(F.lit("four")).alias("subqueries"), F.lit("retrieve").alias("route"), F.lit("answered").alias("status"), F.lit("eight by").alias("answer"))
-    row = answers.trace(told, pack.withColumn("rank", F.col("position")), pack, {"embedding": "0.02", "chat_input": "0.40", "chat_output": "1.60"}, {"retrieval_ms": 3.5}).first()
-    whole = json.loads(row.trace)
+    qids = [r.qid for r in pack.select("qid").distinct().orderBy("qid").limit(2).collect()]
+    known = dict(standalone_query="q", temporal_intent="unspecified", subqueries=["full", "four"], ambiguous=False, clarification=None, resolved_from_context=False)
+    rows = [
+        dict(known, qid=qids[0], question="q?", route="retrieve", status="answered", searched=["four"], generation_output="eight by"),
+        dict(known, qid=qids[1], question="q?", route="retrieve", status="insufficient_evidence", searched=["four"], generation_output=None),
+        dict(known, qid=-1, question="Hi", route="greeting", status="answered", searched=[], generation_output=None),
+    ]
+    told = spark.createDataFrame(rows, "qid long, question string, route string, status string, standalone_query string, temporal_intent string, subqueries array<string>, ambiguous boolean, clarification string, resolved_from_context boolean, searched array<string>, generation_output string")
+    prices = {"embedding": "0.02", "chat_input": "0.40", "chat_output": "1.60"}
+    got = {r.qid: json.loads(r.trace) for r in answers.trace(told, pack.withColumn("rank", F.col("position")), pack, prices, {"retrieval_ms": 3.5}, {"embedding": "small"}).collect()}
+    whole = got[qids[0]]
     assert [c["rank"] for c in whole["selected_context"]] == list(range(1, len(whole["selected_context"]) + 1)) and re.fullmatch(r"\d{4}-\d\d-\d\d", whole["candidates"][0]["effective_from"])
     tokens = 1 + sum(math.ceil(len(c["content"].encode()) / 4) for c in whole["selected_context"])
     assert whole["usage_cost"] == {"embedding_tokens": 1, "chat_input_tokens": tokens, "chat_output_tokens": 2, "estimated_usd": f"{(0.02 + 0.4 * tokens + 1.6 * 2) / 1e6:.12f}"} and whole["stage_latency"] == {"retrieval_ms": 3.5}
+    assert whole["question"] == "q?" and whole["generation_output"] == "eight by" and whole["embedding_deployment"] == "small" and whole["generation_deployment"] == "unknown"
+    assert whole["analysis"] == known
+    # the model saw no refused question: nothing was generated, only the search was embedded
+    refused, greeting = got[qids[1]], got[-1]
+    assert refused["selected_context"] and refused["generation_output"] is None and refused["usage_cost"] == {"embedding_tokens": 1, "chat_input_tokens": 0, "chat_output_tokens": 0, "estimated_usd": "0.000000020000"}
+    assert greeting["candidates"] == greeting["selected_context"] == [] and greeting["usage_cost"]["estimated_usd"] == "0.000000000000"
+
+
+def request(spark, question, generate=plugins.first_words, sources=(("KB/Sales/b.pdf", "B"), ("KB/Sales/A.pdf", "A"), ("KB/it/c.docx", "C")), stages=None):
+    """A question over three documents, all found by every search."""
+    kind = ", ".join(f"{n} string" for n in ("key", "id", "content", "title", "source_path", "section", "document_id", "content_hash", "file_type", "department", "document_type", "version", "sheet_name"))
+    rows = [(f"k{i}", f"c{i}", f"The travel allowance is {i}0.\nRow: {i}", title, path, "s", f"d{i}", f"h{i}", "xlsx", path.split("/")[-2], "policy", "1", "Sheet") for i, (path, title) in enumerate(sources, 1)]
+    known = spark.createDataFrame(rows, kind).selectExpr("*", "cast(null as date) as effective_from", "cast(null as date) as effective_to", "cast(null as boolean) as is_current", "4 as page_number", "cast(null as int) as table_number", "cast(null as int) as row_number", "array('staff') as allowed_groups")
+    search_all = lambda q: q.crossJoin(known.select(F.col("key").alias("id"))).selectExpr("qid", "id", "1.0D as score", "cast(substr(id, 2) as int) as rank")
+    return answers.answer(spark.createDataFrame([(1, question, None)], "qid long, question string, prior string"), search_all, known, "key", generate, stages=stages).first()
+
+
+def test_inventory_lists_counts_and_says_none(spark):
+    said = lambda q, **k: request(spark, q, **k).answer
+    assert said("Which documents are available?") == "3 documents are indexed:\n- C - KB/it/c.docx\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf"
+    assert said("how many documents are indexed") == "3 documents are indexed." and said("How many files are in Sales?") == "2 Sales documents are indexed."
+    assert said("list the files of SALES") == "2 Sales documents are indexed:\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf"
+    assert said("total number of documents in it") == "1 it document is indexed." and said("list documents in it") == "1 it document is indexed:\n- C - KB/it/c.docx"
+    assert said("Which documents are available?", sources=()) == said("How many documents are indexed?", sources=()) == "No documents are currently indexed."
+
+
+def speaking(text):
+    return lambda questions, context: questions.select("qid", F.lit(text).alias("answer"))
+
+
+def test_answers_carry_plain_marks(spark):
+    stages = {}
+    got = request(spark, "What is the travel allowance?", speaking("Both [c1, c2], rows [c1 rows 1], page [c2, page 4] and [[c1]]."), stages=stages)
+    assert got.status == "answered" and got.answer == "Both [c1] [c2], rows [c1], page [c2] and [c1]." and [c.chunk_id for c in got.citations] == ["c1", "c2"]
+    assert got.searched == ["What is the travel allowance?"] and set(stages) == {"analysis_ms", "retrieval_ms", "generation_ms"} and min(stages.values()) > 0
+    bad = request(spark, "What is the travel allowance?", speaking("Made up [c9]."))
+    assert bad.status == "insufficient_evidence" and bad.answer == registry.analysis.REFUSAL and bad.generation_output == "Made up [c9]." and bad.citations is None
+    shut = request(spark, "Unrelated zebra crossing?", speaking("[c1]"))
+    assert shut.status == "insufficient_evidence" and shut.generation_output is None and shut.retrieved_chunks > 0
 
 
 def test_fusion_refuses_a_fourth_list(spark):

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.errors import PySparkException
 
-from tessera.plans import ingest, plugins
+from tessera.plans import ingest, plugins, versions
 from tessera.sources import listing, parsers
 from tessera.streaming import ingest as stream
 
@@ -74,7 +74,7 @@ def test_files_to_corpus(spark, folder):
     assert first.uploaded == len(rows) and (again.uploaded, again.unchanged, again.deleted) == (0, len(rows), 0)
     less = ingest.upsert(spark, chunks.filter("file_type = 'docx'"), store, embedder).first()
     assert less.deleted == sum(r.file_type == "xlsx" for r in rows.values())
-    now = ingest.current(spark, store, 8)
+    now = ingest.current(spark, store)
     assert plugins.vector_problems(now, 8).count() == 0 and now.count() == less.desired
 
 
@@ -83,17 +83,18 @@ def test_only_changed_buckets_are_written(spark, folder):
     chunks = ingest.prepare(spark, f"file:{folder}/files", "KB", manifest)[0].cache()
     store, embedder = f"file:{folder}/store4", plugins.HashEmbedder(8)
     ingest.upsert(spark, chunks, store, embedder)
-    before = dict(ingest._folders(spark, store))
+    held = lambda: versions.folders(spark, store, versions.version(spark, store))
+    before = held()
     assert len(before) == 2
     docx = chunks.filter("file_type = 'docx'")
     report = ingest.replace_documents(spark, docx.filter("content <> 'All staff.'"), store, embedder).first()
-    after = dict(ingest._folders(spark, store))
+    after = held()
     assert report.deleted == 1 and report.uploaded == 0 and len(set(before.items()) & set(after.items())) == 1
-    assert ingest.current(spark, store, 8).count() == chunks.count() - 1
+    assert ingest.current(spark, store).count() == chunks.count() - 1
     ingest.upsert(spark, chunks.filter("file_type = 'xlsx'"), store, embedder)
-    assert {r.file_type for r in ingest.current(spark, store, 8).collect()} == {"xlsx"} and len(ingest._folders(spark, store)) == 1
-    versions = ingest._versions(spark, store)
-    assert ingest.upsert(spark, chunks.filter("file_type = 'xlsx'"), store, embedder).first().uploaded == 0 and ingest._versions(spark, store) == versions
+    assert {r.file_type for r in ingest.current(spark, store).collect()} == {"xlsx"} and len(held()) == 1
+    known = versions.numbers(spark, store)
+    assert ingest.upsert(spark, chunks.filter("file_type = 'xlsx'"), store, embedder).first().uploaded == 0 and versions.numbers(spark, store) == known == [1, 2, 3]
 
 
 def test_failed_write_changes_nothing(spark, folder):
@@ -108,10 +109,10 @@ def test_failed_write_changes_nothing(spark, folder):
         def __call__(self, texts):
             return [[0.0] * 7 for _ in texts]
 
-    before = ingest.current(spark, store, 8).count()
+    before = ingest.current(spark, store).count()
     with pytest.raises(PySparkException):
         ingest.upsert(spark, chunks, store, Broken())
-    assert ingest.current(spark, store, 8).count() == before
+    assert ingest.current(spark, store).count() == before
 
 
 def test_retries():
@@ -175,12 +176,12 @@ def test_pdf_needs_a_reader(spark):
 def test_stream(spark, folder):
     manifest = ingest.load_manifest(spark, str(folder / "manifest.json"))
     chunks, _ = ingest.prepare(spark, f"file:{folder}/files", "KB", manifest)
-    chunks.coalesce(1).write.parquet(f"{folder}/inbox")
+    stream.events(chunks, 1).coalesce(1).write.parquet(f"{folder}/inbox")
     store, embedder = f"file:{folder}/store3", plugins.HashEmbedder(8)
     for _ in range(2):
-        changes = spark.readStream.schema(chunks.schema).parquet(f"{folder}/inbox")
+        changes = spark.readStream.schema(stream.EVENT).parquet(f"{folder}/inbox")
         stream.run(changes, store, embedder, f"{folder}/marks").awaitTermination(120)
-    assert ingest.current(spark, store, 8).count() == chunks.count()
+    assert ingest.current(spark, store).count() == chunks.count() and versions.numbers(spark, store) == [1]
 
 
 ENTRY = dict(source_path="KB/it/a.pdf", title="A", file_type="pdf", department="it", document_type="policy", version="1", effective_from="2024-01-01", effective_to=None, is_current=True, allowed_groups=["staff"])
