@@ -35,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, materialise, release, slices, work_dir
+from tessera.llm.common import discard, fold, materialise, release, slices, work_dir
 
 EXACT = 32
+#: Buckets of the stored table at most (Spark allows 100,000 by default); beyond, a bucket has more slots, which its task still meets one by one.
+MOST_FILES = 1 << 16
 END, START = xxhash.xxh3_64_intdigest(b"\0end"), xxhash.xxh3_64_intdigest(b"\0start")
 _BLOCK = "slot int, block long, words binary, counts binary, ctx binary, doc binary, times binary, docs binary, lengths binary, pins binary, pin_doc binary, pin_times binary"
 _PAIRS = "slot int, word_counts binary, hot binary, pair_words binary, pair_ctx binary, pair_counts binary"
@@ -115,7 +117,7 @@ class Plan:
         at = {int(w): i for i, w in enumerate(self.words)}
         self.pins = np.asarray(sorted(at[w] * len(at) + at[c] for w, c in pins), np.int64)
         self.buckets = 1 + self.pin_slot // 4
-        self.files = max(1, self.pin_slot // 8)
+        self.files = min(MOST_FILES, max(1, self.pin_slot // 8))
 
     def key(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - 8 * self.width)
@@ -668,4 +670,8 @@ def score_documents(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, slot_byt
         rows = [r.asDict() for r in messages(alone).filter(F.col("slot") == plan.pin_slot).collect()]  # one row a bucket and sweep
         pin_logs[order] = _log_probabilities(Pairs(row, plan), rows, plan, model, kept)
     slots = tables.filter((F.col("slot") >= 0) & (F.col("slot") < plan.pin_slot))
-    return gather(score_slots(tables, messages(slots), plan, model, kept), blocks, plan, model, pin_logs)
+    # the scores are written, so that the bucketed table and the messages can go
+    out = materialise(gather(score_slots(tables, messages(slots), plan, model, kept), blocks, plan, model, pin_logs), "pitman-yor-scores")
+    discard(tables, contexts, *told)
+    spark.sql(f"DROP TABLE {name}")
+    return out

@@ -461,6 +461,18 @@ def test_pitman_yor_keys():
     assert [pitman_yor.key_width(n) for n in (0, 1000, 1 << 30, 1 << 47, 1 << 62)] == [2, 3, 5, 7, 8]
 
 
+@pytest.mark.parametrize("size", [0, 10**6, 10**12, 4 * 10**12, 10**14, 10**16])
+def test_pitman_yor_plans_any_size(size):
+    plan = pitman_yor.Plan(size, 4 << 20, {5: 3}, [])
+    assert 1 <= plan.files <= 100_000 and plan.files >= min(plan.pin_slot // 8, 50_000)
+
+
+def test_pitman_yor_leaves_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    scored = pitman_yor.score_documents(documents(spark).filter("length(text) < 1000"), sweeps=1)
+    assert {t.name for t in spark.catalog.listTables()} == before and scored.count() > 0
+
+
 def test_pitman_yor_edges(spark):
     rows = pitman_yor.score_documents(documents(spark)).collect()
     assert len(rows) == documents(spark).count() and all(math.isfinite(r.score) for r in rows)
