@@ -24,11 +24,16 @@ FOLDED = {
 
 
 def fold(c: Column) -> Column:
-    """Case folding for search: lower case; sharp and long s, ligatures and letters with fixed marks as what they stand for. Texts without such letters are only put in lower case."""
-    out = F.translate(c, "\u017f", "s")
+    """Case folding for search: lower case; sharp and long s, ligatures and letters with fixed marks as what they stand for.
+
+    Most texts need little: those in ASCII only lower case, those without rare letters one replacement more.
+    """
+    sharp = F.replace(c, F.lit("\u00df"), F.lit("ss"))
+    out = F.translate(sharp, "\u017f", "s")
     for letter, by in FOLDED.items():
         out = F.replace(out, F.lit(letter), F.lit(by))
-    return F.lower(F.when(c.rlike("[\u017f" + "".join(FOLDED) + "]"), out).otherwise(c))
+    rare = "[\u017f" + "".join(x for x in FOLDED if x != "\u00df") + "]"
+    return F.lower(F.when(F.octet_length(c) == F.length(c), c).when(~c.rlike(rare), sharp).otherwise(out))
 
 
 def squeeze(c: Column) -> Column:

@@ -11,76 +11,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.text import fold, raw_tokens
+from tessera.functions.text import FOLDED, raw_tokens
+from tessera.plans import store
 
 K1, B = 1.2, 0.75
 
 
+#: Bytes of distinct words that are sent to all tasks at once, and of passages whose automaton a task holds (some fifty times as large).
+WORD_BYTES, PASSAGE_BYTES = 32 << 20, 8 << 20
+_LETTERS = {ord(k): v for k, v in FOLDED.items()} | {0x17F: "s"}
+
+
+def tokens_of(text: str) -> list[str]:
+    """The words of one text, as ``raw_tokens`` gives them."""
+    return _TOKEN(text.lower() if text.isascii() else text.translate(_LETTERS).lower())
+
+
+_TOKEN = re.compile("[a-z0-9]+").findall
+
+
+def gain(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """What a term adds to a document's score, before its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def weight(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def term_counts(words: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, length, terms, times) of the rows (id, said) that hold one of the terms, told by their number; rows with ``n`` sum up the documents and words of a task's batches."""
+    sent = words.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    kind = words.schema["id"].dataType
+
+    def run(batches):
+        known = sent.value
+        for batch in batches:
+            ids, sizes, which, times, total = [], [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = tokens_of(text.as_py())
+                total += len(found)
+                held = Counter(w for w in map(known.get, found) if w is not None)
+                if held:
+                    ids.append(doc)
+                    sizes.append(len(found))
+                    which.append(sorted(held))
+                    times.append([held[t] for t in which[-1]])
+            none = [None]
+            columns = (ids + none, sizes + none, which + none, times + none, [None] * len(ids) + [batch.num_rows], [None] * len(ids) + [total])
+            types = (to_arrow_type(kind), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "length", "terms", "times", "n", "total"])
+
+    return words.mapInArrow(run, f"id {kind.simpleString()}, length int, terms array<int>, times array<int>, n long, total long")
+
+
+def _best(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each question, ties to the smaller id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, who))
+    who, ids, scores = who[order], ids[order], scores[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], ids[keep], scores[keep]
+
+
 def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 20, id_col: str = "doc_id", qid: str = "qid", columns: tuple[str, ...] = ("text",), block: int = 4096) -> DataFrame:
     """(qid, doc_id, score, rank) for the texts of ``columns`` of the documents and column ``text`` of the questions; scores to six digits, ties to the smaller id.
 
-    A document's words are all in its row, so all questions are scored inside the scan: no postings are shuffled. One pass counts the documents of each asked term, a second scores and keeps
-    a task's k best for each question; only these meet. The questions are asked in blocks of bounded size, each of which is sent to all tasks.
+    The documents are read once for all questions: a task folds and splits each text and keeps how often it holds the asked words, and how long it is. From these counts, stored, come the documents of each word, then the
+    scores; a task keeps its k best for each question and only these meet. What is sent to all tasks is bounded: the asked words (beyond ``WORD_BYTES`` the questions are asked in several passes) and blocks of questions.
     """
-    said = fold(F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in columns)))
-    words = docs.select(F.col(id_col).alias("id"), said.alias("said"))
-    terms = F.regexp_extract_all("said", F.lit("[a-z0-9]+"), F.lit(0))
-    asked = questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
-    n, length = words.select(F.count(F.lit(1)), F.sum(F.size(terms))).first()
-    length, kind = (length or 0) / max(1, n), words.schema["id"].dataType.simpleString()
-    held = words.select(F.explode(F.array_distinct(terms)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    weights = asked.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
-    parts = -(-questions.count() // block) or 1
-    session = docs.sparkSession
-
-    def scored(part: int) -> DataFrame:
-        rows = weights.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()  # the words of a block of questions
-        names = sorted({r.qid for r in rows})
-        number = {q: i for i, q in enumerate(names)}
-        lists: dict[str, tuple[list[int], float]] = {}
-        for r in rows:
-            lists.setdefault(r.term, ([], float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5)))))[0].append(number[r.qid])
-        sent = session.sparkContext.broadcast({t: (np.asarray(qs), idf) for t, (qs, idf) in lists.items()})
-
-        def best(scores: list[np.ndarray], ids: list[np.ndarray], who: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-            s, i, q = (np.concatenate(x) for x in (scores, ids, who))
-            order = np.lexsort((i, -s, q))
-            s, i, q = s[order], i[order], q[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-            return s[keep], i[keep], q[keep]
+    words = docs.select(F.col(id_col).alias("id"), F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in columns)).alias("said"))
+    asked = store.materialise(questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term")), "asked")
+    size = asked.select(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    passes = 1
+    if size > WORD_BYTES:  # words that many questions share count once
+        passes = 1 + (asked.select("term").distinct().select(F.sum(F.octet_length("term") + 16)).first()[0] or 0) // WORD_BYTES
+    parts = [_scored(words, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p) if passes > 1 else asked, k, block) for p in range(passes)]
+    hits = reduce(DataFrame.unionByName, parts)
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(qid), F.col("id").alias(id_col), F.round("score", 6).alias("score"), "rank")
+
+
+def _scored(words: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """(qid, id, score) of each task's k best."""
+    session, kind = words.sparkSession, words.schema["id"].dataType
+    terms = sorted(r.term for r in asked.select("term").distinct().collect())
+    counts = store.materialise(term_counts(words, terms), "term-counts")
+    n, total = counts.filter("n is not null").select(F.sum("n"), F.sum("total")).first()
+    held = np.zeros(len(terms), np.int64)
+    for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # no more than the words that were sent
+        held[r.t] = r.df
+    mean, weights = (total or 0) / max(1, n or 0) or 1.0, weight(n or 0, held)
+    blocks = -(-asked.select("qid").distinct().count() // block) or 1
+    number, rows = {t: i for i, t in enumerate(terms)}, counts.filter("n is null").select("id", "length", "terms", "times")
+
+    def part(p: int) -> DataFrame:
+        told = sorted((number[r.term], r.qid) for r in asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == p).collect())  # the words of a block of questions
+        names = sorted({q for _, q in told})
+        at = {q: i for i, q in enumerate(names)}
+        starts = np.searchsorted([t for t, _ in told], np.arange(len(terms) + 1))
+        sent = session.sparkContext.broadcast((starts, np.asarray([at[q] for _, q in told], np.int64), weights, mean))
 
         def run(batches):
-            known, find = sent.value, re.compile("[a-z0-9]+").findall
-            held, count = ([], [], []), 0
+            starts, askers, weights, mean = sent.value
+            held, count = [], 0
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    found = find(text.as_py())
-                    times = Counter(w for w in found if w in known)
-                    if not times:
+                if not batch.num_rows:
+                    continue
+                lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                doc, term, tf = np.repeat(np.arange(batch.num_rows), lengths), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+                value = gain(tf, batch.column(1).to_numpy()[doc], mean) * weights[term]
+                ids = np.asarray(batch.column(0).to_pylist(), object if pa.types.is_string(batch.column(0).type) else None)
+                fan = starts[term + 1] - starts[term]
+                ends = np.cumsum(fan)
+                for low in range(0, int(ends[-1]), 1 << 20):  # so many (document, term, question) at once; a document's stand together
+                    first, last = np.searchsorted(ends, (low, low + (1 << 20)), "right")
+                    first = np.searchsorted(doc, doc[first]) if first < len(doc) else len(doc)
+                    last = np.searchsorted(doc, doc[last]) if last < len(doc) else len(doc)
+                    some = np.arange(first, last)
+                    if not fan[some].sum():
                         continue
-                    long = K1 * (1 - B + B * len(found) / length)
-                    gain = [known[w][1] * tf * (K1 + 1) / (tf + long) for w, tf in sorted(times.items())]
-                    who = [known[w][0] for w in sorted(times)]
-                    score = np.bincount(np.concatenate(who), np.repeat(gain, [len(x) for x in who]), minlength=len(names))
-                    hit = np.flatnonzero(np.bincount(np.concatenate(who), minlength=len(names)))
-                    held[0].append(np.floor(score[hit] * 1e6 + 0.5) / 1e6)
-                    held[1].append(np.full(len(hit), doc))
-                    held[2].append(hit)
-                    count += len(hit)
+                    entry = np.repeat(some, fan[some])
+                    who = askers[np.arange(len(entry)) - np.repeat(np.cumsum(fan[some]) - fan[some], fan[some]) + starts[term[entry]]]
+                    pairs, place = np.unique(doc[entry] * len(names) + who, return_inverse=True)
+                    scores = np.floor(np.bincount(place, value[entry]) * 1e6 + 0.5) / 1e6
+                    held.append((pairs % len(names), ids[pairs // len(names)], scores))
+                    count += len(pairs)
                     if count > 200_000 + 2 * k * len(names):
-                        kept = best(*held)
-                        held, count = ([kept[0]], [kept[1]], [kept[2]]), len(kept[0])
-            if count:
-                s, i, q = best(*held)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["number", "id", "score"])
+                        held = [_best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)]
+                        count = len(held[0][0])
+            if held:
+                who, ids, scores = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids.tolist(), to_arrow_type(kind)), pa.array(scores)], ["number", "id", "score"])
 
-        asked_by = session.createDataFrame(list(enumerate(names)), f"number long, qid {weights.schema['qid'].dataType.simpleString()}")
-        return words.mapInArrow(run, f"number long, id {kind}, score double").join(F.broadcast(asked_by), "number")  # as many rows as the block has questions
+        asked_by = session.createDataFrame(list(enumerate(names)), f"number long, qid {asked.schema['qid'].dataType.simpleString()}")
+        return rows.mapInArrow(run, f"number long, id {kind.simpleString()}, score double").join(F.broadcast(asked_by), "number").select("qid", "id", "score")  # as many rows as the block has questions
 
-    hits = reduce(DataFrame.unionByName, map(scored, range(parts)))
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qid), F.col("id").alias(id_col), F.round("score", 6).alias("score"), "rank")
+    return reduce(DataFrame.unionByName, map(part, range(blocks)))
 
 
 def feedback_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -93,31 +161,37 @@ def feedback_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048, own: bool = True) -> DataFrame:
     """(qid, id, score, rank) by cosine for (id, vec) and (qid, vec); own: questions are rows of the same table and never find their own id; scores to six digits, ties to the smaller id.
 
-    Queries and vectors meet block by block; a block pair gives its k best, so no pair table is made.
+    Queries and vectors meet block by block; a block pair gives its k best, so no pair table is made. A query meets vectors of its own length only; null and zero vectors take no part. Ids may be of any type that can be ordered.
     """
     usable = lambda c: F.col(c).isNotNull() & F.exists(F.col(c).cast("array<double>"), lambda x: x != 0)
     vectors, queries = vectors.filter(usable("vec")), queries.filter(usable("vec"))
     n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
-    right = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_q"), "id", F.col("vec").cast("array<double>").alias("vec"))
-    left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_v"), "qid", F.col("vec").cast("array<double>").alias("vec"))
+    right = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.size("vec").alias("d"), "id", F.col("vec").cast("array<double>").alias("vec"))
+    left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"), F.size("vec").alias("d"), "qid", F.col("vec").cast("array<double>").alias("vec"))
+    kinds = {"qid": queries.schema["qid"].dataType, "id": vectors.schema["id"].dataType}
+    types = {c: to_arrow_type(t) for c, t in kinds.items()}
 
     def run(a, b):
         if not a.num_rows or not b.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"qid": pa.array([], types["qid"]), "id": pa.array([], types["id"]), "score": pa.array([], pa.float64())})
+        b = b.sort_by("id")  # places tell the smaller id
         x, y = (np.asarray(t["vec"].to_pylist(), float) for t in (a, b))
-        ids = b["id"].to_numpy()
         score = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 6)
         if own:
-            score[a["qid"].to_numpy()[:, None] == ids] = -np.inf
+            places: dict = {}
+            for i, v in enumerate(b["id"].to_pylist()):
+                places.setdefault(v, []).append(i)
+            for i, v in enumerate(a["qid"].to_pylist()):
+                score[i, places.get(v, [])] = -np.inf
         out = []
         for i in range(len(x)):
-            best = np.lexsort((ids, -score[i]))[:k]
+            best = np.lexsort((np.arange(len(y)), -score[i]))[:k]
             best = best[score[i][best] > -np.inf]
             out.append((np.full(len(best), i), best))
         row, col = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"qid": a["qid"].to_numpy()[row], "id": ids[col], "score": score[row, col]})
+        return pa.table({"qid": a["qid"].combine_chunks().take(pa.array(row)), "id": b["id"].combine_chunks().take(pa.array(col)), "score": score[row, col]})
 
-    near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(run, "qid long, id long, score double")
+    near = left.groupBy("q", "v", "d").cogroup(right.groupBy("q", "v", "d")).applyInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
@@ -130,7 +204,7 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = 20, constant: int = 60) -
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
-def containing(docs: DataFrame, passages: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def containing(docs: DataFrame, passages: DataFrame, block_bytes: int = PASSAGE_BYTES) -> DataFrame:
     """The rows of docs (column ``text``) with the qid of each passage (qid, text) that they hold whole; a null text holds and is held by none, an empty passage is in every text.
 
     Passages are looked for inside the scan, all of a block at once; blocks are bounded in bytes, each is sent to all tasks.
@@ -139,7 +213,7 @@ def containing(docs: DataFrame, passages: DataFrame, block_bytes: int = 32 << 20
     total = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, names = 1 + total // block_bytes, docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", qid {passages.schema['qid'].dataType.simpleString()}"
-    session = docs.sparkSession
+    session, told = docs.sparkSession, to_arrow_type(passages.schema["qid"].dataType)
 
     def held(part: int) -> DataFrame:
         wanted: dict[str, list] = {}
@@ -165,7 +239,7 @@ def containing(docs: DataFrame, passages: DataFrame, block_bytes: int = 32 << 20
                             at += [i] * len(sent.value[passage])
                             found += sent.value[passage]
                 rows = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.int64())], [*names, "qid"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, told)], [*names, "qid"])
 
         return docs.mapInArrow(run, schema)
 

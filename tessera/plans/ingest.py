@@ -211,7 +211,7 @@ ATTEMPTS = 8
 SHAPE = T.StructType([*CHUNK.fields, T.StructField("content_vector", T.ArrayType(T.FloatType()))])
 
 
-def _bucket(buckets: int) -> Column:
+def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
 
 
@@ -243,7 +243,7 @@ def replace_documents(spark: SparkSession, rows: DataFrame, location: str, embed
     named = store.materialise((rows if documents is None else documents).select("document_id").distinct(), "replaced")
 
     def change(base: versions.Version | None) -> DataFrame:
-        touched = {r.b for r in named.select(_bucket(base.buckets if base else versions.BUCKETS).alias("b")).distinct().collect()}
+        touched = {r.b for r in named.select(bucket_of(base.buckets if base else versions.BUCKETS).alias("b")).distinct().collect()}
         existing = versions.read(spark, location, SHAPE, base, touched)
         others = existing.drop("content_vector").join(named, "document_id", "left_anti")
         own = rows.join(named, "document_id", "left_semi")
@@ -274,9 +274,9 @@ def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, locatio
     else:
         moved = actions.filter("action <> 'unchanged'").select("id")
         homes = desired.select("id", "document_id").unionByName(state.select("id", "document_id"))
-        changed = {r.b for r in homes.join(moved, "id", "left_semi").select(_bucket(buckets).alias("b")).distinct().collect()}
-        kept = kept.filter(_bucket(buckets).isin(changed))
-    data = versions.write(fresh.unionByName(kept.select(*fresh.columns)).withColumn("bucket", _bucket(buckets)), location)
+        changed = {r.b for r in homes.join(moved, "id", "left_semi").select(bucket_of(buckets).alias("b")).distinct().collect()}
+        kept = kept.filter(bucket_of(buckets).isin(changed))
+    data = versions.write(fresh.unionByName(kept.select(*fresh.columns)).withColumn("bucket", bucket_of(buckets)), location)
     versions.commit(spark, location, base, buckets, changed, data, touched)
     return report
 

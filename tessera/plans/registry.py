@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -267,6 +268,18 @@ def bm25_topk(spark, sf_dir):
     return bm25(spark, sf_dir).select("qid", "doc_id", "score", "rank")
 
 
+@query(f"WITH {BM25} SELECT qid, doc_id, score, rank FROM bm25")
+def indexed_bm25(spark, sf_dir):
+    """The same from a stored inverted index of all documents."""
+    from tessera.plans import keyword_index
+
+    docs = read(spark, sf_dir, "documents").withColumn("title", F.concat(F.lit("title of "), F.coalesce("lang", F.lit(""))))
+    index = f"{store.work_dir(spark)}/tessera-index-{uuid.uuid4().hex}"
+    keyword_index.build(spark, docs, index, ("title", "text"))
+    found = keyword_index.search(spark, index, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+    return found.select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
 KNN = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sims AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 knn AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sims QUALIFY rank <= {k})"""

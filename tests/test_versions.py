@@ -149,7 +149,7 @@ def test_buckets_grow(spark, store, monkeypatch):
     assert versions.version(spark, store).buckets == 64 and len(held(spark, store)) == 76
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_stream_of_versions(spark, store, tmp_path, seed):
     """Versions in one batch, out of order, twice and deleted: the newest stays."""
     draw = random.Random(seed)
