@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.names import private
 from tessera.functions.text import YEAR, fold, historical_intent, squeeze, year_matches
 
 MAX_LENGTH, MAX_TURNS, MAX_SUBQUERIES = 2000, 6, 3
@@ -55,10 +56,11 @@ def analyze(questions: DataFrame) -> DataFrame:
     out = out.withColumn("ambiguous", text.rlike(GENERIC) & ~F.col("resolved_from_context")).withColumn("clarification", F.when(F.col("ambiguous"), CLARIFICATION))
     full = F.col("standalone_query")
     intent = F.when(F.col("ambiguous"), "unspecified").when(full.rlike(COMPARISON), "comparison").when(historical_intent(full), "historical").otherwise("unspecified")
-    out = out.withColumn("temporal_intent", intent).withColumn("_years", F.array_distinct(F.concat(year_matches(full), year_matches(F.col("question")))))
-    sides = F.transform(F.slice("_years", 1, MAX_SUBQUERIES - 1), lambda y: F.when(year_matches(full) == F.array(y), full).when(subject(full) != "", F.concat(subject(full), F.lit(" in "), y)).otherwise(y))
-    several = (F.col("temporal_intent") == "comparison") & (F.size("_years") >= 2)
-    return out.withColumn("subqueries", F.when(several, distinct_queries(F.concat(F.array(full), sides))).otherwise(F.array(full))).drop("_years")
+    (years,) = private(out.columns, "years")
+    out = out.withColumn("temporal_intent", intent).withColumn(years, F.array_distinct(F.concat(year_matches(full), year_matches(F.col("question")))))
+    sides = F.transform(F.slice(years, 1, MAX_SUBQUERIES - 1), lambda y: F.when(year_matches(full) == F.array(y), full).when(subject(full) != "", F.concat(subject(full), F.lit(" in "), y)).otherwise(y))
+    several = (F.col("temporal_intent") == "comparison") & (F.size(years) >= 2)
+    return out.withColumn("subqueries", F.when(several, distinct_queries(F.concat(F.array(full), sides))).otherwise(F.array(full))).drop(years)
 
 
 def searches(analyzed: DataFrame) -> DataFrame:

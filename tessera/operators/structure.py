@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import chunk_id, document_id
+from tessera.functions.names import private
 from tessera.functions.text import words
 
 
@@ -24,12 +25,15 @@ def word_windows(df: DataFrame, text: str, size: int = 120, overlap: int = 20) -
     """Explodes a text into overlapping word windows: chunk_number from 1, word_start, word_end (exclusive), content."""
     check_window(size, overlap)
     step = size - overlap
-    spread = df.withColumn("_words", words(F.col(text)))
-    counted = spread.withColumn("_k", window_count(F.size("_words"), size, overlap)).filter("_k > 0")
-    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    start = F.col("_i") * step
-    part = F.slice("_words", start + 1, F.lit(size))
-    return each.select(*df.columns, (F.col("_i") + 1).alias("chunk_number"), start.alias("word_start"), F.least(start + size, F.size("_words")).alias("word_end"), F.array_join(part, " ").alias("content"))
+    held, k, i = private(df.columns, "words", "k", "i")
+    spread = df.withColumn(held, words(F.col(text)))
+    counted = spread.withColumn(k, window_count(F.size(held), size, overlap)).filter(F.col(k) > 0)
+    each = counted.withColumn(i, F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    start = F.col(i) * step
+    part = F.slice(held, start + 1, F.lit(size))
+    made = {"chunk_number": F.col(i) + 1, "word_start": start, "word_end": F.least(start + size, F.size(held)), "content": F.array_join(part, " ")}
+    # columns of these names are replaced, as they are what is made
+    return each.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in made), *(v.alias(n) for n, v in made.items()))
 
 
 def identified(chunks: DataFrame, path: str, locator: Column) -> DataFrame:
@@ -47,17 +51,21 @@ def row_windows(rows: DataFrame, keys: list[str], number: str, text: str, size:
     n = F.col(number)
     first = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
     last = F.least(k - 1, F.floor((n - 1) / F.lit(float(step))).cast("int"))
-    spread = rows.withColumn("_first", first).withColumn("_last", last).withColumn("_i", F.explode(F.sequence("_first", "_last"))).withColumn("group_number", F.col("_i") + 1)
-    grouped = spread.groupBy(*keys, "group_number").agg(F.min(number).alias("first_row"), F.max(number).alias("last_row"), F.sort_array(F.collect_list(F.struct(n.alias("n"), F.col(text).alias("t")))).alias("_rows"))
-    return grouped.withColumn("text", F.array_join(F.col("_rows.t"), "\n\n")).drop("_rows")
+    group, held = private([*rows.columns, "first_row", "last_row", "text"], "group_number", "rows")
+    # the windows of a row: two columns first, as the total is over a window
+    low, high = private([*rows.columns, group, held], "low", "high")
+    spread = rows.withColumns({low: first, high: last}).withColumn(group, F.explode(F.sequence(low, high)) + 1)
+    grouped = spread.groupBy(*keys, group).agg(F.min(number).alias("first_row"), F.max(number).alias("last_row"), F.sort_array(F.collect_list(F.struct(n.alias("n"), F.col(text).alias("t")))).alias(held))
+    return grouped.select(*keys, F.col(group).alias("group_number"), "first_row", "last_row", F.array_join(F.col(held)["t"], "\n\n").alias("text"))
 
 
 def overlap_violations(chunks: DataFrame, keys: list[str], overlap: int = 20) -> DataFrame:
     """For each key: windows and pairs of neighbours whose shared words differ."""
     order = W.partitionBy(*keys).orderBy("word_start")
-    ahead = chunks.withColumn("_next", F.lead("content").over(order)).withColumn("_from", F.lead("word_start").over(order))
-    tail = F.slice(F.split("content", " "), F.col("_from") - F.col("word_start") + 1, F.lit(overlap))
-    bad = F.col("_next").isNotNull() & (tail != F.slice(F.split("_next", " "), 1, overlap))
+    later, start = private(chunks.columns, "later", "start")
+    ahead = chunks.withColumns({later: F.lead("content").over(order), start: F.lead("word_start").over(order)})
+    tail = F.slice(F.split("content", " "), F.col(start) - F.col("word_start") + 1, F.lit(overlap))
+    bad = F.col(later).isNotNull() & (tail != F.slice(F.split(later, " "), 1, overlap))
     return ahead.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(bad).alias("n_violations"))
 
 
@@ -91,13 +99,14 @@ def classify_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     merged_kind = F.when(F.col(order) == 1, "title").when(F.contains(first, F.lit("Effective:")) | F.contains(first, F.lit("Version")), "metadata").when(F.col("bold"), "section").otherwise("note")
     fixed = F.when(count == 0, "blank").when(dense & F.col("bold"), "header").when(F.col("merged"), merged_kind)
     so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    marked = rows.withColumn("_kind", fixed).withColumn("_stretch", F.count_if(F.col("_kind") == "blank").over(so_far))
-    within = W.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    carried = marked.withColumn("_heads", F.last(F.when(F.col("_kind") == "header", F.col("cells")), ignorenulls=True).over(within))
-    kind = F.coalesce("_kind", F.when(F.col("_heads").isNotNull(), "data").otherwise("key_value"))
-    named = carried.withColumn("kind", kind).withColumn("headers", F.when(F.col("kind").isin("header", "data"), F.col("_heads")))
-    numbered = named.withColumn("table_number", F.when(F.col("kind").isin("header", "data"), F.count_if(F.col("_kind") == "header").over(so_far)).cast("int"))
-    return numbered.drop("_kind", "_stretch", "_heads")
+    own, stretch, heads = private([*rows.columns, "kind", "headers", "table_number"], "own", "stretch", "heads")
+    marked = rows.withColumn(own, fixed).withColumn(stretch, F.count_if(F.col(own) == "blank").over(so_far))
+    within = W.partitionBy(*keys, stretch).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    carried = marked.withColumn(heads, F.last(F.when(F.col(own) == "header", F.col("cells")), ignorenulls=True).over(within))
+    kind = F.coalesce(own, F.when(F.col(heads).isNotNull(), "data").otherwise("key_value"))
+    named = carried.withColumn("kind", kind).withColumn("headers", F.when(F.col("kind").isin("header", "data"), F.col(heads)))
+    numbered = named.withColumn("table_number", F.when(F.col("kind").isin("header", "data"), F.count_if(F.col(own) == "header").over(so_far)).cast("int"))
+    return numbered.drop(own, stretch, heads)
 
 
 def column_letter(i: Column) -> Column:
@@ -121,12 +130,13 @@ def adjacent_rows(rows: DataFrame, keys: list[str], number: str, id_col: str) ->
     """Pairs (id, other_id) of rows whose numbers differ by one; null keys are equal."""
     left, right = rows.alias("l"), rows.alias("r")
     # the neighbour's number is an equi key, so the range needs no nested loop
-    up = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(id_col).alias("other_id"), F.explode(F.array(F.col(number) - 1, F.col(number) + 1)).alias("_at"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"_{k}")) for k in keys]
-    cond = F.col(f"l.{number}") == F.col("_at")
+    other, at, *twins = private([*rows.columns, "id"], "other_id", "at", *keys)
+    up = right.select(*[F.col(k).alias(t) for k, t in zip(keys, twins, strict=True)], F.col(id_col).alias(other), F.explode(F.array(F.col(number) - 1, F.col(number) + 1)).alias(at))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(t)) for k, t in zip(keys, twins, strict=True)]
+    cond = F.col(f"l.{number}") == F.col(at)
     for s in same:
         cond = cond & s
-    return left.join(up, cond).select(F.col(f"l.{id_col}").alias("id"), "other_id")
+    return left.join(up, cond).select(F.col(f"l.{id_col}").alias("id"), F.col(other).alias("other_id"))
 
 
 def formula_values(formulas: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:

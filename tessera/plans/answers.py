@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.identity import parent_of
+from tessera.functions.names import private
 from tessera.operators import analysis, corpus, evidence, fusion, selection
 from tessera.plans import plugins, store
 
@@ -25,8 +26,9 @@ Generator = Callable[[DataFrame, DataFrame], DataFrame]
 def retrieve(runs: DataFrame, search: Search, chunks: DataFrame) -> DataFrame:
     """Hits of each search of each question as chunk rows (qid, subquery, rank from 0, score, ...). search: (qid, text) to (qid, id, score, rank), ids of chunks."""
     asked = runs.select((F.col("qid") * fusion.LISTS + F.col("subquery")).alias("qid"), F.col("query").alias("text"))
-    found = search(asked).select(F.floor(F.col("qid") / fusion.LISTS).alias("qid"), F.pmod("qid", F.lit(fusion.LISTS)).alias("subquery"), (F.col("rank") - 1).alias("rank"), "score", F.col("id").alias("_hit"))
-    return found.join(chunks.withColumnRenamed("key", "_hit"), "_hit").drop("_hit")
+    (hit,) = private(chunks.columns, "hit")
+    found = search(asked).select(F.floor(F.col("qid") / fusion.LISTS).alias("qid"), F.pmod("qid", F.lit(fusion.LISTS)).alias("subquery"), (F.col("rank") - 1).alias("rank"), "score", F.col("id").alias(hit))
+    return found.join(chunks.withColumnRenamed("key", hit), hit).drop(hit)
 
 
 def fused_candidates(hits: DataFrame, told: DataFrame) -> DataFrame:
@@ -35,7 +37,8 @@ def fused_candidates(hits: DataFrame, told: DataFrame) -> DataFrame:
     named = hits.join(said.select("qid", "temporal_intent"), "qid")
     compared = F.col("temporal_intent") == "comparison"
     ranked = fusion.fuse(named.filter(~compared)).unionByName(fusion.fuse(named.filter(compared), comparison=True)).select("qid", "rank", "id")
-    once = hits.withColumn("_n", F.row_number().over(W.partitionBy("qid", "id").orderBy("subquery", "rank"))).filter("_n = 1").drop("_n", "rank", "subquery")
+    (nth,) = private(hits.columns, "nth")
+    once = hits.withColumn(nth, F.row_number().over(W.partitionBy("qid", "id").orderBy("subquery", "rank"))).filter(F.col(nth) == 1).drop(nth, "rank", "subquery")
     return ranked.join(once, ["qid", "id"]).join(said.drop("temporal_intent"), "qid")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import identity, text
-from tessera.operators import analysis, corpus, evidence, fusion, search, selection, structure
+from tessera.operators import analysis, corpus, evidence, fusion, hashtree, search, selection, structure
 from tessera.plans import store
 from tessera.plans.catalog import CHUNKS_SQL, QUESTIONS, chunks, fold, questions, read
 from tessera.sources import listing
@@ -113,6 +113,35 @@ def corpus_fingerprint(spark, sf_dir):
     return corpus.fingerprints(each, "path").withColumnRenamed("n", "n_chunks")
 
 
+ENTRIES = f"""{BASELINE}, entries AS (SELECT path, concat(CAST(doc_id AS VARCHAR), '-', id, '-', CAST(word_start AS VARCHAR)) AS id, doc_id, word_start, content FROM baseline)"""
+TREE = f"""{ENTRIES}, l2 AS (SELECT substr(sha256(concat(path, '|', id)), 1, 2) AS name, count(*) AS n, sha256(string_agg(concat(path, '|', id, '|', content), chr(10) ORDER BY path, doc_id, word_start, id)) AS hash FROM entries GROUP BY 1),
+l1 AS (SELECT substr(name, 1, 1) AS name, sum(n)::BIGINT AS n, sha256(string_agg(concat(name, ':', hash), chr(10) ORDER BY name)) AS hash FROM l2 GROUP BY 1), l0 AS (SELECT '' AS name, sum(n)::BIGINT AS n, sha256(string_agg(concat(name, ':', hash), chr(10) ORDER BY name)) AS hash FROM l1)"""
+
+
+def tree_entries(spark, sf_dir):
+    """Baseline chunks under ids that name a row, and the depth of a tree over them."""
+    rows = baseline_table(spark, sf_dir).select("path", F.concat_ws("-", F.col("doc_id").cast("string"), "id", F.col("word_start").cast("string")).alias("id"), "doc_id", "word_start", "content")
+    return rows, hashtree.depth_for(read(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+@query(f"WITH {TREE} SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0")
+def fingerprint_tree(spark, sf_dir):
+    """The corpus fingerprint by leaves: the lines path, id, content in order, hashed; nodes up to the root."""
+    rows, depth = tree_entries(spark, sf_dir)
+    return hashtree.tree(rows, ["doc_id", "word_start"], depth)
+
+
+@query(f"""WITH {ENTRIES}, other AS (SELECT path, id, CASE WHEN doc_id % 97 = 3 THEN concat(content, '!') ELSE content END AS content FROM entries WHERE doc_id % 101 <> 5 UNION ALL SELECT path, concat(id, '-new'), content FROM entries WHERE doc_id % 103 = 7)
+SELECT coalesce(e.path, o.path) AS path, coalesce(e.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'left' WHEN e.id IS NULL THEN 'right' ELSE 'changed' END AS difference FROM entries e FULL JOIN other o ON e.path = o.path AND e.id = o.id WHERE e.content IS DISTINCT FROM o.content""")
+def corpus_differences(spark, sf_dir):
+    """Two corpora compared by their trees: some documents gone, some changed, some new."""
+    rows, depth = tree_entries(spark, sf_dir)
+    n = F.col("doc_id")
+    other = rows.filter(n % 101 != 5).withColumn("content", F.when(n % 97 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).unionByName(rows.filter(n % 103 == 7).withColumn("id", F.concat("id", F.lit("-new"))))
+    trees = [store.materialise(hashtree.tree(r, ["doc_id", "word_start"], depth), "tree") for r in (rows, other)]
+    return hashtree.differences(rows, other, *trees, depth)
+
+
 @query(f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {windows_sql('src', 'doc_id', 120, 20)}, hurt AS (SELECT doc_id, word_start, string_split(CASE WHEN (doc_id + chunk_number) % 5 = 0 THEN concat('x', content) ELSE content END, ' ') AS w FROM windows),
 pairs AS (SELECT doc_id, w, lead(w) OVER o AS later, lead(word_start) OVER o - word_start AS step FROM hurt WINDOW o AS (PARTITION BY doc_id ORDER BY word_start))
 SELECT doc_id, count(*) AS n_windows, count(*) FILTER (WHERE later IS NOT NULL AND array_to_string(w[step + 1 : step + 20], ' ') <> array_to_string(later[1 : 20], ' ')) AS n_violations FROM pairs GROUP BY doc_id""")

@@ -90,12 +90,14 @@ def request(spark, question, generate=plugins.first_words, sources=(("KB/Sales/b
 
 
 def test_inventory_lists_counts_and_says_none(spark):
-    said = lambda q, **k: request(spark, q, **k).answer
-    assert said("Which documents are available?") == "3 documents are indexed:\n- C - KB/it/c.docx\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf"
-    assert said("how many documents are indexed") == "3 documents are indexed." and said("How many files are in Sales?") == "2 Sales documents are indexed."
-    assert said("list the files of SALES") == "2 Sales documents are indexed:\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf"
-    assert said("total number of documents in it") == "1 it document is indexed." and said("list documents in it") == "1 it document is indexed:\n- C - KB/it/c.docx"
-    assert said("Which documents are available?", sources=()) == said("How many documents are indexed?", sources=()) == "No documents are currently indexed."
+    said = {
+        "Which documents are available?": "3 documents are indexed:\n- C - KB/it/c.docx\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf", "how many documents are indexed": "3 documents are indexed.", "How many files are in Sales?": "2 Sales documents are indexed.",
+        "list the files of SALES": "2 Sales documents are indexed:\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf", "total number of documents in it": "1 it document is indexed.", "list documents in it": "1 it document is indexed:\n- C - KB/it/c.docx",
+    }
+    sources = spark.createDataFrame([("KB/Sales/b.pdf", "B"), ("KB/Sales/A.pdf", "A"), ("KB/it/c.docx", "C")], "source_path string, title string")
+    asked = spark.createDataFrame(list(enumerate(said)), "qid long, question string")
+    assert {list(said)[r.qid]: r.answer for r in answers.inventory(asked, sources).collect()} == said
+    assert {r.answer for r in answers.inventory(asked, sources.limit(0)).collect()} == {"No documents are currently indexed."}
 
 
 def speaking(text):
