@@ -101,8 +101,14 @@ def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float], cu
     """
     rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
     edges = sorted(set(rows.approxQuantile("v", [i / (cuts + 1) for i in range(1, cuts + 1)], 1 / (4 * cuts))))
-    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0)
-    named = rows.withColumn("bucket", bucket)
+
+    def halves(low: int, high: int) -> str:
+        """How many edges lie below v, by halving."""
+        mid = (low + high) // 2
+        return str(low) if low == high else f"CASE WHEN v <= {edges[mid]!r}D THEN {halves(low, mid)} ELSE {halves(mid + 1, high)} END"
+
+    edges = [e for e in edges if abs(e) < float("inf")]  # of the infinite ones the ends take care
+    named = rows.withColumn("bucket", F.expr(halves(0, len(edges))))
     counts = named.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most 256 rows a group
     group = W.partitionBy(by)
     counts = counts.withColumn("all", F.sum("n").over(group)).withColumn("before", F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))

@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -163,12 +163,22 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
 
     Queries and vectors meet block by block; a block pair gives its k best, so no pair table is made. A query meets vectors of its own length only; null and zero vectors take no part. Ids may be of any type that can be ordered.
     """
-    usable = lambda c: F.col(c).isNotNull() & F.exists(F.col(c).cast("array<double>"), lambda x: x != 0)
     vectors, queries = vectors.filter(usable("vec")), queries.filter(usable("vec"))
     n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
     right = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.size("vec").alias("d"), "id", F.col("vec").cast("array<double>").alias("vec"))
     left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"), F.size("vec").alias("d"), "qid", F.col("vec").cast("array<double>").alias("vec"))
-    kinds = {"qid": queries.schema["qid"].dataType, "id": vectors.schema["id"].dataType}
+    near = meet_in_blocks(left, right, ["q", "v", "d"], k, own)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
+def usable(c: str) -> Column:
+    """Whether a vector has a direction."""
+    return F.col(c).isNotNull() & F.exists(F.col(c).cast("array<double>"), lambda x: x != 0)
+
+
+def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own: bool) -> DataFrame:
+    """(qid, id, score): the k best by cosine of right (id, vec) for each of left (qid, vec), in each block told by ``on``; vectors of a block have one length."""
+    kinds = {"qid": left.schema["qid"].dataType, "id": right.schema["id"].dataType}
     types = {c: to_arrow_type(t) for c, t in kinds.items()}
 
     def run(a, b):
@@ -191,8 +201,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
         row, col = (np.concatenate(z) for z in zip(*out, strict=True))
         return pa.table({"qid": a["qid"].combine_chunks().take(pa.array(row)), "id": b["id"].combine_chunks().take(pa.array(col)), "score": score[row, col]})
 
-    near = left.groupBy("q", "v", "d").cogroup(right.groupBy("q", "v", "d")).applyInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double")
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double")
 
 
 def reciprocal_rank_fusion(*lists: DataFrame, k: int = 20, constant: int = 60) -> DataFrame:

@@ -324,6 +324,17 @@ def knn_topk(spark, sf_dir):
     return knn(spark, sf_dir)
 
 
+@query(f"WITH {KNN.format(k=20)} SELECT qid, id, score, rank FROM knn")
+def knn_indexed(spark, sf_dir):
+    """The same from stored cells, by the exact way."""
+    from tessera.plans import vector_index
+
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = f"{store.work_dir(spark)}/tessera-cells-{uuid.uuid4().hex}"
+    vector_index.build(spark, vectors, index)
+    return vector_index.search(spark, index, vectors.filter(F.col("id") % 20 == 0).withColumnRenamed("id", "qid"), exact=True)
+
+
 @query(f"WITH {KNN.format(k=5)} SELECT qid, id, score, rank FROM knn")
 def knn_baseline_top5(spark, sf_dir):
     return knn(spark, sf_dir, 5)
