@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 SUFFIXES = ("pdf", "docx", "xlsx")
 # What no path component may hold or be.
 FORBIDDEN = r'[<>:"|?*\x00-\x1f]'
@@ -49,14 +51,19 @@ def classify(objects: DataFrame, root: str, tie: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """Files below a folder of any store Spark reads: (path, name, size, content, logical_path, code).
+    """Files below a folder: (path, name, size, content, logical_path, code). Names are listed and files read in tasks (``files.FileSource``); stores that only Spark reads are listed by Spark."""
+    if files.readable(path):
+        spark.dataSource.register(files.FileSource)
+        known = spark.read.format("files").option("suffixes", ",".join(SUFFIXES)).load(path).select("path", "name", "size", "content")
+        return classify(known, root, "path")
+    return classify(_listed_by_spark(spark, path), root, "path")
 
-    Spark lists the store once, in parallel; its file sources leave out files without a byte, so these are the listed names that were not read.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+def _listed_by_spark(spark: SparkSession, path: str) -> DataFrame:
+    """Spark's file sources leave out files without a byte, so these are the listed names that were not read; the names pass through the driver."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     # the listing names local files with an empty host, the rows do not
-    listed = spark.createDataFrame([(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()], "path string")
-    read = files.select("path", F.col("length").alias("size"), "content")
+    listed = spark.createDataFrame([(unquote(name).replace("file:///", "file:/", 1),) for name in found.inputFiles()], "path string")
+    read = found.select("path", F.col("length").alias("size"), "content")
     empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"))
-    known = read.unionByName(empty, allowMissingColumns=True)
-    return classify(known.withColumn("name", F.substring_index("path", path.rstrip("/") + "/", -1)), root, "path")
+    return read.unionByName(empty, allowMissingColumns=True).withColumn("name", F.substring_index("path", path.rstrip("/") + "/", -1))
