@@ -1,8 +1,8 @@
 """Chat formatting of reply trees.
 
 Messages form trees by parent id. Root-to-leaf paths are enumerated by iterative self-joins in which each round doubles
-the reach: a table of jumps (message to its ancestor 2^i above) is joined with itself, and every leaf's known path
-with it, so that depth d takes log2(d) rounds. A round in which no message reaches its root ends this: what is left runs into a cycle. Branches are ranked by the mean score of their messages (a null score counts 0), ties to the
+the reach: a table of jumps (message to its ancestor 2^i above, with the scores and the number of messages in between) is joined with itself, so that depth d takes log2(d) rounds. Every branch is ranked by what its leaf has
+added up on the way; only the chosen branches are then written out, by the same jumps. A round in which no message reaches its root ends this: what is left runs into a cycle. Branches are ranked by the mean score of their messages (a null score counts 0), ties to the
 smaller leaf; the best ``top`` of each tree are formatted, one conversation each.
 
 The template marks turns; control strings inside texts get a backslash in front of them and of the
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, slices
+from tessera.llm.common import discard, materialise, slices
 
 CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[/?TURN\]|<\|"
 _ESCAPE = re.compile(rf"(\\*)({CONTROL})")
@@ -71,41 +71,54 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def tree_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(leaf, msg_id, up) for the messages on the way from each leaf to its root; messages: (msg_id, parent_id), ids unique."""
-    ids = messages.select("msg_id", "parent_id")
+def tree_jumps(messages: DataFrame, max_rounds: int = 40) -> tuple[list[DataFrame], DataFrame]:
+    """What each message of a tree jumps to, 1, 2, 4, ... messages up: tables (msg_id, up_id); and the leaves (leaf, tree, total, length) with what their ways to the root add up to. messages: (msg_id, parent_id, tree, score), ids unique.
+
+    Sums are carried with the jumps, so no way is written out to rank it. Leaves whose way does not end at a root, as it runs into a cycle, are left out.
+    """
+    ids = messages.select("msg_id", "parent_id", "tree", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
     known = ids.select(F.col("msg_id").alias("_id"))
-    jumps = materialise(ids.join(known, ids.parent_id == known._id, "left_semi").select("msg_id", F.col("parent_id").alias("up_id")), "tree-jumps")
-    parents = jumps.select(F.col("up_id").alias("_id")).distinct()
-    leaves = ids.join(parents, ids.msg_id == parents._id, "left_anti")
-    levels, left = [], jumps.count()
+    # a parent that is no message is none
+    held = ids.join(known, ids.parent_id == known._id, "left").select("msg_id", F.col("_id").alias("up_id"), "tree", "total", "length")
+    now = materialise(held, "tree-jumps")
+    parents = now.filter("up_id is not null").select(F.col("up_id").alias("_id")).distinct()
+    leaves = materialise(now.join(parents, now.msg_id == parents._id, "left_anti").select(F.col("msg_id").alias("leaf")), "tree-leaves")
+    levels, left = [], now.filter("up_id is not null").count()
     while left and len(levels) < max_rounds:
-        levels.append(jumps)
-        hops = jumps.select(F.col("msg_id").alias("_from"), "up_id")
-        again = jumps.select("msg_id", F.col("up_id").alias("_mid"))
-        jumps = materialise(again.join(hops, again._mid == hops._from).select("msg_id", "up_id"), "tree-jumps")
-        before, left = left, jumps.count()
+        levels.append(now)
+        above = now.select(F.col("msg_id").alias("_from"), F.col("up_id").alias("_up"), F.col("tree").alias("_tree"), F.col("total").alias("_total"), F.col("length").alias("_length"))
+        met = now.join(above, now.up_id == above._from, "left")
+        met = met.select("msg_id", F.col("_up").alias("up_id"), F.least("tree", "_tree").alias("tree"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
+        now = materialise(met, "tree-jumps")
+        before, left = left, now.filter("up_id is not null").count()
         if left == before:  # a deeper tree would have a message of each depth
-            rootless = jumps.select(F.col("msg_id").alias("_id"))
-            leaves = leaves.join(rootless, leaves.msg_id == rootless._id, "left_anti")
             break
-    paths = leaves.select(F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up"))
-    for i, jumps in enumerate(levels):
-        hops = jumps.select(F.col("msg_id").alias("_from"), "up_id")
+    done = now.filter("up_id is null")
+    return [x.filter("up_id is not null").select("msg_id", "up_id") for x in levels], leaves.join(done, leaves.leaf == done.msg_id).select("leaf", "tree", "total", "length")
+
+
+def tree_paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(leaf, msg_id, up) for the messages on the way from each of these leaves to its root."""
+    paths = leaves.select("leaf", F.col("leaf").alias("msg_id"), F.lit(0).cast("long").alias("up"))
+    for i, level in enumerate(jumps):
+        hops = level.select(F.col("msg_id").alias("_from"), "up_id")
         more = paths.join(hops, paths.msg_id == hops._from).select("leaf", F.col("up_id").alias("msg_id"), (F.col("up") + (1 << i)).alias("up"))
-        paths = materialise(paths.unionByName(more), "tree-paths")
+        longer = materialise(paths.unionByName(more), "tree-paths")
+        if i:
+            discard(paths)
+        paths = longer
     return paths
 
 
 def format_trees(messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
-    """(tree, leaf, branch, formatted, loss_spans) of the best branches; messages: (tree, msg_id, parent_id, role, text, score)."""
+    """(tree, leaf, branch, formatted, loss_spans) of the best branches; messages: (tree, msg_id, parent_id, role, text, score). Branches are ranked by the mean score of their messages; only the chosen ones are written out."""
     if not unique:
         rest = F.min(F.struct("parent_id", "tree", "role", "text", "score")).alias("m")
         messages = materialise(messages.filter("msg_id is not null").groupBy("msg_id").agg(rest).select("msg_id", "m.*"), "tree-messages")
-    paths = tree_paths(messages)
-    scored = paths.join(messages.select("msg_id", "tree", F.coalesce("score", F.lit(0.0)).alias("_score")), "msg_id")
-    branches = scored.groupBy("leaf").agg(F.min("tree").alias("tree"), F.avg("_score").alias("branch_score"))
-    ranked = branches.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))).filter(F.col("branch") <= top)
+    jumps, leaves = tree_jumps(messages)
+    best = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "leaf")
+    ranked = materialise(leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= top), "tree-branches")
+    paths = tree_paths(ranked, jumps)
     chosen = paths.join(ranked.select("leaf", "tree", "branch"), "leaf").join(messages.select("msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "msg_id")
     turns = chosen.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
 
