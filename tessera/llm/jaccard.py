@@ -118,12 +118,12 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], name[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)  # a step adds up to 4,096, which 32 bits of a float hold, sums need more
     for at in range(0, int(shared.sum()), 4096):
         low, high = np.searchsorted(column, (at, at + 4096))
         cells = np.zeros((len(left) + len(right), min(4096, int(shared.sum()) - at)), np.float32)
         cells[owner[low:high], column[low:high] - at] = 1
-        out += cells[: len(left)] @ cells[len(left) :].T
+        out += (cells[: len(left)] @ cells[len(left) :].T).astype(np.int64)
     return out
 
 
