@@ -573,7 +573,9 @@ def test_tree_paths_and_branches(spark):
     rows += [(4, f"n{i}", f"n{i - 1}" if i else None, "user", str(i), 0.0) for i in range(70)]
     tree = spark.createDataFrame(rows, "tree long, msg_id string, parent_id string, role string, text string, score double")
     paths = {}
-    for r in chat.tree_paths(tree).collect():
+    jumps, leaves = chat.tree_jumps(tree)
+    assert {r.leaf: (r.tree, r.total, r.length) for r in leaves.collect() if r.tree < 4} == {"d": (1, 10.0, 3), "e": (1, 1.0, 3), "f": (2, 0.0, 1)}
+    for r in chat.tree_paths(leaves, jumps).collect():
         paths.setdefault(r.leaf, {})[r.up] = r.msg_id
     assert paths["d"] == {0: "d", 1: "c", 2: "a"} and paths["e"] == {0: "e", 1: "b", 2: "a"} and len(paths["n69"]) == 70 and "g" not in paths
     made = {r.tree: chat.parse_turns(r.formatted) for r in chat.format_trees(tree).collect()}
@@ -584,11 +586,30 @@ def test_tree_paths_and_branches(spark):
 def test_tree_paths_leave_out_tails_on_cycles(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("g", "h"), ("h", "g"), ("t", "g"), ("u", "t"), ("s", "s"), ("v", "s")] + [(f"n{i}", f"n{i - 1}" if i else "lost") for i in range(9)]
     for part, leaves in ((rows, {"c": 3, "n8": 9}), ([r for r in rows if r[0] in "ghtusv"], {})):
-        paths = chat.tree_paths(spark.createDataFrame(part, "msg_id string, parent_id string"), max_rounds=8)
-        found = paths.collect()
+        jumps, ends = chat.tree_jumps(spark.createDataFrame([(*r, 1, 1.0) for r in part], "msg_id string, parent_id string, tree long, score double"), max_rounds=8)
+        found = chat.tree_paths(ends, jumps).collect()
         assert Counter(r.leaf for r in found) == leaves and len({(r.leaf, r.up) for r in found}) == len(found)
 
 
+def test_only_chosen_branches_are_written_out(spark):
+    """A comb: each message of a long branch has a leaf of its own."""
+    draw = random.Random(12)
+    rows = [(1, f"m{i:03d}", f"m{i - 1:03d}" if i else None, "user", f"t{i}", draw.random()) for i in range(64)]
+    rows += [(1, f"x{i:03d}", f"m{i:03d}", "assistant", f"a{i}", draw.random()) for i in range(63)]
+    tree = spark.createDataFrame(rows, "tree long, msg_id string, parent_id string, role string, text string, score double")
+    score, parent = {r[1]: r[5] for r in rows}, {r[1]: r[2] for r in rows}
+
+    def way(m):
+        return [*way(parent[m]), m] if parent[m] else [m]
+
+    ranked = sorted((-sum(score[m] for m in way(leaf)) / len(way(leaf)), leaf) for leaf in {r[1] for r in rows} - {r[2] for r in rows})
+    got = {r.branch: (r.leaf, chat.parse_turns(r.formatted)) for r in chat.format_trees(tree, top=3).collect()}
+    text = {r[1]: (r[3], r[4]) for r in rows}
+    assert got == {n + 1: (leaf, [text[m] for m in way(leaf)]) for n, (_, leaf) in enumerate(ranked[:3])}
+    jumps, leaves = chat.tree_jumps(tree)
+    assert leaves.count() == 64 and chat.tree_paths(leaves.filter(F.col("leaf") == ranked[0][1]), jumps).count() == len(way(ranked[0][1]))
+
+
 def test_trees_with_repeated_messages(spark):
     rows = [(1, "a", None, "user", "hi", 0.0), (1, "a", None, "user", "hi", 0.0), (1, "b", "a", "assistant", "yes", 1.0), (2, "b", "a", "assistant", "yes", 1.0), (1, None, "a", "user", "lost", 0.0)]
     got = chat.format_trees(spark.createDataFrame(rows, "tree long, msg_id string, parent_id string, role string, text string, score double")).collect()
@@ -929,7 +950,7 @@ def test_toxicity_of_other_scripts():
 def test_toxicity_training_is_bounded_in_bytes(spark):
     docs = spark.createDataFrame([(i, "you vile oaf. " * 200 if i % 2 else "a kind word. " * 200) for i in range(60)] * 2, "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    assert toxicity.train(docs, known, max_bytes=20_000).filter("word is not null").count() >= 0
+    assert toxicity.train(docs, known, max_bytes=20_000).filter("word is null").count() == 1
     assert {r.score for r in toxicity.toxicity(docs, known, max_bytes=0).collect()} == {0.0}
 
 
@@ -956,7 +977,8 @@ def test_pipeline_stages(spark):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, "")
-        assert out.columns == docs.columns and out.count() >= 0, name
+        # of 14 rows three are copies; the mix takes each once or twice, or leaves it
+        assert out.columns == docs.columns and {"line": out.count() == docs.count(), "n-gram": out.count() == docs.count() - 3, "mixing": 0 < out.count() <= 2 * docs.count()}[name.split()[0]], name
     near = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert set(near) & {1, 2, 6} == {1} and len(near) == docs.count() - 3
     cut = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
