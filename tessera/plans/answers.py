@@ -62,7 +62,7 @@ def inventory(asked: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None, stages: dict[str, float] | None = None) -> DataFrame:
-    """(qid, question, route, status, answer, citations, retrieved_chunks, standalone_query, temporal_intent, subqueries, ambiguous, clarification, resolved_from_context, searched, generation_output) for (qid, question, prior).
+    """(qid, question, route, status, answer, citations, retrieved_chunks, standalone_query, temporal_intent, subqueries, ambiguous, clarification, resolved_from_context, searched, generation_output, context_tokens) for (qid, question, prior).
 
     Ambiguous questions are answered by a clarification, greetings by a greeting, questions for the inventory by lists or counts, all others by retrieval: no
     evidence, a shut gate or a citation that does not hold refuse. Citations are written as plain marks. searched: the queries that were run; generation_output: what the generator said, null where it was not called.
@@ -89,7 +89,7 @@ def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str
     made = store.materialise(generate(plain.join(open_gates, "qid", "left_semi"), open_packs).select("qid", F.col("answer").alias("generation_output")), "generated")
     lap("generation_ms")
     checked = evidence.verify_citations(made.withColumnRenamed("generation_output", "answer"), open_packs)
-    counts = pack.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieved_chunks"))
+    counts = pack.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieved_chunks"), F.sum(text.token_estimate(F.coalesce("content", F.lit("")))).alias("context_tokens"))
     searched = runs.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("subquery", "query")))["query"].alias("searched"))  # a few a question
     counted = inventory(told.filter("route = 'inventory'").select("qid", "question"), corpus.distinct_sources(chunks, arrival)).withColumnRenamed("answer", "counted")
     kept = ["qid", "question", "route", "standalone_query", "temporal_intent", "subqueries", "ambiguous", "clarification", "resolved_from_context"]
@@ -100,19 +100,29 @@ def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str
     words = F.when(F.col("route") == "clarify", F.col("clarification")).when(F.col("route") == "greeting", analysis.GREETING_ANSWER).when(F.col("route") == "inventory", F.col("counted")).when(ok, F.col("normalized")).otherwise(analysis.REFUSAL)
     status = F.when(F.col("route") == "clarify", "clarification").when((F.col("route") != "retrieve") | ok, "answered").otherwise("insufficient_evidence")
     none = F.array().cast("array<string>")
-    return said.select("qid", "question", "route", status.alias("status"), words.alias("answer"), F.when(ok, F.col("citations")).alias("citations"), F.coalesce("retrieved_chunks", F.lit(0)).alias("retrieved_chunks"), *kept[3:], F.coalesce("searched", none).alias("searched"), "generation_output")
+    return said.select("qid", "question", "route", status.alias("status"), words.alias("answer"), F.when(ok, F.col("citations")).alias("citations"), F.coalesce("retrieved_chunks", F.lit(0)).alias("retrieved_chunks"), *kept[3:], F.coalesce("searched", none).alias("searched"), "generation_output", F.coalesce("context_tokens", F.lit(0)).cast("long").alias("context_tokens"))
 
 
-def usage(answers: DataFrame, context: DataFrame) -> DataFrame:
+def usage(answers: DataFrame) -> DataFrame:
     """(qid, embedding_tokens, chat_input_tokens, chat_output_tokens) of the calls that were made: embeddings of the queries searched for, and question, chunks and raw output where an answer was generated."""
     estimate = lambda c: text.token_estimate(F.coalesce(c, F.lit("")))
-    read = context.groupBy("qid").agg(F.sum(estimate(F.col("content"))).alias("read"))
-    made = F.col("generation_output").isNotNull()
-    zero = F.lit(0).cast("long")
+    made, zero = F.col("generation_output").isNotNull(), F.lit(0).cast("long")
     embedded = F.aggregate("searched", zero, lambda n, x: n + estimate(x))
-    return answers.join(read, "qid", "left").select(
-        "qid", embedded.alias("embedding_tokens"), F.when(made, estimate(F.col("standalone_query")) + F.coalesce("read", zero)).otherwise(zero).alias("chat_input_tokens"), F.when(made, estimate(F.col("generation_output"))).otherwise(zero).alias("chat_output_tokens")
-    )
+    return answers.select("qid", embedded.alias("embedding_tokens"), F.when(made, estimate(F.col("standalone_query")) + F.col("context_tokens")).otherwise(zero).alias("chat_input_tokens"), F.when(made, estimate(F.col("generation_output"))).otherwise(zero).alias("chat_output_tokens"))
+
+
+def baseline(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generate: Generator = plugins.first_words) -> DataFrame:
+    """(qid, status, answer, citations, retrieved_chunks, generation_output) of the plain path for (qid, question) and their vector hits (qid, id, rank): all hits are the context, marks must be plain ids, nothing found or cited refuses."""
+    (hit,) = private(chunks.columns, "hit")
+    found = hits.select("qid", F.col("id").alias(hit), F.col("rank").alias("position")).join(chunks.withColumnRenamed("key", hit), hit).drop(hit)
+    found = store.materialise(found.withColumn("position", F.row_number().over(W.partitionBy("qid").orderBy("position", "id"))), "baseline-hits")
+    asked = questions.join(found.select("qid").distinct(), "qid", "left_semi")
+    made = store.materialise(generate(asked, found).select("qid", F.col("answer").alias("generation_output")), "baseline-generated")
+    checked = evidence.verify_citations(made.withColumnRenamed("generation_output", "answer"), found, annotated=False)
+    counts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieved_chunks"))
+    ok = F.coalesce("ok", F.lit(False)) & F.coalesce(F.size("citations") > 0, F.lit(False))
+    said = questions.select("qid").join(made, "qid", "left").join(checked, "qid", "left").join(counts, "qid", "left")
+    return said.select("qid", F.when(ok, "answered").otherwise("insufficient_evidence").alias("status"), F.when(ok, F.col("generation_output")).otherwise(analysis.REFUSAL).alias("answer"), F.when(ok, F.col("citations")).alias("citations"), F.coalesce("retrieved_chunks", F.lit(0)).alias("retrieved_chunks"), "generation_output")
 
 
 def trace(answers: DataFrame, candidates: DataFrame, context: DataFrame, prices: dict[str, str], stages: dict[str, float] | None = None, deployments: dict[str, str] | None = None) -> DataFrame:
@@ -124,7 +134,7 @@ def trace(answers: DataFrame, candidates: DataFrame, context: DataFrame, prices:
         ranked = rows.withColumns(days).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")))
         return ranked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", *(c for c in rows.columns if c not in ("qid", "rank", "id", "question"))))).alias(name))  # at most 20 rows
 
-    used = answers.join(usage(answers, context), "qid").join(snapshots(candidates, "rank", "candidates"), "qid", "left").join(snapshots(context, "position", "selected_context"), "qid", "left")
+    used = answers.join(usage(answers), "qid").join(snapshots(candidates, "rank", "candidates"), "qid", "left").join(snapshots(context, "position", "selected_context"), "qid", "left")
     kinds = ["embedding", "chat_input", "chat_output"]
     costs = [(F.col(f"{n}_tokens").cast("decimal(18,0)") * F.lit(prices[n]).cast("decimal(9,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(36,12)") for n in kinds]
     spent = F.struct(*(f"{n}_tokens" for n in kinds), (costs[0] + costs[1] + costs[2]).cast("string").alias("estimated_usd"))

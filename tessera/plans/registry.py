@@ -556,16 +556,20 @@ def comparison_fusion(spark, sf_dir):
 
 
 TURNS = """turns AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN concat(CASE (conv_id + turn) % 8 WHEN 0 THEN 'What about ' WHEN 1 THEN 'compare 2024 and 2025 for ' WHEN 2 THEN 'and in 2023 ' WHEN 3 THEN 'how many documents are in ' ELSE '' END,
-  CASE (conv_id + turn) % 16 WHEN 5 THEN 'Tell me about the policy' WHEN 7 THEN 'Hello there!' ELSE coalesce(text, '') END) ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant'))"""
+  coalesce(text, '')) ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant')
+  UNION ALL SELECT DISTINCT conv_id, -1, 'user', CASE conv_id % 8 WHEN 5 THEN 'Tell me about the policy' ELSE 'Hello there!' END FROM conversations WHERE conv_id % 8 IN (5, 7))"""
 PRIOR = f"""{TURNS}, prior AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS prior FROM turns)"""
 
 
 def turns(spark, sf_dir):
     n = F.col("conv_id") + F.col("turn")
     lead = F.when(n % 8 == 0, "What about ").when(n % 8 == 1, "compare 2024 and 2025 for ").when(n % 8 == 2, "and in 2023 ").when(n % 8 == 3, "how many documents are in ").otherwise("")
-    body = F.when(n % 16 == 5, "Tell me about the policy").when(n % 16 == 7, "Hello there!").otherwise(F.coalesce("text", F.lit("")))
-    rows = read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
-    return rows.withColumn("text", F.when(F.col("role") == "user", F.concat(lead, body)).otherwise(F.col("text")))
+    said = read(spark, sf_dir, "conversations")
+    rows = said.filter(F.col("role").isin("user", "assistant")).withColumn("text", F.when(F.col("role") == "user", F.concat(lead, F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    # some conversations open with a question without a subject or a greeting
+    first = said.filter(F.col("conv_id") % 8 % 2 == 1).filter(F.col("conv_id") % 8 > 4).select("conv_id").distinct()
+    opening = F.when(F.col("conv_id") % 8 == 5, "Tell me about the policy").otherwise("Hello there!")
+    return rows.unionByName(first.select("conv_id", F.lit(-1).cast(rows.schema["turn"].dataType).alias("turn"), F.lit("user").alias("role"), opening.alias("text")))
 
 
 @query(f"WITH {PRIOR} SELECT conv_id, turn, prior FROM prior")
@@ -870,6 +874,36 @@ def answer_path(spark, sf_dir):
     return answered(spark, sf_dir).select("qid", "route", "status", F.sha2("answer", 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"), "retrieved_chunks", "temporal_intent")
 
 
+SHUT = f"shut AS (SELECT *, CASE WHEN n = 0 THEN FALSE WHEN regexp_matches(question, {_re(evidence.CONFLICT)}) AND said > 1 THEN FALSE ELSE len(matched) >= CASE WHEN len(terms) <= 2 THEN 1 ELSE 2 END END AS sufficient FROM gate)"
+
+
+@query(f"""WITH {PATH}, {PACKED}, {GATED}, {SHUT}, given AS (SELECT p.qid, CAST(sum((strlen(p.content) + 3) // 4) AS BIGINT) AS k FROM pack p GROUP BY p.qid),
+used AS (SELECT r.qid, r.route, CASE WHEN r.route = 'clarify' THEN 'clarification' WHEN r.route <> 'retrieve' OR s.sufficient THEN 'answered' ELSE 'insufficient_evidence' END AS status, CASE WHEN r.route = 'retrieve' THEN CAST(list_sum(list_transform(r.run, lambda x: (strlen(x) + 3) // 4)) AS BIGINT) ELSE 0 END AS e,
+  CASE WHEN s.sufficient THEN (strlen(r.s) + 3) // 4 + coalesce(g.k, 0) ELSE 0 END AS i, CASE WHEN s.sufficient THEN (strlen(concat(substr(regexp_replace(p.content, '[\\[\\]]', '', 'g'), 1, 120), ' [', p.id, ']')) + 3) // 4 ELSE 0 END AS o
+  FROM routed r LEFT JOIN shut s ON r.qid = s.qid LEFT JOIN given g ON r.qid = g.qid LEFT JOIN pack p ON r.qid = p.qid AND p.position = 1)
+SELECT route, status, count(*) AS n, CAST(sum(e) AS BIGINT) AS embedding_tokens, CAST(sum(i) AS BIGINT) AS chat_input_tokens, CAST(sum(o) AS BIGINT) AS chat_output_tokens FROM used GROUP BY route, status""")
+def answer_usage(spark, sf_dir):
+    """Tokens of the calls that were made, by route and status: refused questions cost their search only."""
+    from tessera.plans import answers as path
+
+    made = store.materialise(answered(spark, sf_dir), "answered")
+    kinds = ["embedding_tokens", "chat_input_tokens", "chat_output_tokens"]
+    return made.select("qid", "route", "status").join(path.usage(made), "qid").groupBy("route", "status").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in kinds))
+
+
+@query(f"""WITH {KNN.format(k=5)}, chunks AS ({CHUNKS_SQL}), hits AS (SELECT k.qid, substr(sha256(concat(c.document_id, '|doc:', CAST(c.doc_id AS VARCHAR), '|', c.content_hash)), 1, 24) AS id, c.content, row_number() OVER (PARTITION BY k.qid ORDER BY k.rank) AS position, count(*) OVER (PARTITION BY k.qid) AS n FROM knn k JOIN chunks c ON k.id = c.doc_id)
+SELECT q.qid, CASE WHEN id IS NULL THEN 'insufficient_evidence' ELSE 'answered' END AS status, sha256(CASE WHEN id IS NULL THEN '{analysis.REFUSAL}' ELSE concat(substr(regexp_replace(content, '[\\[\\]]', '', 'g'), 1, 120), ' [', id, ']') END) AS answer_hash, id AS cited, coalesce(n, 0) AS retrieved_chunks
+FROM (SELECT DISTINCT qid FROM knn) q LEFT JOIN hits h ON q.qid = h.qid AND h.position = 1""")
+def baseline_path(spark, sf_dir):
+    """The plain path with its answer: vector search for five, generation, citations by plain marks only."""
+    from tessera.plans import answers as path
+
+    known = with_ids(chunks(spark, sf_dir)).withColumn("key", F.col("doc_id"))
+    hits = knn(spark, sf_dir, 5)
+    made = path.baseline(hits.select("qid", F.lit("").alias("question")).distinct(), hits, known)
+    return made.select("qid", "status", F.sha2("answer", 256).alias("answer_hash"), F.element_at("citations", 1)["chunk_id"].alias("cited"), "retrieved_chunks")
+
+
 def answered(spark, sf_dir):
     from tessera.plans import answers as path
 

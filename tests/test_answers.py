@@ -66,6 +66,8 @@ def test_trace_holds_the_whole_request(spark, small):
         dict(known, qid=-1, question="Hi", route="greeting", status="answered", searched=[], generation_output=None),
     ]
     told = spark.createDataFrame(rows, "qid long, question string, route string, status string, standalone_query string, temporal_intent string, subqueries array<string>, ambiguous boolean, clarification string, resolved_from_context boolean, searched array<string>, generation_output string")
+    read = pack.groupBy("qid").agg(F.sum(text.token_estimate(F.col("content"))).alias("context_tokens"))
+    told = told.join(read, "qid", "left").na.fill(0, ["context_tokens"])
     prices = {"embedding": "0.02", "chat_input": "0.40", "chat_output": "1.60"}
     got = {r.qid: json.loads(r.trace) for r in answers.trace(told, pack.withColumn("rank", F.col("position")), pack, prices, {"retrieval_ms": 3.5}, {"embedding": "small"}).collect()}
     whole = got[qids[0]]
@@ -115,6 +117,18 @@ def test_answers_carry_plain_marks(spark):
     assert shut.status == "insufficient_evidence" and shut.generation_output is None and shut.retrieved_chunks > 0
 
 
+def test_baseline_takes_plain_marks_only(spark):
+    kind = "key string, id string, content string, title string, source_path string, section string, file_type string, sheet_name string, page_number int, table_number int, row_number int"
+    known = spark.createDataFrame([(f"k{i}", f"c{i}", f"text {i}", "t", "p", "s", "pdf", None, 4, None, None) for i in (1, 2)], kind)
+    hits = spark.createDataFrame([(q, f"k{i}", i) for q in (1, 2, 3) for i in (1, 2)], "qid long, id string, rank int")
+    asked = spark.createDataFrame([(q, "q") for q in (1, 2, 3, 4)], "qid long, question string")
+    said = {1: "See [c2] and [c1].", 2: "See [c1, page 4].", 3: "No mark."}
+    got = {r.qid: r for r in answers.baseline(asked, hits, known, lambda q, c: q.filter("qid < 4").withColumn("answer", F.element_at(F.create_map(*(F.lit(x) for kv in said.items() for x in kv)), F.col("qid").cast("int")))).collect()}
+    assert got[1].answer == said[1] and [c.chunk_id for c in got[1].citations] == ["c2", "c1"] and got[1].status == "answered"
+    assert {got[q].answer for q in (2, 3, 4)} == {registry.analysis.REFUSAL} and got[2].generation_output == said[2] and got[4].generation_output is None
+    assert [got[q].retrieved_chunks for q in (1, 2, 3, 4)] == [2, 2, 2, 0]
+
+
 def test_fusion_refuses_a_fourth_list(spark):
     hit = dict(rank=0, score=1.0, source_path="a.pdf", content="c", content_hash="h", department="d", document_type="t", version="1")
     rows = [dict(hit, qid=1, subquery=i, id=f"id{i}") for i in range(4)]
