@@ -83,18 +83,19 @@ def tree_jumps(messages: DataFrame, max_rounds: int = 40) -> tuple[list[DataFram
     now = materialise(held, "tree-jumps")
     parents = now.filter("up_id is not null").select(F.col("up_id").alias("_id")).distinct()
     leaves = materialise(now.join(parents, now.msg_id == parents._id, "left_anti").select(F.col("msg_id").alias("leaf")), "tree-leaves")
-    levels, left = [], now.filter("up_id is not null").count()
+    # messages that have reached their root take no more part but as aims
+    done, open_, levels = now.filter("up_id is null"), now.filter("up_id is not null"), []
+    left = open_.count()
     while left and len(levels) < max_rounds:
-        levels.append(now)
-        above = now.select(F.col("msg_id").alias("_from"), F.col("up_id").alias("_up"), F.col("tree").alias("_tree"), F.col("total").alias("_total"), F.col("length").alias("_length"))
-        met = now.join(above, now.up_id == above._from, "left")
-        met = met.select("msg_id", F.col("_up").alias("up_id"), F.least("tree", "_tree").alias("tree"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
-        now = materialise(met, "tree-jumps")
-        before, left = left, now.filter("up_id is not null").count()
+        levels.append(open_.select("msg_id", "up_id"))
+        above = open_.unionByName(done).select(F.col("msg_id").alias("_from"), F.col("up_id").alias("_up"), F.col("tree").alias("_tree"), F.col("total").alias("_total"), F.col("length").alias("_length"))
+        met = open_.join(above, open_.up_id == above._from)
+        met = materialise(met.select("msg_id", F.col("_up").alias("up_id"), F.least("tree", "_tree").alias("tree"), (F.col("total") + F.col("_total")).alias("total"), (F.col("length") + F.col("_length")).alias("length")), "tree-jumps")
+        done, open_ = done.unionByName(met.filter("up_id is null")), met.filter("up_id is not null")
+        before, left = left, open_.count()
         if left == before:  # a deeper tree would have a message of each depth
             break
-    done = now.filter("up_id is null")
-    return [x.filter("up_id is not null").select("msg_id", "up_id") for x in levels], leaves.join(done, leaves.leaf == done.msg_id).select("leaf", "tree", "total", "length")
+    return levels, leaves.join(done, leaves.leaf == done.msg_id).select("leaf", "tree", "total", "length")
 
 
 def tree_paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
