@@ -52,9 +52,9 @@ def row_windows(rows: DataFrame, keys: list[str], number: str, text: str, size:
     first = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
     last = F.least(k - 1, F.floor((n - 1) / F.lit(float(step))).cast("int"))
     group, held = private([*rows.columns, "first_row", "last_row", "text"], "group_number", "rows")
-    # the windows of a row: two columns first, as the total is over a window
+    # the windows of a row, from 1: two columns first, as the total is over a window
     low, high = private([*rows.columns, group, held], "low", "high")
-    spread = rows.withColumns({low: first, high: last}).withColumn(group, F.explode(F.sequence(low, high)) + 1)
+    spread = rows.withColumns({low: first + 1, high: last + 1}).withColumn(group, F.explode(F.sequence(low, high)))
     grouped = spread.groupBy(*keys, group).agg(F.min(number).alias("first_row"), F.max(number).alias("last_row"), F.sort_array(F.collect_list(F.struct(n.alias("n"), F.col(text).alias("t")))).alias(held))
     return grouped.select(*keys, F.col(group).alias("group_number"), "first_row", "last_row", F.array_join(F.col(held)["t"], "\n\n").alias("text"))
 

@@ -79,5 +79,7 @@ def test_columns_of_the_user_stay(spark):
     sheet = spark.createDataFrame([("s", 1, ["a", "b"], True, False), ("s", 2, ["1", "2"], False, False)], "s string, row_number int, cells array<string>, bold boolean, merged boolean")
     rows = structure.classify_rows(with_names(sheet), ["s"], "row_number").collect()
     assert [r.kind for r in rows] == ["header", "data"] and all(r[n] == v for r in rows for n, v in kept.items())
+    grouped = structure.row_windows(spark.createDataFrame([("low", i, f"t{i}") for i in range(1, 6)], "group_number string, n int, t string"), ["group_number"], "n", "t", 3, 1).drop("group_number").collect()
+    assert sorted((r.first_row, r.last_row, r.text) for r in grouped) == [(1, 3, "t1\n\nt2\n\nt3"), (3, 5, "t3\n\nt4\n\nt5")]
     pairs = structure.adjacent_rows(spark.createDataFrame([(1, 1, "a", 0), (1, 2, "b", 0)], "at int, n int, id string, other_id int"), ["at"], "n", "id")
     assert sorted((r.id, r.other_id) for r in pairs.collect()) == [("a", "b"), ("b", "a")]
