@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text
 from tessera.functions.identity import chunk_id, document_id, short_hash
+from tessera.functions.names import private
 from tessera.operators import corpus, structure
 from tessera.plans import store, versions
 from tessera.plans.plugins import Embedder, embed
@@ -231,7 +232,7 @@ def _again(change: Callable[[versions.Version | None], DataFrame]) -> Callable[[
 
 
 def upsert(spark: SparkSession, desired: DataFrame, location: str, embedder: Embedder) -> DataFrame:
-    """Makes the stored corpus equal to ``desired`` and gives the counts. Only new and changed chunks are embedded, only buckets with a change are written. Of writers at one time each takes its turn (see ``versions``)."""
+    """Makes the stored corpus equal to ``desired`` and gives the counts. Only chunks whose content is new are embedded, only buckets with a change are written. Of writers at one time each takes its turn (see ``versions``)."""
     return _again(lambda base: _write(spark, desired, versions.read(spark, location, SHAPE, base), location, embedder, base, None))(spark, location)
 
 
@@ -260,7 +261,7 @@ def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, locatio
     counts = report.first()
     if base and not counts.uploaded and not counts.deleted:
         return report
-    fresh = embed(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), "content", embedder)
+    fresh = _with_vectors(desired.join(actions.filter("action in ('insert', 'update')").select("id"), "id", "left_semi"), existing, embedder)
     kept = existing.join(actions.filter("action = 'unchanged'").select("id"), "id", "left_semi")
     before = base.buckets if base else versions.BUCKETS
     buckets, total = before, (counts.desired if touched is None else counts.uploaded - counts.deleted + base.rows if base else counts.desired)
@@ -281,6 +282,17 @@ def _write(spark: SparkSession, desired: DataFrame, existing: DataFrame, locatio
     return report
 
 
+def _with_vectors(rows: DataFrame, existing: DataFrame, embedder: Embedder) -> DataFrame:
+    """rows with content_vector: the vector that a chunk of the same content had among the existing ones, else a new one. So a chunk that was moved, renamed or described anew costs no call."""
+    h, held = private([*rows.columns, *existing.columns], "content_key", "held_vector")
+    keyed = rows.withColumn(h, F.sha2("content", 256))
+    usable = existing.filter(F.size("content_vector") == embedder.dimension).withColumn(h, F.sha2("content", 256))
+    known = usable.join(keyed.select(h).distinct(), h, "left_semi").groupBy(h).agg(F.min("content_vector").alias(held))
+    met = store.materialise(keyed.join(known, h, "left").drop(h), "fresh")
+    old = met.filter(F.col(held).isNotNull()).withColumnRenamed(held, "content_vector")
+    return embed(met.filter(F.col(held).isNull()).drop(held), "content", embedder).unionByName(old)
+
+
 def current(spark: SparkSession, location: str, number: int | None = None) -> DataFrame:
     """The newest version of the corpus, or an older one that is still there; empty if there is none. A later commit does not change what is read."""
     return versions.read(spark, location, SHAPE, versions.version(spark, location, number))

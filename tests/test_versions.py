@@ -149,6 +149,27 @@ def test_buckets_grow(spark, store, monkeypatch):
     assert versions.version(spark, store).buckets == 64 and len(held(spark, store)) == 76
 
 
+def test_vectors_follow_their_content(spark, store):
+    """Moved, renamed and re-described chunks keep their vectors; only new contents are embedded."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(plugins.HashEmbedder):
+        def __call__(self, texts):
+            calls.add(len(texts))
+            return super().__call__(texts)
+
+    embedder = Counting(4)
+    ingest.upsert(spark, rows(spark, ("d0", "one two"), ("d1", "three"), ("d2", "three")), store, embedder)
+    assert calls.value == 3
+    moved = [chunk("d9", "one two"), {**chunk("d1", "three"), "title": "new title"}, chunk("d2", "four")]
+    ingest.upsert(spark, spark.createDataFrame(moved, ingest.CHUNK), store, embedder)
+    assert calls.value == 4
+    got = {r.document_id: [round(x, 5) for x in r.content_vector] for r in ingest.current(spark, store).collect()}
+    assert got == {d: [round(x, 5) for x in plugins.HashEmbedder(4)([t])[0]] for d, t in (("d9", "one two"), ("d1", "three"), ("d2", "four"))}
+    ingest.upsert(spark, spark.createDataFrame([{**r, "title": "x"} for r in moved], ingest.CHUNK), store, plugins.HashEmbedder(2))  # another length: all anew
+    assert {len(r.content_vector) for r in ingest.current(spark, store).collect()} == {2}
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_stream_of_versions(spark, store, tmp_path, seed):
     """Versions in one batch, out of order, twice and deleted: the newest stays."""
