@@ -185,25 +185,26 @@ def prepare(spark: SparkSession, path: str, root: str, manifest: DataFrame, pdf_
     """(chunks, problems) of a folder. Every file and every declared document ends as chunks or as a problem, none is dropped without a word.
 
     problems: (logical_path, problem): a listing code, a missing partner in the manifest, why a file could not be read (also: no reader for its kind), or that it gave no chunks.
-    One file that can't be read never ends the job. Finding problems parses the files once more.
+    One file that can't be read never ends the job. Files are parsed once and what they hold is stored; chunks and problems are read from that.
     """
     files = listing.scan(spark, path, root)
-    found = files.filter("code is null").select("logical_path", "content")
-    matched = corpus.match_manifest(found.select(F.col("logical_path").alias("source_path")), manifest)
-    good = found.join(matched.filter("outcome = 'prepared'").select(F.col("source_path").alias("logical_path")), "logical_path", "left_semi")
-    docx, xlsx = parsers.read_docx(good), parsers.read_xlsx(good)
+    listed = store.materialise(files.select("logical_path", "code"), "listed")
+    matched = store.materialise(corpus.match_manifest(listed.filter("code is null").select(F.col("logical_path").alias("source_path")), manifest), "matched")
+    names = matched.filter("outcome = 'prepared'").select(F.col("source_path").alias("logical_path"))
+    good = files.filter("code is null").select("logical_path", "content").join(names, "logical_path", "left_semi")
+    docx, xlsx = store.materialise(parsers.read_docx(good), "docx"), store.materialise(parsers.read_xlsx(good), "xlsx")
     parsed, parts = [docx, xlsx], [docx_chunks(parsers.good(docx)), xlsx_chunks(parsers.good(xlsx))]
     if pdf_reader:
-        parsed.append(parsers.read_pdf(good, pdf_reader))
+        parsed.append(store.materialise(parsers.read_pdf(good, pdf_reader), "pdf"))
         parts.append(pdf_chunks(parsers.good(parsed[-1])))
     made = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     bad = reduce(DataFrame.unionByName, (p.filter("error is not null").select(F.col("source_path").alias("logical_path"), F.concat(F.lit("unreadable: "), F.col("error")).alias("problem")) for p in parsed))
     if not pdf_reader:
-        bad = bad.unionByName(good.filter(F.lower("logical_path").endswith(".pdf")).select("logical_path", F.lit("unreadable: no reader for PDF files").alias("problem")))
+        bad = bad.unionByName(names.filter(F.lower("logical_path").endswith(".pdf")).select("logical_path", F.lit("unreadable: no reader for PDF files").alias("problem")))
     told = made.select(F.col("source_path").alias("logical_path")).unionByName(bad.select("logical_path")).distinct()
-    empty = good.select("logical_path").join(told, "logical_path", "left_anti").withColumn("problem", F.lit("no searchable chunks"))
+    empty = names.join(told, "logical_path", "left_anti").withColumn("problem", F.lit("no searchable chunks"))
     unmatched = matched.filter("outcome <> 'prepared'").select(F.col("source_path").alias("logical_path"), F.col("outcome").alias("problem"))
-    problems = files.filter("code is not null").select("logical_path", F.col("code").alias("problem")).unionByName(unmatched).unionByName(bad).unionByName(empty)
+    problems = listed.filter("code is not null").select("logical_path", F.col("code").alias("problem")).unionByName(unmatched).unionByName(bad).unionByName(empty)
     return _canonical(made, manifest), problems
 
 
