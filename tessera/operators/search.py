@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import FOLDED, raw_tokens
+from tessera.operators import access as acl
 from tessera.plans import store
 
 K1, B = 1.2, 0.75
@@ -42,19 +43,20 @@ def weight(n: int, df: np.ndarray) -> np.ndarray:
 
 
 def term_counts(words: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, length, terms, times) of the rows (id, said) that hold one of the terms, told by their number; rows with ``n`` sum up the documents and words of a task's batches."""
+    """(id, length, terms, times, allowed) of the rows (id, said, allowed) that hold one of the terms, told by their number; rows with ``n`` sum up the documents and words of a task's batches."""
     sent = words.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
     kind = words.schema["id"].dataType
 
     def run(batches):
         known = sent.value
         for batch in batches:
-            ids, sizes, which, times, total = [], [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, sizes, which, times, total, at = [], [], [], [], 0, []
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 found = tokens_of(text.as_py())
                 total += len(found)
                 held = Counter(w for w in map(known.get, found) if w is not None)
                 if held:
+                    at.append(i)
                     ids.append(doc)
                     sizes.append(len(found))
                     which.append(sorted(held))
@@ -62,9 +64,10 @@ def term_counts(words: DataFrame, terms: list[str]) -> DataFrame:
             none = [None]
             columns = (ids + none, sizes + none, which + none, times + none, [None] * len(ids) + [batch.num_rows], [None] * len(ids) + [total])
             types = (to_arrow_type(kind), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "length", "terms", "times", "n", "total"])
+            groups = batch.column(2).take(pa.array([*at, None], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), groups], ["id", "length", "terms", "times", "n", "total", "allowed"])
 
-    return words.mapInArrow(run, f"id {kind.simpleString()}, length int, terms array<int>, times array<int>, n long, total long")
+    return words.mapInArrow(run, f"id {kind.simpleString()}, length int, terms array<int>, times array<int>, n long, total long, allowed array<string>")
 
 
 def _best(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -75,25 +78,28 @@ def _best(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple
     return who[keep], ids[keep], scores[keep]
 
 
-def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 20, id_col: str = "doc_id", qid: str = "qid", columns: tuple[str, ...] = ("text",), block: int = 4096) -> DataFrame:
+def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 20, id_col: str = "doc_id", qid: str = "qid", columns: tuple[str, ...] = ("text",), block: int = 4096, access: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank) for the texts of ``columns`` of the documents and column ``text`` of the questions; scores to six digits, ties to the smaller id.
 
     The documents are read once for all questions: a task folds and splits each text and keeps how often it holds the asked words, and how long it is. From these counts, stored, come the documents of each word, then the
     scores; a task keeps its k best for each question and only these meet. What is sent to all tasks is bounded: the asked words (beyond ``WORD_BYTES`` the questions are asked in several passes) and blocks of questions.
+
+    access: a question finds only documents whose ``allowed_groups`` hold one of its ``groups`` (see ``access``), its k best among these; the words' weights are those of the whole table.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in columns)).alias("said"))
-    asked = store.materialise(questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term")), "asked")
+    none = F.array().cast("array<string>")
+    words = docs.select(F.col(id_col).alias("id"), F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in columns)).alias("said"), (acl.folded(F.col("allowed_groups")) if access else none).alias("allowed"))
+    asked = store.materialise(questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"), (acl.folded(F.col("groups")) if access else none).alias("groups")), "asked")
     size = asked.select(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     passes = 1
     if size > WORD_BYTES:  # words that many questions share count once
         passes = 1 + (asked.select("term").distinct().select(F.sum(F.octet_length("term") + 16)).first()[0] or 0) // WORD_BYTES
-    parts = [_scored(words, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p) if passes > 1 else asked, k, block) for p in range(passes)]
+    parts = [_scored(words, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p) if passes > 1 else asked, k, block, access) for p in range(passes)]
     hits = reduce(DataFrame.unionByName, parts)
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(qid), F.col("id").alias(id_col), F.round("score", 6).alias("score"), "rank")
 
 
-def _scored(words: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+def _scored(words: DataFrame, asked: DataFrame, k: int, block: int, access: bool) -> DataFrame:
     """(qid, id, score) of each task's k best."""
     session, kind = words.sparkSession, words.schema["id"].dataType
     terms = sorted(r.term for r in asked.select("term").distinct().collect())
@@ -104,17 +110,20 @@ def _scored(words: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame
         held[r.t] = r.df
     mean, weights = (total or 0) / max(1, n or 0) or 1.0, weight(n or 0, held)
     blocks = -(-asked.select("qid").distinct().count() // block) or 1
-    number, rows = {t: i for i, t in enumerate(terms)}, counts.filter("n is null").select("id", "length", "terms", "times")
+    number, rows = {t: i for i, t in enumerate(terms)}, counts.filter("n is null").select("id", "length", "terms", "times", "allowed")
 
     def part(p: int) -> DataFrame:
-        told = sorted((number[r.term], r.qid) for r in asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == p).collect())  # the words of a block of questions
+        own = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == p)
+        told = sorted((number[r.term], r.qid) for r in own.select("qid", "term").collect())  # the words of a block of questions
         names = sorted({q for _, q in told})
         at = {q: i for i, q in enumerate(names)}
         starts = np.searchsorted([t for t, _ in told], np.arange(len(terms) + 1))
-        sent = session.sparkContext.broadcast((starts, np.asarray([at[q] for _, q in told], np.int64), weights, mean))
+        groups = {r.qid: r.groups for r in own.groupBy("qid").agg(F.min("groups").alias("groups")).collect()} if access else {}  # as many rows as the block has questions
+        callers = pa.array([groups.get(q, []) for q in names], pa.list_(pa.string()))
+        sent = session.sparkContext.broadcast((starts, np.asarray([at[q] for _, q in told], np.int64), weights, mean, acl.numbered(callers), acl.bit_sets(callers, acl.numbered(callers))))
 
         def run(batches):
-            starts, askers, weights, mean = sent.value
+            starts, askers, weights, mean, known, may = sent.value
             held, count = [], 0
             for batch in batches:
                 if not batch.num_rows:
@@ -123,6 +132,7 @@ def _scored(words: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame
                 doc, term, tf = np.repeat(np.arange(batch.num_rows), lengths), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
                 value = gain(tf, batch.column(1).to_numpy()[doc], mean) * weights[term]
                 ids = np.asarray(batch.column(0).to_pylist(), object if pa.types.is_string(batch.column(0).type) else None)
+                open_to = acl.bit_sets(batch.column(4), known) if access else None
                 fan = starts[term + 1] - starts[term]
                 ends = np.cumsum(fan)
                 for low in range(0, int(ends[-1]), 1 << 20):  # so many (document, term, question) at once; a document's stand together
@@ -136,6 +146,9 @@ def _scored(words: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame
                     who = askers[np.arange(len(entry)) - np.repeat(np.cumsum(fan[some]) - fan[some], fan[some]) + starts[term[entry]]]
                     pairs, place = np.unique(doc[entry] * len(names) + who, return_inverse=True)
                     scores = np.floor(np.bincount(place, value[entry]) * 1e6 + 0.5) / 1e6
+                    if access:
+                        seen = acl.share(open_to[pairs // len(names)], may[pairs % len(names)])
+                        pairs, scores = pairs[seen], scores[seen]
                     held.append((pairs % len(names), ids[pairs // len(names)], scores))
                     count += len(pairs)
                     if count > 200_000 + 2 * k * len(names):
@@ -158,16 +171,17 @@ def feedback_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     return means.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("at", "x")))["x"].alias("vec"))  # one number a dimension
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048, own: bool = True) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 2048, own: bool = True, access: bool = False) -> DataFrame:
     """(qid, id, score, rank) by cosine for (id, vec) and (qid, vec); own: questions are rows of the same table and never find their own id; scores to six digits, ties to the smaller id.
 
     Queries and vectors meet block by block; a block pair gives its k best, so no pair table is made. A query meets vectors of its own length only; null and zero vectors take no part. Ids may be of any type that can be ordered.
+    access: a query finds only vectors whose ``allowed_groups`` hold one of its ``groups`` (see ``access``).
     """
     vectors, queries = vectors.filter(usable("vec")), queries.filter(usable("vec"))
     n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
-    right = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.size("vec").alias("d"), "id", F.col("vec").cast("array<double>").alias("vec"))
-    left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"), F.size("vec").alias("d"), "qid", F.col("vec").cast("array<double>").alias("vec"))
-    near = meet_in_blocks(left, right, ["q", "v", "d"], k, own)
+    right = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("q"), F.size("vec").alias("d"), "id", F.col("vec").cast("array<double>").alias("vec"), *([acl.folded(F.col("allowed_groups")).alias("allowed")] if access else []))
+    left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"), F.size("vec").alias("d"), "qid", F.col("vec").cast("array<double>").alias("vec"), *([acl.folded(F.col("groups")).alias("groups")] if access else []))
+    near = meet_in_blocks(left, right, ["q", "v", "d"], k, own, access)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
@@ -176,8 +190,8 @@ def usable(c: str) -> Column:
     return F.col(c).isNotNull() & F.exists(F.col(c).cast("array<double>"), lambda x: x != 0)
 
 
-def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own: bool) -> DataFrame:
-    """(qid, id, score): the k best by cosine of right (id, vec) for each of left (qid, vec), in each block told by ``on``; vectors of a block have one length."""
+def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own: bool, access: bool = False) -> DataFrame:
+    """(qid, id, score): the k best by cosine of right (id, vec) for each of left (qid, vec), in each block told by ``on``; vectors of a block have one length. access: of those whose ``allowed`` meet the query's ``groups``."""
     kinds = {"qid": left.schema["qid"].dataType, "id": right.schema["id"].dataType}
     types = {c: to_arrow_type(t) for c, t in kinds.items()}
 
@@ -193,8 +207,13 @@ def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own
                 places.setdefault(v, []).append(i)
             for i, v in enumerate(a["qid"].to_pylist()):
                 score[i, places.get(v, [])] = -np.inf
+        if access:
+            known = acl.numbered(a["groups"])
+            callers, open_to = acl.bit_sets(a["groups"], known), acl.bit_sets(b["allowed"], known)
         out = []
         for i in range(len(x)):
+            if access:
+                score[i, ~acl.share(open_to, callers[i])] = -np.inf
             best = np.lexsort((np.arange(len(y)), -score[i]))[:k]
             best = best[score[i][best] > -np.inf]
             out.append((np.full(len(best), i), best))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.functions.identity import parent_of
 from tessera.functions.names import private
+from tessera.operators import access as acl
 from tessera.operators import analysis, corpus, evidence, fusion, selection
 from tessera.plans import plugins, store
 
@@ -42,23 +43,32 @@ def fused_candidates(hits: DataFrame, told: DataFrame) -> DataFrame:
     return ranked.join(once, ["qid", "id"]).join(said.drop("temporal_intent"), "qid")
 
 
-def inventory(asked: DataFrame, sources: DataFrame) -> DataFrame:
+def inventory(asked: DataFrame, sources: DataFrame, access: bool = False) -> DataFrame:
     """(qid, answer): the documents of the department that the question names, or all, by path; only their number if it is asked for. sources: (source_path, title).
 
     Without documents it says so. A department is spelled as its paths do (the first spelling). A list is one text and must fit a row; counts and lists are made once for each scope that is asked for, and lists for those only.
+    access: of the documents whose ``allowed_groups`` hold one of the ``groups`` of the question (see ``access``); callers of the same groups share their counts and lists. A department that the caller can't read has no documents.
     """
+    nobody = F.array().cast("array<string>")
     path = F.replace(F.col("source_path"), F.lit("\\"), F.lit("/"))
     parent = parent_of(path)
-    named = sources.select(parent.alias("spelled"), text.fold(parent).alias("scope"), F.struct(text.fold(F.col("source_path")).alias("k"), "source_path", F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(" - "), F.col("source_path")).alias("line")).alias("entry"))
+    named = sources.select(parent.alias("spelled"), text.fold(parent).alias("scope"), F.struct(text.fold(F.col("source_path")).alias("k"), "source_path", F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(" - "), F.col("source_path")).alias("line")).alias("entry"), (acl.folded(F.col("allowed_groups")) if access else nobody).alias("allowed"))
+    callers = asked.select("qid", (acl.folded(F.col("groups")) if access else nobody).alias("caller"))
     told = asked.join(corpus.department_in_question(asked, sources), "qid", "left")
-    told = told.select("qid", F.coalesce("department", F.lit("")).alias("scope"), F.col("question").rlike(analysis.COUNTING).alias("counting"))
+    told = told.select("qid", F.coalesce("department", F.lit("")).alias("scope"), F.col("question").rlike(analysis.COUNTING).alias("counting")).join(callers, "qid")
+    if access:  # a document and a caller meet at the groups they share, once
+        groups = callers.select("caller").distinct().select("caller", F.explode("caller").alias("group"))
+        named = named.withColumn("group", F.explode("allowed")).join(groups, "group").select("caller", "spelled", "scope", "entry").distinct()
+    else:
+        named = named.withColumn("caller", nobody)
+    at = ["caller", "scope"]
     in_scopes = named.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(""), "scope"))))
-    counts = in_scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("scope") != "", F.col("spelled"))).alias("spelled"))
-    lists = in_scopes.join(told.filter(~F.col("counting")).select("scope").distinct(), "scope", "left_semi").groupBy("scope").agg(F.array_join(F.sort_array(F.collect_list("entry"))["line"], "\n").alias("entries"))
+    counts = in_scopes.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("scope") != "", F.col("spelled"))).alias("spelled"))
+    lists = in_scopes.join(told.filter(~F.col("counting")).select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.array_join(F.sort_array(F.collect_list("entry"))["line"], "\n").alias("entries"))
     one = F.col("n") == 1
     summary = F.concat(F.concat_ws(" ", F.col("n").cast("string"), F.nullif("spelled", F.lit("")), F.when(one, "document is indexed").otherwise("documents are indexed")))
     full = F.when(F.col("n").isNull(), "No documents are currently indexed.").when(F.col("counting"), F.concat(summary, F.lit("."))).otherwise(F.concat(summary, F.lit(":\n"), F.col("entries")))
-    return told.join(counts, "scope", "left").join(lists, "scope", "left").select("qid", full.alias("answer"))
+    return told.join(counts, at, "left").join(lists, at, "left").select("qid", full.alias("answer"))
 
 
 def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None, stages: dict[str, float] | None = None) -> DataFrame:

@@ -827,6 +827,48 @@ def acl_filter(spark, sf_dir):
     return corpus.allowed(rows, ["SRC1", "src7"]).select("doc_id")
 
 
+#: Who may read a document (by its source, some also the staff, some nobody), and the groups of a question's caller (some have none).
+ALLOWED = "CASE WHEN doc_id % 13 > 0 THEN CASE WHEN doc_id % 10 = 0 THEN array(source, 'Staff') ELSE array(source) END END"
+CALLERS = "CASE WHEN {q} % 7 > 0 THEN array(concat('SRC', CAST({q} % 20 AS STRING)), concat('src', CAST(({q} * 3 + 1) % 20 AS STRING)), CASE WHEN {q} % 3 = 0 THEN 'staff' ELSE 'guests' END) END"
+ALLOWED_SQL = "SELECT doc_id, list_transform(CASE WHEN doc_id % 13 > 0 THEN CASE WHEN doc_id % 10 = 0 THEN [source, 'Staff'] ELSE [source] END END, lambda g: lower(g)) AS allowed FROM documents"
+CALLERS_SQL = "list_transform(CASE WHEN {q} % 7 > 0 THEN [concat('SRC', CAST({q} % 20 AS VARCHAR)), concat('src', CAST(({q} * 3 + 1) % 20 AS VARCHAR)), CASE WHEN {q} % 3 = 0 THEN 'staff' ELSE 'guests' END] END, lambda g: lower(g))"
+
+
+@query(f"""WITH {BM25}, opened AS ({ALLOWED_SQL})
+SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits JOIN opened USING (doc_id) WHERE list_has_any(allowed, {CALLERS_SQL.format(q='qid')}) QUALIFY rank <= 20""")
+def acl_bm25_topk(spark, sf_dir):
+    """Keyword search in which each question sees what its caller may read."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("title of "), F.coalesce("lang", F.lit(""))).alias("title"), "text", F.expr(ALLOWED).alias("allowed_groups"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.expr(CALLERS.format(q="item_id")).alias("groups"))
+    return search.bm25_top_k(docs, asked, columns=("title", "text"), access=True)
+
+
+@query(f"""WITH {KNN.format(k=20)}, opened AS ({ALLOWED_SQL.replace('doc_id', 'vec_id').replace('source', "concat('src', CAST(label AS VARCHAR))").replace('documents', 'embeddings')})
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sims JOIN opened ON id = vec_id WHERE list_has_any(allowed, {CALLERS_SQL.format(q='qid')}) QUALIFY rank <= 20""")
+def acl_knn_indexed(spark, sf_dir):
+    """Vector search over stored cells in which each query sees what its caller may read."""
+    from tessera.plans import vector_index
+
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.expr(ALLOWED.replace("doc_id", "vec_id").replace("source", "concat('src', CAST(label AS STRING))")).alias("allowed_groups"))
+    index = f"{store.work_dir(spark)}/tessera-cells-{uuid.uuid4().hex}"
+    vector_index.build(spark, vectors, index)
+    asked = vectors.filter(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), "vec", F.expr(CALLERS.format(q="id")).alias("groups"))
+    return vector_index.search(spark, index, asked, access=True)
+
+
+@query(f"""WITH {SOURCES}, who AS (SELECT item_id AS qid, {CALLERS_SQL.format(q='item_id')} AS groups FROM benchmark),
+entries AS (SELECT source_path, {fold('source_path')} AS k, {PARENT} AS department, concat('- ', title, ' - ', source_path) AS line FROM sources),
+met AS (SELECT w.qid, count(*) AS n, string_agg(e.line, chr(10) ORDER BY e.k, e.source_path) AS lines FROM who w JOIN entries e ON list_has_any([e.department], w.groups) GROUP BY w.qid)
+SELECT qid, CASE WHEN n IS NULL THEN 'No documents are currently indexed.' ELSE concat(CAST(n AS VARCHAR), CASE WHEN n = 1 THEN ' document is indexed' ELSE ' documents are indexed' END, CASE WHEN qid % 2 = 0 THEN '.' ELSE concat(':', chr(10), lines) END) END AS answer FROM who LEFT JOIN met USING (qid)""")
+def acl_inventory(spark, sf_dir):
+    """How many documents, or which, the caller of each question may read."""
+    from tessera.plans import answers
+
+    sources = corpus.distinct_sources(chunks(spark, sf_dir), "doc_id").withColumn("allowed_groups", F.array(identity.parent_of(F.col("source_path"))))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "How many documents are there?").otherwise("Which documents are available?").alias("question"), F.expr(CALLERS.format(q="item_id")).alias("groups"))
+    return answers.inventory(asked, sources, access=True)
+
+
 # Whole questions: retrieve, select, gate, answer from the first chunk, verify
 
 

@@ -5,6 +5,8 @@ the index is built: at most ``ASKED`` vectors ask for their neighbours among all
 neighbour by the triangle inequality (a cell's radius is the greatest distance in it).
 
 Cells are buckets of ``versions``: an update rewrites the cells it touches, centroids stay. Vectors are of one length; null, zero and other vectors are not indexed and find nothing.
+
+A vector may lie there with the groups that may read it (column ``allowed_groups``); a search with ``access`` sees no other. An index that was built without groups is closed to such a search.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.operators import access as acl
 from tessera.operators.search import meet_in_blocks, usable, vector_top_k
 from tessera.plans import store, versions
 
@@ -59,20 +62,25 @@ def _nearest(rows: DataFrame, name: str, centroids: np.ndarray, probes: int) ->
             gaps = np.sqrt(np.maximum(2 - 2 * (x @ sent.value.T), 0))
             order = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
             at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel(), pa.int32()), pa.array(np.take_along_axis(gaps, order, 1).ravel()), pa.array(np.tile(np.arange(order.shape[1]), len(x)), pa.int32())], [name, "vec", "cell", "gap", "nth"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(order.ravel(), pa.int32()), pa.array(np.take_along_axis(gaps, order, 1).ravel()), pa.array(np.tile(np.arange(order.shape[1]), len(x)), pa.int32())], [name, "vec", "groups", "cell", "gap", "nth"])
 
     to_arrow_type(kind)  # ids that Arrow does not know fail here
-    return rows.select(name, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"{name} {kind.simpleString()}, vec array<double>, cell int, gap double, nth int")
+    return rows.select(name, F.col("vec").cast("array<double>").alias("vec"), "groups").mapInArrow(run, f"{name} {kind.simpleString()}, vec array<double>, groups array<string>, cell int, gap double, nth int")
+
+
+def _with_groups(rows: DataFrame, column: str, name: str, there: bool) -> DataFrame:
+    """(name, vec, groups): the groups in the column without case, null where there are none."""
+    return rows.select(name, "vec", (acl.folded(F.col(column)) if there else F.lit(None).cast("array<string>")).alias("groups"))
 
 
 def _stored(rows: DataFrame, name: str = "id") -> DataFrame:
-    return rows.select(F.col("cell").alias("bucket"), "cell", F.col(name).alias("id"), "vec", "gap", F.lit(0).alias("probes"))
+    return rows.select(F.col("cell").alias("bucket"), "cell", F.col(name).alias("id"), "vec", "gap", F.lit(0).alias("probes"), F.col("groups").alias("allowed"))
 
 
 def build(spark: SparkSession, vectors: DataFrame, index: str, cells: int | None = None) -> int:
-    """Indexes (id, vec), in place of what the index held, and gives the number of cells a search probes."""
+    """Indexes (id, vec) and, if there are any, allowed_groups, in place of what the index held, and gives the number of cells a search probes."""
     base = versions.version(spark, index)
-    good = vectors.filter(usable("vec")).select("id", "vec")
+    good = _with_groups(vectors.filter(usable("vec")), "allowed_groups", "id", "allowed_groups" in vectors.columns)
     dimension = good.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     good = good.filter(F.size("vec") == (dimension.d if dimension else 0))
     n = dimension.n if dimension else 0
@@ -90,7 +98,7 @@ def build(spark: SparkSession, vectors: DataFrame, index: str, cells: int | None
         probes = 1 + int(np.searchsorted(found / found[-1], RECALL))
     kind = good.schema["id"].dataType.simpleString()
     told = spark.createDataFrame([(CENTROIDS, i, [float(v) for v in c], 0.0, probes) for i, c in enumerate(centroids)], "bucket int, cell int, vec array<double>, gap double, probes int")
-    told = told.select("bucket", "cell", F.lit(None).cast(kind).alias("id"), "vec", "gap", "probes")
+    told = told.select("bucket", "cell", F.lit(None).cast(kind).alias("id"), "vec", "gap", "probes", F.lit(None).cast("array<string>").alias("allowed"))
     whole = told.unionByName(_stored(rows)) if sample else told
     changed = {CENTROIDS, *range(len(centroids))} | versions.folders(spark, index, base).keys()
     versions.commit(spark, index, base, len(centroids), changed, versions.write(whole, index))
@@ -104,57 +112,63 @@ def _centroids(spark: SparkSession, index: str, at: versions.Version | None) ->
 
 
 def _cells(spark: SparkSession, index: str, at: versions.Version, cells: set[int], kind: str) -> DataFrame:
-    return versions.read(spark, index, f"cell int, id {kind}, vec array<double>, gap double, probes int", at, cells - {CENTROIDS})
+    return versions.read(spark, index, f"cell int, id {kind}, vec array<double>, gap double, probes int, allowed array<string>", at, cells - {CENTROIDS})
 
 
 def update(spark: SparkSession, index: str, changed: DataFrame, removed: DataFrame | None = None) -> set[int]:
-    """Puts (id, vec) in, in place of older vectors of these ids, takes out the ids of ``removed``, and gives the cells that were written."""
+    """Puts (id, vec) and, if there are any, allowed_groups in, in place of older vectors of these ids, takes out the ids of ``removed``, and gives the cells that were written."""
     base = versions.version(spark, index)
     centroids, _ = _centroids(spark, index, base)
     if not len(centroids):
         raise ValueError("the index holds no vectors: build it")
     kind = changed.schema["id"].dataType.simpleString()
-    rows = store.materialise(_nearest(changed.filter(usable("vec") & (F.size("vec") == centroids.shape[1])), "id", centroids, 1).drop("nth"), "cells-changed")
+    fit_in = _with_groups(changed.filter(usable("vec") & (F.size("vec") == centroids.shape[1])), "allowed_groups", "id", "allowed_groups" in changed.columns)
+    rows = store.materialise(_nearest(fit_in, "id", centroids, 1).drop("nth"), "cells-changed")
     gone = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id"))
     gone = store.materialise(gone.distinct(), "cells-gone")
     held = _cells(spark, index, base, set(versions.folders(spark, index, base)), kind)
     old = held.select("cell", "id").join(gone, "id", "left_semi").select("cell").distinct()
     touched = {r.cell for r in old.unionByName(rows.select("cell").distinct()).distinct().collect()}  # at most CELLS
     stay = _cells(spark, index, base, touched, kind).join(gone, "id", "left_anti")
-    data = versions.write(_stored(rows.unionByName(stay.select("id", "vec", "cell", "gap"))), index)
+    data = versions.write(_stored(rows.unionByName(stay.select("id", "vec", F.col("allowed").alias("groups"), "cell", "gap"))), index)
     # another writer may have put an id into a cell that is not read here, so all cells count as read
     versions.commit(spark, index, base, base.buckets, touched, data)
     return touched
 
 
-def search(spark: SparkSession, index: str, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False, own: bool = True, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """(qid, id, score, rank) by cosine for (qid, vec), as ``search.vector_top_k`` gives them: of the probed cells, or exactly. own: queries never find their own id."""
+def search(spark: SparkSession, index: str, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False, own: bool = True, block: int = 8192, query_block: int = 2048, access: bool = False) -> DataFrame:
+    """(qid, id, score, rank) by cosine for (qid, vec), as ``search.vector_top_k`` gives them: of the probed cells, or exactly. own: queries never find their own id.
+
+    access: a query finds only vectors whose groups hold one of its ``groups``; this always takes the exact way, as the groups may hide what the probed cells hold.
+    """
+    exact = exact or access
     at = versions.version(spark, index)
     centroids, told = _centroids(spark, index, at)
     kind = queries.schema["qid"].dataType.simpleString()
     if not len(centroids):
         return queries.select("qid", F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    asked = store.materialise(queries.filter(usable("vec") & (F.size("vec") == centroids.shape[1])).select("qid", F.col("vec").cast("array<double>").alias("vec")), "cells-queries")
+    asked = _with_groups(queries.filter(usable("vec") & (F.size("vec") == centroids.shape[1])), "groups", "qid", access)
+    asked = store.materialise(asked.withColumn("vec", F.col("vec").cast("array<double>")), "cells-queries")
     sizes = {b: n for b, (_, n, _) in versions.folders(spark, index, at).items() if b != CENTROIDS}
     splits = F.create_map(*(F.lit(x) for b, n in sizes.items() for x in (b, -(-n // block)))) if sizes else None
 
     def meet(pairs: DataFrame) -> DataFrame:
-        """pairs: (qid, vec, cell). A cell's rows and queries are dealt into blocks."""
+        """pairs: (qid, vec, groups, cell). A cell's rows and queries are dealt into blocks."""
         cells = {r.cell for r in pairs.select("cell").distinct().collect()} & sizes.keys()  # at most CELLS
         rows = _cells(spark, index, at, cells, kind)
         counted = pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("m"))
-        left = pairs.filter(F.col("cell").isin(cells)).join(counted, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("m")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), splits[F.col("cell")] - 1)).alias("v"), "qid", "vec")
-        right = rows.join(counted, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"), F.pmod(F.xxhash64("id"), splits[F.col("cell")]).cast("int").alias("v"), "id", "vec")
-        return meet_in_blocks(left, right, ["cell", "q", "v"], k, own)
+        left = pairs.filter(F.col("cell").isin(cells)).join(counted, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("m")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), splits[F.col("cell")] - 1)).alias("v"), "qid", "vec", "groups")
+        right = rows.join(counted, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"), F.pmod(F.xxhash64("id"), splits[F.col("cell")]).cast("int").alias("v"), "id", "vec", "allowed")
+        return meet_in_blocks(left, right, ["cell", "q", "v"], k, own, access)
 
     best = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     near = store.materialise(_nearest(asked, "qid", centroids, probes or told), "cells-probed")
-    found = store.materialise(meet(near.select("qid", "vec", "cell")), "cells-found")
+    found = store.materialise(meet(near.select("qid", "vec", "groups", "cell")), "cells-found")
     if exact:
         radius = _cells(spark, index, at, set(sizes), kind).groupBy("cell").agg(F.max("gap").alias("radius"))
         kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("qid", F.sqrt(F.greatest(2 - 2 * (F.col("score") - SLACK), F.lit(0.0))).alias("reach"))
         every = _nearest(asked, "qid", centroids, len(centroids)).join(radius, "cell").join(kth, "qid", "left")
         may = every.filter(F.col("reach").isNull() | (F.col("gap") - F.col("radius") <= F.col("reach") + SLACK))
-        more = store.materialise(may.select("qid", "vec", "cell").join(near.select("qid", "cell"), ["qid", "cell"], "left_anti"), "cells-more")
+        more = store.materialise(may.select("qid", "vec", "groups", "cell").join(near.select("qid", "cell"), ["qid", "cell"], "left_anti"), "cells-more")
         found = found.unionByName(meet(more))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
