@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.identity import chunk_id, document_id
 from tessera.functions.names import private
 from tessera.functions.text import words
+from tessera.operators import carry
 
 
 def check_window(size: int, overlap: int, least: int = 1) -> None:
@@ -69,8 +70,10 @@ def overlap_violations(chunks: DataFrame, keys: list[str], overlap: int = 20) ->
     return ahead.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(bad).alias("n_violations"))
 
 
-def carry_sections(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """section: the last title or heading up to and with each block."""
+def carry_sections(blocks: DataFrame, keys: list[str], order: str, ranged: bool = False) -> DataFrame:
+    """section: the last title or heading up to and with each block. ranged: for documents that no task should hold (see ``carry``; order must be whole numbers)."""
+    if ranged:
+        return carry.carry(blocks, keys, order, {"section": F.when(F.col("kind").isin("title", "heading"), F.col("text"))})
     so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return blocks.withColumn("section", F.last(F.when(F.col("kind").isin("title", "heading"), F.col("text")), ignorenulls=True).over(so_far))
 
@@ -87,10 +90,10 @@ def table_row_text(headers: Column, values: Column, row_number: Column) -> Colum
     return F.when(row_number == 1, F.concat(F.lit("Table headers: "), F.array_join(heads, " | "))).otherwise(F.array_join(named, " | "))
 
 
-def classify_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def classify_rows(rows: DataFrame, keys: list[str], order: str, ranged: bool = False) -> DataFrame:
     """kind, headers and table_number of sheet rows (cells array<string>, bold and merged booleans, row_number).
 
-    A blank row ends the active headers, so a row is data if a header came after the last blank.
+    A blank row ends the active headers, so a row is data if a header came after the last blank. ranged: for tables that no task should hold (see ``carry``).
     """
     filled = F.filter(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i)), lambda i: i.isNotNull())
     count = F.size(filled)
@@ -100,12 +103,20 @@ def classify_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     fixed = F.when(count == 0, "blank").when(dense & F.col("bold"), "header").when(F.col("merged"), merged_kind)
     so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     own, stretch, heads = private([*rows.columns, "kind", "headers", "table_number"], "own", "stretch", "heads")
-    marked = rows.withColumn(own, fixed).withColumn(stretch, F.count_if(F.col(own) == "blank").over(so_far))
-    within = W.partitionBy(*keys, stretch).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    carried = marked.withColumn(heads, F.last(F.when(F.col(own) == "header", F.col("cells")), ignorenulls=True).over(within))
+    marked = rows.withColumn(own, fixed)
+    if ranged:
+        # headers and blanks are events of one kind: the last of them tells the active headers
+        event = F.when(F.col(own) == "header", F.struct(F.col("cells").alias("c"))).when(F.col(own) == "blank", F.struct(F.lit(None).cast(rows.schema["cells"].dataType).alias("c")))
+        carried = carry.carry(marked, keys, order, {heads: event}, {stretch: F.col(own) == "header"}).withColumn(heads, F.col(heads)["c"])
+        tables = F.col(stretch)
+    else:
+        marked = marked.withColumn(stretch, F.count_if(F.col(own) == "blank").over(so_far))
+        within = W.partitionBy(*keys, stretch).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        carried = marked.withColumn(heads, F.last(F.when(F.col(own) == "header", F.col("cells")), ignorenulls=True).over(within))
+        tables = F.count_if(F.col(own) == "header").over(so_far)
     kind = F.coalesce(own, F.when(F.col(heads).isNotNull(), "data").otherwise("key_value"))
     named = carried.withColumn("kind", kind).withColumn("headers", F.when(F.col("kind").isin("header", "data"), F.col(heads)))
-    numbered = named.withColumn("table_number", F.when(F.col("kind").isin("header", "data"), F.count_if(F.col(own) == "header").over(so_far)).cast("int"))
+    numbered = named.withColumn("table_number", F.when(F.col("kind").isin("header", "data"), tables).cast("int"))
     return numbered.drop(own, stretch, heads)
 
 

@@ -206,6 +206,23 @@ def sheet_row_kinds(spark, sf_dir):
     return sheet_rows(spark, sf_dir).select("doc_id", "line", "kind", "table_number")
 
 
+#: All events as the rows of long sheets, one for each type: blanks, headers and merged notes by the user's number.
+LONG = """SELECT event_type AS sheet, event_id AS place, CASE WHEN user_id % 17 > 0 THEN {array}(event_type, CASE WHEN value >= 20 THEN CAST(user_id AS {str}) END) ELSE {array}(CAST(NULL AS {str}), CAST(NULL AS {str})) END AS cells,
+  user_id % 5 = 1 AS bold, user_id % 7 = 3 AS merged, user_id FROM {events}"""
+
+
+@query(f"""WITH r AS ({LONG.format(array='list_value', str='VARCHAR', events='events')}), k0 AS (SELECT *, CASE WHEN cells[1] IS NULL THEN 'blank' WHEN cells[2] IS NOT NULL AND bold THEN 'header' WHEN merged THEN CASE WHEN bold THEN 'section' ELSE 'note' END END AS k0 FROM r),
+st AS (SELECT *, count(*) FILTER (WHERE k0 = 'blank') OVER o AS stretch, count(*) FILTER (WHERE k0 = 'header') OVER o AS tables, last_value(CASE WHEN k0 = 'note' THEN CAST(user_id AS VARCHAR) END IGNORE NULLS) OVER o AS section FROM k0 WINDOW o AS (PARTITION BY sheet ORDER BY place ROWS UNBOUNDED PRECEDING)),
+hd AS (SELECT *, last_value(CASE WHEN k0 = 'header' THEN cells END IGNORE NULLS) OVER (PARTITION BY sheet, stretch ORDER BY place ROWS UNBOUNDED PRECEDING) AS heads FROM st), kinds AS (SELECT *, coalesce(k0, CASE WHEN heads IS NOT NULL THEN 'data' ELSE 'key_value' END) AS kind FROM hd)
+SELECT sheet, place, kind, CASE WHEN kind IN ('header', 'data') THEN array_to_string(heads, '|') END AS headers, CASE WHEN kind IN ('header', 'data') THEN tables END AS table_number, section FROM kinds""")
+def long_sheet_kinds(spark, sf_dir):
+    """Kinds, headers, table numbers and sections of sheets that no task holds."""
+    rows = spark.sql(LONG.format(array="array", str="STRING", events="{events}"), events=read(spark, sf_dir, "events"))
+    told = structure.classify_rows(rows, ["sheet"], "place", ranged=True)
+    titles = told.withColumnsRenamed({"kind": "row_kind", "user_id": "text"}).withColumns({"kind": F.when(F.col("row_kind") == "note", "heading"), "text": F.col("text").cast("string")})
+    return structure.carry_sections(titles, ["sheet"], "place", ranged=True).select("sheet", "place", F.col("row_kind").alias("kind"), F.array_join("headers", "|").alias("headers"), "table_number", "section")
+
+
 LETTERS = "concat(CASE WHEN i > 702 THEN chr(CAST(65 + (i - 703) // 676 AS INT)) ELSE '' END, CASE WHEN i > 26 THEN chr(CAST(65 + ((i - 27) // 26) % 26 AS INT)) ELSE '' END, chr(CAST(65 + (i - 1) % 26 AS INT)))"
 
 
