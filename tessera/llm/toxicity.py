@@ -5,8 +5,8 @@ words; the document's score is the noisy-or of its sentences, 1 - prod(1 - p). O
 gradient of the document's likelihood runs through the noisy-or into the sentences, so the model also
 locates the sentences that make a document toxic. A leak, left out of scores, takes up labels that no sentence explains.
 
-Length alone must not add up: a sentence without a telling word has probability 0, in training and in scores. In scores,
-sentences below ``QUIET`` are no evidence either; of these only the likeliest counts, so that they raise a score by ``QUIET`` at most, however many there are.
+Length alone must not add up, so one rule holds in training and in scores: a sentence without a telling word has probability 0, and of a document's
+sentences below ``QUIET`` only the likeliest has one (they raise a score by ``QUIET`` at most, however many there are). The noisy-or is over the sentences that this leaves.
 
 Training uses at most ``max_train`` labelled documents per label and ``max_bytes`` of their texts (documented bounds: those with the least hash of
 their id), never their source, language or id as features. Scoring reads every whole text.
@@ -97,11 +97,21 @@ def noisy_or(p: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return 0.0 - np.expm1(np.bincount(owners, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
+def speaking(p: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The sentences' probabilities, 0 for those below QUIET but the likeliest of a document (the first of equals)."""
+    quiet = np.flatnonzero(p < QUIET)
+    order = quiet[np.lexsort((quiet, -p[quiet], owners[quiet]))]
+    later = np.append(False, owners[order][1:] == owners[order][:-1])[: len(order)]
+    out = p.copy()
+    out[order[later]] = 0.0
+    return out
+
+
 def likelihood(theta: np.ndarray, columns: np.ndarray, rows: np.ndarray, owners: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray]:
     """The weighted log-likelihood of the documents' labels and its gradient; theta: weights, bias, leak; every sentence has a telling word."""
     weights, bias, leak = theta[:-2], theta[-2], theta[-1]
     n, m = len(owners), len(y)
-    p = 1 / (1 + np.exp(-sentence_logits(weights, bias, columns, rows, n)))
+    p = speaking(1 / (1 + np.exp(-sentence_logits(weights, bias, columns, rows, n))), owners)
     still = 1 / (1 + np.exp(-leak))
     q = np.clip(1 - (1 - noisy_or(p, owners, m)) * (1 - still), 1e-9, 1 - 1e-12)
     value = float((balance * np.where(y == 1, np.log(q), np.log1p(-q))).sum())
@@ -135,11 +145,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float = 0
 
 
 def document_scores(p: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """Noisy-or of the sentences from QUIET on and of the likeliest of those below."""
-    weak = np.zeros(n)
-    quiet = p < QUIET
-    np.maximum.at(weak, owners[quiet], p[quiet])
-    return 1 - (1 - noisy_or(np.where(quiet, 0.0, p), owners, n)) * (1 - weak)
+    """The noisy-or that training fits, without the leak."""
+    return noisy_or(speaking(p, owners), owners, n)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, held_out_of: int = 5, label: str = "toxic") -> DataFrame:

@@ -918,22 +918,47 @@ def test_toxicity_is_not_length():
         assert score(said(n)) < 0.1 and score(said(n) + ". you may go" * n) < 0.1 and score(said(n) + ". you vile oaf") > 0.5
 
 
+def test_toxicity_scores_are_a_plain_noisy_or(spark, tmp_path):
+    """All scores of the registered query from its own model, sentence by sentence."""
+    draw = random.Random(12)
+    said = lambda n, *more: ". ".join([*(" ".join(f"w{draw.randint(0, 200)}" for _ in range(6)) for _ in range(n)), *more])
+    rows = [(i, said(draw.randint(0, 9), *["you vile oaf"] * (i % 5 == 0), *["you may go"] * draw.randint(0, 5))) for i in range(600)] + [(1000, None), (1001, ""), (1002, said(2, *["you may go"] * 2000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, known = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    model = {r.word: r.weight for r in toxicity.train(docs, known).collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    assert len(got) == docs.count() and max(got.values()) > 0.5 and got[1002] < 0.1
+    for r in docs.collect():
+        loud, quiet = 1.0, 0.0
+        for a, b in toxicity.sentences(r.text):
+            found = set(toxicity.tokens(r.text[a:b])) & (model.keys() - {None})
+            p = 1 / (1 + math.exp(-model[None] - sum(model[w] for w in found))) if found else 0.0
+            loud, quiet = (loud * (1 - p), quiet) if p >= toxicity.QUIET else (loud, max(quiet, p))
+        assert got[r.doc_id] == pytest.approx(1 - loud * (1 - quiet), abs=1e-9)
+
+
 def test_toxicity_gradient():
     draw = np.random.default_rng(5)
     n, m, width = 40, 15, 7
     rows = np.sort(np.append(np.arange(n), draw.integers(0, n, 50)))
     columns, owners = draw.integers(0, width, len(rows)), np.sort(draw.integers(0, m, n))
     y, balance, theta = draw.integers(0, 2, m).astype(float), draw.random(m), draw.normal(size=width + 2)
+    theta[-2] -= 5  # quiet sentences as well as loud ones
     value, grad = toxicity.likelihood(theta, columns, rows, owners, y, balance)
     logits = [theta[-2] + sum(theta[c] for c, r in zip(columns, rows, strict=True) if r == s) for s in range(n)]
     want = 0.0
     for d in range(m):
-        clean = 1 - 1 / (1 + math.exp(-theta[-1]))
+        clean, quiet = 1 - 1 / (1 + math.exp(-theta[-1])), []
         for s in range(n):
             if owners[s] == d:
-                clean *= 1 - 1 / (1 + math.exp(-logits[s]))
+                p = 1 / (1 + math.exp(-logits[s]))
+                clean *= 1 if p < toxicity.QUIET else 1 - p
+                quiet += [p] if p < toxicity.QUIET else []
+        clean *= 1 - max(quiet, default=0)
         want += balance[d] * math.log(1 - clean if y[d] else clean)
-    assert value == pytest.approx(want)
+    p = 1 / (1 + np.exp(-np.asarray(logits)))
+    assert value == pytest.approx(want) and max(Counter(owners[p < toxicity.QUIET]).values()) > 1 and (p > toxicity.QUIET).sum() > 5
     for i in range(width + 2):
         step = np.eye(width + 2)[i] * 1e-6
         up, down = (toxicity.likelihood(theta + s, columns, rows, owners, y, balance)[0] for s in (step, -step))
