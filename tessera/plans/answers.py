@@ -24,12 +24,28 @@ Search = Callable[[DataFrame], DataFrame]
 Generator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def retrieve(runs: DataFrame, search: Search, chunks: DataFrame) -> DataFrame:
-    """Hits of each search of each question as chunk rows (qid, subquery, rank from 0, score, ...). search: (qid, text) to (qid, id, score, rank), ids of chunks."""
-    asked = runs.select((F.col("qid") * fusion.LISTS + F.col("subquery")).alias("qid"), F.col("query").alias("text"))
+def retrieve(runs: DataFrame, search: Search, chunks: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """Hits of each search of each question as chunk rows (qid, subquery, rank from 0, score, ...). search: (qid, text) to (qid, id, score, rank), ids of chunks.
+
+    callers: (qid, groups). The search gets the groups of each query, to rank only what they may read; whatever it gives, a chunk that they may not read is no hit.
+    """
+    asked = runs.select("qid", (F.col("qid") * fusion.LISTS + F.col("subquery")).alias("key"), F.col("query").alias("text"))
+    asked = asked.select(F.col("key").alias("qid"), "text") if callers is None else asked.join(callers, "qid").select(F.col("key").alias("qid"), "text", "groups")
     (hit,) = private(chunks.columns, "hit")
     found = search(asked).select(F.floor(F.col("qid") / fusion.LISTS).alias("qid"), F.pmod("qid", F.lit(fusion.LISTS)).alias("subquery"), (F.col("rank") - 1).alias("rank"), "score", F.col("id").alias(hit))
-    return found.join(chunks.withColumnRenamed("key", hit), hit).drop(hit)
+    hits = found.join(chunks.withColumnRenamed("key", hit), hit).drop(hit)
+    if callers is None:
+        return hits
+    (own,) = private(hits.columns, "caller")
+    seen = F.arrays_overlap(acl.folded(F.col("allowed_groups")), F.col(own))
+    return hits.join(callers.select("qid", acl.folded(F.col("groups")).alias(own)), "qid").filter(F.coalesce(seen, F.lit(False))).drop(own)
+
+
+def readable_sources(chunks: DataFrame, arrival: str) -> DataFrame:
+    """(source_path, title, allowed_groups): the documents with the groups that may read any of their chunks."""
+    path = lambda: text.fold(F.replace(F.col("source_path"), F.lit("\\"), F.lit("/")))
+    groups = chunks.select(path().alias("k"), F.explode(acl.folded(F.col("allowed_groups"))).alias("g")).groupBy("k").agg(F.collect_set("g").alias("allowed_groups"))  # a document's groups
+    return corpus.distinct_sources(chunks, arrival).withColumn("k", path()).join(groups, "k", "left").drop("k")
 
 
 def fused_candidates(hits: DataFrame, told: DataFrame) -> DataFrame:
@@ -71,12 +87,13 @@ def inventory(asked: DataFrame, sources: DataFrame, access: bool = False) -> Dat
     return told.join(counts, at, "left").join(lists, at, "left").select("qid", full.alias("answer"))
 
 
-def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None, stages: dict[str, float] | None = None) -> DataFrame:
+def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str, generate: Generator = plugins.first_words, analyse: Callable[[DataFrame], DataFrame] = analysis.analyze, rerank: Callable[[DataFrame], DataFrame] | None = None, stages: dict[str, float] | None = None, access: bool = False) -> DataFrame:
     """(qid, question, route, status, answer, citations, retrieved_chunks, standalone_query, temporal_intent, subqueries, ambiguous, clarification, resolved_from_context, searched, generation_output, context_tokens) for (qid, question, prior).
 
     Ambiguous questions are answered by a clarification, greetings by a greeting, questions for the inventory by lists or counts, all others by retrieval: no
     evidence, a shut gate or a citation that does not hold refuse. Citations are written as plain marks. searched: the queries that were run; generation_output: what the generator said, null where it was not called.
     chunks: chunk rows with the search's ``key``; arrival orders first titles. stages: gets the batch's times in milliseconds.
+    access: questions carry the ``groups`` of their caller; searches, context and inventory keep to what these may read (see ``access``), and without groups nothing is found.
     """
     began, times = time.perf_counter(), {} if stages is None else stages
 
@@ -89,7 +106,8 @@ def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str
     lap("analysis_ms")
     asked = told.filter("route = 'retrieve'")
     runs = analysis.searches(asked)
-    hits = store.materialise(plugins.rerank(retrieve(runs, search, chunks), rerank), "hits")
+    callers = questions.select("qid", "groups") if access else None
+    hits = store.materialise(plugins.rerank(retrieve(runs, search, chunks, callers), rerank), "hits")
     pack = store.materialise(selection.select_context(fused_candidates(hits, asked)), "packs")
     lap("retrieval_ms")
     plain = asked.select("qid", F.col("standalone_query").alias("question"))
@@ -101,7 +119,9 @@ def answer(questions: DataFrame, search: Search, chunks: DataFrame, arrival: str
     checked = evidence.verify_citations(made.withColumnRenamed("generation_output", "answer"), open_packs)
     counts = pack.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieved_chunks"), F.sum(text.token_estimate(F.coalesce("content", F.lit("")))).alias("context_tokens"))
     searched = runs.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("subquery", "query")))["query"].alias("searched"))  # a few a question
-    counted = inventory(told.filter("route = 'inventory'").select("qid", "question"), corpus.distinct_sources(chunks, arrival)).withColumnRenamed("answer", "counted")
+    listing = told.filter("route = 'inventory'").select("qid", "question")
+    counted = inventory(listing.join(callers, "qid"), readable_sources(chunks, arrival), True) if access else inventory(listing, corpus.distinct_sources(chunks, arrival))
+    counted = counted.withColumnRenamed("answer", "counted")
     kept = ["qid", "question", "route", "standalone_query", "temporal_intent", "subqueries", "ambiguous", "clarification", "resolved_from_context"]
     said = told.select(*kept)
     for part in (made, checked, counts, searched, counted):

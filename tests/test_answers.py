@@ -82,13 +82,26 @@ def test_trace_holds_the_whole_request(spark, small):
     assert greeting["candidates"] == greeting["selected_context"] == [] and greeting["usage_cost"]["estimated_usd"] == "0.000000000000"
 
 
-def request(spark, question, generate=plugins.first_words, sources=(("KB/Sales/b.pdf", "B"), ("KB/Sales/A.pdf", "A"), ("KB/it/c.docx", "C")), stages=None):
+def request(spark, question, generate=plugins.first_words, sources=(("KB/Sales/b.pdf", "B"), ("KB/Sales/A.pdf", "A"), ("KB/it/c.docx", "C")), stages=None, groups=None, allowed="array('staff')"):
     """A question over three documents, all found by every search."""
     kind = ", ".join(f"{n} string" for n in ("key", "id", "content", "title", "source_path", "section", "document_id", "content_hash", "file_type", "department", "document_type", "version", "sheet_name"))
     rows = [(f"k{i}", f"c{i}", f"The travel allowance is {i}0.\nRow: {i}", title, path, "s", f"d{i}", f"h{i}", "xlsx", path.split("/")[-2], "policy", "1", "Sheet") for i, (path, title) in enumerate(sources, 1)]
-    known = spark.createDataFrame(rows, kind).selectExpr("*", "cast(null as date) as effective_from", "cast(null as date) as effective_to", "cast(null as boolean) as is_current", "4 as page_number", "cast(null as int) as table_number", "cast(null as int) as row_number", "array('staff') as allowed_groups")
+    known = spark.createDataFrame(rows, kind).selectExpr("*", "cast(null as date) as effective_from", "cast(null as date) as effective_to", "cast(null as boolean) as is_current", "4 as page_number", "cast(null as int) as table_number", "cast(null as int) as row_number", f"{allowed} as allowed_groups")
     search_all = lambda q: q.crossJoin(known.select(F.col("key").alias("id"))).selectExpr("qid", "id", "1.0D as score", "cast(substr(id, 2) as int) as rank")
-    return answers.answer(spark.createDataFrame([(1, question, None)], "qid long, question string, prior string"), search_all, known, "key", generate, stages=stages).first()
+    asked = spark.createDataFrame([(1, question, None, groups or [])], "qid long, question string, prior string, groups array<string>")
+    return answers.answer(asked if groups is not None else asked.drop("groups"), search_all, known, "key", generate, stages=stages, access=groups is not None).first()
+
+
+def test_whole_answers_keep_to_what_the_caller_may_read(spark):
+    # the search gives all chunks to everybody; those of Sales are for sales only, the other for the staff
+    allowed = "case when department = 'Sales' then array('Sales team') else array('Staff', cast(null as string)) end"
+    ask = lambda question, groups: request(spark, question, speaking("See [c3]."), groups=groups, allowed=allowed)
+    staff, sales, nobody = (ask("What is the travel allowance?", g) for g in (["STAFF"], ["sales team"], []))
+    assert staff.status == "answered" and staff.retrieved_chunks == 1 and staff.answer == "See [c3]."
+    assert sales.status == "insufficient_evidence" and sales.retrieved_chunks == 2  # what it may not read can't be cited
+    assert nobody.status == "insufficient_evidence" and nobody.retrieved_chunks == 0 and nobody.generation_output is None
+    told = {g: ask("Which documents are available?", list(g)).answer for g in (("staff",), ("Sales Team", "x"), ())}
+    assert told == {("staff",): "1 document is indexed:\n- C - KB/it/c.docx", ("Sales Team", "x"): "2 documents are indexed:\n- A - KB/Sales/A.pdf\n- B - KB/Sales/b.pdf", (): "No documents are currently indexed."}
 
 
 def test_inventory_lists_counts_and_says_none(spark):
