@@ -117,7 +117,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         hot = materialise(index.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).drop("n"), "simhash-hot") if bits > OPEN_BITS else None
         some = hot is not None and not hot.isEmpty()
         cold = [x.join(hot, ["key", "bits"], "left_anti") if some else x for x in (index, looked)]
-        found.append(cold[0].alias("s").join(cold[1].alias("q"), on & near).select(F.col("s.print").alias("a"), F.col("q.print").alias("b")))
+        # Spark takes the look-ups for as few as the fingerprints they come from; told to merge, it sends neither side whole
+        found.append(cold[0].alias("s").hint("merge").join(cold[1].alias("q").hint("merge"), on & near).select(F.col("s.print").alias("a"), F.col("q.print").alias("b")))
         if not some:
             break
         index, looked = (materialise(narrowed(x.join(hot, ["key", "bits"], "left_semi")), "simhash-narrowed") for x in (index, looked))
