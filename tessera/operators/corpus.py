@@ -58,13 +58,15 @@ def inventory_counts(sources: DataFrame) -> DataFrame:
 def department_in_question(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """(qid, department): the longest department that stands as a word in the question, ties by name.
 
-    Departments meet the questions by their first word, an equi join, and are then looked for as a whole.
+    Departments meet the questions' words by their first word, an equi join, and are then looked for as a whole in the texts, which are joined for those questions only: no text is repeated for its words. Spark would take
+    the words for as few as the questions, so it is told to merge rather than to send them whole to all tasks.
     """
     names = sources.select(fold(parent_of(F.col("source_path"))).alias("department")).filter("department <> ''").distinct()
     lead = lambda c: F.regexp_extract(c, "[a-z0-9_]+", 0)
     asked = questions.select("qid", fold(F.col("question")).alias("_text"))
-    tokens = asked.select("qid", "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("_lead"))
-    hits = tokens.join(names.withColumn("_lead", lead(F.col("department"))), "_lead")
+    tokens = asked.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("_lead"))
+    near = tokens.hint("merge").join(names.withColumn("_lead", lead(F.col("department"))), "_lead").select("qid", "department").distinct()
+    hits = asked.hint("merge").join(near, "qid")
     there = F.expr(r"_text rlike concat('(?<![A-Za-z0-9_])\\Q', department, '\\E(?![A-Za-z0-9_])')")
     order = W.partitionBy("qid").orderBy(F.desc(F.length("department")), "department")
     return hits.filter(there).withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("qid", "department")

@@ -1,6 +1,9 @@
 """Tables that Spark sizes too low, as after an explode or when read back compressed, are not sent whole through the driver."""
 
+from pyspark.sql import functions as F
+
 from tessera.llm import simhash
+from tessera.operators import corpus
 
 
 def plan(df):
@@ -12,3 +15,15 @@ def test_look_ups_of_fingerprints_are_merged(spark):
     out = simhash.links(prints)
     assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
     assert {frozenset((r.a, r.b)) for r in out.collect()} == {frozenset((0b1011, 0b0011))}
+
+
+def test_words_of_questions_are_merged_and_carry_no_text(spark):
+    long = " ".join(f"w{i}" for i in range(2000))
+    asked = spark.createDataFrame([(1, f"{long} in Sales please"), (2, f"sales team or legal, {long}"), (3, long), (4, None)], "qid long, question string")
+    sources = spark.createDataFrame([("KB/Sales/a.pdf",), ("KB/Sales Team/b.pdf",), ("KB/legal/c.pdf",), ("top.pdf",)], "source_path string")
+    out = corpus.department_in_question(asked, sources)
+    assert "BroadcastExchange" not in plan(out)
+    exploded = [line for line in plan(out).splitlines() if "Generate explode" in line]
+    assert exploded and all("_text" not in line.split("), ")[-1] and "[qid" in line for line in exploded)
+    assert {(r.qid, r.department) for r in out.collect()} == {(1, "sales"), (2, "sales team")}
+    assert corpus.department_in_question(asked, sources.filter(F.lit(False))).count() == 0
