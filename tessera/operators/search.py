@@ -190,8 +190,21 @@ def usable(c: str) -> Column:
     return F.col(c).isNotNull() & F.exists(F.col(c).cast("array<double>"), lambda x: x != 0)
 
 
-def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own: bool, access: bool = False) -> DataFrame:
-    """(qid, id, score): the k best by cosine of right (id, vec) for each of left (qid, vec), in each block told by ``on``; vectors of a block have one length. access: of those whose ``allowed`` meet the query's ``groups``."""
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of vectors of one length."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(flat), -1)
+
+
+#: Scores, and hits of a block pair, that a task holds at once.
+SCORES, HITS = 1 << 19, 1 << 20
+
+
+def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own: bool, access: bool = False, cells: bool = False) -> DataFrame:
+    """(qid, id, score): the k best by cosine of right (id, vec) for each of left (qid, vec), in each block told by ``on``; vectors of a block have one length. access: of those whose ``allowed`` meet the query's ``groups``.
+
+    cells: of those whose ``cell`` is one of the query's ``cells``. Scores are made for a few queries at a time, so that a task's memory does not grow with its block pair.
+    """
     kinds = {"qid": left.schema["qid"].dataType, "id": right.schema["id"].dataType}
     types = {c: to_arrow_type(t) for c, t in kinds.items()}
 
@@ -199,26 +212,44 @@ def meet_in_blocks(left: DataFrame, right: DataFrame, on: list[str], k: int, own
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": pa.array([], types["qid"]), "id": pa.array([], types["id"]), "score": pa.array([], pa.float64())})
         b = b.sort_by("id")  # places tell the smaller id
-        x, y = (np.asarray(t["vec"].to_pylist(), float) for t in (a, b))
-        score = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 6)
+        x, y = matrix(a["vec"]), matrix(b["vec"])
+        x_size, y_size = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        same: dict = {}
         if own:
-            places: dict = {}
+            ids = set(a["qid"].to_pylist())
             for i, v in enumerate(b["id"].to_pylist()):
-                places.setdefault(v, []).append(i)
-            for i, v in enumerate(a["qid"].to_pylist()):
-                score[i, places.get(v, [])] = -np.inf
+                if v in ids:
+                    same.setdefault(v, []).append(i)
+            same = {i: same[v] for i, v in enumerate(a["qid"].to_pylist()) if v in same}
         if access:
             known = acl.numbered(a["groups"])
             callers, open_to = acl.bit_sets(a["groups"], known), acl.bit_sets(b["allowed"], known)
-        out = []
-        for i in range(len(x)):
-            if access:
-                score[i, ~acl.share(open_to, callers[i])] = -np.inf
-            best = np.lexsort((np.arange(len(y)), -score[i]))[:k]
-            best = best[score[i][best] > -np.inf]
-            out.append((np.full(len(best), i), best))
-        row, col = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"qid": a["qid"].combine_chunks().take(pa.array(row)), "id": b["id"].combine_chunks().take(pa.array(col)), "score": score[row, col]})
+        meetings = [(np.arange(len(x)), np.arange(len(y)))]
+        if cells:
+            lists = a["cells"].combine_chunks()
+            asked, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
+            cell = b["cell"].to_numpy()
+            meetings = ((who[asked == c], np.flatnonzero(cell == c)) for c in np.intersect1d(asked, cell))
+        held, count = [], 0
+        for queries, places in meetings:
+            step = max(1, SCORES // len(places))
+            for some in (queries[at : at + step] for at in range(0, len(queries), step)):
+                score = np.round(x[some] @ y[places].T / (x_size[some][:, None] * y_size[places]), 6)
+                score[np.isnan(score)] = -np.inf
+                for i, q in enumerate(some):
+                    if q in same:
+                        score[i, np.isin(places, same[q])] = -np.inf
+                    if access:
+                        score[i, ~acl.share(open_to[places], callers[q])] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(places) else -np.inf
+                row, col = np.nonzero((score >= least) & (score > -np.inf))
+                held.append(_best(some[row], places[col], score[row, col], k))
+                count += len(held[-1][0])
+                if count > HITS:
+                    held = [_best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)]
+                    count = len(held[0][0])
+        row, col, found = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), k) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"qid": a["qid"].combine_chunks().take(pa.array(row)), "id": b["id"].combine_chunks().take(pa.array(col)), "score": found})
 
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double")
 

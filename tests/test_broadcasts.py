@@ -1,9 +1,15 @@
-"""Tables that Spark sizes too low, as after an explode or when read back compressed, are not sent whole through the driver."""
+"""Tables that Spark sizes too low, as after an explode or when read back compressed, are not sent whole through the driver; blocks meet in bounded memory."""
 
+import tracemalloc
+from unittest.mock import MagicMock
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm import simhash
-from tessera.operators import corpus
+from tessera.operators import corpus, search
 
 
 def plan(df):
@@ -27,3 +33,23 @@ def test_words_of_questions_are_merged_and_carry_no_text(spark):
     assert exploded and all("_text" not in line.split("), ")[-1] and "[qid" in line for line in exploded)
     assert {(r.qid, r.department) for r in out.collect()} == {(1, "sales"), (2, "sales team")}
     assert corpus.department_in_question(asked, sources.filter(F.lit(False))).count() == 0
+
+
+def test_a_block_pair_is_scored_in_bounded_memory():
+    """The largest pair of blocks: all its scores at once would be 134 MB, several times over."""
+    caught = {}
+    side = MagicMock(schema={c: MagicMock(dataType=LongType()) for c in ("qid", "id")})
+    side.groupBy().cogroup().applyInArrow = lambda run, schema: caught.update(run=run)
+    search.meet_in_blocks(side, side, ["q"], 3, True)
+    draw = np.random.default_rng(2)
+    x, y = draw.normal(size=(2048, 16)), draw.normal(size=(8192, 16))
+    table = lambda name, n, z: pa.table({name: pa.array(range(n)), "vec": pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), 16).cast(pa.list_(pa.float64()))})
+    a, b = table("qid", 2048, x), table("id", 8192, y)
+    tracemalloc.start()
+    out = caught["run"](a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    some = x[5] @ y.T / (np.linalg.norm(x[5]) * np.linalg.norm(y, axis=1))
+    some[5] = -2
+    assert sorted(r["id"] for r in out.to_pylist() if r["qid"] == 5) == sorted(np.argsort(-some)[:3].tolist()) and out.num_rows == 3 * 2048
