@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType
 
 from tessera.llm import simhash
 from tessera.operators import corpus, search
+from tessera.plans import store, vector_index
 
 
 def plan(df):
@@ -35,6 +36,22 @@ def test_words_of_questions_are_merged_and_carry_no_text(spark):
     assert corpus.department_in_question(asked, sources.filter(F.lit(False))).count() == 0
 
 
+def test_no_table_is_sent_whole_by_the_vector_index(spark, tmp_path, monkeypatch):
+    draw = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in draw.normal(size=8)], ["a", "b"][i % 3 :]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>, allowed_groups array<string>")
+    vector_index.build(spark, vectors, f"file:{tmp_path}/cells")
+    plans, write = [], store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    asked = vectors.filter("id % 4 = 0").select(F.col("id").alias("qid"), "vec", F.array(F.lit("B")).alias("groups"))
+    order = ["qid", "id", "score", "rank"]
+    for access in (False, True):
+        out = vector_index.search(spark, f"file:{tmp_path}/cells", asked, 7, exact=True, block=64, query_block=16, access=access)
+        assert sorted(map(tuple, out.select(*order).collect())) == sorted(map(tuple, search.vector_top_k(vectors, asked, 7, access=access).select(*order).collect()))
+        plans.append(plan(out))
+    assert len(plans) > 6 and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_a_block_pair_is_scored_in_bounded_memory():
     """The largest pair of blocks: all its scores at once would be 134 MB, several times over."""
     caught = {}
