@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,6 +33,17 @@ def tokens_of(text: str) -> list[str]:
 
 _TOKEN = re.compile("[a-z0-9]+").findall
 
+#: What Python holds of a batch at once: bytes of texts or counts (a single row may be larger), and (document, term, question) entries.
+PIECE_BYTES, ENTRIES = 2 << 20, 1 << 18
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts batches, so that what is made of one is bounded by bytes, whatever number of rows Spark sends."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
 def gain(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     """What a term adds to a document's score, before its weight."""
@@ -49,7 +61,7 @@ def term_counts(words: DataFrame, terms: list[str]) -> DataFrame:
 
     def run(batches):
         known = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             ids, sizes, which, times, total, at = [], [], [], [], 0, []
             for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 found = tokens_of(text.as_py())
@@ -125,9 +137,7 @@ def _scored(words: DataFrame, asked: DataFrame, k: int, block: int, access: bool
         def run(batches):
             starts, askers, weights, mean, known, may = sent.value
             held, count = [], 0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in pieces(batches):
                 lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
                 doc, term, tf = np.repeat(np.arange(batch.num_rows), lengths), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
                 value = gain(tf, batch.column(1).to_numpy()[doc], mean) * weights[term]
@@ -135,8 +145,8 @@ def _scored(words: DataFrame, asked: DataFrame, k: int, block: int, access: bool
                 open_to = acl.bit_sets(batch.column(4), known) if access else None
                 fan = starts[term + 1] - starts[term]
                 ends = np.cumsum(fan)
-                for low in range(0, int(ends[-1]), 1 << 20):  # so many (document, term, question) at once; a document's stand together
-                    first, last = np.searchsorted(ends, (low, low + (1 << 20)), "right")
+                for low in range(0, int(ends[-1]) if len(ends) else 0, ENTRIES):  # so many (document, term, question) at once; a document's stand together
+                    first, last = np.searchsorted(ends, (low, low + ENTRIES), "right")
                     first = np.searchsorted(doc, doc[first]) if first < len(doc) else len(doc)
                     last = np.searchsorted(doc, doc[last]) if last < len(doc) else len(doc)
                     some = np.arange(first, last)

@@ -70,3 +70,23 @@ def test_a_block_pair_is_scored_in_bounded_memory():
     some = x[5] @ y.T / (np.linalg.norm(x[5]) * np.linalg.norm(y, axis=1))
     some[5] = -2
     assert sorted(r["id"] for r in out.to_pylist() if r["qid"] == 5) == sorted(np.argsort(-some)[:3].tolist()) and out.num_rows == 3 * 2048
+
+
+def test_counts_of_words_are_made_in_bounded_memory():
+    """A whole Arrow batch of documents with many asked words: 40 MB when its lists were made at once."""
+    terms = [f"w{i}" for i in range(400)]
+    words = MagicMock(schema={"id": MagicMock(dataType=LongType())})
+    words.sparkSession.sparkContext.broadcast = lambda x: MagicMock(value=x)
+    words.mapInArrow = lambda run, schema: run
+    run = search.term_counts(words, terms)
+    texts = [" ".join(terms[i % 7 :]) for i in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts), pa.array([[]] * 6000, pa.list_(pa.string()))], ["id", "said", "allowed"])
+    tracemalloc.start()
+    rows = n = total = 0
+    for out in run(iter([batch])):
+        rows += out.num_rows - 1
+        n, total = n + out["n"][-1].as_py(), total + out["total"][-1].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, n, total) == (6000, 6000, sum(400 - i % 7 for i in range(6000)))
+    assert peak < 20e6
