@@ -18,7 +18,7 @@ def plan(df):
 
 
 def test_look_ups_of_fingerprints_are_merged(spark):
-    prints = spark.createDataFrame([(0b1011,), (0b0011,), (0b1111 << 40,), (-1,)], "print long")
+    prints = store.materialise(spark.createDataFrame([(0b1011,), (0b0011,), (0b1111 << 40,), (-1,)], "print long"), "prints")  # a small table on disk, as the operator has it
     out = simhash.links(prints)
     assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
     assert {frozenset((r.a, r.b)) for r in out.collect()} == {frozenset((0b1011, 0b0011))}
