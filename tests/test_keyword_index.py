@@ -85,3 +85,31 @@ def test_index_follows_the_corpus(spark, place, monkeypatch):
     ingest.upsert(spark, corpus_rows(spark, docs.values()), corpus, EMBEDDER)
     assert versions.version(spark, corpus).buckets == 32 and len(keyword_index.refresh(spark, corpus, index)) > 8
     check()
+
+
+def test_a_build_splits_each_text_once(spark, place, monkeypatch):
+    """Postings, their numbers and the sums of a bucket came from three readings of the texts."""
+    docs = spark.createDataFrame(drawn(random.Random(7), 50), "doc_id long, title string, text string")
+    plans, write = [], versions.write
+    monkeypatch.setattr(versions, "write", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, *a, **k))[1])
+    keyword_index.build(spark, docs, place[1], ("title", "text"))
+    assert len(plans) == 1 and sum(name in line for line in plans[0].splitlines() for name in ("MapInArrow", "FlatMapGroupsInArrow")) == 1
+
+
+def test_only_the_best_of_a_shard_leave_it(spark, place, monkeypatch):
+    """Documents of one score all were candidates, which met in a join with every other word of their question."""
+    monkeypatch.setattr(keyword_index, "SHARD_ROWS", 150)
+    docs = spark.createDataFrame([(i, f"common word{i % 2} x{i}") for i in range(600)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "common"), ("b", "common word1"), ("c", "x17 common"), ("d", None)], "qid string, text string")
+    keyword_index.build(spark, docs, place[1])
+    hits, read = keyword_index.scored(spark, place[1], asked, 3)
+    assert read.select("shard").distinct().count() == 4 and hits.count() <= 3 * 3 * 4
+    assert rows_of(keyword_index.search(spark, place[1], asked, 3)) == rows_of(search.bm25_top_k(docs, asked, 3))
+    monkeypatch.setattr(keyword_index, "QUESTIONS", 1)
+    assert rows_of(keyword_index.search(spark, place[1], asked, 3)) == rows_of(search.bm25_top_k(docs, asked, 3))
+    monkeypatch.setattr(keyword_index, "FILTERED", 1)
+    assert rows_of(keyword_index.search(spark, place[1], asked, 3)) == rows_of(search.bm25_top_k(docs, asked, 3))
+
+
+def test_rare_letters_are_folded():
+    assert search.tokens_of("Straße STRAẞE ﬁne ſo ẖ1 ŉ ﬅ") == ["strasse", "strasse", "fine", "so", "h", "1", "n", "st"]
