@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.names import private
+from tessera.plans import store
 
 FAN, LEAF_BYTES, LEAST = 16, 16 << 20, 2
 
@@ -39,6 +39,7 @@ def tree(rows: DataFrame, order: list[str], depth: int) -> DataFrame:
     each = rows.select(leaf_of(depth).alias("name"), F.struct(_text("path").alias("p"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), _text("id").alias("i"), entry.alias("entry")).alias("e"))
     # a leaf's rows are bounded by the depth
     level = each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("e"))["entry"], "\n"), 256).alias("hash"))
+    level = store.materialise(level, "leaves")  # all levels follow from it
     out = level.select(F.lit(depth).alias("level"), "name", "n", "hash")
     for d in reversed(range(depth)):
         children = F.sort_array(F.collect_list(F.concat_ws(":", "name", "hash")))
@@ -68,9 +69,9 @@ def differences(left: DataFrame, right: DataFrame, left_tree: DataFrame, right_t
     leaves = differing_leaves(left_tree, right_tree, depth)
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        (leaf,) = private(rows.columns, "leaf")
-        some = rows.withColumn(leaf, leaf_of(depth)).join(leaves.withColumnRenamed("name", leaf), leaf, "left_semi")
-        return some.select(_text("path").alias("path"), _text("id").alias("id"), F.sha2(_text("content"), 256).alias(name))
+        # contents are hashed before rows meet the leaves, so that none is shuffled
+        each = rows.select(leaf_of(depth).alias("leaf"), _text("path").alias("path"), _text("id").alias("id"), F.sha2(_text("content"), 256).alias(name))
+        return each.join(leaves.withColumnRenamed("name", "leaf"), "leaf", "left_semi").drop("leaf")
 
     met = side(left, "l").join(side(right, "r"), ["path", "id"], "full_outer")
     what = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("changed")

@@ -28,8 +28,9 @@ def word_windows(df: DataFrame, text: str, size: int = 120, overlap: int = 20) -
     step = size - overlap
     held, k, i = private(df.columns, "words", "k", "i")
     spread = df.withColumn(held, words(F.col(text)))
-    counted = spread.withColumn(k, window_count(F.size(held), size, overlap)).filter(F.col(k) > 0)
-    each = counted.withColumn(i, F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    counted = spread.withColumn(k, window_count(F.size(held), size, overlap))
+    # texts without words are left out by the explode: a filter would be moved below the words and split each text again
+    each = counted.withColumn(i, F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))))
     start = F.col(i) * step
     part = F.slice(held, start + 1, F.lit(size))
     made = {"chunk_number": F.col(i) + 1, "word_start": start, "word_end": F.least(start + size, F.size(held)), "content": F.array_join(part, " ")}

@@ -136,6 +136,7 @@ SELECT coalesce(e.path, o.path) AS path, coalesce(e.id, o.id) AS id, CASE WHEN o
 def corpus_differences(spark, sf_dir):
     """Two corpora compared by their trees: some documents gone, some changed, some new."""
     rows, depth = tree_entries(spark, sf_dir)
+    rows = store.materialise(rows, "entries")  # for two trees and both sides of the comparison
     n = F.col("doc_id")
     other = rows.filter(n % 101 != 5).withColumn("content", F.when(n % 97 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).unionByName(rows.filter(n % 103 == 7).withColumn("id", F.concat("id", F.lit("-new"))))
     trees = [store.materialise(hashtree.tree(r, ["doc_id", "word_start"], depth), "tree") for r in (rows, other)]

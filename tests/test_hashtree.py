@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import analysis, hashtree, structure
-from tessera.plans import store
+from tessera.plans import registry, store
 
 
 def sha(text):
@@ -83,3 +83,24 @@ def test_columns_of_the_user_stay(spark):
     assert sorted((r.first_row, r.last_row, r.text) for r in grouped) == [(1, 3, "t1\n\nt2\n\nt3"), (3, 5, "t3\n\nt4\n\nt5")]
     pairs = structure.adjacent_rows(spark.createDataFrame([(1, 1, "a", 0), (1, 2, "b", 0)], "at int, n int, id string, other_id int"), ["at"], "n", "id")
     assert sorted((r.id, r.other_id) for r in pairs.collect()) == [("a", "b"), ("b", "a")]
+
+
+def test_contents_are_hashed_before_rows_meet(spark, rows):
+    """Contents went through a shuffle with the leaves, to be hashed after it."""
+    a = spark.createDataFrame(rows, SHAPE)
+    made = store.materialise(hashtree.tree(a, ["at"], 3), "tree")
+    out = hashtree.differences(a, a.filter("at % 2 = 0"), made, made, 3)
+    nodes = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted").split("\n\n")
+    inputs = [line for node in nodes if ") Exchange" in node for line in node.splitlines() if line.startswith("Input")]
+    assert len(inputs) > 3 and not [line for line in inputs if "content" in line]
+
+
+def test_windows_of_a_comparison_are_made_once(spark, small, monkeypatch):
+    """Each text was split four times for each of two trees and both sides of the comparison."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    windows = structure.word_windows(spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "d long, t string"), "t", 2, 1)
+    assert plan(windows).count("regexp_replace") == 1 and [r.d for r in windows.collect()] == [1]
+    plans, write = [], store.materialise
+    monkeypatch.setattr(store, "materialise", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    plans.append(plan(registry.corpus_differences(spark, small)))
+    assert sum(p.count("regexp_replace") for p in plans) == 1
