@@ -121,12 +121,13 @@ def refresh(spark: SparkSession, corpus: str, index: str, columns: tuple[str, ..
     """Brings the index of a stored corpus up to its newest version and gives the buckets that were indexed anew."""
     source, base, held = versions.version(spark, corpus), versions.version(spark, index), _index(spark, index)
     now = {b: f for b, (f, _, _) in versions.folders(spark, corpus, source).items()}
-    known = {r.part: r.source for r in held.filter("term = ''").select("part", "source").distinct().collect()} if held is not None and "shard" in held.columns else {}  # a row a bucket; none where the index is of a form without shards
+    former = held is not None and "shard" not in held.columns  # an index without shards is made anew
+    known = {r.part: r.source for r in held.filter("term = ''").select("part", "source").distinct().collect()} if held is not None and not former else {}  # a row a bucket
     buckets = source.buckets if source else versions.BUCKETS
     if base and base.buckets != buckets:
         known = {}
     stale = {b for b, f in now.items() if known.get(b) != f}
-    gone = known.keys() - now.keys()
+    gone = (versions.folders(spark, index, base).keys() if former else known.keys()) - now.keys()
     if not stale and not gone and base and base.buckets == buckets:
         return set()
     folders = spark.createDataFrame([(b, now[b]) for b in sorted(stale)], "bucket int, source string")
